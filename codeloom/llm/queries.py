@@ -7,12 +7,13 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, piece_codec, quality_knn, quality_rules, sharding
+from . import decontaminate, html_text, license_scan, pii, piece_codec, quality_knn, quality_rules, sharding
 from .common import table
 
 PIECES = os.environ.get("CODELOOM_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 SHARDS = [f"shard-{k:02d}" for k in range(32)]
 SLOTS = 4099
+PII_KEY = os.environ.get("CODELOOM_PII_KEY", "codeloom-test-key")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +31,18 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS, SLOTS)
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(table(spark, sf_dir, "documents"), key=PII_KEY)
+
+
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -39,7 +52,7 @@ def op10_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_sentencepiece, op3_sharding, op8_html_text, op10_quality_knn)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_sentencepiece, op3_sharding, op4_license_scan, op7_decontaminate, op8_html_text, op9_pii, op10_quality_knn)}
 
 
 def _op3_sql() -> str:
@@ -52,4 +65,4 @@ def _op3_sql() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_sharding": _op3_sql()}
+    return {"op3_sharding": _op3_sql(), "op4_license_scan": license_scan.oracle(), "op7_decontaminate": decontaminate.oracle()}

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import dropped, shared_dir, written  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -18,35 +17,6 @@ def picked(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[df[f"`{old}`"].alias(new) for new, old in columns.items()])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a folder of its own only where that is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        at = found.get() if found.isDefined() else tempfile.mkdtemp(prefix="codeloom-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet in the shared folder and read it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/codeloom/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._codeloom_path = path
-    return out
-
-
-def dropped(df: DataFrame) -> None:
-    """Delete a table of written() that nothing reads any more."""
-    path = getattr(df, "_codeloom_path", None)
-    if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def held_out(column) -> F.Column:
     """crc32 of the id as text, modulo 3, is 1; a null id is not held out."""
     return F.coalesce(F.crc32(column.cast("string")) % 3 == 1, F.lit(False))

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, license_scan, near_dedup, pii, piece_codec, quality_knn, quality_rules, sharding
+from . import decontaminate, html_text, license_scan, line_dedup, near_dedup, pii, piece_codec, quality_knn, quality_rules, sharding
 from .common import table
 
 PIECES = os.environ.get("CODELOOM_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
@@ -39,6 +39,10 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_classes(table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -56,7 +60,7 @@ def op10_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_sentencepiece, op3_sharding, op4_license_scan, op5_near_dedup, op7_decontaminate, op8_html_text, op9_pii, op10_quality_knn)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_sentencepiece, op3_sharding, op4_license_scan, op5_near_dedup, op6_line_dedup, op7_decontaminate, op8_html_text, op9_pii, op10_quality_knn)}
 
 
 def _op3_sql() -> str:

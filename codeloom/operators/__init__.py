@@ -1,0 +1 @@
+"""Operators over the model's tables, by family."""

@@ -19,8 +19,10 @@ with probability below 1e-6. Links are decided on full sets:
    document whose other shingles are fewer than the threshold share of its set has
    no link (repeated until few go);
 5. the pairs of members of different components that are left (a pair in the first
-   bucket they share, within the size bound and the triangle bound by their
-   distances to the bucket's pivot) are all compared.
+   bucket they share, within the size bound and the pivot bound) are all compared.
+   The pivot bound: what two sets have in common is at most the smaller of what
+   either shares with the pivot, and the smaller of what either has besides that
+   and not alone.
 
 So no link between candidates is lost, large groups are compared with pivots and
 not pairwise, and nothing of the corpus is collected. Buckets are aggregated before
@@ -188,11 +190,12 @@ def near_duplicates(df: DataFrame, *, id_col="doc_id", text_col="text", percent=
     placed = written(placed.select("key", "id", "n", "component"), "placed")
     mixed = placed.groupBy("key").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("key")
     open_ = written(placed.join(mixed, "key", "left_semi"), "open")
-    for _ in range(peelings):
-        asked = open_.select("id").distinct()
+    lone = None
+    for _ in range(max(peelings, 1)):
+        asked = open_.select("id").unionAll(open_.join(pivots, "key").select(F.col("pivot").alias("id"))).distinct()
         tokens = sets.join(asked, "id", "left_semi").dropDuplicates(["id"]).select("id", F.explode("members").alias("token"))
-        shared = tokens.groupBy("token").agg(F.count("*").alias("c"), F.first("id").alias("only")).where("c = 1")
-        lone = shared.groupBy(F.col("only").alias("id")).agg(F.count("*").alias("lone"))
+        single = tokens.groupBy("token").agg(F.count("*").alias("c"), F.first("id").alias("only")).where("c = 1")
+        lone = written(single.groupBy(F.col("only").alias("id")).agg(F.count("*").alias("lone")), "lone")
         gone = open_.select("id", "n").distinct().join(lone, "id").where(100 * (F.col("n") - F.col("lone")) < percent * F.col("n")).select("id")
         gone = written(gone, "gone")
         if gone.isEmpty():
@@ -205,17 +208,17 @@ def near_duplicates(df: DataFrame, *, id_col="doc_id", text_col="text", percent=
         open_ = rest
 
     # What is left: members outside the pivot's component against the bucket's members of other components
-    toward = stars.select(F.col("a").alias("id"), F.col("b").alias("pivot"), (1 - F.col("common") / F.col("total")).alias("d"))
-    known = open_.join(pivots.select("key", "pivot"), "key").join(toward, ["id", "pivot"], "left").join(classes.select("id", "keys"), "id")
-    known = known.select("key", "id", "n", "component", "pivot", F.when(F.col("id") == F.col("pivot"), F.lit(0.0)).otherwise(F.col("d")).alias("d"), "keys")
+    toward = stars.select(F.col("a").alias("id"), F.col("b").alias("pivot"), "common")
+    known = open_.join(pivots.select("key", "pivot"), "key").join(toward, ["id", "pivot"], "left").join(lone, "id", "left").join(classes.select("id", "keys"), "id")
+    with_pivot = F.when(F.col("id") == F.col("pivot"), F.col("n")).otherwise(F.col("common"))
+    known = known.select("key", "id", "n", "component", "pivot", with_pivot.alias("inside"), (F.col("n") - with_pivot - F.coalesce("lone", F.lit(0))).alias("beside"), "keys")
     known = written(known, "known")
     at_pivot = known.where("id = pivot").select("key", F.col("component").alias("main"))
     outside = known.join(at_pivot, "key", "left").where("main IS NULL OR component != main").drop("main")
     renamed = outside.select(*[F.col(c).alias(f"{c}_2") for c in outside.columns])
-    slack = 1 - percent / 100 + 1e-9
-    pairs = known.join(renamed, F.col("key") == F.col("key_2")).where(
-        (F.col("component") != F.col("component_2")) & fits("n", "n_2") & F.coalesce(F.abs(F.col("d") - F.col("d_2")) <= slack, F.lit(True)) & (F.element_at(F.array_intersect("keys", "keys_2"), 1) == F.col("key"))
-    )
+    most = F.least("inside", "inside_2") + F.least("beside", "beside_2")
+    possible = F.when(F.col("inside").isNull() | F.col("inside_2").isNull(), True).otherwise(100 * most >= percent * (F.col("n") + F.col("n_2") - most))
+    pairs = known.join(renamed, F.col("key") == F.col("key_2")).where((F.col("component") != F.col("component_2")) & fits("n", "n_2") & possible & (F.element_at(F.array_intersect("keys", "keys_2"), 1) == F.col("key")))
     pairs = pairs.select(F.least("id", "id_2").alias("a"), F.greatest("id", "id_2").alias("b")).distinct()
     more = written(compared(pairs, sets).where(similar).select("a", "b"), "links")
     if not more.isEmpty():

@@ -1 +1,187 @@
-"""Placeholder."""
+"""Graph analytics of the client side: coverage, statistics, languages, clusters, containment."""
+
+from __future__ import annotations
+
+from ..engine import sql_operator
+from ..plans.dialect import Dialect
+from .impact import _DEGREES
+
+_XL = "SELECT r.id, r.from_id, r.to_id, r.type, r.confidence, f.file_path AS from_file, t.file_path AS to_file, f.namespace AS from_ns, t.namespace AS to_ns, fl.name AS from_language, tl.name AS to_language, f.name AS from_name, t.name AS to_name FROM relationships r JOIN symbols f ON f.id = r.from_id JOIN symbols t ON t.id = r.to_id JOIN languages fl ON fl.id = f.language_id JOIN languages tl ON tl.id = t.language_id"
+
+
+@sql_operator
+def d05_removal_candidates(d: Dialect) -> str:
+    """Uncalled, unexported and small or unsure symbols, with a confidence of removal."""
+    return "SELECT s.id, s.end_line - s.line AS lines, CASE WHEN s.visibility = 'private' THEN 'high' ELSE 'medium' END AS certainty FROM symbols s WHERE NOT s.is_exported AND NOT EXISTS (SELECT 1 FROM calls_sparse c WHERE c.callee_id = s.id)"
+
+
+@sql_operator
+def d06_branch_coverage(d: Dialect) -> str:
+    """Branches keyed by (source, target): covered where a stored path runs over them."""
+    return "SELECT b.caller_id, count(*) AS branches, count(p.id) AS covered, CASE WHEN count(p.id) = 0 THEN 'uncovered' WHEN count(p.id) < count(*) THEN 'partial' ELSE 'full' END AS state, CASE WHEN count(p.id) = 0 THEN 0e0 WHEN count(p.id) < count(*) THEN 0.5e0 ELSE 1e0 END AS score FROM (SELECT DISTINCT caller_id, callee_id FROM calls WHERE is_conditional) b LEFT JOIN (SELECT start_id, end_id, min(id) AS id FROM flow_paths WHERE coverage > 0e0 GROUP BY start_id, end_id) p ON p.start_id = b.caller_id AND p.end_id = b.callee_id GROUP BY b.caller_id"
+
+
+@sql_operator
+def d07_suggested_tests(d: Dialect) -> str:
+    return "SELECT caller_id, count(*) AS branches, CASE WHEN count(*) > 20 THEN 'very complex' WHEN count(*) > 10 THEN 'complex' WHEN count(*) > 5 THEN 'moderate' ELSE 'simple' END AS complexity, least(count(*), 10) AS suggested_tests FROM (SELECT DISTINCT caller_id, callee_id FROM calls WHERE is_conditional) b GROUP BY caller_id"
+
+
+@sql_operator
+def d11_flow_statistics(d: Dialect) -> str:
+    """Cyclomatic (edges - nodes + 2), mean branching factor, bottlenecks, by kind of caller."""
+    return "SELECT s.kind, count(*) AS edges, count(DISTINCT c.caller_id) AS callers, count(*) - count(DISTINCT c.caller_id) + 2 AS cyclomatic, round(CAST(count(*) AS DOUBLE) / count(DISTINCT c.caller_id), 6) AS branching, count(*) FILTER (WHERE c.is_conditional) AS conditional, count(*) FILTER (WHERE c.is_recursive) AS recursive FROM calls c JOIN symbols s ON s.id = c.caller_id GROUP BY s.kind"
+
+
+@sql_operator
+def d12_compare_runs(d: Dialect) -> str:
+    """Out-degrees in the full and in the sparse graph, and the change."""
+    return "SELECT coalesce(a.caller_id, b.caller_id) AS id, coalesce(a.n, 0) AS before, coalesce(b.n, 0) AS after, coalesce(b.n, 0) - coalesce(a.n, 0) AS change FROM (SELECT caller_id, count(DISTINCT callee_id) AS n FROM calls GROUP BY caller_id) a FULL OUTER JOIN (SELECT caller_id, count(*) AS n FROM calls_sparse GROUP BY caller_id) b ON b.caller_id = a.caller_id"
+
+
+@sql_operator
+def d14_bottlenecks(d: Dialect) -> str:
+    """Loops with the cost of blocks that begin inside them (a range join within the function)."""
+    return "SELECT l.id, l.symbol_id, count(b.id) AS inner_blocks, round(coalesce(sum(b.cost), 0e0), 4) AS inner_cost FROM blocks l LEFT JOIN blocks b ON b.symbol_id = l.symbol_id AND b.id <> l.id AND b.start_line BETWEEN l.start_line AND l.end_line WHERE l.block_type = 'loop' GROUP BY l.id, l.symbol_id"
+
+
+@sql_operator
+def d15_optimisations(d: Dialect) -> str:
+    return "SELECT id, CASE WHEN block_type = 'loop' AND complexity >= 5 THEN 'unroll or hoist' WHEN block_type = 'catch' AND cost > 50 THEN 'avoid exceptions' WHEN block_type IN ('condition', 'conditional') AND complexity >= 5 THEN 'simplify condition' END AS advice FROM blocks WHERE block_type = 'loop' AND complexity >= 5 OR block_type = 'catch' AND cost > 50 OR block_type IN ('condition', 'conditional') AND complexity >= 5"
+
+
+def _variables(d: Dialect) -> str:
+    return f"SELECT id, {d.explode(d.extract_all('text', r'(?:var|let|const)\s+([A-Za-z_][A-Za-z0-9_]*)', 1))} AS name FROM sources"
+
+
+@sql_operator
+def d16_variable_usage(d: Dialect) -> str:
+    """Variables that a text defines, with how many times."""
+    return f"SELECT id, name, count(*) AS definitions FROM ({_variables(d)}) v GROUP BY id, name"
+
+
+@sql_operator
+def d17_def_use(d: Dialect) -> str:
+    """Definitions and uses of a parameter type along call edges: the caller returns what the callee takes."""
+    return "SELECT c.caller_id, c.callee_id, f.return_type AS data FROM calls_sparse c JOIN symbols f ON f.id = c.caller_id JOIN symbols t ON t.id = c.callee_id WHERE f.return_type <> 'void' AND t.signature LIKE '%(' || f.return_type || '%'"
+
+
+@sql_operator
+def d18_dependencies(d: Dialect) -> str:
+    """Data dependencies (unconditional sites) and control dependencies (conditional ones) of each pair."""
+    return "SELECT caller_id, callee_id, count(*) FILTER (WHERE NOT is_conditional) AS data, count(*) FILTER (WHERE is_conditional) AS control FROM calls GROUP BY caller_id, callee_id"
+
+
+@sql_operator
+def d19_taint(d: Dialect) -> str:
+    """From sources ('red') to sinks ('bolt') over one intermediate at most; sanitised where it is 'small'."""
+    return """SELECT s.id AS source_id, k.id AS sink_id, min(hops) AS hops, count(*) FILTER (WHERE sanitised) > 0 AS sanitised FROM (
+        SELECT caller_id AS a, callee_id AS b, CAST(1 AS BIGINT) AS hops, false AS sanitised FROM calls_sparse
+        UNION ALL SELECT x.caller_id AS a, y.callee_id AS b, CAST(2 AS BIGINT) AS hops, m.tag = 'small' AS sanitised FROM calls_sparse x JOIN calls_sparse y ON y.caller_id = x.callee_id JOIN symbols m ON m.id = x.callee_id) p
+        JOIN symbols s ON s.id = p.a AND s.tag = 'red' JOIN symbols k ON k.id = p.b AND k.name LIKE '%bolt%' GROUP BY s.id, k.id"""
+
+
+@sql_operator
+def d20_graph_filter(d: Dialect, max_degree: int = 30) -> str:
+    return f"SELECT r.id, r.from_id, r.to_id, r.type FROM relationships r JOIN ({_DEGREES}) f ON f.id = r.from_id JOIN ({_DEGREES}) t ON t.id = r.to_id WHERE r.type = 'calls' AND f.complexity BETWEEN 5 AND 40 AND f.fan_in + f.fan_out <= {max_degree} AND t.fan_in + t.fan_out <= {max_degree}"
+
+
+@sql_operator
+def d22_graph_nodes(d: Dialect) -> str:
+    """Nodes of the edge list, with size by degree and their container."""
+    return "SELECT s.id, s.namespace AS container, count(*) AS degree, least(50, 10 + 2 * count(*)) AS size FROM (SELECT from_id AS id FROM relationships UNION ALL SELECT to_id FROM relationships WHERE to_id IS NOT NULL) e JOIN symbols s ON s.id = e.id GROUP BY s.id, s.namespace"
+
+
+@sql_operator
+def d23_language_diversity(d: Dialect) -> str:
+    """Of each namespace: Shannon entropy of its languages and the dominant one (ties: smallest id)."""
+    return f"SELECT namespace, round(-sum(p * log2(p)), 6) AS entropy, {d.least_by('language_id', d.row('-p', 'language_id'))} AS dominant FROM (SELECT namespace, language_id, CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (PARTITION BY namespace) AS p FROM symbols GROUP BY namespace, language_id) x GROUP BY namespace"
+
+
+@sql_operator
+def d24_language_boundaries(d: Dialect) -> str:
+    return f"SELECT id, CASE WHEN cross_in > 0 AND cross_out > 0 THEN 'bridge' WHEN cross_in > 0 THEN 'entry' ELSE 'exit' END AS role, cross_in, cross_out FROM (SELECT id, count(*) FILTER (WHERE dir = 'in') AS cross_in, count(*) FILTER (WHERE dir = 'out') AS cross_out FROM (SELECT from_id AS id, 'out' AS dir FROM ({_XL}) a WHERE from_language <> to_language UNION ALL SELECT to_id, 'in' FROM ({_XL}) b WHERE from_language <> to_language) e GROUP BY id) x"
+
+
+@sql_operator
+def d25_language_pairs(d: Dialect) -> str:
+    return f"SELECT from_language, to_language, count(*) AS n, round(avg(confidence), 6) AS confidence, {d.joined_set('type')} AS types FROM ({_XL}) x WHERE from_language <> to_language GROUP BY from_language, to_language"
+
+
+@sql_operator
+def d26_integration_metrics(d: Dialect) -> str:
+    return f"SELECT count(*) AS edges, count(*) FILTER (WHERE from_language <> to_language) AS crossing, round(CAST(count(*) FILTER (WHERE from_language <> to_language) AS DOUBLE) / count(*), 6) AS share, count(DISTINCT from_language) AS languages FROM ({_XL}) x"
+
+
+@sql_operator
+def d28_interconnectivity(d: Dialect) -> str:
+    """Of each language: edges inside and outside, cohesion, modularity in percent."""
+    return f"SELECT from_language AS language, count(*) FILTER (WHERE from_language = to_language) AS inside, count(*) FILTER (WHERE from_language <> to_language) AS outside, round(100e0 * count(*) FILTER (WHERE from_language = to_language) / count(*), 6) AS modularity FROM ({_XL}) x GROUP BY from_language"
+
+
+@sql_operator
+def d29_related_clusters(d: Dialect, threshold: int = 5) -> str:
+    return f"SELECT least(from_ns, to_ns) AS first, greatest(from_ns, to_ns) AS second, count(*) AS links FROM ({_XL}) x WHERE from_ns <> to_ns GROUP BY least(from_ns, to_ns), greatest(from_ns, to_ns) HAVING count(*) >= {threshold}"
+
+
+@sql_operator
+def d30_language_hierarchy(d: Dialect) -> str:
+    return "SELECT l.name AS language, split_part(s.namespace, '::', 1) AS brand, split_part(s.namespace, '::', 2) AS type, count(*) AS n FROM symbols s JOIN languages l ON l.id = s.language_id GROUP BY l.name, split_part(s.namespace, '::', 1), split_part(s.namespace, '::', 2)"
+
+
+@sql_operator
+def d33_execution_analysis(d: Dialect) -> str:
+    """Coverage by file: functions, those on a covered path, share."""
+    return "SELECT s.file_path, count(*) AS functions, count(p.id) AS covered, round(CAST(count(p.id) AS DOUBLE) / count(*), 6) AS share FROM symbols s LEFT JOIN (SELECT DISTINCT start_id AS id FROM flow_paths WHERE coverage > 0e0) p ON p.id = s.id GROUP BY s.file_path"
+
+
+@sql_operator
+def d34_pattern_categories(d: Dialect) -> str:
+    """Strength = (50 + 15 for each indicator + 10 for each tag - 20 for each anti-pattern) * confidence, held to 0..100; health and priority by it."""
+    ind = "(CASE WHEN is_exported THEN 1 ELSE 0 END + CASE WHEN fan_in > 10 THEN 1 ELSE 0 END + CASE WHEN fan_out > 10 THEN 1 ELSE 0 END)"
+    anti = "(CASE WHEN complexity > 30 THEN 1 ELSE 0 END + CASE WHEN parameter_count > 7 THEN 1 ELSE 0 END)"
+    return f"SELECT id, round(strength, 6) AS strength, CASE WHEN strength >= 70 THEN 'healthy' WHEN strength >= 40 THEN 'fair' ELSE 'poor' END AS health, CASE WHEN strength < 30 THEN 'urgent' WHEN strength < 60 THEN 'planned' ELSE 'none' END AS refactoring FROM (SELECT id, greatest(0e0, least(100e0, (50 + 15 * {ind} + 10 * CASE WHEN tag IN ('red', 'blue') THEN 1 ELSE 0 END - 20 * {anti}) * confidence)) AS strength FROM ({_DEGREES}) g) x"
+
+
+@sql_operator
+def d35_complexity_bands(d: Dialect) -> str:
+    """Estimates for each function from its blocks: E - N + 2, volume with 0.7 and 0.6 uniqueness, band."""
+    return "SELECT symbol_id, cyclomatic, round(volume, 4) AS volume, CASE WHEN cyclomatic <= 10 THEN 'low' WHEN cyclomatic <= 20 THEN 'moderate' WHEN cyclomatic <= 50 THEN 'high' ELSE 'very high' END AS band FROM (SELECT symbol_id, count(*) FILTER (WHERE block_type IN ('condition', 'conditional', 'loop', 'catch')) + 1 AS cyclomatic, (count(*) * 2) * log2(0.7e0 * count(*) + 0.6e0 * count(*)) AS volume FROM blocks GROUP BY symbol_id) x"
+
+
+@sql_operator
+def d36_call_classes(d: Dialect) -> str:
+    return f"SELECT CASE WHEN from_language = to_language THEN 'direct' WHEN type = 'calls' AND from_language IN ('cpp', 'rust') THEN 'ffi' WHEN type = 'uses' THEN 'api' ELSE 'indirect' END AS class, count(*) AS n FROM ({_XL}) x GROUP BY 1"
+
+
+@sql_operator
+def d37_shared_structures(d: Dialect) -> str:
+    """Type names used by more than one language."""
+    return f"SELECT t.name AS type_name, count(DISTINCT s.language_id) AS languages, count(*) AS uses FROM symbols s JOIN (VALUES ('Buffer'), ('Result'), ('int'), ('string'), ('Config'), ('Request')) AS t(name) ON {d.contains('s.signature', 't.name')} GROUP BY t.name HAVING count(DISTINCT s.language_id) > 1"
+
+
+@sql_operator
+def d38_process_communication(d: Dialect) -> str:
+    """Texts that mention means of communication between processes."""
+    return f"SELECT k.word, count(*) AS texts FROM sources s JOIN (VALUES ('pipe'), ('socket'), ('queue'), ('track'), ('signal'), ('href')) AS k(word) ON {d.contains('s.text', 'k.word')} GROUP BY k.word"
+
+
+@sql_operator
+def d39_pair_complexity(d: Dialect) -> str:
+    return f"SELECT from_language, to_language, 10e0 * count(*) * CASE WHEN 'cpp' IN (from_language, to_language) THEN 1.5e0 ELSE 1e0 END * CASE WHEN 'rust' IN (from_language, to_language) THEN 2e0 ELSE 1e0 END * CASE WHEN 'java' IN (from_language, to_language) THEN 1.3e0 ELSE 1e0 END AS complexity FROM ({_XL}) x WHERE from_language <> to_language GROUP BY from_language, to_language"
+
+
+@sql_operator
+def d40_boundary_groups(d: Dialect) -> str:
+    return f"SELECT from_language, to_language, type, count(*) AS n, count(DISTINCT from_file) AS files FROM ({_XL}) x WHERE from_language <> to_language GROUP BY from_language, to_language, type"
+
+
+@sql_operator
+def d41_navigation_targets(d: Dialect) -> str:
+    """Calls whose line lies inside a block of the caller."""
+    return "SELECT DISTINCT b.id AS block_id, c.callee_id FROM blocks b JOIN calls c ON c.caller_id = b.symbol_id AND c.line_number * 10 BETWEEN b.start_line AND b.end_line"
+
+
+@sql_operator
+def d42_containment(d: Dialect) -> str:
+    """Members of a class by namespace, and whether a method is simple (an accessor by its size)."""
+    return "SELECT c.id AS class_id, m.id AS member_id, m.end_line - m.line <= 60 AND m.complexity <= 10 AS is_simple FROM symbols c JOIN symbols m ON m.parent_symbol_id = c.id WHERE c.kind = 'class'"

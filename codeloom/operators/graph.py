@@ -1 +1,282 @@
-"""Placeholder."""
+"""Reachability, paths, components and cycles.
+
+Reachability is an iterative frontier: one join with the edges, a distinct and an
+anti-join with what is visited in each round, so what is carried is vertices and
+not walks. Rounds are bounded or end with an empty frontier; tables between rounds
+are written to the shared folder. Paths are enumerated only where the question is
+about paths, along deduplicated edges and with a bound on depth.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..engine import frame_operator, sql_operator
+from ..plans.dialect import Dialect
+from ..storage import dropped, written
+from .components import connected_components
+
+
+def reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """seed, id and least depth for every vertex that edges (a, b) lead to from seeds (seed) in at most depth steps; a seed reaches itself at 0."""
+    edges = edges.select(F.col("a").alias("_a"), F.col("b").alias("_b")).where("_a IS NOT NULL AND _b IS NOT NULL").distinct()
+    frontier = seeds.select("seed", F.col("seed").alias("id"), F.lit(0).cast("long").alias("depth")).distinct()
+    visited = written(frontier, "visited")
+    frontier = visited
+    for k in range(1, depth + 1):
+        step = frontier.join(edges, F.col("id") == F.col("_a")).select("seed", F.col("_b").alias("id")).distinct()
+        fresh = written(step.join(visited.select("seed", "id"), ["seed", "id"], "left_anti").withColumn("depth", F.lit(k).cast("long")), "frontier")
+        if fresh.isEmpty():
+            dropped(fresh)
+            break
+        visited = visited.unionByName(fresh)
+        frontier = fresh
+    return visited
+
+
+def strongly_connected(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+    """id and component (smallest id in it) of vertices on a cycle (a self-loop is one).
+
+    Trimming vertices without in or out edges, then the smallest label that reaches
+    a vertex forwards and backwards; vertices where both agree are one component
+    and leave the graph. Labels travel as aggregated minima, not as walks.
+    """
+    rest = written(edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL").distinct(), "scc")
+    loops = written(rest.where("a = b").select(F.col("a").alias("id"), F.col("a").alias("component")), "loops")
+    found = None
+
+    def least(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+        """Smallest label reaching each vertex along pairs (u, v)."""
+        marks = written(marks, "marks")
+        for _ in range(max_rounds):
+            near = pairs.join(marks.withColumnRenamed("id", "u"), "u").groupBy(F.col("v").alias("id")).agg(F.min("mark").alias("near"))
+            new = written(marks.join(near, "id", "left").select("id", F.least("mark", F.coalesce("near", "mark")).alias("mark"), (F.coalesce("near", "mark") < F.col("mark")).alias("moved")), "marks")
+            dropped(marks)
+            marks = new.select("id", "mark")
+            marks._codeloom_path = new._codeloom_path
+            if new.where("moved").isEmpty():
+                return marks
+        raise RuntimeError("labels did not settle")
+
+    for _ in range(max_rounds):
+        while True:  # vertices without a way in or out are on no cycle
+            kept = written(rest.join(rest.select(F.col("b").alias("a")).distinct(), "a", "left_semi").select("a", "b").join(rest.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"), "scc")
+            same = kept.count() == rest.count()
+            dropped(rest)
+            rest = kept
+            if same:
+                break
+        if rest.isEmpty():
+            break
+        ids = rest.select(F.col("a").alias("id")).unionAll(rest.select("b")).distinct().select("id", F.col("id").alias("mark"))
+        ahead = least(rest.select(F.col("a").alias("u"), F.col("b").alias("v")), ids)
+        behind = least(rest.select(F.col("b").alias("u"), F.col("a").alias("v")), ids)
+        both = ahead.join(behind.withColumnRenamed("mark", "back"), "id")
+        done = written(both.where("mark = back").select("id", F.col("mark").alias("component")), "component")
+        found = done if found is None else found.unionAll(done)
+        sides = written(both.select("id", "mark", "back"), "sides")
+        a = sides.select(F.col("id").alias("a"), F.col("mark").alias("m1"), F.col("back").alias("k1"))
+        b = sides.select(F.col("id").alias("b"), F.col("mark").alias("m2"), F.col("back").alias("k2"))
+        split = rest.join(a, "a").join(b, "b").where("m1 = m2 AND k1 = k2 AND m1 != k1").select("a", "b")  # only edges inside one class can lie on a further cycle
+        new = written(split, "scc")
+        dropped(rest)
+        rest = new
+    if found is None:
+        return loops
+    sizes = found.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
+    return found.join(sizes, "component").select("id", "component").unionAll(loops).groupBy("id").agg(F.min("component").alias("component"))
+
+
+def _reach_sql(edges: str, seeds: str, depth: int, result: str) -> str:
+    return f"""WITH RECURSIVE e AS ({edges}), seeds AS ({seeds}), r AS (SELECT seed, seed AS id, CAST(0 AS BIGINT) AS depth FROM seeds UNION SELECT r.seed, e.b, r.depth + 1 FROM r JOIN e ON e.a = r.id WHERE r.depth < {depth}),
+        reached AS (SELECT seed, id, min(depth) AS depth FROM r GROUP BY seed, id) {result}"""
+
+
+@sql_operator
+def i01_ripple_edges(d: Dialect) -> str:
+    """Certain edges (over 0.7) with both ends, by qualified name."""
+    return "SELECT DISTINCT f.qualified_name AS from_name, t.qualified_name AS to_name FROM relationships r JOIN symbols f ON f.id = r.from_id JOIN symbols t ON t.id = r.to_id WHERE r.confidence > 0.7e0"
+
+
+RIPPLE_SEEDS = "1, 7, 42, 99"
+
+
+@frame_operator("calls_rare symbols", lambda d: _reach_sql("SELECT callee_id AS a, caller_id AS b FROM calls_rare", f"SELECT id AS seed FROM symbols WHERE id IN ({RIPPLE_SEEDS})", 6, "SELECT seed, id, depth FROM reached WHERE depth > 0"))
+def i02_ripple(t: dict[str, DataFrame], seeds: str = RIPPLE_SEEDS, depth: int = 6) -> DataFrame:
+    """Who depends on the seeds, directly or through others, and at what distance."""
+    start = t["symbols"].where(f"id IN ({seeds})").select(F.col("id").alias("seed"))
+    return reach(t["calls_rare"].select(F.col("callee_id").alias("a"), F.col("caller_id").alias("b")), start, depth).where("depth > 0").select("seed", "id", "depth")
+
+
+@frame_operator("calls_rare symbols", lambda d: _reach_sql("SELECT callee_id AS a, caller_id AS b FROM calls_rare", f"SELECT id AS seed FROM symbols WHERE id IN ({RIPPLE_SEEDS})", 6, "SELECT seed, depth AS distance, count(*) AS symbols, CASE WHEN depth = 1 THEN 'direct' ELSE 'indirect' END AS impact FROM reached WHERE depth > 0 GROUP BY seed, depth"))
+def i13_ripple_waves(t: dict[str, DataFrame]) -> DataFrame:
+    """The ripple by distance."""
+    waves = i02_ripple(t).groupBy("seed", F.col("depth").alias("distance")).agg(F.count("*").alias("symbols"))
+    return waves.withColumn("impact", F.when(F.col("distance") == 1, "direct").otherwise("indirect"))
+
+
+@frame_operator("calls_rare symbols", lambda d: _reach_sql("SELECT callee_id AS a, caller_id AS b FROM calls_rare", f"SELECT id AS seed FROM symbols WHERE id IN ({RIPPLE_SEEDS})", 3, "SELECT seed, least(100, sum(CASE depth WHEN 1 THEN 10 WHEN 2 THEN 5 WHEN 3 THEN 3 ELSE 1 END))::BIGINT AS severity, round(min(greatest(0.3e0, 1e0 - 0.1e0 * depth)), 6) AS confidence FROM reached WHERE depth > 0 GROUP BY seed"))
+def i14_fallback_impact(t: dict[str, DataFrame]) -> DataFrame:
+    """A plain estimate to distance 3: severity 10, 5, 3 by distance up to 100, confidence falling by a tenth a step."""
+    points = F.when(F.col("depth") == 1, 10).when(F.col("depth") == 2, 5).when(F.col("depth") == 3, 3).otherwise(1)
+    return i02_ripple(t, depth=3).groupBy("seed").agg(F.least(F.lit(100), F.sum(points)).cast("long").alias("severity"), F.round(F.min(F.greatest(F.lit(0.3), 1 - 0.1 * F.col("depth"))), 6).alias("confidence"))
+
+
+@frame_operator("calls_dag symbols", lambda d: _reach_sql("SELECT caller_id AS a, callee_id AS b FROM calls_dag", "SELECT id AS seed FROM symbols WHERE id % 20 = 1", 20, "SELECT id, count(*) AS visits, min(depth) AS depth FROM reached WHERE depth > 0 GROUP BY id"))
+def i18_execution_counts(t: dict[str, DataFrame]) -> DataFrame:
+    """Which functions runs from the entries pass: reachability counts in place of random walks."""
+    seeds = t["symbols"].where("id % 20 = 1").select(F.col("id").alias("seed"))
+    return reach(t["calls_dag"].select(F.col("caller_id").alias("a"), F.col("callee_id").alias("b")), seeds, 20).where("depth > 0").groupBy("id").agg(F.count("*").alias("visits"), F.min("depth").alias("depth"))
+
+
+def _entries() -> str:
+    return "SELECT s.id AS seed FROM symbols s WHERE s.kind IN ('function', 'method') AND s.id NOT IN (SELECT callee_id FROM calls_rare)"
+
+
+@frame_operator("calls_rare symbols", lambda d: _reach_sql("SELECT caller_id AS a, callee_id AS b FROM calls_rare", _entries(), 10, "SELECT seed AS entry, id, depth FROM reached"))
+def g18_call_chains(t: dict[str, DataFrame], depth: int = 10) -> DataFrame:
+    """From each entry point: functions reached and the least depth."""
+    seeds = t["symbols"].where("kind IN ('function', 'method')").join(t["calls_rare"].select(F.col("callee_id").alias("id")).distinct(), "id", "left_anti").select(F.col("id").alias("seed"))
+    return reach(t["calls_rare"].select(F.col("caller_id").alias("a"), F.col("callee_id").alias("b")), seeds, depth).select(F.col("seed").alias("entry"), "id", "depth")
+
+
+@frame_operator("calls_sparse symbols", lambda d: _reach_sql("SELECT caller_id AS a, callee_id AS b FROM calls_sparse", "SELECT id AS seed FROM symbols WHERE id IN (5, 10)", 100, "SELECT s.id, s.kind, s.end_line - s.line AS lines FROM symbols s WHERE s.id NOT IN (SELECT id FROM reached)"))
+def d04_dead_code(t: dict[str, DataFrame], entries: str = "5, 10") -> DataFrame:
+    """Symbols that no entry reaches, with their lines."""
+    seeds = t["symbols"].where(f"id IN ({entries})").select(F.lit(0).cast("long").alias("seed"), "id")
+    edges = t["calls_sparse"].select(F.col("caller_id").alias("_a"), F.col("callee_id").alias("_b")).distinct()
+    visited = written(seeds.select("id"), "visited")
+    frontier = visited
+    while True:
+        fresh = written(frontier.join(edges, F.col("id") == F.col("_a")).select(F.col("_b").alias("id")).distinct().join(visited, "id", "left_anti"), "frontier")
+        if fresh.isEmpty():
+            break
+        visited, frontier = visited.unionByName(fresh), fresh
+    return t["symbols"].join(visited, "id", "left_anti").select("id", "kind", (F.col("end_line") - F.col("line")).alias("lines"))
+
+
+@frame_operator("calls_rare", lambda d: _reach_sql("SELECT caller_id AS a, callee_id AS b FROM calls_rare UNION SELECT callee_id, caller_id FROM calls_rare", "SELECT DISTINCT a AS seed FROM e", 60, "SELECT id, min(seed) AS component FROM reached GROUP BY id"))
+def d21_components(t: dict[str, DataFrame]) -> DataFrame:
+    """Connected components."""
+    return connected_components(t["calls_rare"], "caller_id", "callee_id").select("id", "component")
+
+
+@frame_operator("calls_rare", lambda d: _reach_sql("SELECT caller_id AS a, callee_id AS b FROM calls_rare", "SELECT DISTINCT a AS seed FROM e", 60, ", loops AS (SELECT DISTINCT a AS id FROM e WHERE a = b), mates AS (SELECT x.seed AS id, x.id AS other FROM reached x JOIN reached y ON y.seed = x.id AND y.id = x.seed WHERE x.id <> x.seed), cyc AS (SELECT id, least(id, min(other)) AS component FROM mates GROUP BY id UNION SELECT id, id FROM loops WHERE id NOT IN (SELECT id FROM mates)) SELECT id, component, count(*) OVER (PARTITION BY component) AS cycle_length FROM cyc"))
+def m21_circular_dependencies(t: dict[str, DataFrame]) -> DataFrame:
+    """Symbols on a cycle: strongly connected components of two or more, and self-loops. Independent of visit order."""
+    found = written(strongly_connected(t["calls_rare"].select(F.col("caller_id").alias("a"), F.col("callee_id").alias("b"))), "cycles")
+    return found.join(found.groupBy("component").agg(F.count("*").alias("cycle_length")), "component").select("id", "component", "cycle_length")
+
+
+def _paths(d: Dialect, edges: str = "calls_dag", depth: int = 10, start: str = "") -> str:
+    """Recursive table p(a, b, nodes, depth) of simple paths along an edge table."""
+    grow = d.append("p.nodes", "e.callee_id")
+    return f"WITH RECURSIVE p AS (SELECT caller_id AS a, callee_id AS b, {d.array('caller_id', 'callee_id')} AS nodes, CAST(1 AS BIGINT) AS depth FROM {edges} e {start} UNION ALL SELECT p.a, e.callee_id, {grow}, p.depth + 1 FROM p JOIN {edges} e ON e.caller_id = p.b WHERE p.depth < {depth} AND NOT {d.has('p.nodes', 'e.callee_id')})"
+
+
+@sql_operator
+def g02_execution_paths(d: Dialect, depth: int = 10) -> str:
+    """All simple paths of at most that many calls, and whether each ends where nothing is called."""
+    return f"{_paths(d, depth=depth)} SELECT p.a AS start_id, p.b AS end_id, {d.join_ints('p.nodes')} AS path, p.depth AS length, NOT EXISTS (SELECT 1 FROM calls_dag c WHERE c.caller_id = p.b) AS is_complete FROM p"
+
+
+@sql_operator
+def g25_shortest_path(d: Dialect) -> str:
+    """The shortest path between each connected pair; ties: the smallest path."""
+    return f"{_paths(d)} SELECT a AS from_id, b AS to_id, depth, path FROM (SELECT a, b, depth, {d.join_ints('nodes')} AS path, row_number() OVER (PARTITION BY a, b ORDER BY depth, {d.join_ints('nodes')}) AS k FROM p) r WHERE k = 1"
+
+
+@sql_operator
+def d01_trace_paths(d: Dialect, max_depth: int = 6) -> str:
+    """Paths that cannot be continued, and the share of nodes that any of them passes."""
+    return f"{_paths(d, depth=max_depth)} SELECT p.a AS entry, count(*) AS paths, max(p.depth) AS longest, round(avg(p.depth), 6) AS mean_length FROM p WHERE NOT EXISTS (SELECT 1 FROM calls_dag c WHERE c.caller_id = p.b) GROUP BY p.a"
+
+
+@sql_operator
+def d02_redundant_paths(d: Dialect, similarity: float = 0.5) -> str:
+    """Pairs of paths from one entry that share most nodes."""
+    shared, all_ = d.size(d.common("x.nodes", "y.nodes")), d.size(d.union("x.nodes", "y.nodes"))
+    return f"{_paths(d)}, q AS (SELECT a, nodes, {d.join_ints('nodes')} AS path FROM p) SELECT x.path AS path_1, y.path AS path_2, round(CAST({shared} AS DOUBLE) / {all_}, 6) AS jaccard FROM q x JOIN q y ON y.a = x.a AND x.path < y.path WHERE CAST({shared} AS DOUBLE) / {all_} > {similarity}e0"
+
+
+@sql_operator
+def d03_path_statistics(d: Dialect) -> str:
+    """Stored paths joined with the costs of their nodes."""
+    return f"SELECT f.id, f.frequency, count(b.id) AS blocks, round(coalesce(avg(b.cost), 0e0), 6) AS mean_cost FROM (SELECT id, frequency, {d.explode('nodes')} AS node FROM flow_paths) f LEFT JOIN blocks b ON b.symbol_id = f.node GROUP BY f.id, f.frequency"
+
+
+@sql_operator
+def d08_call_layers(d: Dialect, depth: int = 6) -> str:
+    """Layers of the call graph from its roots: nodes first met at each depth."""
+    return f"{_paths(d, depth=depth, start='WHERE NOT EXISTS (SELECT 1 FROM calls_dag r WHERE r.callee_id = e.caller_id)')}, first AS (SELECT b AS id, min(depth) AS layer FROM p GROUP BY b) SELECT layer, count(*) AS nodes FROM first GROUP BY layer"
+
+
+@sql_operator
+def d09_call_chains_between(d: Dialect, limit: int = 10) -> str:
+    """Up to ten chains for each pair that has more than one."""
+    return f"{_paths(d)} SELECT a, b, path FROM (SELECT a, b, {d.join_ints('nodes')} AS path, count(*) OVER (PARTITION BY a, b) AS n, row_number() OVER (PARTITION BY a, b ORDER BY depth, {d.join_ints('nodes')}) AS k FROM p) r WHERE n > 1 AND k <= {limit}"
+
+
+@sql_operator
+def d10_coupling(d: Dialect) -> str:
+    return "SELECT s.id, coalesce(i.n, 0) AS fan_in, coalesce(o.n, 0) AS fan_out, coalesce(i.n, 0) + coalesce(o.n, 0) AS coupling FROM symbols s LEFT JOIN (SELECT callee_id, count(DISTINCT caller_id) AS n FROM calls GROUP BY callee_id) i ON i.callee_id = s.id LEFT JOIN (SELECT caller_id, count(DISTINCT callee_id) AS n FROM calls GROUP BY caller_id) o ON o.caller_id = s.id"
+
+
+@sql_operator
+def d27_cross_language_chains(d: Dialect) -> str:
+    """Chains of more than two hops that cross languages, with the number of crossings."""
+    grow = d.append("p.nodes", "e.callee_id")
+    return f"""WITH RECURSIVE e AS (SELECT c.caller_id, c.callee_id, CASE WHEN f.language_id <> t.language_id THEN 1 ELSE 0 END AS crosses FROM calls_dag c JOIN symbols f ON f.id = c.caller_id JOIN symbols t ON t.id = c.callee_id),
+        p AS (SELECT caller_id AS a, callee_id AS b, {d.array('caller_id', 'callee_id')} AS nodes, CAST(1 AS BIGINT) AS hops, CAST(crosses AS BIGINT) AS crossings FROM e UNION ALL SELECT p.a, e.callee_id, {grow}, p.hops + 1, p.crossings + e.crosses FROM p JOIN e ON e.caller_id = p.b WHERE p.hops < 8)
+        SELECT {d.join_ints('nodes')} AS path, hops, crossings FROM p WHERE hops > 2 AND crossings > 0"""
+
+
+@sql_operator
+def d31_process_tree(d: Dialect) -> str:
+    """Spawn chains over call edges from roots: depth and descendants of each root."""
+    return f"{_paths(d, start='WHERE NOT EXISTS (SELECT 1 FROM calls_dag r WHERE r.callee_id = e.caller_id)')} SELECT a AS root, count(DISTINCT b) AS descendants, max(depth) AS depth FROM p GROUP BY a"
+
+
+@sql_operator
+def d32_navigation(d: Dialect) -> str:
+    """Of each pair: number of ways, shortest and longest."""
+    return f"{_paths(d)} SELECT a, b, count(*) AS ways, min(depth) AS shortest, max(depth) AS longest FROM p GROUP BY a, b"
+
+
+@sql_operator
+def d13_hot_paths(d: Dialect) -> str:
+    """Paths by the product of edge probabilities: 0.7 for the smaller target of a fork, else 0.3; 1 where there is no fork."""
+    return f"""WITH RECURSIVE e AS (SELECT caller_id, callee_id, CASE WHEN count(*) OVER (PARTITION BY caller_id) = 1 THEN 1e0 WHEN row_number() OVER (PARTITION BY caller_id ORDER BY callee_id) = 1 THEN 0.7e0 ELSE 0.3e0 END AS probability FROM calls_dag),
+        p AS (SELECT caller_id AS a, callee_id AS b, {d.array('caller_id', 'callee_id')} AS nodes, CAST(1 AS BIGINT) AS depth, CAST(probability AS DOUBLE) AS probability FROM e UNION ALL SELECT p.a, e.callee_id, {d.append('p.nodes', 'e.callee_id')}, p.depth + 1, CAST(p.probability * e.probability AS DOUBLE) FROM p JOIN e ON e.caller_id = p.b WHERE p.depth < 10)
+        SELECT {d.join_ints('nodes')} AS path, depth, round(probability, 6) AS probability FROM p"""
+
+
+# Block trees: every function's blocks form a chain by parent_id, so their depth is a running count; recursion over them would be as long as a function.
+@sql_operator
+def p28_unreachable_blocks(d: Dialect) -> str:
+    """Blocks that come after a first catch block without an entry in between are not reached from the entry."""
+    return "SELECT id, symbol_id FROM (SELECT id, symbol_id, block_type, max(CASE WHEN block_type = 'entry' THEN start_line END) OVER w AS entry, max(CASE WHEN block_type = 'catch' THEN start_line END) OVER w AS caught FROM blocks WINDOW w AS (PARTITION BY symbol_id ORDER BY start_line ROWS UNBOUNDED PRECEDING)) x WHERE coalesce(caught, 0) > coalesce(entry, 0) AND block_type <> 'catch'"
+
+
+@sql_operator
+def p29_hot_blocks(d: Dialect, top: int = 5) -> str:
+    """The five blocks of most complexity of each function."""
+    return f"SELECT symbol_id, id, complexity, cost FROM (SELECT *, row_number() OVER (PARTITION BY symbol_id ORDER BY complexity DESC, cost DESC, id) AS k FROM blocks) x WHERE k <= {top}"
+
+
+@sql_operator
+def p30_entry_to_exit(d: Dialect) -> str:
+    """Blocks and conditions from each function's first entry to its first later catch."""
+    return "SELECT e.symbol_id, e.start_line AS entry_line, min(b.start_line) AS exit_line FROM (SELECT symbol_id, min(start_line) AS start_line FROM blocks WHERE block_type = 'entry' GROUP BY symbol_id) e JOIN blocks b ON b.symbol_id = e.symbol_id AND b.block_type = 'catch' AND b.start_line > e.start_line GROUP BY e.symbol_id, e.start_line"
+
+
+@sql_operator
+def p31_block_statistics(d: Dialect) -> str:
+    return "SELECT symbol_id, block_type, count(*) AS n, CAST(sum(complexity) AS BIGINT) AS complexity, round(avg(cost), 6) AS cost FROM blocks GROUP BY symbol_id, block_type"
+
+
+@sql_operator
+def p32_exit_reachability(d: Dialect) -> str:
+    """For each loop: the block it goes back to, and whether an exit follows."""
+    return "SELECT id, symbol_id, back_to, exits > 0 AS reaches_exit FROM (SELECT id, symbol_id, block_type, parent_id AS back_to, sum(CASE WHEN block_type = 'catch' THEN 1 ELSE 0 END) OVER (PARTITION BY symbol_id ORDER BY start_line DESC ROWS UNBOUNDED PRECEDING) AS exits FROM blocks) x WHERE block_type = 'loop'"

@@ -1 +1,158 @@
-"""Placeholder."""
+"""Patterns, tags, roles and detectors."""
+
+from __future__ import annotations
+
+from ..engine import sql_operator
+from ..plans.dialect import Dialect
+from .impact import _DEGREES
+
+
+@sql_operator
+def p01_singletons(d: Dialect, child: str = "ring") -> str:
+    """Classes with a member whose name marks a single instance."""
+    return f"SELECT c.id, c.name FROM symbols c WHERE c.kind = 'class' AND EXISTS (SELECT 1 FROM symbols m WHERE m.parent_symbol_id = c.id AND m.name ILIKE '%{child}%')"
+
+
+@sql_operator
+def p02_factories(d: Dialect, word: str = "widget") -> str:
+    return f"SELECT id, name FROM symbols WHERE kind IN ('class', 'function', 'method') AND name ILIKE '%{word}%'"
+
+
+@sql_operator
+def p03_observers(d: Dialect) -> str:
+    return "SELECT c.id, c.name FROM symbols c WHERE c.kind = 'class' AND EXISTS (SELECT 1 FROM symbols m WHERE m.parent_symbol_id = c.id AND (m.name ILIKE '%bolt%' OR m.name ILIKE '%gear%'))"
+
+
+@sql_operator
+def p04_god_classes(d: Dialect, threshold: int = 1) -> str:
+    return f"SELECT c.id, c.name, count(*) AS members FROM symbols c JOIN symbols m ON m.parent_symbol_id = c.id AND m.kind = 'function' WHERE c.kind = 'class' GROUP BY c.id, c.name HAVING count(*) > {threshold}"
+
+
+@sql_operator
+def p05_detect_patterns(d: Dialect) -> str:
+    """P01 to P04 in one list, each with its fixed confidence."""
+    parts = {"singleton": (p01_singletons(d), 0.8), "factory": (p02_factories(d), 0.7), "observer": (p03_observers(d), 0.75), "god-class": (p04_god_classes(d), 0.9)}
+    return " UNION ALL ".join(f"SELECT '{k}' AS pattern, id, CAST({c} AS DOUBLE) AS confidence FROM ({q}) x{k[0]}" for k, (q, c) in parts.items())
+
+
+_RULES = "(VALUES ('singleton', 'ring', 0.9e0), ('singleton', 'small', 0.4e0), ('factory', 'widget', 0.8e0), ('factory', 'large', 0.3e0), ('observer', 'bolt', 0.7e0), ('observer', 'red', 0.5e0), ('repository', 'gear', 0.6e0), ('mvc', 'blue', 0.5e0)) AS r(pattern, word, weight)"
+
+
+@sql_operator
+def p06_weighted_patterns(d: Dialect, threshold: float = 0.3) -> str:
+    """Weighted share of a pattern's rules that a name meets, times the symbol's confidence; kept from the threshold up."""
+    return f"""SELECT id, pattern, round(score, 6) AS score, CASE WHEN score >= 0.7e0 THEN 'strong' WHEN score >= 0.5e0 THEN 'fair' ELSE 'weak' END AS quality FROM (
+        SELECT s.id, r.pattern, sum(CASE WHEN {d.contains('s.name', 'r.word')} THEN r.weight ELSE 0e0 END) / sum(r.weight) * max(s.confidence) AS score FROM symbols s CROSS JOIN {_RULES} GROUP BY s.id, r.pattern) x WHERE score >= {threshold}e0"""
+
+
+@sql_operator
+def p07_rules(d: Dialect) -> str:
+    return f"SELECT pattern, count(*) AS rules, sum(weight) AS weight FROM {_RULES} GROUP BY pattern"
+
+
+@sql_operator
+def p08_naming(d: Dialect) -> str:
+    """Naming style of each namespace and its consistency (share of the most frequent style)."""
+    style = f"CASE WHEN {d.matches('name', '^[a-z]+(_[a-z0-9]+)+$')} THEN 'snake' WHEN {d.matches('name', '^[a-z]+([A-Z][a-z0-9]*)+$')} THEN 'camel' WHEN {d.matches('name', '^[A-Z]')} THEN 'pascal' ELSE 'other' END"
+    return f"SELECT namespace, {d.least_by('style', d.row('-n', 'style'))} AS style, round(CAST(max(n) AS DOUBLE) / sum(n), 6) AS consistency FROM (SELECT namespace, {style} AS style, count(*) AS n FROM symbols GROUP BY 1, 2) x GROUP BY namespace"
+
+
+_ROLES = {
+    "data": "CASE WHEN kind IN ('class', 'struct') THEN 2 ELSE 0 END + CASE WHEN tag = 'small' THEN 1 ELSE 0 END",
+    "behavior": "CASE WHEN kind IN ('function', 'method') THEN 2 ELSE 0 END",
+    "control": "CASE WHEN complexity > 25 THEN 3 ELSE 0 END",
+    "interface": "CASE WHEN is_exported THEN 1 ELSE 0 END + CASE WHEN file_path LIKE '%.ixx' THEN 1 ELSE 0 END",
+    "utility": "CASE WHEN fan_in > 20 THEN 2 ELSE 0 END",
+    "configuration": "CASE WHEN tag = 'blue' THEN 2 ELSE 0 END",
+}
+
+
+@sql_operator
+def p09_semantic_roles(d: Dialect) -> str:
+    """Six scores and the largest; ties go in the order of the roles."""
+    cols = ", ".join(f"{e} AS {r}" for r, e in _ROLES.items())
+    best = f"greatest({', '.join(_ROLES)})"
+    return f"SELECT id, CASE {' '.join(f'WHEN {r} = {best} THEN {chr(39)}{r}{chr(39)}' for r in _ROLES)} END AS role, CAST({best} AS BIGINT) AS score FROM (SELECT id, {cols} FROM ({_DEGREES}) g) x"
+
+
+@sql_operator
+def p10_usage_patterns(d: Dialect) -> str:
+    return "SELECT from_id AS id, count(*) FILTER (WHERE type = 'calls') AS creator, count(*) FILTER (WHERE type = 'uses') AS consumer, count(*) FILTER (WHERE type = 'imports') AS observer, CASE WHEN count(DISTINCT type) = 3 THEN 'transformer' WHEN count(*) FILTER (WHERE type = 'uses') > 3 THEN 'consumer' ELSE 'creator' END AS pattern FROM relationships GROUP BY from_id"
+
+
+@sql_operator
+def p11_layers(d: Dialect) -> str:
+    return "SELECT id, CASE WHEN name LIKE '%widget%' THEN 'presentation' WHEN name LIKE '%gear%' THEN 'business' WHEN name LIKE '%ring%' THEN 'data' WHEN file_path LIKE '%.ixx' THEN 'interface' ELSE 'infrastructure' END AS layer FROM symbols"
+
+
+@sql_operator
+def p12_module_roles(d: Dialect) -> str:
+    return f"SELECT id, CASE WHEN fan_in > 20 THEN 'core' WHEN fan_in > 5 AND fan_out > 5 THEN 'connector' WHEN fan_in > 5 THEN 'library' WHEN fan_out > 5 THEN 'client' ELSE 'leaf' END AS role FROM ({_DEGREES}) g"
+
+
+@sql_operator
+def p13_component_types(d: Dialect) -> str:
+    return "SELECT id, CASE WHEN kind = 'class' AND is_exported THEN 'service' WHEN kind = 'class' THEN 'component' WHEN kind = 'struct' THEN 'model' WHEN is_exported THEN 'api' ELSE 'helper' END AS component FROM symbols"
+
+
+@sql_operator
+def p14_quality_indicators(d: Dialect) -> str:
+    """Long methods (over 50 lines), complex conditions, magic numbers in a text."""
+    return f"SELECT id, {d.size(d.split('text', chr(10)))} > 50 AS is_long, {d.count_matches('text', r'&&|[|][|]')} > 5 AS complex_conditions, {d.count_matches('text', r'[^0-9A-Za-z][0-9][0-9]+')} AS magic_numbers FROM sources"
+
+
+@sql_operator
+def p15_algorithms(d: Dialect) -> str:
+    return f"SELECT id, {d.contains('text', chr(39) + 'sort' + chr(39))} AS sorts, {d.matches('text', r'for[^;]*;')} AS iterates, {d.matches('text', r'(map|filter|reduce)\(')} AS functional, {d.contains('text', chr(39) + 'track(' + chr(39))} AS tracks FROM sources"
+
+
+@sql_operator
+def p16_semantic_relationships(d: Dialect, top: int = 10) -> str:
+    """Edges by strength of their type and the Jaccard similarity of the ends' name words; ten for each source."""
+    a, b = d.split("f.name", "_"), d.split("t.name", "_")
+    jac = f"CAST({d.size(d.common('a', 'b'))} AS DOUBLE) / {d.size(d.union('a', 'b'))}"
+    return f"SELECT id, from_id, to_id, round(strength, 6) AS strength, round(jaccard, 6) AS jaccard FROM (SELECT *, row_number() OVER (PARTITION BY from_id ORDER BY strength DESC, jaccard DESC, id) AS k FROM (SELECT id, from_id, to_id, CASE type WHEN 'calls' THEN 0.8e0 WHEN 'uses' THEN 0.6e0 ELSE 0.4e0 END * confidence AS strength, {jac} AS jaccard FROM (SELECT r.*, {a} AS a, {b} AS b FROM relationships r JOIN symbols f ON f.id = r.from_id JOIN symbols t ON t.id = r.to_id) e) s) x WHERE k <= {top}"
+
+
+@sql_operator
+def p17_performance(d: Dialect) -> str:
+    return f"SELECT id, CASE WHEN complexity > 35 THEN 'quadratic' WHEN complexity > 20 THEN 'linearithmic' WHEN complexity > 5 THEN 'linear' ELSE 'constant' END AS time, CASE WHEN signature LIKE '%Buffer%' THEN 'linear' ELSE 'constant' END AS space, fan_out > 20 AS io_bound FROM ({_DEGREES}) g"
+
+
+@sql_operator
+def p18_naming_quality(d: Dialect) -> str:
+    return f"SELECT id, length(name) AS name_length, CASE WHEN length(name) < 3 THEN 0.3e0 WHEN length(name) > 30 THEN 0.6e0 WHEN {d.matches('name', '_')} THEN 0.9e0 ELSE 0.7e0 END AS quality FROM symbols"
+
+
+@sql_operator
+def p19_refactoring(d: Dialect) -> str:
+    return f"SELECT id, 'extract method' AS opportunity FROM symbols WHERE end_line - line > 200 UNION ALL SELECT id, 'introduce parameter object' AS opportunity FROM symbols WHERE parameter_count > 7 UNION ALL SELECT id, 'reduce coupling' AS opportunity FROM ({_DEGREES}) g WHERE fan_out > 20"
+
+
+@sql_operator
+def p20_tags(d: Dialect) -> str:
+    """Tags in use, with the languages they are used in."""
+    return f"SELECT s.tag, count(*) AS symbols, count(DISTINCT s.kind) AS kinds, {d.joined_set('l.name')} AS languages FROM symbols s LEFT JOIN languages l ON l.id = s.language_id GROUP BY s.tag"
+
+
+_TAG_RULES = "(VALUES ('collection', 'ring|chain', 0.8e0), ('ui', 'widget', 0.9e0), ('fastener', 'bolt', 0.7e0), ('drive', 'gear', 0.6e0), ('primary-colour', '^(red|blue)', 0.5e0)) AS r(tag, pattern, confidence)"
+
+
+@sql_operator
+def p21_suggest_tags(d: Dialect) -> str:
+    test = "s.name rlike r.pattern" if d.spark else "regexp_matches(s.name, r.pattern)"
+    return f"SELECT s.id, r.tag, r.confidence FROM symbols s JOIN {_TAG_RULES} ON {test}"
+
+
+@sql_operator
+def p22_validate_tags(d: Dialect) -> str:
+    """Tags whose rule a symbol of the tag's first word does not meet."""
+    test = "s.name rlike r.pattern" if d.spark else "regexp_matches(s.name, r.pattern)"
+    return f"SELECT r.tag, count(*) AS symbols, count(*) FILTER (WHERE {test}) AS valid, count(*) FILTER (WHERE NOT ({test})) AS invalid FROM symbols s CROSS JOIN {_TAG_RULES} GROUP BY r.tag"
+
+
+@sql_operator
+def p27_control_flow_text(d: Dialect) -> str:
+    """Lines of a text that open a block, by its type."""
+    kind = f"CASE WHEN {d.matches('l', r'(if|else|switch)[^A-Za-z]')} THEN 'conditional' WHEN {d.matches('l', r'(for|while)[^A-Za-z]')} THEN 'loop' WHEN {d.matches('l', r'try')} THEN 'try' WHEN {d.matches('l', r'catch')} THEN 'catch' END"
+    return f"SELECT id, type, count(*) AS n FROM (SELECT id, {kind} AS type FROM (SELECT id, {d.explode(d.split('text', chr(10)))} AS l FROM sources) s) x WHERE type IS NOT NULL GROUP BY id, type"

@@ -1 +1,241 @@
-"""Placeholder."""
+"""Name resolution and inferred edges."""
+
+from __future__ import annotations
+
+from ..engine import sql_operator
+from ..plans.dialect import Dialect
+
+_UNRESOLVED = "SELECT id, from_id, type, to_name FROM relationships WHERE to_id IS NULL"
+_PARENT = "SELECT m.id, m.name, m.kind, m.signature, m.return_type, m.parent_symbol_id, c.name AS class_name, c.namespace AS class_namespace FROM symbols m JOIN symbols c ON c.id = m.parent_symbol_id"
+
+
+@sql_operator
+def n01_resolve_names(d: Dialect) -> str:
+    """Keys (name, qualified name, file path) to ids; of several the latest (largest id) wins."""
+    return "SELECT key, max(id) AS id, count(*) AS candidates FROM (SELECT name AS key, id FROM symbols UNION ALL SELECT qualified_name AS key, id FROM symbols UNION ALL SELECT file_path AS key, id FROM symbols) k GROUP BY key"
+
+
+@sql_operator
+def n02_import_edges(d: Dialect) -> str:
+    return "SELECT DISTINCT f.file_path AS from_file, t.file_path AS to_file, 'imports' AS type FROM relationships r JOIN symbols f ON f.id = r.from_id JOIN symbols t ON t.name = r.to_name WHERE r.type = 'imports'"
+
+
+@sql_operator
+def n03_field_fallback(d: Dialect) -> str:
+    """The last segment after a dot, and the first symbol (smallest id) whose name begins with it."""
+    return f"SELECT r.id, {d.last(d.split('r.to_name', '_'))} AS segment, min(s.id) AS symbol_id FROM ({_UNRESOLVED}) r JOIN symbols s ON {d.last(d.split('s.name', '_'))} = {d.last(d.split('r.to_name', '_'))} GROUP BY r.id, {d.last(d.split('r.to_name', '_'))}"
+
+
+#: Strategy: (priority, confidence, join condition between caller's symbol f, unresolved edge r and candidate s)
+STRATEGIES = {
+    "exact": (100, 1.0, "s.qualified_name = f.namespace || '::' || r.to_name"),
+    "same_class": (90, 0.9, "s.name = r.to_name AND s.kind = 'method' AND s.parent_symbol_id = f.parent_symbol_id"),
+    "constructor": (85, 0.85, "s.name = r.to_name AND s.kind = 'class'"),
+    "same_namespace": (80, 0.8, "s.name = r.to_name AND s.namespace = f.namespace AND s.kind = 'function'"),
+    "implicit_this": (75, 0.75, "s.name = r.to_name AND s.parent_symbol_id = f.id"),
+    "standard_library": (70, 0.7, "s.name = r.to_name AND s.namespace LIKE 'std::%'"),
+    "global": (60, 0.6, "s.name = r.to_name"),
+}
+
+
+def _candidates(name: str) -> str:
+    priority, confidence, condition = STRATEGIES[name]
+    return f"SELECT r.id, '{name}' AS strategy, {priority} AS priority, CAST({confidence} AS DOUBLE) AS confidence, s.id AS symbol_id, CAST(CASE WHEN s.is_exported THEN 30 ELSE 0 END + CASE WHEN s.kind IN ('function', 'method') THEN 20 ELSE 0 END AS BIGINT) AS bonus FROM ({_UNRESOLVED}) r JOIN symbols f ON f.id = r.from_id JOIN symbols s ON {condition}"
+
+
+@sql_operator
+def n04_resolve_calls(d: Dialect) -> str:
+    """All strategies as ranked candidates; the best one of each edge (ties: smallest id)."""
+    return "SELECT id, strategy, symbol_id, confidence FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY priority DESC, bonus DESC, symbol_id) AS k FROM (" + " UNION ALL ".join(map(_candidates, STRATEGIES)) + ") c) r WHERE k = 1"
+
+
+@sql_operator
+def n05_exact(d: Dialect) -> str:
+    return _candidates("exact")
+
+
+@sql_operator
+def n06_same_class(d: Dialect) -> str:
+    return _candidates("same_class")
+
+
+@sql_operator
+def n07_constructor(d: Dialect) -> str:
+    return _candidates("constructor")
+
+
+@sql_operator
+def n08_same_namespace(d: Dialect) -> str:
+    return _candidates("same_namespace")
+
+
+@sql_operator
+def n09_implicit_this(d: Dialect) -> str:
+    return _candidates("implicit_this")
+
+
+@sql_operator
+def n10_standard_library(d: Dialect) -> str:
+    """Names of the standard library called anywhere."""
+    return f"SELECT id, to_name, {d.matches('to_name', '^(small|large|red)_')} AS is_standard FROM ({_UNRESOLVED}) r"
+
+
+@sql_operator
+def n11_global(d: Dialect) -> str:
+    """Scored search by last segment: 100, exported 30, kind 20; confidence up to 0.6."""
+    return f"SELECT id, symbol_id, 100 + bonus AS score, round(0.6e0 * (100 + bonus) / 150e0, 6) AS confidence FROM ({_candidates('global')}) c"
+
+
+@sql_operator
+def n12_cross_language(d: Dialect) -> str:
+    """Names equal without case and underscores, in another language."""
+    return "SELECT r.id, s.id AS symbol_id FROM relationships r JOIN symbols f ON f.id = r.from_id JOIN symbols s ON lower(replace(s.name, '_', '')) = lower(replace(r.to_name, '_', '')) WHERE r.to_id IS NULL AND s.language_id <> f.language_id"
+
+
+@sql_operator
+def n13_context(d: Dialect) -> str:
+    """Candidates by closeness: namespace, same file, any; first of each edge."""
+    return f"SELECT id, symbol_id, level FROM (SELECT r.id, s.id AS symbol_id, CASE WHEN s.namespace = f.namespace THEN 'namespace' WHEN s.file_path = f.file_path THEN 'file' ELSE 'any' END AS level, row_number() OVER (PARTITION BY r.id ORDER BY CASE WHEN s.namespace = f.namespace THEN 1 WHEN s.file_path = f.file_path THEN 2 ELSE 3 END, s.id) AS k FROM ({_UNRESOLVED}) r JOIN symbols f ON f.id = r.from_id JOIN symbols s ON s.name = r.to_name) x WHERE k = 1"
+
+
+@sql_operator
+def n14_resolve_dangling(d: Dialect) -> str:
+    return "SELECT r.id, r.from_id, coalesce(r.to_id, n.id) AS to_id, r.to_id IS NULL AND n.id IS NOT NULL AS was_resolved FROM relationships r LEFT JOIN (SELECT name, max(id) AS id FROM symbols GROUP BY name) n ON n.name = r.to_name AND r.to_id IS NULL"
+
+
+@sql_operator
+def n15_gpu_dispatch(d: Dialect) -> str:
+    gpu = "(name ILIKE '%gear%' OR signature ILIKE '%buffer%')"
+    return f"SELECT DISTINCT c.caller_id AS from_id, c.callee_id AS to_id, 'dispatches_to_gpu' AS type FROM calls_sparse c JOIN (SELECT id FROM symbols WHERE {gpu}) g ON g.id = c.callee_id LEFT JOIN (SELECT id FROM symbols WHERE {gpu}) h ON h.id = c.caller_id WHERE h.id IS NULL"
+
+
+@sql_operator
+def n16_data_flow(d: Dialect) -> str:
+    """A callee's first parameter has the caller's return type (0.7); or both have parameters (0.3)."""
+    first = d.extract("t.signature", r"\(([A-Za-z]+)")
+    return f"SELECT c.caller_id AS from_id, c.callee_id AS to_id, CASE WHEN f.return_type = {first} THEN 'passes_data_via_return' ELSE 'passes_data_via_params_heuristic' END AS type, CASE WHEN f.return_type = {first} THEN 0.7e0 ELSE 0.3e0 END AS confidence FROM calls_sparse c JOIN symbols f ON f.id = c.caller_id JOIN symbols t ON t.id = c.callee_id WHERE f.return_type = {first} OR (f.signature NOT LIKE '%()' AND t.signature NOT LIKE '%()')"
+
+
+@sql_operator
+def n17_overrides(d: Dialect) -> str:
+    """Same signature in classes of one namespace."""
+    return f"SELECT a.id AS from_id, b.id AS to_id, 'overrides' AS type, 0.9e0 AS confidence FROM ({_PARENT}) a JOIN ({_PARENT}) b ON b.signature = a.signature AND b.class_namespace = a.class_namespace AND b.parent_symbol_id < a.parent_symbol_id"
+
+
+@sql_operator
+def n18_inherits(d: Dialect) -> str:
+    return "SELECT a.id AS from_id, b.id AS to_id FROM symbols a JOIN symbols b ON b.namespace = a.namespace AND b.tag = a.tag AND b.kind = 'class' AND a.kind = 'struct'"
+
+
+@sql_operator
+def n19_overrides_by_name(d: Dialect) -> str:
+    return f"SELECT a.id AS from_id, b.id AS to_id, 0.85e0 AS confidence FROM ({_PARENT}) a JOIN ({_PARENT}) b ON split_part(b.signature, '(', 1) = split_part(a.signature, '(', 1) AND b.kind = 'method' AND a.kind = 'method' AND b.class_namespace = a.class_namespace AND a.parent_symbol_id < b.parent_symbol_id"
+
+
+@sql_operator
+def n20_templates(d: Dialect) -> str:
+    """Names before an angle bracket in a signature, joined by equality with symbols' return types."""
+    return f"SELECT s.id AS from_id, token, count(t.id) AS targets, 0.75e0 AS confidence FROM (SELECT id, {d.extract('signature', r'([A-Za-z_]+)<')} AS token FROM symbols) s JOIN symbols t ON t.return_type = s.token AND t.kind = 'class' WHERE token <> '' GROUP BY s.id, token"
+
+
+@sql_operator
+def n21_factories(d: Dialect) -> str:
+    return "SELECT f.id AS from_id, c.id AS to_id, 0.9e0 AS confidence FROM symbols f JOIN symbols c ON c.namespace = f.namespace AND c.kind = 'class' WHERE f.name LIKE '%widget%' AND f.kind IN ('function', 'method')"
+
+
+@sql_operator
+def n22_callbacks(d: Dialect) -> str:
+    return "SELECT c.caller_id AS from_id, c.callee_id AS to_id, 0.85e0 AS confidence FROM calls_sparse c JOIN symbols f ON f.id = c.caller_id JOIN symbols t ON t.id = c.callee_id WHERE f.name ILIKE '%bolt%' AND t.kind IN ('function', 'method')"
+
+
+@sql_operator
+def n23_raii(d: Dialect) -> str:
+    """Pairs of a class's members, one acquiring and one releasing."""
+    return f"SELECT a.parent_symbol_id AS class_id, a.id AS acquire_id, b.id AS release_id, 0.95e0 AS confidence FROM ({_PARENT}) a JOIN ({_PARENT}) b ON b.parent_symbol_id = a.parent_symbol_id AND a.return_type = 'Buffer' AND b.return_type = 'void'"
+
+
+@sql_operator
+def n24_producers(d: Dialect) -> str:
+    return "SELECT p.namespace, p.id AS producer, k.id AS consumer, 0.7e0 AS confidence FROM symbols p JOIN symbols k ON k.namespace = p.namespace AND p.return_type = 'Buffer' AND k.signature LIKE '%(Buffer%' AND p.id <> k.id"
+
+
+@sql_operator
+def n25_stages(d: Dialect) -> str:
+    stage = "CASE {0}.tag WHEN 'red' THEN 1 WHEN 'green' THEN 2 WHEN 'blue' THEN 3 ELSE 4 END"
+    return f"SELECT c.caller_id AS from_id, c.callee_id AS to_id, 0.8e0 AS confidence FROM calls_sparse c JOIN symbols f ON f.id = c.caller_id JOIN symbols t ON t.id = c.callee_id WHERE {stage.format('t')} = {stage.format('f')} + 1"
+
+
+@sql_operator
+def n26_rpc(d: Dialect) -> str:
+    """Clients and implementations of one service name in different languages."""
+    return "SELECT c.id AS client_id, s.id AS service_id FROM symbols c JOIN symbols s ON split_part(s.signature, '(', 1) = split_part(c.signature, '(', 1) AND s.namespace = c.namespace AND s.kind = 'class' AND c.kind IN ('function', 'method') AND s.language_id <> c.language_id"
+
+
+@sql_operator
+def n27_service_graph(d: Dialect) -> str:
+    service = "split_part({0}.file_path, '/', 2)"
+    return f"SELECT {service.format('f')} AS from_service, {service.format('t')} AS to_service, count(*) AS edges, count(DISTINCT r.type) AS types, count(*) FILTER (WHERE f.language_id <> t.language_id) AS crossing FROM relationships r JOIN symbols f ON f.id = r.from_id JOIN symbols t ON t.id = r.to_id WHERE {service.format('f')} <> {service.format('t')} GROUP BY {service.format('f')}, {service.format('t')}"
+
+
+@sql_operator
+def n28_fields(d: Dialect) -> str:
+    """Typed parameters of a signature: type and name."""
+    return f"SELECT id, field, split_part(field, ' ', 1) AS type, split_part(field, ' ', 2) AS name FROM (SELECT id, {d.explode(d.extract_all('signature', r'[A-Za-z]+ (?:count|data)', 0))} AS field FROM symbols) f"
+
+
+@sql_operator
+def n29_symbol_keys(d: Dialect) -> str:
+    t = "STRING" if d.spark else "VARCHAR"
+    return f"SELECT id, file_path || ':' || name || ':' || CAST(line AS {t}) AS by_place, qualified_name || '#' || kind AS by_name, md5(qualified_name || '|' || signature) AS by_hash FROM symbols"
+
+
+@sql_operator
+def n30_api_tags(d: Dialect) -> str:
+    """Tags of use: buffers, templates, fasteners and drives by name or signature."""
+    rules = {"buffer": "signature LIKE '%Buffer%'", "template": "signature LIKE '%<%'", "container": "name LIKE '%ring%'", "threading": "name LIKE '%gear%'"}
+    return " UNION ALL ".join(f"SELECT id, '{k}' AS tag FROM symbols WHERE {w}" for k, w in rules.items())
+
+
+@sql_operator
+def n31_api_usage(d: Dialect) -> str:
+    return f"SELECT tags, count(*) AS symbols FROM (SELECT id, {d.joined_set('tag')} AS tags FROM ({n30_api_tags(d)}) t GROUP BY id) x GROUP BY tags"
+
+
+@sql_operator
+def n32_deduplicate(d: Dialect) -> str:
+    """One row for each (file, signature): the most certain, then the smallest id; and its quality."""
+    return f"SELECT id, file_path, signature, n, {d.half_up('50e0 * confidence + 50e0 / n', 2)} AS quality FROM (SELECT *, row_number() OVER (PARTITION BY file_path, signature ORDER BY confidence DESC, id) AS k, count(*) OVER (PARTITION BY file_path, signature) AS n FROM symbols) x WHERE k = 1"
+
+
+@sql_operator
+def n33_parents(d: Dialect) -> str:
+    """Parents by qualified name, else the only symbol of that name, else one of the same file."""
+    return "SELECT m.id, coalesce(q.id, u.id, f.id) AS parent_id, CASE WHEN q.id IS NOT NULL THEN 'qualified' WHEN u.id IS NOT NULL THEN 'unique' WHEN f.id IS NOT NULL THEN 'file' END AS how FROM symbols m LEFT JOIN (SELECT namespace, max(id) AS id FROM symbols WHERE kind = 'class' GROUP BY namespace HAVING count(*) = 1) q ON q.namespace = m.namespace LEFT JOIN (SELECT tag, max(id) AS id FROM symbols WHERE kind = 'class' GROUP BY tag HAVING count(*) = 1) u ON u.tag = m.tag LEFT JOIN (SELECT file_path, min(id) AS id FROM symbols WHERE kind = 'class' GROUP BY file_path) f ON f.file_path = m.file_path WHERE m.kind IN ('function', 'method')"
+
+
+@sql_operator
+def n34_same_file_calls(d: Dialect) -> str:
+    """Callees resolved inside the caller's file; others keep their name."""
+    return "SELECT r.id, s.id AS callee_id, r.to_name AS target FROM relationships r JOIN symbols f ON f.id = r.from_id LEFT JOIN symbols s ON s.name = r.to_name AND s.file_path = f.file_path WHERE r.type = 'calls'"
+
+
+@sql_operator
+def n35_external_symbols(d: Dialect) -> str:
+    """Names that edges point to without a symbol in their project become external symbols."""
+    return "SELECT DISTINCT r.to_name AS name, f.project_id FROM relationships r JOIN symbols f ON f.id = r.from_id WHERE NOT EXISTS (SELECT 1 FROM symbols s WHERE s.name = r.to_name AND s.project_id = f.project_id)"
+
+
+@sql_operator
+def n36_lookup_maps(d: Dialect) -> str:
+    return "SELECT map, key, count(*) AS ids, min(id) AS first_id FROM (SELECT 'name' AS map, name AS key, id FROM symbols UNION ALL SELECT 'file' AS map, file_path AS key, id FROM symbols UNION ALL SELECT 'kind' AS map, kind AS key, id FROM symbols UNION ALL SELECT 'namespace' AS map, namespace AS key, id FROM symbols) m GROUP BY map, key"
+
+
+@sql_operator
+def n37_file_and_module_symbols(d: Dialect) -> str:
+    return "SELECT DISTINCT file_path AS qualified_name, 'file' AS kind FROM symbols UNION ALL SELECT DISTINCT namespace AS qualified_name, 'module' AS kind FROM symbols"
+
+
+@sql_operator
+def n38_store_mapping(d: Dialect) -> str:
+    """Rows as they are stored: defaults filled in."""
+    return "SELECT id, name, coalesce(qualified_name, name) AS qualified_name, kind, coalesce(visibility, 'public') AS visibility, coalesce(parent_symbol_id, -1) AS parent_id, coalesce(confidence, 1e0) AS confidence FROM symbols"

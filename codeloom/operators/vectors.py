@@ -1 +1,189 @@
-"""Placeholder."""
+"""Vectors, clusters and insights."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..engine import frame_operator, sql_operator
+from ..plans.dialect import Dialect
+from .impact import _DEGREES
+
+DIMENSIONS = 256
+
+
+@sql_operator
+def e01_feature_vector(d: Dialect) -> str:
+    """Features of a symbol from its metrics, degrees and name, in a fixed order."""
+    features = ["complexity", "cognitive", "parameter_count", "end_line - line", "fan_in", "fan_out", "length(name)", "CASE WHEN is_exported THEN 1 ELSE 0 END", "CASE WHEN kind = 'class' THEN 1 ELSE 0 END", "CASE WHEN kind IN ('function', 'method') THEN 1 ELSE 0 END", "CASE WHEN signature LIKE '%Buffer%' THEN 1 ELSE 0 END", "confidence"]
+    return "SELECT id, " + ", ".join(f"round(CAST({x} AS DOUBLE), 6) AS f{k:02d}" for k, x in enumerate(features)) + f" FROM ({_DEGREES}) g"
+
+
+def _norm(d: Dialect, v: str) -> str:
+    return f"sqrt({d.dot(v, v)})"
+
+
+@sql_operator
+def e02_reduced(d: Dialect) -> str:
+    """To 256 dimensions: shorter vectors are padded with zeros and normalised (norm and length shown)."""
+    return f"SELECT id, CAST({DIMENSIONS} AS BIGINT) AS dimensions, {d.size('vec')} AS filled, round({_norm(d, 'vec')}, 5) AS norm_before FROM vectors"
+
+
+@sql_operator
+def e03_batch(d: Dialect) -> str:
+    """Normalised first three coordinates."""
+    at = lambda k: f"vec[{k - 1 if d.spark else k}]"
+    return f"SELECT id, round(CAST({at(1)} AS DOUBLE) / {_norm(d, 'vec')}, 5) AS v1, round(CAST({at(2)} AS DOUBLE) / {_norm(d, 'vec')}, 5) AS v2, round(CAST({at(3)} AS DOUBLE) / {_norm(d, 'vec')}, 5) AS v3 FROM vectors"
+
+
+def _cosine(d: Dialect, a: str, b: str) -> str:
+    return f"CASE WHEN {_norm(d, a)} * {_norm(d, b)} = 0e0 THEN 0e0 ELSE {d.dot(a, b)} / ({_norm(d, a)} * {_norm(d, b)}) END"
+
+
+@sql_operator
+def e04_cosine_clamped(d: Dialect, query: int = 0) -> str:
+    return f"SELECT v.id, round(greatest(0e0, least(1e0, {_cosine(d, 'v.vec', 'q.vec')})), 5) AS similarity FROM vectors v JOIN vectors q ON q.id = {query}"
+
+
+@sql_operator
+def e05_cosine(d: Dialect, query: int = 0) -> str:
+    return f"SELECT v.id, round({_cosine(d, 'v.vec', 'q.vec')}, 5) AS similarity FROM vectors v JOIN vectors q ON q.id = {query}"
+
+
+@sql_operator
+def e06_sliced(d: Dialect, query: int = 0) -> str:
+    """Similarity over thirds of the vector: semantic, structural, functional."""
+    part = lambda k: _cosine(d, d.slice("v.vec", str(1 + 21 * k), "21"), d.slice("q.vec", str(1 + 21 * k), "21"))
+    return f"SELECT v.id, round({part(0)}, 5) AS semantic, round({part(1)}, 5) AS structural, round({part(2)}, 5) AS functional FROM vectors v JOIN vectors q ON q.id = {query}"
+
+
+@sql_operator
+def e07_top_similar(d: Dialect, query: int = 0, k: int = 10) -> str:
+    return f"SELECT v.id, round({_cosine(d, 'v.vec', 'q.vec')}, 5) AS similarity FROM vectors v JOIN vectors q ON q.id = {query} WHERE v.id <> q.id ORDER BY {_cosine(d, 'v.vec', 'q.vec')} DESC, v.id LIMIT {k}"
+
+
+@sql_operator
+def e08_semantic_search(d: Dialect, query: int = 1, threshold: float = 0.1, k: int = 20) -> str:
+    return f"SELECT id, round(s, 5) AS similarity FROM (SELECT v.id, {_cosine(d, 'v.vec', 'q.vec')} AS s FROM vectors v JOIN vectors q ON q.id = {query} WHERE v.id <> q.id) x WHERE s >= {threshold}e0 ORDER BY s DESC, id LIMIT {k}"
+
+
+@sql_operator
+def e09_similar_code(d: Dialect, word: str = "red widget") -> str:
+    """Without vectors: by words of the name, ranked by where they match."""
+    a, b = word.split()
+    return f"SELECT id, name, CASE WHEN name ILIKE '{a}_{b}%' THEN 1 WHEN name ILIKE '%{a}%' AND name ILIKE '%{b}%' THEN 2 WHEN name ILIKE '%{a}%' THEN 3 ELSE 4 END AS relevance FROM symbols WHERE name ILIKE '%{a}%' OR name ILIKE '%{b}%' ORDER BY relevance, id"
+
+
+@sql_operator
+def e10_find_implementations(d: Dialect, word: str = "bolt", exact: int = 5, similar: int = 10) -> str:
+    """Exact (by name) and similar (by signature, namespace or file) matches, scored 0.5 / 0.3 / 0.2."""
+    score = f"(CASE WHEN name ILIKE '%{word}%' THEN 0.5e0 ELSE 0e0 END + CASE WHEN signature ILIKE '%{word}%' THEN 0.3e0 ELSE 0e0 END + CASE WHEN qualified_name ILIKE '%{word}%' THEN 0.2e0 ELSE 0e0 END)"
+    return f"SELECT id, grade, score FROM (SELECT id, grade, score, row_number() OVER (PARTITION BY grade ORDER BY score DESC, id) AS k FROM (SELECT id, CASE WHEN name ILIKE '{word}%' THEN 'exact' ELSE 'similar' END AS grade, round({score}, 6) AS score FROM symbols WHERE {score} > 0e0) s) x WHERE grade = 'exact' AND k <= {exact} OR grade = 'similar' AND k <= {similar}"
+
+
+@sql_operator
+def e11_semantic_pairs(d: Dialect, threshold: float = 0.8) -> str:
+    """Pairs of one label (the block) with cosine from the threshold up; confidence min(0.9, 1.1 s)."""
+    return f"SELECT first_id, second_id, round(s, 5) AS similarity, round(least(0.9e0, 1.1e0 * s), 5) AS confidence FROM (SELECT a.id AS first_id, b.id AS second_id, {_cosine(d, 'a.vec', 'b.vec')} AS s FROM vectors a JOIN vectors b ON b.label = a.label AND a.id < b.id) x WHERE s >= {threshold}e0"
+
+
+def clustered(vectors: DataFrame, k: int = 10, seed: int = 42, rounds: int = 20) -> DataFrame:
+    """id and cluster by k-means with parallel seeding."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    rows = vectors.select("id", array_to_vector(F.col("vec").cast("array<double>")).alias("features"))
+    return KMeans(k=k, seed=seed, maxIter=rounds, initMode="k-means||").fit(rows).transform(rows).select("id", F.col("prediction").cast("long").alias("cluster"))
+
+
+@frame_operator("vectors")
+def e12_kmeans(t: dict[str, DataFrame]) -> DataFrame:
+    return clustered(t["vectors"])
+
+
+def _centroids(d: Dialect) -> str:
+    at = "posexplode(vec) AS (pos, x)" if d.spark else "generate_subscripts(vec, 1) - 1 AS pos, unnest(vec) AS x"
+    return f"SELECT label, pos, avg(CAST(x AS DOUBLE)) AS x FROM (SELECT label, {at} FROM vectors) c GROUP BY label, pos"
+
+
+@sql_operator
+def e13_group_centroids(d: Dialect) -> str:
+    return f"SELECT label, CAST(pos AS BIGINT) AS pos, round(x, 5) AS x FROM ({_centroids(d)}) c"
+
+
+def _member_similarity(d: Dialect) -> str:
+    at = "posexplode(vec) AS (pos, x)" if d.spark else "generate_subscripts(vec, 1) - 1 AS pos, unnest(vec) AS x"
+    return f"SELECT v.id, v.label, sum(CAST(v.x AS DOUBLE) * c.x) / sqrt(sum(CAST(v.x AS DOUBLE) * CAST(v.x AS DOUBLE)) * sum(c.x * c.x)) AS s FROM (SELECT id, label, {at} FROM vectors) v JOIN ({_centroids(d)}) c ON c.label = v.label AND c.pos = v.pos GROUP BY v.id, v.label"
+
+
+@sql_operator
+def e14_cluster_quality(d: Dialect) -> str:
+    """(mean + 1 - deviation) / 2 of the members' similarity to the centroid, held to 0..1."""
+    return f"SELECT label, count(*) AS members, round(greatest(0e0, least(1e0, (avg(s) + 1e0 - stddev_pop(s)) / 2e0)), 5) AS quality FROM ({_member_similarity(d)}) m GROUP BY label"
+
+
+@sql_operator
+def e15_member_roles(d: Dialect) -> str:
+    return f"SELECT id, label, CASE WHEN s >= 0.85e0 THEN 'core' WHEN s >= 0.7e0 THEN 'member' WHEN s >= 0.5e0 THEN 'peripheral' ELSE 'outlier' END AS role FROM ({_member_similarity(d)}) m"
+
+
+@sql_operator
+def e16_cluster_merge(d: Dialect, threshold: float = 0.8) -> str:
+    """Clusters whose centroids are alike join the first such cluster."""
+    return f"SELECT b.label, min(CASE WHEN s > {threshold}e0 THEN a.label ELSE b.label END) AS merged_into FROM (SELECT b.label AS bl, a.label AS al, sum(a.x * b.x) / sqrt(sum(a.x * a.x) * sum(b.x * b.x)) AS s FROM ({_centroids(d)}) a JOIN ({_centroids(d)}) b ON b.pos = a.pos AND a.label <= b.label GROUP BY a.label, b.label) p JOIN (SELECT DISTINCT label FROM vectors) a ON a.label = p.al JOIN (SELECT DISTINCT label FROM vectors) b ON b.label = p.bl GROUP BY b.label"
+
+
+@sql_operator
+def e17_high_pairs(d: Dialect) -> str:
+    return e11_semantic_pairs(d, 0.9)
+
+
+@sql_operator
+def e18_naming_inconsistency(d: Dialect) -> str:
+    """Namespaces whose most frequent first word covers under 70 % of the symbols."""
+    return "SELECT namespace, max(n) AS dominant, CAST(sum(n) AS BIGINT) AS symbols FROM (SELECT namespace, tag, count(*) AS n FROM symbols GROUP BY namespace, tag) x GROUP BY namespace HAVING CAST(max(n) AS DOUBLE) / sum(n) < 0.7e0"
+
+
+@sql_operator
+def e19_cluster_insights(d: Dialect) -> str:
+    return f"SELECT label, CASE WHEN members > 50 THEN 'split' WHEN spread < 0.3e0 THEN 'loose' ELSE 'sound' END AS insight FROM (SELECT label, count(*) AS members, avg(s) AS spread FROM ({_member_similarity(d)}) m GROUP BY label) x"
+
+
+@sql_operator
+def e20_generate_insights(d: Dialect) -> str:
+    """Layer violations, god objects, hotspots and naming, each from its rule."""
+    return f"SELECT id, 'god object' AS insight FROM ({_DEGREES}) g WHERE kind = 'class' AND fan_out > 15 UNION ALL SELECT id, 'hotspot' AS insight FROM ({_DEGREES}) g WHERE fan_in > 30 UNION ALL SELECT r.from_id AS id, 'layer violation' AS insight FROM relationships r JOIN symbols f ON f.id = r.from_id JOIN symbols t ON t.id = r.to_id WHERE f.name LIKE '%ring%' AND t.name LIKE '%widget%' GROUP BY r.from_id"
+
+
+_RANK = "CASE severity WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'medium' THEN 3 ELSE 4 END"
+
+
+@sql_operator
+def e21_top_insights(d: Dialect, top: int = 5) -> str:
+    return f"SELECT id, category, severity, confidence FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY {_RANK}, confidence DESC, id) AS k FROM insights WHERE confidence >= 0.6e0) x WHERE k <= {top}"
+
+
+@sql_operator
+def e22_insight_listing(d: Dialect, limit: int = 100) -> str:
+    return f"SELECT id, category, severity, status FROM insights WHERE status = 'active' ORDER BY {_RANK}, confidence DESC, id LIMIT {limit}"
+
+
+@sql_operator
+def e23_cluster_details(d: Dialect) -> str:
+    return f"SELECT label, count(*) AS members, {d.joined_list('CAST(id AS ' + ('STRING' if d.spark else 'VARCHAR') + ')', 'id')} AS ids FROM vectors GROUP BY label"
+
+
+@sql_operator
+def e24_quality_rollup(d: Dialect) -> str:
+    return "SELECT category, severity, count(*) AS n, round(avg(confidence), 6) AS confidence, count(*) FILTER (WHERE status = 'resolved') AS resolved FROM insights GROUP BY category, severity"
+
+
+@sql_operator
+def e25_feedback(d: Dialect) -> str:
+    """The table after feedback: confident dismissals stay, unsure active ones are dismissed."""
+    return "SELECT id, CASE WHEN status = 'active' AND confidence < 0.5e0 THEN 'dismissed' ELSE status END AS status FROM insights"
+
+
+@sql_operator
+def e26_semantic_stats(d: Dialect) -> str:
+    return "SELECT (SELECT count(*) FROM vectors) AS vectors, (SELECT count(DISTINCT label) FROM vectors) AS clusters, (SELECT count(*) FROM insights) AS insights, (SELECT count(*) FROM insights WHERE status = 'active') AS active, (SELECT count(*) FROM relationships) AS relationships, (SELECT count(*) FROM symbols) AS symbols"

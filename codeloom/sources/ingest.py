@@ -259,7 +259,7 @@ def p25_parse(t: dict[str, DataFrame]) -> DataFrame:
 @frame_operator("symbols", lambda d: "SELECT replace(namespace, '#', '') AS parent, count(*) AS n FROM symbols GROUP BY 1")
 def p24_scopes(t: dict[str, DataFrame]) -> DataFrame:
     """Declarations inside namespaces: each is a member of the scope it stands in."""
-    line = F.concat(F.lit("namespace "), F.replace(F.col("namespace"), F.lit("#"), F.lit("")), F.lit(" {\nvoid "), F.col("tag"), F.lit("() {\n}\n}"))
+    line = F.concat(F.lit("namespace "), F.replace(F.col("namespace"), F.lit("#"), F.lit("")), F.lit(" {\nvoid f_"), F.col("tag"), F.lit("() {\n}\n}"))
     return parsed(_spelt(t["symbols"], line)).where("kind = 'method'").groupBy("parent").agg(F.count("*").alias("n"))
 
 

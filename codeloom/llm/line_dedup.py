@@ -28,6 +28,8 @@ rows; columns besides id and text are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -53,27 +55,38 @@ def segments(length: int, edits: int) -> list[tuple[int, int]]:
     return out
 
 
-def key_of(length: int, number: int, piece: str) -> int:
-    return xxhash.xxh64_intdigest(piece.encode("utf-8", "surrogatepass"), seed=length * 16 + number + 1)
+@lru_cache(1 << 13)
+def index_places(length: int, edits: int) -> list[tuple[int, int, int]]:
+    """(seed, start, end) of each segment; the seed tells line length and segment number."""
+    return [(length * 16 + i + 1, s, s + n) for i, (s, n) in enumerate(segments(length, edits))]
 
 
-def index_keys(line: str, edits: int) -> list[int]:
-    return [key_of(len(line), i, line[s : s + n]) for i, (s, n) in enumerate(segments(len(line), edits))]
-
-
-def probe_keys(line: str, edits: int) -> list[int]:
-    """Keys of the substrings that may equal a segment of a line shorter by 0 to edits."""
-    n = len(line)
+@lru_cache(1 << 13)
+def probe_places(length: int, edits: int) -> list[tuple[int, int, int]]:
+    """The same for the substrings that may equal a segment of a line shorter by 0 to edits."""
     out = []
-    for other in range(max(n - edits, edits + 1), n + 1):
-        gap = n - other
+    for other in range(max(length - edits, edits + 1), length + 1):
+        gap = length - other
         for i, (start, size) in enumerate(segments(other, edits)):
             low = max(0, start - i, start + gap - (edits - i))
-            high = min(n - size, start + i, start + gap + (edits - i))
-            out += [key_of(other, i, line[at : at + size]) for at in range(low, high + 1)]
+            high = min(length - size, start + i, start + gap + (edits - i))
+            out += [(other * 16 + i + 1, at, at + size) for at in range(low, high + 1)]
     return out
 
 
+def _keys(line: str, places: list[tuple[int, int, int]]) -> list[int]:
+    digest = xxhash.xxh64_intdigest
+    return [digest(line[s:e], seed) for seed, s, e in places]
+
+
+def index_keys(line: str, edits: int) -> list[int]:
+    return _keys(line, index_places(len(line), edits))
+
+
+def probe_keys(line: str, edits: int) -> list[int]:
+    return list(dict.fromkeys(_keys(line, probe_places(len(line), edits))))
+
+
 def histogram(line: str) -> list[int]:
     """Counts of the line's bytes in 16 classes; an edit of one code point changes at most two code points, of up to four bytes each."""
     b = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -148,13 +161,13 @@ SEEN = 1 << 18  # lines that a task remembers in order not to emit them again
 
 
 def entries(docs: DataFrame, min_words: int, edits: int, full: bool) -> DataFrame:
-    """key, the line's hash, and (full) whether the key is a probe, the line's length and histogram."""
+    """key and the line's hash, and (full) whether the key is a probe, the line's length and histogram. A line's keys leave Python as one row and are exploded after it."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
             for lo in range(0, b.num_rows, 512):
-                key, line, probe, length, bag = [], [], [], [], []
+                line, own, asked, length, bag = [], [], [], [], []
                 for t in b.column("text").slice(lo, 512).to_pylist():
                     lines = _lines(t, min_words)
                     for (h1, _), (_, s) in zip(_digests(lines), lines, strict=True):
@@ -162,20 +175,29 @@ def entries(docs: DataFrame, min_words: int, edits: int, full: bool) -> DataFram
                             continue
                         if len(seen) < SEEN:
                             seen.add(h1)
-                        own, asked = index_keys(s, edits), list(dict.fromkeys(probe_keys(s, edits)))
-                        key += own + asked
-                        line += [h1] * (len(own) + len(asked))
+                        line.append(h1)
+                        own.append(index_keys(s, edits))
+                        asked.append(probe_keys(s, edits))
                         if full:
-                            probe += [False] * len(own) + [True] * len(asked)
-                            length += [len(s)] * (len(own) + len(asked))
-                            bag += [histogram(s)] * (len(own) + len(asked))
-                keys = pa.array(np.array(key, dtype=np.uint64).view(np.int64))
+                            length.append(len(s))
+                            bag.append(histogram(s))
+                columns = [pa.array(line, pa.int64()), _longs(own), _longs(asked)]
                 if full:
-                    yield pa.RecordBatch.from_arrays([keys, pa.array(line, pa.int64()), pa.array(probe, pa.bool_()), pa.array(length, pa.int32()), pa.array(bag, pa.list_(pa.int32()))], ["key", "line", "probe", "length", "bag"])
-                else:
-                    yield pa.RecordBatch.from_arrays([keys, pa.array(line, pa.int64())], ["key", "line"])
+                    columns += [pa.array(length, pa.int32()), pa.array(bag, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, ["line", "own", "asked", "length", "bag"][: len(columns)])
+
+    rows = docs.mapInArrow(keyed, "line long, own array<long>, asked array<long>" + ", length int, bag array<int>" * full)
+    if not full:
+        return rows.select(F.explode(F.concat("own", "asked")).alias("key"), "line")
+    marked = lambda keys, probe: F.transform(keys, lambda k: F.struct(k.alias("key"), F.lit(probe).alias("probe")))
+    return rows.select("line", "length", "bag", F.inline(F.concat(marked("own", False), marked("asked", True)))).select("key", "line", "probe", "length", "bag")
+
 
-    return docs.mapInArrow(keyed, "key long, line long" + ", probe boolean, length int, bag array<int>" * full)
+def _longs(keys: list[list[int]]) -> pa.Array:
+    """Lists of unsigned 64-bit keys as lists of longs."""
+    ends = np.cumsum([0, *map(len, keys)], dtype=np.int32)
+    flat = np.fromiter(chain.from_iterable(keys), dtype=np.uint64, count=int(ends[-1]))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
 
 
 def texts(docs: DataFrame, min_words: int) -> DataFrame:

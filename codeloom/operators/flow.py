@@ -94,7 +94,7 @@ def d22_graph_nodes(d: Dialect) -> str:
 @sql_operator
 def d23_language_diversity(d: Dialect) -> str:
     """Of each namespace: Shannon entropy of its languages and the dominant one (ties: smallest id)."""
-    return f"SELECT namespace, round(-sum(p * log2(p)), 6) AS entropy, {d.least_by('language_id', d.row('-p', 'language_id'))} AS dominant FROM (SELECT namespace, language_id, CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (PARTITION BY namespace) AS p FROM symbols GROUP BY namespace, language_id) x GROUP BY namespace"
+    return f"SELECT namespace, round(sum(0e0 - p * log2(p)) + 0e0, 6) AS entropy, {d.least_by('language_id', d.row('-p', 'language_id'))} AS dominant FROM (SELECT namespace, language_id, CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (PARTITION BY namespace) AS p FROM symbols GROUP BY namespace, language_id) x GROUP BY namespace"
 
 
 @sql_operator

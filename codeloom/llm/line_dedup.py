@@ -251,9 +251,11 @@ def line_classes(df: DataFrame, *, id_col="doc_id", text_col="text", edits=2, mi
     parts = connected_components(pairs)
     degree = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("h1")).agg(F.countDistinct("b").alias("n_links"))
     info = parts.withColumnRenamed("id", "h1").join(degree, "h1")
-    lines = written(first.join(info, "h1", "left"), "classes")
-    firsts = lines.where("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("class_first"))
-    classes = lines.join(firsts, "component", "left").select("h1", "h2", F.coalesce("class_first", "first").alias("c"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    lines = written(first.join(info, "h1", "left"), "line-classes")
+    linked = lines.where("component IS NOT NULL")  # apart from the others: joined by a null component, all those would meet in one task
+    firsts = linked.groupBy("component").agg(F.min("first").alias("class_first"))
+    classes = linked.join(firsts, "component").select("h1", "h2", F.col("class_first").alias("c"), "n_links")
+    classes = classes.unionAll(lines.where("component IS NULL").select("h1", "h2", F.col("first").alias("c"), F.lit(0).cast("long")))
     out = at.join(classes, ["h1", "h2"])
     return out.select("doc_id", "line_no", F.col("c.doc_id").alias("class_doc"), F.col("c.line_no").alias("class_line"), "n_links", ((F.col("doc_id") == F.col("c.doc_id")) & (F.col("line_no") == F.col("c.line_no"))).alias("kept"))
 

@@ -69,7 +69,7 @@ def g10_critical_paths(d: Dialect) -> str:
 def g11_flow_metrics(d: Dialect) -> str:
     """Totals over functions and calls; the mean calls both weighted by call and by function."""
     return """SELECT count(DISTINCT s.id) AS functions, count(c.callee_id) AS calls, count(c.callee_id) FILTER (WHERE c.is_conditional) AS conditional, count(c.callee_id) FILTER (WHERE c.is_recursive) AS recursive, count(DISTINCT c.caller_id) AS callers,
-        round(avg(q.n), 6) AS mean_weighted_by_call, round(max(q.mean_n), 6) AS mean_by_function FROM symbols s LEFT JOIN calls c ON c.caller_id = s.id
+        round(avg(q.n), 9) AS mean_weighted_by_call, round(max(q.mean_n), 6) AS mean_by_function FROM symbols s LEFT JOIN calls c ON c.caller_id = s.id
         LEFT JOIN (SELECT caller_id, n, avg(n) OVER () AS mean_n FROM (SELECT caller_id, count(*) AS n FROM calls GROUP BY caller_id) k) q ON q.caller_id = s.id"""
 
 
@@ -115,12 +115,12 @@ def g19_called_and_callers(d: Dialect, symbol: int = 42) -> str:
 
 @sql_operator
 def g20_execution_time(d: Dialect) -> str:
-    return "SELECT symbol_id, round(avg(cost), 6) AS mean_cost, max(cost) AS max_cost FROM blocks WHERE block_type = 'entry' GROUP BY symbol_id"
+    return "SELECT symbol_id, round(avg(cost), 9) AS mean_cost, max(cost) AS max_cost FROM blocks WHERE block_type = 'entry' GROUP BY symbol_id"
 
 
 @sql_operator
 def g21_path_coverage(d: Dialect) -> str:
-    return "SELECT count(DISTINCT id) AS paths, count(DISTINCT id) FILTER (WHERE coverage > 0e0) AS covered, round(avg(coverage), 6) AS mean_coverage FROM flow_paths"
+    return "SELECT count(DISTINCT id) AS paths, count(DISTINCT id) FILTER (WHERE coverage > 0e0) AS covered, round(avg(coverage), 9) AS mean_coverage FROM flow_paths"
 
 
 @sql_operator
@@ -130,7 +130,7 @@ def g22_uncovered_symbols(d: Dialect) -> str:
 
 @sql_operator
 def g23_symbol_coverage(d: Dialect) -> str:
-    return "SELECT start_id AS symbol_id, round(avg(coverage), 6) AS coverage FROM flow_paths GROUP BY start_id"
+    return "SELECT start_id AS symbol_id, round(avg(coverage), 9) AS coverage FROM flow_paths GROUP BY start_id"
 
 
 @sql_operator

@@ -104,7 +104,7 @@ def d24_language_boundaries(d: Dialect) -> str:
 
 @sql_operator
 def d25_language_pairs(d: Dialect) -> str:
-    return f"SELECT from_language, to_language, count(*) AS n, round(avg(confidence), 6) AS confidence, {d.joined_set('type')} AS types FROM ({_XL}) x WHERE from_language <> to_language GROUP BY from_language, to_language"
+    return f"SELECT from_language, to_language, count(*) AS n, round(avg(confidence), 9) AS confidence, {d.joined_set('type')} AS types FROM ({_XL}) x WHERE from_language <> to_language GROUP BY from_language, to_language"
 
 
 @sql_operator

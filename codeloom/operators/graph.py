@@ -190,7 +190,7 @@ def g25_shortest_path(d: Dialect) -> str:
 @sql_operator
 def d01_trace_paths(d: Dialect, max_depth: int = 6) -> str:
     """Paths that cannot be continued, and the share of nodes that any of them passes."""
-    return f"{_paths(d, depth=max_depth)} SELECT p.a AS entry, count(*) AS paths, max(p.depth) AS longest, round(avg(p.depth), 6) AS mean_length FROM p WHERE NOT EXISTS (SELECT 1 FROM calls_dag c WHERE c.caller_id = p.b) GROUP BY p.a"
+    return f"{_paths(d, depth=max_depth)} SELECT p.a AS entry, count(*) AS paths, max(p.depth) AS longest, round(avg(p.depth), 9) AS mean_length FROM p WHERE NOT EXISTS (SELECT 1 FROM calls_dag c WHERE c.caller_id = p.b) GROUP BY p.a"
 
 
 @sql_operator
@@ -273,7 +273,7 @@ def p30_entry_to_exit(d: Dialect) -> str:
 
 @sql_operator
 def p31_block_statistics(d: Dialect) -> str:
-    return "SELECT symbol_id, block_type, count(*) AS n, CAST(sum(complexity) AS BIGINT) AS complexity, round(avg(cost), 6) AS cost FROM blocks GROUP BY symbol_id, block_type"
+    return "SELECT symbol_id, block_type, count(*) AS n, CAST(sum(complexity) AS BIGINT) AS complexity, round(avg(cost), 9) AS cost FROM blocks GROUP BY symbol_id, block_type"
 
 
 @sql_operator

@@ -95,7 +95,7 @@ def i11_optimal_scenario(d: Dialect) -> str:
 @sql_operator
 def i12_timeline(d: Dialect) -> str:
     """Fix times in buckets (to 30, 240, 2400 minutes and beyond) and severity by kind of change."""
-    return f"SELECT change, CASE WHEN minutes <= 30 THEN 'immediate' WHEN minutes <= 240 THEN 'short' WHEN minutes <= 2400 THEN 'medium' ELSE 'long' END AS bucket, count(*) AS n, round(avg(risk), 6) AS mean_risk, round(max(risk), 6) AS max_risk FROM ({_scenarios()}) s GROUP BY 1, 2"
+    return f"SELECT change, CASE WHEN minutes <= 30 THEN 'immediate' WHEN minutes <= 240 THEN 'short' WHEN minutes <= 2400 THEN 'medium' ELSE 'long' END AS bucket, count(*) AS n, round(avg(risk), 9) AS mean_risk, round(max(risk), 6) AS max_risk FROM ({_scenarios()}) s GROUP BY 1, 2"
 
 
 @sql_operator

@@ -165,7 +165,7 @@ def m13_additional(d: Dialect) -> str:
 @sql_operator
 def m14_architecture(d: Dialect) -> str:
     """Of each namespace: anti-patterns, mean maintainability, health."""
-    return f"""SELECT namespace, count(*) AS symbols, count(*) FILTER (WHERE complexity > 15 AND fan_out > 10) AS anti_patterns, round(avg(100e0 - complexity - 0.5e0 * fan_out), 6) AS maintainability,
+    return f"""SELECT namespace, count(*) AS symbols, count(*) FILTER (WHERE complexity > 15 AND fan_out > 10) AS anti_patterns, round(avg(100e0 - complexity - 0.5e0 * fan_out), 9) AS maintainability,
         CASE WHEN avg(complexity) > 30 THEN 'high' WHEN avg(complexity) > 20 THEN 'medium' ELSE 'low' END AS risk, count(*) FILTER (WHERE complexity <= 10) AS healthy FROM ({_DEGREES}) g GROUP BY namespace"""
 
 
@@ -233,7 +233,7 @@ def m24_potential_issues(d: Dialect, limit: int = 20) -> str:
 
 @sql_operator
 def m25_quality_rollup(d: Dialect) -> str:
-    return f"SELECT kind, count(*) AS n, round(avg(complexity), 6) AS complexity, round(avg(fan_in + fan_out), 6) AS coupling, CASE WHEN avg(complexity) > 25 THEN 'split' WHEN avg(fan_in + fan_out) > 30 THEN 'decouple' ELSE 'keep' END AS advice FROM ({_DEGREES}) g GROUP BY kind"
+    return f"SELECT kind, count(*) AS n, round(avg(complexity), 9) AS complexity, round(avg(fan_in + fan_out), 9) AS coupling, CASE WHEN avg(complexity) > 25 THEN 'split' WHEN avg(fan_in + fan_out) > 30 THEN 'decouple' ELSE 'keep' END AS advice FROM ({_DEGREES}) g GROUP BY kind"
 
 
 _CPP = {"templates": (r"template\s*<", 2), "virtuals": (r"\b(virtual|override)\b", 1), "exceptions": (r"\b(try|catch)\b", 2), "throws": (r"\bthrow\b", 1), "stl": (r"std::", 1), "memory": (r"\b(new|delete|malloc|free)\b", 1)}
@@ -243,13 +243,13 @@ _CPP = {"templates": (r"template\s*<", 2), "virtuals": (r"\b(virtual|override)\b
 def m26_cpp_complexity(d: Dialect) -> str:
     """Language features counted by weight; the module's total and its most complex member (ties: smallest id)."""
     total = " + ".join(f"{w} * {d.count_matches('text', p)}" for p, w in _CPP.values())
-    return f"SELECT module, CAST(sum(score) AS BIGINT) AS total, round(avg(score), 6) AS mean, {d.least_by('id', d.row('-score', 'id'))} AS most_complex FROM (SELECT id, module, {total} AS score FROM files) f GROUP BY module"
+    return f"SELECT module, CAST(sum(score) AS BIGINT) AS total, round(avg(score), 9) AS mean, {d.least_by('id', d.row('-score', 'id'))} AS most_complex FROM (SELECT id, module, {total} AS score FROM files) f GROUP BY module"
 
 
 @sql_operator
 def m27_semantic_rollups(d: Dialect) -> str:
     """Of each namespace: mean strength of its edges, cohesion (share that stays inside), risk."""
-    return "SELECT f.namespace, count(*) AS edges, round(avg(r.confidence), 6) AS strength, round(count(*) FILTER (WHERE f.namespace = t.namespace) / CAST(count(*) AS DOUBLE), 6) AS cohesion, CASE WHEN avg(r.confidence) < 0.7e0 THEN 'high' ELSE 'low' END AS risk FROM relationships r JOIN symbols f ON f.id = r.from_id JOIN symbols t ON t.id = r.to_id GROUP BY f.namespace"
+    return "SELECT f.namespace, count(*) AS edges, round(avg(r.confidence), 9) AS strength, round(count(*) FILTER (WHERE f.namespace = t.namespace) / CAST(count(*) AS DOUBLE), 6) AS cohesion, CASE WHEN avg(r.confidence) < 0.7e0 THEN 'high' ELSE 'low' END AS risk FROM relationships r JOIN symbols f ON f.id = r.from_id JOIN symbols t ON t.id = r.to_id GROUP BY f.namespace"
 
 
 @sql_operator

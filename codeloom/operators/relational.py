@@ -88,7 +88,7 @@ def a14_dependents(d: Dialect, symbol: int = 42) -> str:
 @sql_operator
 def a15_comprehensive_stats(d: Dialect) -> str:
     """Totals, mean complexity, and symbols of complexity over 10."""
-    return "SELECT count(*) AS total, count(*) FILTER (WHERE kind = 'function') AS functions, count(*) FILTER (WHERE kind = 'class') AS classes, count(*) FILTER (WHERE kind = 'method') AS methods, round(avg(complexity), 6) AS avg_complexity, count(*) FILTER (WHERE complexity > 10) AS complex FROM symbols"
+    return "SELECT count(*) AS total, count(*) FILTER (WHERE kind = 'function') AS functions, count(*) FILTER (WHERE kind = 'class') AS classes, count(*) FILTER (WHERE kind = 'method') AS methods, round(avg(complexity), 9) AS avg_complexity, count(*) FILTER (WHERE complexity > 10) AS complex FROM symbols"
 
 
 @sql_operator
@@ -171,7 +171,7 @@ def a28_search(d: Dialect, query: str = "bolt", project: int = 2) -> str:
 @sql_operator
 def a29_project_stats(d: Dialect) -> str:
     """Symbols, files, mean confidence and edges of each project."""
-    return """SELECT s.project_id, count(*) AS symbols, count(DISTINCT s.file_path) AS files, round(avg(s.confidence), 6) AS confidence, coalesce(max(e.n), 0) AS edges
+    return """SELECT s.project_id, count(*) AS symbols, count(DISTINCT s.file_path) AS files, round(avg(s.confidence), 9) AS confidence, coalesce(max(e.n), 0) AS edges
         FROM symbols s LEFT JOIN (SELECT f.project_id, count(*) AS n FROM relationships r JOIN symbols f ON f.id = r.from_id GROUP BY f.project_id) e ON e.project_id = s.project_id GROUP BY s.project_id"""
 
 

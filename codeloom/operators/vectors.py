@@ -175,7 +175,7 @@ def e23_cluster_details(d: Dialect) -> str:
 
 @sql_operator
 def e24_quality_rollup(d: Dialect) -> str:
-    return "SELECT category, severity, count(*) AS n, round(avg(confidence), 6) AS confidence, count(*) FILTER (WHERE status = 'resolved') AS resolved FROM insights GROUP BY category, severity"
+    return "SELECT category, severity, count(*) AS n, round(avg(confidence), 9) AS confidence, count(*) FILTER (WHERE status = 'resolved') AS resolved FROM insights GROUP BY category, severity"
 
 
 @sql_operator

@@ -12,9 +12,10 @@ def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; a folder of its own only where that is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        at = found.get() if found.isDefined() else tempfile.mkdtemp(prefix="codeloom-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        context = spark.sparkContext
+        if not context._jsc.sc().getCheckpointDir().isDefined():
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="codeloom-"))
+        at = context._jsc.sc().getCheckpointDir().get()
     return at.rstrip("/")
 
 

@@ -7,8 +7,9 @@ probes, for every length from its own down to ``edits`` less, only those of its
 substrings that can be such a segment (the multi-match window: the edits on the
 left of segment i are fewer than i, those on its right at most edits + 1 - i).
 
-1. one pass hashes every line and emits its index and probe keys; keys under which
-   fewer than two different lines stand are dropped after a partial aggregation;
+1. one pass hashes every line and makes its index and probe keys, which are written;
+   keys under which fewer than two different lines stand are dropped after a partial
+   aggregation;
 2. the live keys are joined; a pair must also agree in its byte histogram up to two
    counts for each edit (a necessary condition, checked inside the join);
 3. pairs are verified by a bit-parallel edit distance in a band of 2 * edits + 1 bits;
@@ -30,6 +31,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
+from struct import Struct
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,7 @@ from ..operators.components import connected_components
 from .common import picked, written
 
 _SPACE = " \t\n\x0b\x0c\r"
+_HALVES = Struct("<qq")
 
 
 def segments(length: int, edits: int) -> list[tuple[int, int]]:
@@ -89,7 +92,7 @@ def probe_keys(line: str, edits: int) -> list[int]:
 
 def histogram(line: str) -> list[int]:
     """Counts of the line's bytes in 16 classes; an edit of one code point changes at most two code points, of up to four bytes each."""
-    b = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
+    b = np.frombuffer(line.encode("utf-32-le"), np.uint32)
     return np.bincount((b * np.uint32(2654435761)) >> np.uint32(28), minlength=16).tolist()
 
 
@@ -132,65 +135,42 @@ def within(a: str, b: str, edits: int) -> bool:
 
 
 def _lines(text: str | None, min_words: int) -> list[tuple[int, str]]:
-    return [(k, s) for k, line in enumerate((text or "").split("\n")) if len((s := line.strip(_SPACE)).split()) >= min_words]
+    return [(k, s) for k, line in enumerate((text or "").split("\n")) if len((s := line.strip(_SPACE)).split(None, min_words - 1)) >= min_words]
 
 
-def _digests(lines: list[tuple[int, str]]) -> list[tuple[int, int]]:
-    return [tuple(np.frombuffer(xxhash.xxh3_128_digest(s.encode("utf-8", "surrogatepass")), np.int64).tolist()) for _, s in lines]
+def _digest(line: str) -> tuple[int, int]:
+    return _HALVES.unpack(xxhash.xxh3_128_digest(line))
 
 
-def occurrences(docs: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, line_no and the line's 128-bit hash, for each line of enough words."""
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[list] = [[], [], [], []]
-            for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                lines = _lines(t, min_words)
-                out[0] += [i] * len(lines)
-                out[1] += [k for k, _ in lines]
-                for h1, h2 in _digests(lines):
-                    out[2].append(h1)
-                    out[3].append(h2)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64())], ["doc_id", "line_no", "h1", "h2"])
-
-    return docs.mapInArrow(hashed, "doc_id long, line_no int, h1 long, h2 long")
+SEEN = 1 << 18  # lines that a task remembers in order not to make their keys again
 
 
-SEEN = 1 << 18  # lines that a task remembers in order not to emit them again
+def lines_of(docs: DataFrame, min_words: int, edits: int) -> DataFrame:
+    """doc_id, line_no, 128-bit hash, length, and index and probe keys, for each line of enough words; keys only for the first of equal lines of a task."""
 
-
-def entries(docs: DataFrame, min_words: int, edits: int, full: bool) -> DataFrame:
-    """key and the line's hash, and (full) whether the key is a probe, the line's length and histogram. A line's keys leave Python as one row and are exploded after it."""
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
             for lo in range(0, b.num_rows, 512):
-                line, own, asked, length, bag = [], [], [], [], []
-                for t in b.column("text").slice(lo, 512).to_pylist():
-                    lines = _lines(t, min_words)
-                    for (h1, _), (_, s) in zip(_digests(lines), lines, strict=True):
-                        if len(s) <= edits or h1 in seen:
-                            continue
-                        if len(seen) < SEEN:
+                part = b.slice(lo, 512)
+                doc, number, first, second, length, own, asked = [], [], [], [], [], [], []
+                for i, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                    for k, s in _lines(t, min_words):
+                        h1, h2 = _digest(s)
+                        new = len(s) > edits and h1 not in seen
+                        if new and len(seen) < SEEN:
                             seen.add(h1)
-                        line.append(h1)
-                        own.append(index_keys(s, edits))
-                        asked.append(probe_keys(s, edits))
-                        if full:
-                            length.append(len(s))
-                            bag.append(histogram(s))
-                columns = [pa.array(line, pa.int64()), _longs(own), _longs(asked)]
-                if full:
-                    columns += [pa.array(length, pa.int32()), pa.array(bag, pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays(columns, ["line", "own", "asked", "length", "bag"][: len(columns)])
-
-    rows = docs.mapInArrow(keyed, "line long, own array<long>, asked array<long>" + ", length int, bag array<int>" * full)
-    if not full:
-        return rows.select(F.explode(F.concat("own", "asked")).alias("key"), "line")
-    marked = lambda keys, probe: F.transform(keys, lambda k: F.struct(k.alias("key"), F.lit(probe).alias("probe")))
-    return rows.select("line", "length", "bag", F.inline(F.concat(marked("own", False), marked("asked", True)))).select("key", "line", "probe", "length", "bag")
+                        doc.append(i)
+                        number.append(k)
+                        first.append(h1)
+                        second.append(h2)
+                        length.append(len(s))
+                        own.append(index_keys(s, edits) if new else [])
+                        asked.append(probe_keys(s, edits) if new else [])
+                columns = [pa.array(doc, pa.int64()), pa.array(number, pa.int32()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(length, pa.int32()), _longs(own), _longs(asked)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "line_no", "h1", "h2", "length", "own", "asked"])
+
+    return docs.mapInArrow(hashed, "doc_id long, line_no int, h1 long, h2 long, length int, own array<long>, asked array<long>")
 
 
 def _longs(keys: list[list[int]]) -> pa.Array:
@@ -206,31 +186,42 @@ def texts(docs: DataFrame, min_words: int) -> DataFrame:
     def spelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 512):
-                h, s = [], []
-                for t in b.column("text").slice(lo, 512).to_pylist():
-                    lines = _lines(t, min_words)
-                    h += [d[0] for d in _digests(lines)]
-                    s += [x for _, x in lines]
-                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(s, pa.string())], ["line", "spelt"])
+                s = [x for t in b.column("text").slice(lo, 512).to_pylist() for _, x in _lines(t, min_words)]
+                yield pa.RecordBatch.from_arrays([pa.array([_digest(x)[0] for x in s], pa.int64()), pa.array(s, pa.string())], ["line", "spelt"])
 
     return docs.mapInArrow(spelt, "line long, spelt string")
 
 
-def links(docs: DataFrame, *, edits: int, min_words: int, max_broadcast: int) -> DataFrame:
-    """Verified pairs (a, b) of different lines within the edit distance."""
-    every = entries(docs, min_words, edits, False)
+def with_histogram(lines: DataFrame) -> DataFrame:
+    """line, spelt and the histogram of spelt."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bags = [histogram(s) for s in b.column("spelt").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("line"), b.column("spelt"), pa.array(bags, pa.list_(pa.int32()))], ["line", "spelt", "bag"])
+
+    return lines.select("line", "spelt").mapInArrow(counted, "line long, spelt string, bag array<int>")
+
+
+def links(docs: DataFrame, lines: DataFrame, *, edits: int, min_words: int, max_broadcast: int) -> DataFrame:
+    """Verified pairs (a, b) of different lines within the edit distance; lines as of lines_of()."""
+    every = lines.select(F.explode(F.concat("own", "asked")).alias("key"), F.col("h1").alias("line"))
     live = every.groupBy("key").agg(F.min("line").alias("low"), F.max("line").alias("high")).where("low != high").select("key")
     live = written(live, "keys")
     near = F.broadcast(live) if live.count() <= max_broadcast else live
-    kept = written(entries(docs, min_words, edits, True).join(near, "key", "left_semi").dropDuplicates(["key", "line", "probe"]), "entries")
+    index = F.transform("own", lambda k: F.struct(k.alias("key"), F.lit(False).alias("probe")))
+    probes = F.transform("asked", lambda k: F.struct(k.alias("key"), F.lit(True).alias("probe")))
+    marked = lines.select(F.col("h1").alias("line"), "length", F.inline(F.concat(index, probes)))
+    kept = written(marked.join(near, "key", "left_semi").groupBy("key", "line", "probe").agg(F.max("length").alias("length")), "entries")
+    some = written(kept.select("line").distinct(), "ends")
+    few = F.broadcast(some) if some.count() <= max_broadcast else some
+    spelt = written(with_histogram(texts(docs, min_words).join(few, "line", "left_semi").dropDuplicates(["line"])), "texts")
+    kept = kept.join(spelt.select("line", "bag"), "line")
     own = kept.where("NOT probe").select("key", F.col("line").alias("a"), F.col("length").alias("n"), F.col("bag").alias("of_a"))
     asked = kept.where("probe").select("key", F.col("line").alias("b"), F.col("length").alias("m"), F.col("bag").alias("of_b"))
     apart = F.aggregate(F.zip_with("of_a", "of_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
     pairs = own.join(asked, "key").where((F.col("a") != F.col("b")) & (apart <= 2 * edits) & ((F.col("m") > F.col("n")) | (F.col("a") < F.col("b"))))
     pairs = written(pairs.select("a", "b").distinct(), "pairs")
-    ends = written(pairs.select(F.col("a").alias("line")).unionAll(pairs.select("b")).distinct(), "ends")
-    few = F.broadcast(ends) if ends.count() <= max_broadcast else ends
-    spelt = written(texts(docs, min_words).join(few, "line", "left_semi").dropDuplicates(["line"]), "texts")
     both = pairs.join(spelt.select(F.col("line").alias("a"), F.col("spelt").alias("of_a")), "a").join(spelt.select(F.col("line").alias("b"), F.col("spelt").alias("of_b")), "b")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,8 +236,8 @@ def links(docs: DataFrame, *, edits: int, min_words: int, max_broadcast: int) ->
 def line_classes(df: DataFrame, *, id_col="doc_id", text_col="text", edits=2, min_words=5, max_broadcast=4_000_000) -> DataFrame:
     """doc_id, line_no, class_doc and class_line (the class's earliest line), n_links (other lines within the distance) and kept, for each line of enough words."""
     docs = picked(df, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")).where("doc_id IS NOT NULL")
-    at = written(occurrences(docs, min_words), "lines")
-    pairs = links(docs, edits=edits, min_words=min_words, max_broadcast=max_broadcast)
+    at = written(lines_of(docs, min_words, edits), "lines")
+    pairs = links(docs, at, edits=edits, min_words=min_words, max_broadcast=max_broadcast)
     first = at.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
     parts = connected_components(pairs)
     degree = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("h1")).agg(F.countDistinct("b").alias("n_links"))

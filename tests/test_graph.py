@@ -37,6 +37,13 @@ def test_strongly_connected(spark, name, expected):
     assert {r.id: r.component for r in strongly_connected(frame(spark, GRAPHS[name])).collect()} == expected
 
 
+def test_components_of_a_long_chain(spark):
+    order = list(range(3000))
+    random.Random(6).shuffle(order)
+    got = connected_components(frame(spark, [*zip(order, order[1:], strict=False), (9001, 9000)]), max_rounds=20).collect()
+    assert {r.component for r in got if r.id < 3000} == {0} and {r.component for r in got if r.id >= 3000} == {9000}
+
+
 def test_reach_is_breadth_first(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(30), rng.randrange(30)) for _ in range(60)]

@@ -11,7 +11,7 @@ candidates. Unless ``bands`` is given there are as many as it takes for a pair a
 the threshold to be missed with probability below 1e-6: at the default of 80 percent
 59 bands of 7 rows, at 85 percent 36. Links are decided on full sets:
 
-1. documents of equal word sequences are one class; its smallest id stands for it;
+1. documents of equal word sequences are one class, with a number of its own;
 2. in each bucket every member is compared with one pivot, the member that meets
    most others over all its buckets (no pairs within the bucket);
 3. components of the links found leave most buckets with a single component;
@@ -27,14 +27,16 @@ the threshold to be missed with probability below 1e-6: at the default of 80 per
 
 So no link between candidates is lost, large groups are compared with pivots and
 not pairwise, and nothing of the corpus is collected. Buckets are aggregated before
-they are shuffled; the joins have a plain form that adaptive execution splits at
-hot keys.
+they are shuffled; the pairs of a large bucket are dealt to several tasks, and the
+other joins have a plain form that adaptive execution splits at hot keys.
 
 Defined cases: null and empty texts (and texts without words) have an empty set and
 are linked with nothing; fewer than five words make one shingle of the whole
-sequence; a document with a null id is returned with a null component and kept;
-repeated rows and rows of the same id are one vertex; an empty table gives no rows;
-columns besides id and text are not read.
+sequence; rows, not ids, are what is compared: an id may stand at several texts,
+and repeated rows are alike. A row with a null id takes part in links, but its own
+component_id is null and kept true; dedup() decides on it as on any other row, null
+ids coming last. An empty table gives no rows; columns besides id and text are not
+read, whatever their names.
 """
 
 from __future__ import annotations
@@ -50,11 +52,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import dropped, picked, written
+from .common import MAX_BROADCAST, dropped, near, picked, row_key, written
 
 SHINGLE, CIRCLE = 5, 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-KNOWN = 1 << 19  # word hashes that a worker remembers
+KNOWN = 1 << 15  # word hashes that a task remembers
+SLICE = 256  # rows of a batch that are worked on at a time
+HOT = 512  # members of a bucket that one task compares with those outside the pivot's component
 MISSED = 1e-6  # bound on the probability that a pair at the threshold shares no band
 
 
@@ -75,21 +79,16 @@ class Hashes:
         return np.array(out, dtype=np.uint64)
 
 
-@lru_cache(1)
-def hashes() -> Hashes:
-    return Hashes()
-
-
 def words_of(text: str | None) -> list[bytes]:
     """A-Z lower-cased; runs of anything but ASCII white space."""
     return (text or "").encode().lower().split()
 
 
-def shingle_set(words: list[bytes]) -> np.ndarray:
+def shingle_set(words: list[bytes], known: Hashes) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles."""
     if not words:
         return np.empty(0, np.uint64)
-    w = hashes().of(words)
+    w = known.of(words)
     size = min(SHINGLE, len(w))
     n = len(w) - size + 1
     h = np.full(n, size, dtype=np.uint64)
@@ -128,35 +127,44 @@ def bands_for(percent: int, rows: int) -> int:
 
 
 def signatures(docs: DataFrame, bands: int, rows: int, seed: int) -> DataFrame:
-    """doc_id, n_shingles, s1 and s2 (hash of the word sequence) and band keys of every row."""
+    """doc_id, row key, n_shingles, s1 and s2 (hash of the word sequence) and band keys of every row."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Hashes()
         for b in batches:
-            n, s1, s2, keys = [], [], [], []
-            for t in b.column("text").to_pylist():
-                words = words_of(t)
-                shingles = shingle_set(words)
-                digest = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(words)), np.int64)
-                n.append(len(shingles))
-                s1.append(int(digest[0]))
-                s2.append(int(digest[1]))
-                keys.append(band_keys(signature(shingles, bands * rows, seed), bands, rows) if len(shingles) else [])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "s1", "s2", "keys"])
+            for lo in range(0, b.num_rows, SLICE):
+                part = b.slice(lo, SLICE)
+                n, halves, keys = [], [], []
+                for t in part.column("text").to_pylist():
+                    words = words_of(t)
+                    shingles = shingle_set(words, known)
+                    halves.append(xxhash.xxh3_128_digest(b" ".join(words)))
+                    n.append(len(shingles))
+                    keys.append(band_keys(signature(shingles, bands * rows, seed), bands, rows) if len(shingles) else [])
+                digests = np.frombuffer(b"".join(halves), "<i8").reshape(-1, 2)
+                columns = [part.column(c) for c in ("doc_id", "k1", "k2")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "k1", "k2", "n_shingles", "s1", "s2", "keys"])
 
-    return docs.mapInArrow(signed, "doc_id long, n_shingles long, s1 long, s2 long, keys array<long>")
+    return docs.mapInArrow(signed, "doc_id long, k1 long, k2 long, n_shingles long, s1 long, s2 long, keys array<long>")
 
 
-def sets_of(docs: DataFrame) -> DataFrame:
-    """id and its full shingle set."""
+def sets_of(texts: DataFrame) -> DataFrame:
+    """id and the full shingle set of its text, once for each id of a task."""
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, seen = Hashes(), set()
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
-                got = [shingle_set(words_of(t)).view(np.int64) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(got, pa.list_(pa.int64()))], ["id", "members"])
+            for lo in range(0, b.num_rows, SLICE):
+                ids, got = [], []
+                for i, t in zip(b.column("id").slice(lo, SLICE).to_pylist(), b.column("text").slice(lo, SLICE).to_pylist(), strict=True):
+                    if i not in seen:
+                        if len(seen) < KNOWN:
+                            seen.add(i)
+                        ids.append(i)
+                        got.append(shingle_set(words_of(t), known).view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(got, pa.list_(pa.int64()))], ["id", "members"])
 
-    return docs.mapInArrow(full, "id long, members array<long>")
+    return texts.mapInArrow(full, "id long, members array<long>")
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -168,13 +176,16 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select(*pairs.columns, common.cast("long").alias("common"), (F.size("of_a") + F.size("of_b") - common).cast("long").alias("total"))
 
 
-def near_duplicates(df: DataFrame, *, id_col="doc_id", text_col="text", percent=80, bands=None, rows=7, seed=1, max_broadcast=2_000_000, peelings=3) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row of df."""
+def groups(df: DataFrame, *, id_col="doc_id", text_col="text", percent=80, bands=None, rows=7, seed=1, max_broadcast=MAX_BROADCAST, peelings=3) -> DataFrame:
+    """doc_id, row key (k1, k2), n_shingles, component_id, and stays (whether the row is the first of its group, null ids last) for each row of df."""
     bands = bands or bands_for(percent, rows)
     docs = picked(df, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    k1, k2 = row_key(F.col("doc_id"), F.col("text"))
+    docs = docs.select("doc_id", "text", k1.alias("k1"), k2.alias("k2"))
     signed = written(signatures(docs, bands, rows, seed), "signatures")
-    classes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "n_shingles", "keys")).alias("r"))
-    classes = written(classes.select("s1", "s2", F.col("r.doc_id").alias("id"), F.col("r.n_shingles").alias("n"), "r.keys"), "classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k1", "k2"))
+    classes = signed.where("n_shingles > 0").groupBy("s1", "s2").agg(first.alias("first"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
+    classes = written(classes.select(F.monotonically_increasing_id().alias("id"), "s1", "s2", "first", "n", "keys"), "classes")  # numbered once: the table is what is read
     similar = (100 * F.col("common") >= percent * F.col("total"))
     fits = lambda a, b: 100 * F.least(F.col(a), F.col(b)) >= percent * F.greatest(F.col(a), F.col(b))
 
@@ -183,9 +194,12 @@ def near_duplicates(df: DataFrame, *, id_col="doc_id", text_col="text", percent=
     full = entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = written(entries.join(full, "key"), "members")
     ids = written(members.groupBy("id").agg(F.sum("size").alias("meets")), "ids")
-    n_ids = ids.count()
-    near = F.broadcast(ids.select(F.col("id").alias("doc_id"))) if n_ids <= max_broadcast else ids.select(F.col("id").alias("doc_id"))
-    sets = written(sets_of(docs.join(near, "doc_id", "left_semi")), "sets")
+    asked = written(classes.join(ids, "id", "left_semi").select("id", F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2")), "asked")
+    sets = written(sets_of(docs.join(near(asked, 24, max_broadcast), ["k1", "k2"]).select("id", "text")), "sets")
+    if sets.count() > asked.count():  # the same row may stand in several files
+        once = written(sets.dropDuplicates(["id"]), "sets")
+        dropped(sets)
+        sets = once
 
     # Stars around pivots
     popular = members.join(ids, "id").groupBy("key").agg(F.max(F.struct("meets", (-F.col("id")).alias("last"), F.col("n").alias("pivot_n"))).alias("p"))
@@ -200,10 +214,12 @@ def near_duplicates(df: DataFrame, *, id_col="doc_id", text_col="text", percent=
     placed = written(placed.select("key", "id", "n", "component"), "placed")
     mixed = placed.groupBy("key").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("key")
     open_ = written(placed.join(mixed, "key", "left_semi"), "open")
+    dropped(members, ids, asked, placed)
     lone = None
     for _ in range(max(peelings, 1)):
+        dropped(lone)
         asked = open_.select("id").unionAll(open_.join(pivots, "key").select(F.col("pivot").alias("id"))).distinct()
-        tokens = sets.join(asked, "id", "left_semi").dropDuplicates(["id"]).select("id", F.explode("members").alias("token"))
+        tokens = sets.join(asked, "id", "left_semi").select("id", F.explode("members").alias("token"))
         single = tokens.groupBy("token").agg(F.count("*").alias("c"), F.first("id").alias("only")).where("c = 1")
         lone = written(single.groupBy(F.col("only").alias("id")).agg(F.count("*").alias("lone")), "lone")
         gone = open_.select("id", "n").distinct().join(lone, "id").where(100 * (F.col("n") - F.col("lone")) < percent * F.col("n")).select("id")
@@ -223,20 +239,48 @@ def near_duplicates(df: DataFrame, *, id_col="doc_id", text_col="text", percent=
     with_pivot = F.when(F.col("id") == F.col("pivot"), F.col("n")).otherwise(F.col("common"))
     known = known.select("key", "id", "n", "component", "pivot", with_pivot.alias("inside"), (F.col("n") - with_pivot - F.coalesce("lone", F.lit(0))).alias("beside"), "keys")
     known = written(known, "known")
-    at_pivot = known.where("id = pivot").select("key", F.col("component").alias("main"))
-    outside = known.join(at_pivot, "key", "left").where("main IS NULL OR component != main").drop("main")
-    renamed = outside.select(*[F.col(c).alias(f"{c}_2") for c in outside.columns])
+    deals = known.groupBy("key").agg(F.max(F.when(F.col("id") == F.col("pivot"), F.col("component"))).alias("main"), F.ceil(F.count("*") / HOT).cast("int").alias("deals"))
+    dealt = written(known.join(deals, "key"), "dealt")
+    outside = dealt.where("main IS NULL OR component != main").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)))
+    outside = outside.select(*[F.col(c).alias(f"{c}_2") for c in (*known.columns, "salt")])
+    dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("id"), "deals").cast("int"))
     most = F.least("inside", "inside_2") + F.least("beside", "beside_2")
     possible = F.when(F.col("inside").isNull() | F.col("inside_2").isNull(), True).otherwise(100 * most >= percent * (F.col("n") + F.col("n_2") - most))
-    pairs = known.join(renamed, F.col("key") == F.col("key_2")).where((F.col("component") != F.col("component_2")) & fits("n", "n_2") & possible & (F.element_at(F.array_intersect("keys", "keys_2"), 1) == F.col("key")))
+    pairs = dealt.join(outside, (F.col("key") == F.col("key_2")) & (F.col("salt") == F.col("salt_2"))).where((F.col("component") != F.col("component_2")) & fits("n", "n_2") & possible & (F.element_at(F.array_intersect("keys", "keys_2"), 1) == F.col("key")))
     pairs = pairs.select(F.least("id", "id_2").alias("a"), F.greatest("id", "id_2").alias("b")).distinct()
     more = written(compared(pairs, sets).where(similar).select("a", "b"), "links")
     if not more.isEmpty():
+        dropped(parts)
         parts = connected_components(links.unionAll(more))
+    dropped(sets, open_, lone, known, dealt, pivots, stars, more)
+
+    # Back to all rows: class, first row of its component
+    linked = classes.select("id", "s1", "s2", "first").join(parts, "id")
+    firsts = linked.groupBy("component").agg(F.min("first").alias("c"))
+    whole = linked.join(firsts, "component").select("s1", "s2", "c").unionAll(classes.join(parts, "id", "left_anti").select("s1", "s2", F.col("first").alias("c")))
+    out = signed.where("n_shingles > 0").join(whole, ["s1", "s2"])
+    stays = (F.col("k1") == F.col("c.k1")) & (F.col("k2") == F.col("c.k2"))
+    out = out.select("doc_id", "k1", "k2", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("c.doc_id")).alias("component_id"), stays.alias("stays"))
+    out = out.unionAll(signed.where("n_shingles = 0").select("doc_id", "k1", "k2", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("stays")))
+    out = written(out, "groups")
+    dropped(signed, classes, parts)
+    return out
+
+
+def near_duplicates(df: DataFrame, **options) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest id of the group), and kept (doc_id = component_id) for each row of df; options as of groups()."""
+    out = groups(df, **options)
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
 
-    # Back to all rows: class, component of its representative
-    whole = classes.join(parts, "id", "left").select("s1", "s2", F.coalesce("component", "id").alias("class_component"))
-    same = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").join(whole, ["s1", "s2"])
-    rest = signed.where("n_shingles = 0 OR doc_id IS NULL").withColumn("class_component", F.col("doc_id"))
-    out = same.select("doc_id", "n_shingles", "class_component").unionAll(rest.select("doc_id", "n_shingles", "class_component"))
-    return out.select("doc_id", "n_shingles", F.col("class_component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("class_component"), F.lit(True)).alias("kept"))
+def dedup(df: DataFrame, *, id_col="doc_id", text_col="text", max_broadcast=MAX_BROADCAST, **options) -> DataFrame:
+    """Of each group of near duplicates of df its first row, all columns kept; rows without words stay."""
+    out = groups(df, id_col=id_col, text_col=text_col, max_broadcast=max_broadcast, **options)
+    k1, k2 = row_key(df[f"`{id_col}`"], df[f"`{text_col}`"])
+    among = lambda keys, how: df.join(near(keys, 16, max_broadcast), (k1 == keys["k1"]) & (k2 == keys["k2"]), how)
+    gone = written(out.where("NOT stays").select("k1", "k2").distinct(), "copies")
+    again = written(out.where("stays AND n_shingles > 0").groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").select("k1", "k2"), "repeats")
+    dropped(out)
+    if again.isEmpty():
+        return among(gone, "left_anti")
+    return among(written(gone.unionAll(again), "gone"), "left_anti").unionAll(among(again, "left_semi").dropDuplicates([id_col, text_col]))

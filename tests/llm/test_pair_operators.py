@@ -71,6 +71,25 @@ def test_near_duplicates_of_nothing(spark):
     assert [r.component_id for r in near_dedup.near_duplicates(frame(spark, [(1, None), (2, "")])).orderBy("doc_id").collect()] == [1, 2]
 
 
+def test_dedup_keeps_one_row_of_each_group(spark):
+    a, b = (" ".join(f"{c}{k}" for k in range(40)) for c in "ab")
+    rows = [(3, a), (5, a), (5, b), (5, b), (7, b + " more"), (None, a), (None, "a text of its own"), (8, ""), (8, ""), (None, None)]
+    df = spark.createDataFrame([(i, t, 1, 2, True) for i, t in rows], "doc_id long, text string, k1 int, s1 int, stays boolean")
+    for limit in (1 << 20, 0):
+        out = near_dedup.dedup(df, max_broadcast=limit)
+        assert out.columns == df.columns
+        assert sorted((str(r.doc_id), str(r.text)) for r in out.collect()) == sorted((str(i), str(t)) for i, t in [rows[0], rows[2], *rows[6:]])
+    assert near_dedup.dedup(df.where("false")).collect() == []
+
+
+def test_large_buckets_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "HOT", 2)
+    rows = corpus(9)
+    want = brute_components(rows, 70)
+    for r in near_dedup.near_duplicates(frame(spark, rows), percent=70, bands=60, rows=4).collect():
+        assert r.doc_id is None or (r.n_shingles, r.component_id) == want[r.doc_id]
+
+
 def edit_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a):
@@ -136,7 +155,7 @@ def line_corpus():
 
 
 def brute_lines(rows, edits=2):
-    lines = [(i, k, s) for i, t in rows if i is not None for k, x in enumerate((t or "").split("\n")) if len((s := x.strip(" \t\n\x0b\x0c\r")).split()) >= 5]
+    lines = [(i, k, s) for i, t in rows for k, x in enumerate((t or "").split("\n")) if len((s := x.strip(" \t\n\x0b\x0c\r")).split()) >= 5]
     texts = sorted({s for *_, s in lines})
     link = {s: {u for u in texts if u != s and abs(len(u) - len(s)) <= edits and edit_distance(s, u) <= edits} for s in texts}
     out = {}
@@ -146,7 +165,7 @@ def brute_lines(rows, edits=2):
             for u in link[todo.pop()] - group:
                 group.add(u)
                 todo.append(u)
-        out[i, k] = (min((a, b) for a, b, u in lines if u in group), len(link[s]))
+        out[i, k] = (min(((a, b) for a, b, u in lines if u in group), key=lambda x: (x[0] is None, x[0] or 0, x[1])), len(link[s]))
     return out
 
 
@@ -156,6 +175,24 @@ def test_line_classes(spark):
     assert got == brute_lines(rows)
 
 
+def test_dedup_lines_decides_by_row(spark):
+    """Ids repeat, and columns have names that the operator might want for its own."""
+    lines = [f"line {k} has these five words or more" * (k + 1) for k in range(4)]
+    rows = [(5, lines[0]), (3, lines[0]), (5, f"{lines[1]}\n{lines[2]}"), (5, f"{lines[1]}\n{lines[2]}"), (None, f"{lines[3]}\n{lines[1]}"), (None, "a null id and words of its own")]
+    df = spark.createDataFrame([(i, t, 1, 2, 3, 4) for i, t in rows], "doc_id long, text string, k1 int, lines int, _dup_doc int, _cut int")
+    out = line_dedup.dedup_lines(df)
+    assert out.columns == df.columns
+    assert sorted((str(r.doc_id), r.text) for r in out.collect()) == sorted((str(i), t) for i, t in [(3, rows[1][1]), rows[2], rows[3], (None, lines[3]), rows[5]])
+    assert sorted(map(str, line_dedup.dedup_lines(df, max_broadcast=0).collect())) == sorted(map(str, out.collect()))
+
+
+def test_hot_keys_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HOT", 3)
+    rows = [(k, f"the same words again and again {a}{b} in the very same place") for k, (a, b) in enumerate((a, b) for a in "0123456" for b in "abcdef")]
+    got = {(r.doc_id, r.line_no): ((r.class_doc, r.class_line), r.n_links) for r in line_dedup.line_classes(frame(spark, rows)).collect()}
+    assert got == brute_lines(rows)
+
+
 def test_dedup_lines(spark):
     rows = line_corpus()
     want = brute_lines(rows)
@@ -163,8 +200,8 @@ def test_dedup_lines(spark):
     assert out.columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ")
     got = {r.doc_id: r.text for r in out.collect()}
     for i, t in rows:
-        if i is None or t is None:
-            assert got[i] == t
+        if t is None:
+            assert got[i] is None
             continue
         kept = [x for k, x in enumerate(t.split("\n")) if want.get((i, k), ((i, k), 0))[0] == (i, k)]
         if len(kept) < len(t.split("\n")) and not "".join(kept).strip():

@@ -3,26 +3,29 @@
 A benchmark window is ``window`` consecutive words of an item (an item of fewer
 words is one window). Each window is the set of its placed shingles (``shingle``
 consecutive words, or the whole window where that is shorter). A window occurs
-exactly where all its shingles stand at their places, so of each window one
-shingle is a necessary prefix:
+exactly where all its shingles stand at their places, so any one of them is a
+necessary prefix, and the rarest makes the fewest candidates:
 
-1. one pass over the documents notes where shingles of the benchmark stand;
-2. shingles are ordered by rarity, that is by how often the documents hold them;
-   each window's prefix is its rarest shingle;
+1. the benchmark's words are counted over all documents (partial sums); a shingle is
+   at most as frequent as its rarest word, and that count orders the shingles;
+2. each window's prefix is its first shingle in that order; a window with a word that
+   no document holds cannot occur and goes;
 3. the join is on prefix shingles alone; the place in the document gives the only
    window start that can match (positional filter), which must leave room for the
    whole window (length filter);
-4. candidates are verified exactly: all shingles of the window at their places.
+4. candidates are verified exactly: the document's words at the candidate's place
+   must equal a window's.
 
-Shingles are 64-bit hashes; a false window needs as many collisions as it has
-shingles, at consecutive words. Nothing is collected: the benchmark's shingles are
-broadcast only if they are at most ``max_broadcast`` rows of 16 bytes, else joined
-by a shuffle.
+Shingles are joined as 64-bit hashes, but words decide. Nothing is collected but the
+few shingle sizes; each table of the benchmark is broadcast only up to
+``max_broadcast`` bytes of its own rows, else joined by a shuffle.
 
 Defined cases: null and empty texts have no words and no hit; null or empty items
 have no window; a window of an item without id still hits but counts for no item;
-repeated items count once, repeated documents get one equal row each; a null doc_id
-is kept; columns besides ids and texts are not read.
+repeated items count once; rows, not ids, are what is searched: an id may stand at
+several texts or be null, and repeated rows get one equal row each; very long texts
+are searched as wholes; empty tables give no rows or no hits; columns besides ids and
+texts are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,89 +33,116 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import picked, written
-from .native_text import count_words, spaced, words_of
+from .common import MAX_BROADCAST, dropped, near, picked, row_key, written
+from .native_text import number_of_words, spaced, words_of
 
 
-def _row_key() -> list[Column]:
-    """Rows of equal id and text share a key; they get equal results."""
-    return [F.coalesce(F.col("doc_id"), F.lit(-(2**63) + 1)).alias("k1"), F.xxhash64(F.coalesce("text", F.lit("")), F.col("doc_id").isNull()).alias("k2")]
+def _shingles(words: Column, size: int) -> Column:
+    """Place and hash of each run of size consecutive words."""
+    starts = F.when(F.size(words) >= size, F.sequence(F.lit(0), F.size(words) - size)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.lit(size), *[F.element_at(words, i + (k + 1)) for k in range(size)]).alias("h")))
 
 
-def _shingles(words: str, size: int) -> Column:
-    """Hashes of size consecutive words, by their start; words must be a real column, not an expression."""
-    return F.when(F.size(words) >= size, F.transform(F.sequence(F.lit(1), F.size(words) - (size - 1)), lambda i: F.xxhash64(F.lit(size), *[F.element_at(F.col(words), i + k) for k in range(size)])))
+def with_words(df: DataFrame) -> DataFrame:
+    """df with the array of words of its column text in place of that, made once (the generator keeps the optimizer from repeating it for every element)."""
+    keep = [c for c in df.columns if c != "text"]
+    return df.select(*keep, F.inline(F.array(F.struct(spaced(F.col("text")).alias("padded"))))).select(*keep, F.inline(F.array(F.struct(words_of(F.col("padded")).alias("words")))))
 
 
-def with_words(df: DataFrame, *keep) -> DataFrame:
-    """Kept columns and the array of words of text, made once (the generator keeps the optimizer from repeating it for every element)."""
-    return df.select(*keep, F.inline(F.array(F.struct(spaced(F.col("text")).alias("padded"))))).select(*[c for c in df.select(*keep).columns], F.inline(F.array(F.struct(words_of(F.col("padded")).alias("words")))))
-
-
-def benchmark_windows(benchmark: DataFrame, window: int, shingle: int) -> DataFrame:
-    """item_id, win (a hash of the window's words), n (its words), at (place of a shingle in it), size and h of the shingle."""
-    items = with_words(benchmark, "item_id").where(F.size("words") > 0)
+def benchmark_windows(benchmark: DataFrame, window: int) -> DataFrame:
+    """item_id, run (the window's words, joined by blanks), w (the words) and n (how many)."""
+    items = with_words(benchmark).where(F.size("words") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("words") - (window - 1), F.lit(1)))
     wins = items.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("words", i, window))).alias("w"))
-    wins = wins.select("item_id", "w", F.xxhash64(F.size("w"), F.col("w")).alias("win"), F.size("w").alias("n"), F.least(F.size("w"), F.lit(shingle)).alias("size"))
-    hashes = F.when(F.lit(False), F.array().cast("array<bigint>"))
+    return wins.select("item_id", F.array_join("w", " ").alias("run"), "w", F.size("w").alias("n")).distinct()
+
+
+def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    docs = picked(df, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    k1, k2 = row_key(F.col("doc_id"), F.col("text"))
+    return docs.select("doc_id", "text", k1.alias("k1"), k2.alias("k2"))
+
+
+def occurrences(docs: DataFrame, windows: DataFrame, *, shingle: int, max_broadcast: int) -> DataFrame:
+    """k1, k2, start, n and run of each window (of benchmark_windows()) that stands in a row of docs (k1, k2, text)."""
+    runs = windows.select("run", "w", "n").dropDuplicates(["run"])
+
+    # 1: how often the documents hold the benchmark's words
+    vocabulary = written(runs.select(F.explode("w").alias("word")).distinct(), "vocabulary")
+    known = near(vocabulary, F.octet_length("word") + 16, max_broadcast)
+    held = with_words(docs.select("text")).select(F.explode("words").alias("word"))
+    if known is vocabulary:  # too large to broadcast: count before the shuffle
+        held = held.groupBy("word").agg(F.count("*").alias("held")).join(vocabulary, "word")
+    else:
+        held = held.join(known, "word").groupBy("word").agg(F.count("*").alias("held"))
+    held = written(held.select("word", "held"), "held")
+
+    # 2: the rarest shingle of each window
+    counts = runs.select("run", "w", "n", F.posexplode("w").alias("at", "word")).join(held, "word")
+    counts = counts.groupBy("run", "w", "n").agg(F.array_sort(F.collect_list(F.struct("at", "held"))).alias("c")).where("size(c) = n")
+    size = F.least("n", F.lit(shingle))
+    rarity = F.transform(F.sequence(F.lit(0), F.col("n") - size), lambda i: F.struct(F.array_min(F.transform(F.slice("c", i + 1, size), lambda x: x["held"])).alias("held"), i.alias("at")))
+    chosen = counts.select("run", "w", "n", size.alias("size"), F.array_min(rarity)["at"].alias("off"))
+    hashes = F.lit(None).cast("bigint")
     for s in range(1, shingle + 1):
-        hashes = hashes.when(F.col("size") == s, _shingles("w", s))
-    return wins.select("item_id", "win", "n", "size", F.posexplode(hashes).alias("at", "h"))
-
+        hashes = F.when(F.col("size") == s, F.xxhash64(F.lit(s), *[F.element_at("w", F.col("off") + (k + 1)) for k in range(s)])).otherwise(hashes)
+    prefix = written(chosen.select(hashes.alias("h"), "size", "off", "n").distinct(), "prefix")
+    sizes = [r["size"] for r in prefix.select("size").distinct().orderBy("size").collect()]  # at most `shingle` numbers
 
-def find(documents: DataFrame, benchmark: DataFrame, *, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text", window=8, shingle=3, min_items=2, max_broadcast=1_000_000) -> DataFrame:
-    """One row for each row of documents: words, words hit, items, digest of the items, contaminated."""
-    docs = picked(documents, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    windows = written(benchmark_windows(picked(benchmark, item_id=item_col, text=item_text_col), window, shingle), "windows")
-    distinct = windows.groupBy("h").agg(F.first("size").alias("size"))
-    sizes = [r["size"] for r in windows.select("size").distinct().orderBy("size").collect()]  # at most `shingle` numbers
-    small = distinct.count() <= max_broadcast
-    near = (lambda df: F.broadcast(df)) if small else (lambda df: df)
-
-    # 1: where shingles of the benchmark stand
-    base = docs.select("doc_id", *_row_key(), "text")
-    worded = with_words(base, "k1", "k2")
-    stands = None
-    for s in sizes:
-        part = worded.where(F.size("words") >= s).select("k1", "k2", F.size("words").alias("n_words"), F.posexplode(_shingles("words", s)).alias("pos", "h"))
-        part = part.join(near(distinct.where(F.col("size") == s).select("h")), "h")
-        stands = part if stands is None else stands.unionAll(part)
-    if stands is None:
-        stands = worded.select("k1", "k2", F.size("words").alias("n_words"), F.lit(0).alias("pos"), F.lit(0).cast("long").alias("h")).where(F.lit(False)).select("h", "k1", "k2", "n_words", "pos")
-    stands = written(stands.select("k1", "k2", "n_words", "pos", "h"), "stands")
-
-    # 2: the rarest shingle of each window; one that no document holds excludes its window
-    held = stands.groupBy("h").agg(F.count("*").alias("held"))
-    ranked = windows.select("win", "n", "size", "at", "h").distinct().join(held, "h", "left")
-    prefix = ranked.groupBy("win", "n", "size").agg(F.min(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "at", "h")).alias("r"))
-    prefix = prefix.where("r.held > 0").select("win", "n", (F.col("n") - F.col("size") + 1).alias("parts"), F.col("r.at").alias("off"), F.col("r.h").alias("h"))
-
-    # 3: candidates; the same row may stand there twice, where a row is repeated
-    once = stands.distinct()
+    # 3: candidates
+    worded = with_words(docs.select("k1", "k2", "text"))
+    stands = F.concat(*[_shingles(F.col("words"), s) for s in sizes]) if sizes else F.array().cast("array<struct<pos:int,h:bigint>>")
     start = F.col("pos") - F.col("off")
-    cand = once.join(near(prefix), "h").where((start >= 0) & (start + F.col("n") <= F.col("n_words"))).select("k1", "k2", start.alias("start"), "win", "n", "parts")
+    cand = worded.select("k1", "k2", F.size("words").alias("n_words"), F.inline(stands)).join(near(prefix, 20, max_broadcast), "h")
+    cand = written(cand.where((start >= 0) & (start + F.col("n") <= F.col("n_words"))).select("k1", "k2", start.alias("start"), "n").distinct(), "candidates")
+
+    # 4: the words at the candidates' places
+    asked = written(cand.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "n")).alias("places")), "places")
+    found = docs.join(near(asked, F.size("places") * 8 + 24, max_broadcast), ["k1", "k2"])
+    found = with_words(found.select("k1", "k2", "places", "text"))
+    run = lambda x: F.struct(x["start"].alias("start"), x["n"].alias("n"), F.array_join(F.slice(F.col("words"), x["start"] + 1, x["n"]), " ").alias("run"))
+    found = found.select("k1", "k2", F.inline(F.transform("places", run)))
+    names = written(runs.select("run"), "runs")
+    sure = written(found.join(near(names, F.octet_length("run") + 16, max_broadcast), "run").select("k1", "k2", "start", "n", "run").distinct(), "occurrences")
+    dropped(vocabulary, held, prefix, cand, asked, names)
+    return sure
 
-    # 4: all shingles at their places
-    parts = windows.select("win", "at", "h").distinct()
-    needed = cand.join(near(parts), "win").select("k1", "k2", "start", "win", "n", "parts", (F.col("start") + F.col("at")).alias("pos"), "h")
-    sure = needed.join(once.select("k1", "k2", "pos", "h"), ["k1", "k2", "pos", "h"]).groupBy("k1", "k2", "start", "win", "n", "parts").agg(F.count("*").alias("met")).where("met = parts")
-    sure = written(sure.select("k1", "k2", "start", "win", "n"), "occurrences")
 
+def _by_row(sure: DataFrame, windows: DataFrame) -> DataFrame:
+    """k1, k2 and items (sorted ids, as strings) of each row with a window of an item with an id."""
+    owners = windows.where("item_id IS NOT NULL").select("run", F.col("item_id").cast("string").alias("item")).distinct()
+    return sure.select("k1", "k2", "run").distinct().join(owners, "run").groupBy("k1", "k2").agg(F.array_sort(F.collect_set("item")).alias("items"))
+
+
+def find(documents: DataFrame, benchmark: DataFrame, *, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text", window=8, shingle=3, min_items=2, max_broadcast=MAX_BROADCAST) -> DataFrame:
+    """One row for each row of documents: words, words hit, items, digest of the items, contaminated."""
+    docs = _keyed(documents, id_col, text_col)
+    windows = written(benchmark_windows(picked(benchmark, item_id=item_col, text=item_text_col), window), "windows")
+    sure = occurrences(docs, windows, shingle=shingle, max_broadcast=max_broadcast)
     spans = sure.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
     hits = spans.select("k1", "k2", F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["n"] - 1))))).cast("long").alias("n_hit"))
-    owners = windows.where("item_id IS NOT NULL").select("win", F.col("item_id").cast("string").alias("item")).distinct()
-    items = sure.select("k1", "k2", "win").distinct().join(owners, "win").groupBy("k1", "k2").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    found = hits.join(items, ["k1", "k2"], "left")
-    counted = base.select("doc_id", "k1", "k2", count_words(spaced(F.col("text"))).alias("n_words"))
-    n = F.coalesce(F.size("items"), F.lit(0)).cast("long")
-    n = F.when(F.col("items").isNull(), F.lit(0).cast("long")).otherwise(n)
-    return counted.join(found, ["k1", "k2"], "left").select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), n.alias("n_items"),
-        F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"), (n >= min_items).alias("contaminated"),
+    found = hits.join(_by_row(sure, windows), ["k1", "k2"], "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    found = written(found.select("k1", "k2", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256")), "found")
+    dropped(windows, sure)
+    counted = docs.select("doc_id", "k1", "k2", number_of_words(F.col("text")).alias("n_words"))
+    zero, n = F.lit(0).cast("long"), F.coalesce("n_items", F.lit(0).cast("long"))
+    return counted.join(near(found, 120, max_broadcast), ["k1", "k2"], "left").select(
+        "doc_id", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), n.alias("n_items"),
+        F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (n >= min_items).alias("contaminated"),
     )
 
 
+def clean(documents: DataFrame, benchmark: DataFrame, *, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text", window=8, shingle=3, min_items=2, max_broadcast=MAX_BROADCAST) -> DataFrame:
+    """documents without the rows that find() calls contaminated, all columns kept."""
+    windows = written(benchmark_windows(picked(benchmark, item_id=item_col, text=item_text_col), window), "windows")
+    sure = occurrences(_keyed(documents, id_col, text_col), windows, shingle=shingle, max_broadcast=max_broadcast)
+    gone = written(_by_row(sure, windows).where(F.size("items") >= min_items).select("k1", "k2"), "leaks")
+    dropped(windows, sure)
+    k1, k2 = row_key(documents[f"`{id_col}`"], documents[f"`{text_col}`"])
+    few = near(gone, 16, max_broadcast)
+    return documents.join(few, (k1 == few["k1"]) & (k2 == few["k2"]), "left_anti")
+
+
 def oracle(window=8, min_items=2) -> str:
     """The same rows by joining every run of words with every window."""
     words = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"

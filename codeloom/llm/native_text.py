@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Everything but digits, ASCII letters in lower case and code points from U+0080 on.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]++"  # a word of a text in whatever case
 
 
 def ascii_lower(text: Column) -> Column:
@@ -20,9 +21,14 @@ def spaced(text: Column) -> Column:
     return F.regexp_replace(F.concat(F.lit(" "), ascii_lower(F.coalesce(text, F.lit(""))), F.lit(" ")), SEPARATORS, " ")
 
 
+def number_of_words(text: Column) -> Column:
+    """The number of words of a text; null has none."""
+    return F.coalesce(F.regexp_count(text, F.lit(_WORD)), F.lit(0)).cast("long")
+
+
 def count_words(padded: Column) -> Column:
     """Number of words of a spaced() string."""
-    return (F.char_length(padded) - F.char_length(F.translate(padded, " ", "")) - 1).cast("long")
+    return (F.char_length(padded) - F.char_length(F.replace(padded, F.lit(" "), F.lit(""))) - 1).cast("long")
 
 
 def words_of(padded: Column) -> Column:

@@ -1,8 +1,14 @@
 """From raw documents to token ids: quality, line dedup, near dedup, decontamination, pieces.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept.
-All but the last return the columns of documents. Rows of a null id cannot be told
-apart, so no decision reaches them: they pass every stage.
+All but the last return the columns of documents. Decisions are made and applied row
+by row, never by id: ids may repeat or be null, and rows may repeat (near dedup then
+keeps one of them).
+
+Defined cases: null and empty texts have no words and are rejected by the first
+stage; very long texts are handled as wholes by every stage; empty tables give empty
+results; extra columns of documents pass through all stages but the last, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -11,23 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm import decontaminate, line_dedup, near_dedup, piece_codec, quality_knn
-from codeloom.llm.common import table, written
+from codeloom.llm.common import dropped, table, written
 from codeloom.llm.queries import PIECES
 
-MAX_BROADCAST = 2_000_000  # ids of 8 bytes
-
-
-def without(docs: DataFrame, ids: DataFrame, label: str) -> DataFrame:
-    """docs but for the rows with these ids: a broadcast up to MAX_BROADCAST ids, a shuffle beyond."""
-    ids = written(ids.select(F.col("doc_id").alias("_gone")).where("_gone IS NOT NULL").distinct(), label)
-    near = F.broadcast(ids) if ids.count() <= MAX_BROADCAST else ids
-    return docs.join(near, docs["doc_id"] == F.col("_gone"), "left_anti")
-
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    scores = quality_knn.score(docs, table(spark, sf_dir, "labels"))
-    return without(docs, scores.where("predicted = 0"), "rejected")
+    return quality_knn.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,14 +33,13 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (0.80 and more) the document of the smallest id stays."""
-    return without(docs, near_dedup.near_duplicates(docs, percent=80).where("NOT kept"), "copies")
+    """Of each group of near duplicates (0.80 and more) the first row stays."""
+    return near_dedup.dedup(docs, percent=80)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of any benchmark item go."""
-    found = decontaminate.find(docs, table(spark, sf_dir, "benchmark"), min_items=1)
-    return without(docs, found.where("contaminated"), "leaks")
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"), min_items=1)
 
 
 def piece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,12 +55,14 @@ STAGES = [
     ("sentencepiece encoding and decoding", piece_stage),
 ]
 
-#: The classifier, the edit join and MinHash are not expressible in SQL; tests compare the pipeline with a brute-force version.
+#: The classifier, the edit join and MinHash are not expressible in SQL; tests/llm/test_pipeline.py compares the stages with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = last = None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = written(stage(spark, table(spark, sf_dir, "documents") if docs is None else docs, sf_dir), name.replace(" ", "-"))
+        dropped(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)

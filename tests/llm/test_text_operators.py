@@ -4,6 +4,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,6 +69,43 @@ def test_quality_knn(spark):
     assert quality_knn.score(docs.where("false"), labels).collect() == []
 
 
+def test_votes_equal_a_plain_cosine_loop():
+    """Every document against every row of the bank, one cosine at a time."""
+    texts, labels = GOOD + BAD, [1] * len(GOOD) + [0] * len(BAD)
+    space = quality_knn.Space(np.stack([quality_knn.term_counts(t, 1024) for t in texts]), np.array(labels), 8, 0.3)
+    docs = ["A quick walk near the river.", "NOW!! ###7 ***", "x", "", None, GOOD[3], "a a a a a a"]
+    for t in docs:
+        counts = quality_knn.term_counts(t, 1024)
+        x = np.log1p(counts) * space.idf
+        trigrams, patterns = x[: -quality_knn.PATTERNS], x[-quality_knn.PATTERNS :]
+        unit = lambda v: v / max(float(np.sqrt((v * v).sum())), 1e-9)
+        latent = unit(np.concatenate([unit(trigrams) * np.sqrt(0.7), unit(patterns) * np.sqrt(0.3)]) @ space.axes)
+        cosines = sorted(((float(sum(p * q for p, q in zip(latent, row, strict=True))), -k) for k, row in enumerate(space.bank)), reverse=True)[:5]
+        weights = [(max(c, 1e-6) ** 4, labels[-k]) for c, k in cosines]
+        want = sum(w * y for w, y in weights) / sum(w for w, _ in weights) if t else 0
+        assert abs(float(space.vote(counts[None], 5, 4.0)[0]) - want) < 1e-4
+
+
+def test_word_patterns_match_a_plain_version():
+    kind = lambda c: 1 if "a" <= c <= "z" else 2 if "A" <= c <= "Z" else 3 if "0" <= c <= "9" else 4 if c > "\x7f" else 5 if c in ".!?" else 6 if c in ",;:" else 0
+    for text in ["One two, two THREE! \n é1 x9\ttwo", "a a a", "", " ", "one"]:
+        want, last = [0] * quality_knn.PATTERNS, 98
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        for k, w in enumerate(words):
+            code = (w in words[max(k - 3, 0) : k]) * 49 + kind(w[0]) * 7 + kind(w[-1])
+            want[((last * 99 + code) * 2654435761 % 2**32) >> 24] += 1
+            last = code
+        assert quality_knn.word_patterns(text.encode()).tolist() == want
+
+
+def test_accepted_rows_are_those_predicted_good(spark):
+    docs, labels = labelled(spark)
+    options = {"max_fit": 50, "rank": 8, "neighbours": 3}
+    want = Counter((r.doc_id for r in quality_knn.score(docs, labels, **options).collect() if r.predicted))
+    got = quality_knn.accepted(docs, labels, **options)
+    assert got.columns == docs.columns and Counter(r.doc_id for r in got.collect()) == want
+
+
 def test_labels_do_not_leak(spark):
     """Labels of held-out rows change no score."""
     docs, labels = labelled(spark)

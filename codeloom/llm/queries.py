@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import secrets
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from .common import table
 PIECES = os.environ.get("CODELOOM_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 SHARDS = [f"shard-{k:02d}" for k in range(32)]
 SLOTS = 4099
-PII_KEY = os.environ.get("CODELOOM_PII_KEY", "codeloom-test-key")
+PII_KEY = os.environ.get("CODELOOM_PII_KEY") or secrets.token_hex(16)  # without a setting a fresh key for each process: no pseudonym can be undone
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,17 +6,24 @@ links, whether it stands inside an article, and whether one of its ancestors is
 page furniture (menus, headers, footers, sidebars, forms, adverts, notices,
 reader comments, known by tag, role, class or id).
 
-First pass: furniture is bad; blocks dense in links are bad; long blocks are good
-if dense in stop words (inside an article they are good anyway); short blocks stay
+First pass: furniture is bad; outside articles, blocks dense in links are bad and long
+blocks are good if dense in stop words; inside an article long blocks are good, and
+blocks dense in links are undecided (a paragraph may be one link); short blocks stay
 undecided. Second pass: an undecided block takes the label of its nearest decided
 neighbours within the same container (ties and mixed neighbours: good inside an
 article, bad outside); with none, it is good inside an article and bad outside.
-Where a page has an article, what lies outside every article is bad.
+Where a page has an article with any text, what lies outside every article is bad.
+
+A name such as "header" in a class or id marks furniture outside articles only: inside,
+it is the headline's box. Of a <header> element inside an article the headings and
+what lies in no block of its own are text.
 
 Defined cases: null or empty html gives an empty text; cut-off pages are read as
 far as they go (an unfinished tag is dropped, open elements end with the page);
-very long pages are scanned in one linear pass; repeated rows get equal texts;
-columns besides id, url and html are not read.
+very long pages are scanned in one linear pass, however deep they nest and whatever
+end tags they lack or have too many; repeated rows get equal texts; ids and urls may
+be null; an empty table gives no rows; columns besides id, url and html are not read,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -24,6 +31,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,14 +42,15 @@ from .common import picked
 # Fixed values of the HTML standard: elements that start a block, elements without content, elements whose content is no text.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object select button canvas audio video noframes xmp".split())
+RAW = frozenset("script style textarea title noscript template iframe select button noframes xmp".split())
 FURNITURE = frozenset("nav footer aside form menu dialog head".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banners?|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscri\w*|signup|login|"
-    r"side-?bar|menus?|nav\w*|breadcrumbs?|pagination|pager|footer|header|masthead|toolbar|comments?|commentlist|disqus|replies|respond|share|sharing|social|related|recommend\w*|widgets?)(?=$|[\s_-])",
+    r"side-?bar|menus?|nav\w*|breadcrumbs?|pagination|pager|footer|toolbar|comments?|commentlist|disqus|replies|respond|share|sharing|social|related|recommend\w*|widgets?)(?=$|[\s_-])",
     re.I,
 )
+_HEADER = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?=$|[\s_-])", re.I)  # furniture outside articles
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 # Frequent function words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
@@ -55,41 +64,92 @@ _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?
 _ENDS = {"p": BLOCKS - {"body", "html"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 
 
-def is_furniture(tag: str, attributes: str) -> bool:
-    if tag in FURNITURE:
+def is_furniture(tag: str, attributes: str, inside: bool) -> bool:
+    if tag in FURNITURE or tag == "header" and not inside:
         return True
     if not attributes.strip() or tag in ("article", "main", "body", "html"):
         return False
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
-        if name in ("class", "id") and _NAMES.search(value) or name == "role" and value.lower() in _ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
+        if name in ("class", "id"):
+            if _NAMES.search(value) or not inside and _HEADER.search(value):
+                return True
+        elif name == "role" and value.lower() in _ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True
     return False
 
 
+class Open(NamedTuple):
+    """An open element; blocks counts the block elements among those open up to it, headers those of articles."""
+
+    tag: str
+    bad: bool
+    box: int
+    inside: bool
+    blocks: int
+    headers: int
+
+
+class Stack:
+    """Open elements, with the places of each tag and of the blocks, so that no look-up walks down the stack."""
+
+    def __init__(self):
+        self.open = [Open("", False, 0, False, 0, 0)]
+        self.places: dict[str, list[int]] = {}
+        self.blocks = [0]
+
+    @property
+    def top(self) -> Open:
+        return self.open[-1]
+
+    def push(self, tag: str, bad: bool, box: int, inside: bool) -> None:
+        block = tag in BLOCKS
+        self.places.setdefault(tag, []).append(len(self.open))
+        if block:
+            self.blocks.append(len(self.open))
+        self.open.append(Open(tag, bad, box, inside, self.top.blocks + block, self.top.headers + (tag == "header" and inside)))
+
+    def close(self, at: int) -> None:
+        while len(self.open) > at:
+            tag = self.open.pop().tag
+            self.places[tag].pop()
+            if tag in BLOCKS:
+                self.blocks.pop()
+
+    def last(self, tag: str) -> int:
+        """Place of the last open element of that tag, 0 if there is none."""
+        at = self.places.get(tag)
+        return at[-1] if at else 0
+
+    def begin(self, tag: str) -> None:
+        """What a start tag ends: a block that cannot hold it, with the inline elements in that."""
+        while tag in _ENDS.get(self.open[self.blocks[-1]].tag, ()):
+            self.close(self.blocks[-1])
+
+    def end(self, tag: str) -> None:
+        """An end tag: it closes its element unless blocks (for p and inline elements) or an article lie between."""
+        at = self.last(tag)
+        if not at or (tag == "p" or tag not in BLOCKS) and self.top.blocks > self.open[at].blocks:
+            return
+        if self.last("article") > at and tag not in ("body", "html", "main"):
+            return
+        self.close(at)
+
+
 def blocks_of(page: str) -> list[tuple[str, int, int, bool, bool]]:
     """(text, characters inside links, container, inside an article, furniture) of each block with text."""
     out: list[tuple[str, int, int, bool, bool]] = []
-    stack: list[tuple[str, bool, int, bool]] = []  # tag, furniture, container, in article
+    stack, containers = Stack(), 0
     parts: list[str] = []
-    linked = links = 0
-    containers = 0
+    linked: list[str] = []
+    plain = lambda parts: " ".join(entities.unescape("".join(parts)).split())
 
     def flush() -> None:
-        nonlocal linked
-        if parts:
-            text = " ".join(entities.unescape("".join(parts)).split())
-            if text:
-                _, bad, box, inside = stack[-1] if stack else ("", False, 0, False)
-                out.append((text, linked, box, inside, bad))
-            parts.clear()
-        linked = 0
-
-    def close(upto: int) -> None:
-        nonlocal links
-        for tag, *_ in stack[upto:]:
-            links -= tag == "a"
-        del stack[upto:]
+        if parts and (text := plain(parts)):
+            top = stack.top
+            out.append((text, len(plain(linked)), top.box, top.inside, top.bad))
+        parts.clear()
+        linked.clear()
 
     at, size = 0, len(page)
     while at < size:
@@ -99,8 +159,8 @@ def blocks_of(page: str) -> list[tuple[str, int, int, bool, bool]]:
             text = text[: cut.start()]
         if text:
             parts.append(text)
-            if links:
-                linked += len(text.strip())
+            if stack.places.get("a"):
+                linked.append(text)
         if m is None:
             break
         at = m.end()
@@ -110,15 +170,7 @@ def blocks_of(page: str) -> list[tuple[str, int, int, bool, bool]]:
         if m[1]:
             if tag in BLOCKS:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    if tag not in BLOCKS and any(x[0] in BLOCKS for x in stack[k + 1 :]):
-                        break  # a stray inline end tag does not close blocks
-                    close(k)
-                    break
-                if tag == "p" or stack[k][0] == "article":
-                    if tag == "p" or tag not in ("body", "html", "main"):
-                        break
+            stack.end(tag)
             continue
         if tag in RAW:
             parts.append(" ")
@@ -130,26 +182,19 @@ def blocks_of(page: str) -> list[tuple[str, int, int, bool, bool]]:
             continue
         if tag in BLOCKS:
             flush()
-            if stack and tag in _ENDS.get(stack[-1][0], ()):
-                close(len(stack) - 1)
-            elif tag in BLOCKS:
-                while stack and stack[-1][0] not in BLOCKS:  # unclosed inline elements end with their block
-                    close(len(stack) - 1)
-                if stack and tag in _ENDS.get(stack[-1][0], ()):
-                    close(len(stack) - 1)
-        if tag in VOID or m[3].rstrip().endswith("/"):
+            stack.begin(tag)
+        elif tag == "a":
+            stack.end("a")
+        if tag in VOID or m[3].rstrip().endswith("/") and tag not in BLOCKS:
             continue
-        _, bad, box, inside = stack[-1] if stack else ("", False, 0, False)
+        _, bad, box, inside, _, headers = stack.top
         if tag in ("article", "main"):
             containers += 1
             box, inside = containers, True
-        elif tag == "header":
-            bad = bad or not inside
-        bad = bad or is_furniture(tag, m[3])
-        if inside and not bad and any(x[0] == "header" for x in stack) and tag in BLOCKS - HEADINGS - {"hgroup", "div", "section"}:
+        bad = bad or is_furniture(tag, m[3], inside)
+        if headers and tag in BLOCKS - HEADINGS - {"hgroup", "div", "section"}:
             bad = True  # of a header inside an article only the headline is text
-        stack.append((tag, bad, box, inside))
-        links += tag == "a"
+        stack.push(tag, bad, box, inside)
     flush()
     return out
 
@@ -161,9 +206,10 @@ def main_text(page: str | None, min_words=10, max_link_density=0.5, min_stop_den
     labels: list[bool | None] = []
     for text, linked, _, inside, bad in blocks:
         words = text.split()
-        if bad or has_article and not inside or linked > max_link_density * len(text):
+        dense = linked > max_link_density * len(text)
+        if bad or has_article and not inside or dense and not inside:
             labels.append(False)
-        elif len(words) >= min_words:
+        elif len(words) >= min_words and not dense:
             labels.append(True if inside else sum(w.lower().strip(".,;:!?") in STOP_WORDS for w in words) >= min_stop_density * len(words))
         else:
             labels.append(None)
@@ -194,7 +240,7 @@ def extract(pages: DataFrame, *, id_col="page_id", url_col="url", html_col="html
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(h, **rules) for h in b.column("html").to_pylist()]
+            texts = [main_text(h.as_py(), **rules) for h in b.column("html")]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     rows = picked(pages, page_id=id_col, url=url_col, html=html_col).withColumns({"page_id": F.col("page_id").cast("long"), "url": F.col("url").cast("string")})

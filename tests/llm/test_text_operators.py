@@ -1,6 +1,8 @@
 """Operators 1, 2, 3, 8, 9 and 10 on small cases: nulls, empty and long texts, ties, repeated rows, empty tables, extra columns."""
 
+import random
 import re
+import time
 import zlib
 from collections import Counter
 from datetime import date, datetime, timedelta
@@ -187,6 +189,58 @@ def test_html_text(spark):
     assert html_text.extract(pages.where("false")).collect() == []
 
 
+def made_page(rng):
+    """A page made from its text: (html, the blocks that are its main text)."""
+    words = lambda n: " ".join(rng.choice(["the", "of", "und", "la", "bird", "stone", "river", "walks", "R&D", "x<y", "caf\u00e9"]) for _ in range(n))
+    coded = lambda t: t.replace("&", "&amp;").replace("<", "&#60;")
+    text = []
+
+    def kept(t, form):
+        text.append(" ".join(t.split()))
+        return form.format(coded(t))
+
+    def piece(depth=0):
+        k, t = rng.randrange(15), words(rng.choice([1, 4, 30]))
+        if k < 4:
+            return kept(t, rng.choice(["<p>{}</p>", "<p>{}", "<p><b>{}</p>", "<p>\n {}  </p>", "<h2>{}</h2>", "<blockquote>{}</blockquote>", "<pre>{}</pre>"]))
+        if k == 4:
+            return kept(t, "<p><a href='/x>y'>{}</a></p>")
+        if k == 5:
+            return f"<div class='{rng.choice(['article-header', 'page header', 'masthead'])}'>{kept(words(5), '<h1>{}</h1>')}</div>"
+        if k == 6:
+            return kept(t + " a = b", "<p><math><mi>{}</mi></math></p>")
+        if k == 7:
+            return "<ul>" + "".join(kept(words(3), "<li>{}") for _ in range(3)) + "</ul>"
+        if k == 8:
+            return rng.choice(["<div class=ad>{}</div>", "<form>{}</form>", "<aside><p>{}</p></aside>", "<div id='comments'><p>{}</p></div>", "<script>{}</script>", "<!-- {} -->", "<style>{}</style>", "<nav><ul><li><a>{}</a></ul></nav>", "<div class='cookie-notice'>{}</div>"]).format(coded(words(12)))
+        if k == 9:
+            return rng.choice(["</p>", "</b>", "</section>", "</i></em>"])
+        if k == 10 and depth < 4:
+            return "<div><section>" + "".join(piece(depth + 1) for _ in range(3)) + "</section></div>"
+        return kept(t, "<p>{}</p>")
+
+    inner = kept("the first", "<p>{}</p>") + "".join(piece() for _ in range(rng.randrange(1, 12)))
+    outer = lambda: rng.choice(["<nav><a href=1>Home</a></nav>", "<header><h1>Site of birds</h1></header>", "<div class='site-header'>The site</div>", "<footer>&copy; the site</footer>", "<div class=sidebar><p>The of la und the of la und the of la</p></div>", "<p>The of la und the of la und the of la und</p>", ""])
+    return f"<html><head><title>t</title></head><body>{outer()}{outer()}<article>{inner}</article>{outer()}</body></html>", "\n".join(t for t in text if t)
+
+
+def test_pages_give_the_text_they_were_made_of():
+    rng = random.Random(11)
+    for _ in range(3000):
+        page, text = made_page(rng)
+        assert html_text.main_text(page) == text, page
+
+
+@pytest.mark.parametrize("part", ["<div>x</b>", "<b><div>x</b>", "<div></p>", "<p><a href=1>x", "<div class=header>", "<li></ul>", "<header></x>", "<article></div>", "a<b", "<!--", "&amp;<p title='"])
+def test_nested_pages_take_linear_time(part):
+    took = []
+    for n in (5_000, 40_000):
+        began = time.perf_counter()
+        html_text.main_text("<article>" + part * n)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 30 * took[0] + 0.5
+
+
 def luhn(s):
     return sum(sum(divmod(int(c) * 2, 10)) if k % 2 else int(c) for k, c in enumerate(reversed(s))) % 10 == 0
 

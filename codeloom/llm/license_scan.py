@@ -92,7 +92,8 @@ def scan(documents: DataFrame, *, id_col="doc_id", text_col="text", templates=TE
 
     # One row for each document, with what the base asks for. The row number is made in the scan's own stage and used in this one plan only.
     rows = picked(documents, doc_id=id_col, text=text_col).select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.inline(F.array(F.struct(spaced(F.col("text")).alias("padded")))))
-    rows = rows.withColumn("words", F.when(F.col("padded").rlike("[a-z0-9]"), words_of(F.col("padded"))))
+    plain = all(re.search("[a-z0-9]", w) for w in vocabulary)  # then a text without such characters holds no word of the templates
+    rows = rows.withColumn("words", F.when(F.col("padded").rlike("[a-z0-9]"), words_of(F.col("padded"))) if plain else words_of(F.col("padded")))
     phrase = " (?=(?:" + "|".join(PHRASES) + ") )"
     named = F.col("padded").contains(" license ")
     parts = F.when(named, F.split("padded", phrase))

@@ -10,8 +10,9 @@ max-plus product, and a giant document need not be read in one go:
    the longest piece on either side;
 2. each chunk yields the matrix of best weights from the pieces that may cover its
    left edge to those that may cover its right edge (boundary states);
-3. the matrices are combined associatively along each document, which fixes the
-   state at every edge;
+3. the matrices of a document are multiplied in pairs of neighbours, in rounds, up to
+   one matrix for the whole (the product is associative); from its two ends the state
+   at every edge is then found on the way back down;
 4. each chunk is backtraced on its own from its two edge states.
 
 Where a chunk has places that no piece can span (before a word mark that follows
@@ -24,9 +25,12 @@ The vocabulary file's path is a parameter; files are read once per worker from t
 path, or shipped as bytes (a vocabulary, not data: about 0.5 MB).
 
 Defined cases: a null text has null pieces and decodes to null; an empty text has
-none and decodes to the empty text; the word mark U+2581 in a text is encoded as
-its three bytes, so decode(encode(t)) equals t for every text; ids outside the
-vocabulary make decode raise ValueError; repeated rows are encoded alike; a null id is kept.
+none and decodes to the empty text; the word mark U+2581 in a text, of whatever
+length, is encoded as its three bytes (it is a piece of its own, told apart from the
+marks that stand for blanks), so decode(encode(t)) equals t for every text; ids outside
+the vocabulary make decode raise ValueError, and a text without a path LatticeError;
+repeated rows are encoded alike; a null id is kept; an empty table gives no rows;
+columns besides id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -45,7 +49,13 @@ from pyspark.sql import types as T
 from .common import picked
 
 MARK = "▁"
+BARE = "\ud800"  # stands for a word mark of the text itself; no text can hold a lone surrogate
 _CUT = re.compile(r"(?<=[^ ▁]) (?=[^ ▁])")
+_EDGE = re.compile(f"(?<=[^{MARK}{BARE}]){MARK}(?=[^{MARK}{BARE}])")
+
+
+class LatticeError(ValueError):
+    """No sequence of pieces leads from one end of a text to the other."""
 
 
 class Codec:
@@ -64,8 +74,8 @@ class Codec:
         self.rank = {p: -self.library.get_score(i) for p, i in self.ids.items()}
         self.spelt = [bytes([self.byte_of[i]]) if i in self.byte_of else p.replace(MARK, " ").encode() if p in self.ids else None for i, p in enumerate(self.pieces)]
         self.longest = max(map(len, self.ids))
-        self.fits = lru_cache(1 << 18)(self._fits)
-        self.whole = lru_cache(1 << 18)(self._whole)
+        self.fits = lru_cache(1 << 15)(self._fits)
+        self.whole = lru_cache(1 << 15)(self._whole)
 
     # -- exact rule on short strings
     def merged(self, text: str) -> list[str]:
@@ -119,11 +129,18 @@ class Codec:
         return out[::-1]
 
     # -- whole texts
-    def escaped(self, text: str) -> str:
-        return text.replace(" ", MARK)
+    @staticmethod
+    def escaped(text: str) -> str:
+        return text.replace(MARK, BARE).replace(" ", MARK)
+
+    @staticmethod
+    def plain(full: str) -> str:
+        return full.replace(MARK, " ").replace(BARE, MARK)
 
     def to_ids(self, piece: str) -> list[int]:
-        return [self.ids[piece]] if piece in self.ids else [self.bytes[b] for b in piece.encode()]
+        if piece in self.ids:
+            return [self.ids[piece]]
+        return [self.bytes[b] for b in (MARK if piece == BARE else piece).encode()]
 
     def encode(self, text: str) -> list[int]:
         """As the library encodes it; a word mark in the text itself becomes bytes."""
@@ -145,13 +162,16 @@ class Codec:
         return out
 
     def inner(self, text: str) -> list[int]:
-        """A part that does not begin the text: without the leading mark that the library adds."""
-        full = self.escaped(text)
-        return [i for s, e in self._route(full) for i in self.to_ids(full[s:e])]
+        """A part that does not begin the text: without the leading mark that the library adds. What follows the first place that no piece spans has a mark of its own."""
+        cut = _CUT.search(text)
+        full = self.escaped(text[: cut.start()] if cut else text)
+        return [i for s, e in self._route(full) for i in self.to_ids(full[s:e])] + (self.encode(text[cut.end() :]) if cut else [])
 
     def _route(self, full: str) -> list[tuple[int, int]]:
         came = self.paths(full, (0, 0), len(full))
         ends = [s for s in came if s[1] == len(full) and s != (0, 0)]
+        if full and not ends:
+            raise LatticeError("a text has no path through its pieces")
         return self.back(came, ends[0])[1:] if ends else []
 
     def decode(self, ids: list[int]) -> str:
@@ -164,7 +184,7 @@ class Codec:
         return text[1:] if text.startswith(" ") and ids[0] not in self.byte_of else text
 
 
-# A chunk is (left margin + body + right margin) of the text with word marks, and the lengths of both margins.
+# A chunk is (left margin + body + right margin) of the escaped text, and the lengths of both margins.
 def chunk_matrix(c: Codec, text: str, left: int, right: int) -> list[list[int]]:
     """Rows (start, end, start, end), relative to the chunk's edges: from that left state that right state can be reached."""
     stop = len(text) - right
@@ -188,11 +208,11 @@ def _cuts(c: Codec, text: str, left: int, stop: int) -> list[int]:
     """First and last place inside the chunk that no piece spans: before a mark that follows another character."""
     lo, hi = left + c.longest, stop - c.longest
     found = []
-    first = re.compile(f"(?<=[^{MARK}]){MARK}(?=[^{MARK}])").search(text, lo, hi)
+    first = _EDGE.search(text, lo, hi)
     if first:
         found.append(first.start())
         for at in range(hi - 1, first.start(), -1):
-            if text[at] == MARK and text[at - 1] != MARK and text[at + 1] != MARK:
+            if text[at] == MARK and not {text[at - 1], text[at + 1]} & {MARK, BARE}:
                 found.append(at)
                 break
     return found
@@ -206,7 +226,7 @@ def chunk_ids(c: Codec, text: str, left: int, right: int, a: list[int], b: list[
     if cuts:
         head = c.paths(text, start, cuts[0])
         states = c.back(head, next(s for s in head if s[1] == cuts[0]))[1:]
-        inner = c.library.encode(text[cuts[0] + 1 : cuts[-1]].replace(MARK, " ")) if cuts[-1] > cuts[0] else []
+        inner = c.encode(c.plain(text[cuts[0] + 1 : cuts[-1]])) if cuts[-1] > cuts[0] else []
         tail = c.back(c.paths(text, (cuts[-1], cuts[-1]), stop), end)[1:]
     else:
         states, inner, tail = c.back(c.paths(text, start, stop), end)[1:], [], []
@@ -214,25 +234,38 @@ def chunk_ids(c: Codec, text: str, left: int, right: int, a: list[int], b: list[
     return spell(states) + inner + spell(tail)
 
 
-def combined(matrices: list[list[list[int]]]) -> list[list[int]]:
-    """The state at each edge, from the product of the chunks' matrices: prefix products left to right, then the states right to left."""
-    reached, steps = {(0, 0)}, []
-    for m in matrices:
-        step = {}
-        for a, b, x, y in m:
-            if (a, b) in reached:
-                step[(x, y)] = (a, b)
-        steps.append(step)
-        reached = set(step)
-    state = next(iter(sorted(reached)))
-    out = [state]
-    for step in reversed(steps):
-        state = step[state]
-        out.append(state)
-    return [list(s) for s in reversed(out)]
-
-
-@lru_cache(4)
+State = tuple[int, int]
+Matrix = dict[State, set[State]]  # the entries that are not minus infinity: left state to right states
+
+
+def product(first: Matrix, second: Matrix) -> Matrix:
+    """The max-plus product of two neighbouring stretches; associative."""
+    return {a: to for a, mids in first.items() if (to := set().union(*(second.get(m, ()) for m in mids)))}
+
+
+def combined(matrices: list[Matrix]) -> list[State]:
+    """The state at each edge of a text, the left end (0, 0) first."""
+    levels = [matrices]
+    while len(levels[-1]) > 1:
+        m = levels[-1]
+        levels.append([product(m[k], m[k + 1]) if k + 1 < len(m) else m[k] for k in range(0, len(m), 2)])
+    ends = levels[-1][0].get((0, 0))
+    if not ends:
+        raise LatticeError("a text has no path through its pieces")
+    spans = [((0, 0), min(ends))]
+    for m in reversed(levels[:-1]):
+        below = []
+        for k, (a, b) in enumerate(spans):
+            if 2 * k + 1 < len(m):
+                mid = min(s for s in m[2 * k][a] if b in m[2 * k + 1].get(s, ()))
+                below += [(a, mid), (mid, b)]
+            else:
+                below.append((a, b))
+        spans = below
+    return [(0, 0), *(b for _, b in spans)]
+
+
+@lru_cache(2)
 def codec(model: bytes) -> Codec:
     return Codec(model)
 
@@ -242,21 +275,39 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
-def encode(df: DataFrame, model: bytes, *, id_col="doc_id", text_col="text", giant_chars=65536, chunk_chars=16384) -> DataFrame:
-    """doc_id and ids (array<int>) for each row of df."""
+_IDS = "doc_id long, ids array<int>"
+
+
+def _decoded(c: Codec, ids: list | None) -> str | None:
+    return None if ids is None else sha256(c.decode(ids).encode()).hexdigest()
+
+
+def encode(df: DataFrame, model: bytes, *, id_col="doc_id", text_col="text", giant_chars=65536, chunk_chars=16384, digest=False) -> DataFrame:
+    """doc_id and ids (array<int>) for each row of df; with digest also text_sha256, of the text that the ids decode to."""
     rows = picked(df, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    giant = (F.length("text") > giant_chars) & ~F.col("text").contains(MARK)
+    giant = F.length("text") > giant_chars
+    names = ["doc_id", "ids", "text_sha256"][: 2 + digest]
+    schema = _IDS + ", text_sha256 string" * digest
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
-                got = [None if t is None else np.array(c.encode(t), dtype=np.int32) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(got, pa.list_(pa.int32()))], ["doc_id", "ids"])
+                got = [None if t is None else c.encode(t) for t in part.column("text").to_pylist()]
+                proof = [pa.array([_decoded(c, i) for i in got], pa.string())] if digest else []
+                got = [None if i is None else np.array(i, dtype=np.int32) for i in got]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(got, pa.list_(pa.int32())), *proof], names)
+
+    def proven(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(model)
+        for b in batches:
+            got = [_decoded(c, i.as_py()) for i in b.column("ids")]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.string())], names)
 
-    small = rows.where(F.coalesce(~giant, F.lit(True))).mapInArrow(whole, "doc_id long, ids array<int>")
-    return small.unionByName(_encode_giants(rows.where(giant), model, chunk_chars))
+    small = rows.where(F.coalesce(~giant, F.lit(True))).mapInArrow(whole, schema)
+    giants = _encode_giants(rows.where(giant), model, chunk_chars)
+    return small.unionByName(giants.mapInArrow(proven, schema) if digest else giants)
 
 
 def _encode_giants(rows: DataFrame, model: bytes, chunk_chars: int) -> DataFrame:
@@ -264,7 +315,8 @@ def _encode_giants(rows: DataFrame, model: bytes, chunk_chars: int) -> DataFrame
     margin = c.longest
     # Equal giant texts of one id are encoded once and joined back, so the key of a chunk is unique without a generated row number.
     keyed = rows.withColumn("key", F.sha2(F.col("text"), 256))
-    marked = keyed.dropDuplicates(["key"]).select("key", F.concat(F.lit(MARK), F.translate("text", " ", MARK)).alias("full"))
+    dummy = F.when(F.col("text").startswith(MARK), "").otherwise(" ")  # what the library puts first
+    marked = keyed.dropDuplicates(["key"]).select("key", F.concat(dummy, F.col("text")).alias("full"))
     n = F.length("full")
     part = F.posexplode(F.sequence(F.lit(0), F.floor((n - 1) / chunk_chars).cast("int"))).alias("chunk", "_")
     lo = F.col("chunk") * chunk_chars
@@ -278,7 +330,7 @@ def _encode_giants(rows: DataFrame, model: bytes, chunk_chars: int) -> DataFrame
         c = codec(model)
         for b in batches:
             d = b.to_pydict()
-            m = [[tuple(x) for x in chunk_matrix(c, t, p, q)] for t, p, q in zip(d["body"], d["left"], d["right"], strict=True)]
+            m = [[tuple(x) for x in chunk_matrix(c, c.escaped(t), p, q)] for t, p, q in zip(d["body"], d["left"], d["right"], strict=True)]
             m = [[dict(zip("abxy", x, strict=True)) for x in y] for y in m]
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("chunk"), pa.array(m, pa.list_(pa.struct([(k, pa.int32()) for k in "abxy"])))], ["key", "chunk", "m"])
 
@@ -286,14 +338,18 @@ def _encode_giants(rows: DataFrame, model: bytes, chunk_chars: int) -> DataFrame
         for b in batches:
             for key, ms in zip(b.column("key").to_pylist(), b.column("ms").to_pylist(), strict=True):
                 ms.sort(key=lambda x: x["chunk"])
-                got = combined([[[x[k] for k in "abxy"] for x in m["m"]] for m in ms])
+                matrices: list[Matrix] = [{} for _ in ms]
+                for to, m in zip(matrices, ms, strict=True):
+                    for x in m["m"]:
+                        to.setdefault((x["a"], x["b"]), set()).add((x["x"], x["y"]))
+                got = [list(s) for s in combined(matrices)]
                 yield pa.RecordBatch.from_arrays([pa.array([key] * len(ms)), pa.array(range(len(ms)), pa.int32()), pa.array(got[:-1], pa.list_(pa.int32())), pa.array(got[1:], pa.list_(pa.int32()))], ["key", "chunk", "a", "b"])
 
     def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
         for b in batches:
             d = b.to_pydict()
-            got = [chunk_ids(c, t, p, q, x, y) for t, p, q, x, y in zip(d["body"], d["left"], d["right"], d["a"], d["b"], strict=True)]
+            got = [chunk_ids(c, c.escaped(t), p, q, x, y) for t, p, q, x, y in zip(d["body"], d["left"], d["right"], d["a"], d["b"], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("chunk"), pa.array(got, pa.list_(pa.int32()))], ["key", "chunk", "ids"])
 
     per_chunk = chunks.mapInArrow(matrices, "key string, chunk int, m array<struct<a:int,b:int,x:int,y:int>>")
@@ -321,15 +377,5 @@ def decode(df: DataFrame, model: bytes, *, id_col="doc_id", ids_col="ids") -> Da
 
 def round_trip(df: DataFrame, model: bytes, *, id_col="doc_id", text_col="text", **sizes) -> DataFrame:
     """doc_id, n_pieces, ids, and text_sha256 of the text that the ids decode to."""
-    coded = encode(df, model, id_col=id_col, text_col=text_col, **sizes)
-
-    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(model)
-        for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
-                got = [None if i is None else sha256(c.decode(i).encode()).hexdigest() for i in part.column("ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.string())], ["doc_id", "ids", "text_sha256"])
-
-    out = coded.mapInArrow(both, "doc_id long, ids array<int>, text_sha256 string")
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "text_sha256")
+    coded = encode(df, model, id_col=id_col, text_col=text_col, digest=True, **sizes)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "text_sha256")

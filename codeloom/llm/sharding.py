@@ -11,7 +11,8 @@ placement is one narrow pass without a shuffle, whatever the distribution of key
 
 Defined cases: a null key goes to the slot of the empty string; equal keys
 (repeated rows) go to the same shard; an empty table gives no rows; without shards
-or with fewer slots than shards a ValueError is raised.
+or with fewer slots than shards a ValueError is raised; a column of df that has the
+name of one to be added is a ValueError that tells how to name it otherwise.
 """
 
 from __future__ import annotations
@@ -69,9 +70,19 @@ def place(df: DataFrame, key_col: str, shards: list[str], slots: int = 4099, *,
     return slotted.join(F.broadcast(owner), names[0]).select(*[slotted[f"`{c}`"] for c in df.columns], *names)
 
 
-def write_shards(df: DataFrame, key_col: str, shards: list[str], path: str, slots: int = 4099, files: int = 1) -> None:
-    """One folder for each shard. Rows are dealt by slot and a salt of their content, so a shard is written by several tasks."""
-    placed = place(df, key_col, shards, slots, prefix="_")
-    salt = F.pmod(F.xxhash64(*[F.to_json(F.struct(placed[f"`{c}`"])) for c in df.columns]), F.lit(files))
-    dealt = placed.withColumn("_salt", salt).repartition(len(shards) * files, "_shard", "_salt")
-    dealt.drop("_slot", "_salt").withColumnRenamed("_shard", "shard").write.partitionBy("shard").parquet(path)
+def write_shards(df: DataFrame, key_col: str, shards: list[str], path: str, slots: int = 4099, files: int = 1, *, shard_col: str = "shard") -> None:
+    """One folder for each shard, named by shard_col (a ValueError where df has such a column); the rows' own columns are in the files.
+
+    Rows are dealt by slot and a salt of their content and of the partition they are read in, so a shard, and a row
+    that stands in many places, is written by several tasks, and a task that is run again deals alike.
+    """
+    if shard_col in df.columns:
+        raise ValueError(f"df has a column {shard_col}; name another shard_col")
+    own = "_"
+    while any(c.startswith(own) for c in df.columns):
+        own += "_"
+    placed = place(df, key_col, shards, slots, prefix=own)
+    content = F.xxhash64(*[F.to_json(F.struct(placed[f"`{c}`"])) for c in df.columns])
+    salted = placed.withColumn(f"{own}salt", F.pmod(content + F.spark_partition_id(), F.lit(files)))
+    dealt = salted.repartition(len(shards) * files, f"{own}shard", f"{own}salt")
+    dealt.drop(f"{own}slot", f"{own}salt").withColumnRenamed(f"{own}shard", shard_col).write.partitionBy(shard_col).parquet(path)

@@ -256,6 +256,8 @@ def test_license_scan(spark):
     assert (by[2].n_base, by[2].first_word, by[2].last_word, by[2].base_labels) == (4, 0, 6, "apache,mit")
     assert by[7].labels == "mit" and by[7].score == 1.0 and by[8].labels == "mit" and by[9].labels == "" and by[1].first_word == 3
     assert license_scan.scan(frame(spark, [])).collect() == []
+    greek = [("greek", "Άδεια χρήσης αυτού του λογισμικού"), ("mit", "plain words of a template")]
+    assert [r.labels for r in license_scan.scan(frame(spark, [(1, greek[0][1]), (2, greek[1][1]), (3, "Άδεια")]), templates=greek).orderBy("doc_id").collect()] == ["greek", "mit", ""]
 
 
 def test_pipeline_stages_chain(spark, tmp_path):

@@ -1,5 +1,6 @@
 """Operators 1, 2, 3, 8, 9 and 10 on small cases: nulls, empty and long texts, ties, repeated rows, empty tables, extra columns."""
 
+import math
 import random
 import re
 import time
@@ -60,6 +61,32 @@ def test_quality_rules(spark):
     assert quality_rules.assess(docs.where("false"), labels).collect() == []
 
 
+def test_isolation_scores_equal_a_plain_walk():
+    """Each row walks down each tree, one node at a time; the threshold is found by trying every cut."""
+    rng = np.random.default_rng(3)
+    rows = np.vstack([rng.normal(0, 1, (80, 4)), rng.normal(6, 1, (4, 4))])
+    forest = quality_rules.IsolationForest(rows, 20, 32, 5)
+    expected = lambda n: 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
+    for row, got in zip(rows, forest.score(rows), strict=True):
+        lengths = []
+        for tree in range(20):
+            at = 0
+            while np.isfinite(forest.split[tree, at]):
+                at = forest.child[tree, at, int(row[forest.feature[tree, at]] > forest.split[tree, at])]
+            lengths.append(forest.path[tree, at])
+        assert abs(got - 2 ** (-np.mean(lengths) / expected(32))) < 1e-9
+    good, bad = forest.score(rows[:80]), forest.score(rows[80:])
+    assert bad.min() > np.median(good)
+    best = max((np.mean(bad > c), c) for c in [*good, *bad] if np.mean(good > c) <= 0.05)
+    assert quality_rules.calibrated(good, bad, 0.05) == best[1]
+
+
+def test_repeats_of_many_distinct_words():
+    words = [str(k).encode() for k in range(50_000)]
+    assert quality_rules.repeated_positions([*words, *words[7:10], b"x"]) == 6
+    assert quality_rules.repeated_positions(words) == 0
+
+
 def test_quality_knn(spark):
     docs, labels = labelled(spark)
     got = quality_knn.score(docs, labels, max_fit=50, rank=8, neighbours=3).collect()
@@ -141,6 +168,41 @@ def test_pieces_equal_the_library_and_round_trip(spark):
         c.decode([10**6])
 
 
+def test_giants_with_bare_marks_take_the_chunks(spark):
+    """A word mark of the text itself, at chunk edges and beside blanks, in texts that are split."""
+    model = piece_codec.read_model(PIECES)
+    c = piece_codec.codec(model)
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["the ", "▁", " ", "bird", " ▁", "▁ ", "río", "\n", "x ", "of the river "]) for _ in range(rng.randrange(60, 120))) for _ in range(40)]
+    texts += ["▁" * 300, "▁ " * 200, "▁start " + "word " * 80, "word▁" * 90, " ▁" + "a" * 300]
+    sizes = {"giant_chars": 100, "chunk_chars": 60}
+    got = {r.doc_id: r for r in piece_codec.round_trip(documents(spark, list(enumerate(texts))), model, **sizes).collect()}
+    for k, t in enumerate(texts):
+        assert c.decode(got[k].ids) == t and got[k].text_sha256 == sha256(t.encode()).hexdigest()
+        assert got[k].ids == c.encode(t)
+
+
+def test_products_are_associative_and_fix_every_edge():
+    rng = random.Random(2)
+    states = [(a, b) for a in range(3) for b in range(3)]
+    some = lambda: {s: {t for t in states if rng.random() < 0.3} for s in states if rng.random() < 0.8}
+    clean = lambda m: {k: v for k, v in m.items() if v}
+    for _ in range(200):
+        a, b, d = some(), some(), some()
+        assert clean(piece_codec.product(piece_codec.product(a, b), d)) == clean(piece_codec.product(a, piece_codec.product(b, d)))
+    for n in range(1, 12):
+        chain = [some() for _ in range(n)]
+        reached = {(0, 0)}
+        for m in chain:
+            reached = {t for s in reached for t in m.get(s, ())}
+        if reached:
+            edges = piece_codec.combined(chain)
+            assert len(edges) == n + 1 and all(y in m[x] for m, x, y in zip(chain, edges[:-1], edges[1:], strict=True))
+        else:
+            with pytest.raises(piece_codec.LatticeError):
+                piece_codec.combined(chain)
+
+
 def test_sharding(spark):
     shards = [f"s{k}" for k in range(7)]
     owners = sharding.lookup_table(shards, 101)
@@ -163,6 +225,12 @@ def test_shards_are_written_whole(spark, tmp_path):
     docs = documents(spark)
     sharding.write_shards(docs, "doc_id", ["a", "b"], str(tmp_path / "out"), 11, files=2)
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(TEXTS)
+    clash = docs.withColumns({"shard": F.lit(1), "_salt": F.lit(2), "__slot": F.lit(3)})
+    with pytest.raises(ValueError):
+        sharding.write_shards(clash, "doc_id", ["a", "b"], str(tmp_path / "no"), 11)
+    sharding.write_shards(clash, "doc_id", ["a", "b"], str(tmp_path / "named"), 11, files=3, shard_col="placed")
+    back = spark.read.parquet(str(tmp_path / "named"))
+    assert back.columns == [*clash.columns, "placed"] and back.count() == len(TEXTS)
 
 
 PAGES = {

@@ -23,18 +23,18 @@ def g03_branches(d: Dialect) -> str:
 
 @sql_operator
 def g04_unused_functions(d: Dialect, limit: int = 100) -> str:
-    return f"SELECT s.id, s.name, s.file_path, s.line FROM symbols s WHERE s.kind IN ('function', 'method') AND NOT EXISTS (SELECT 1 FROM calls_sparse c WHERE c.callee_id = s.id) ORDER BY s.file_path, s.line, s.id LIMIT {limit}"
+    return f"SELECT s.id, s.name, s.file_path, s.line FROM symbols s WHERE s.kind IN ('function', 'method') AND NOT EXISTS (SELECT 1 FROM calls c WHERE c.callee_id = s.id) ORDER BY s.file_path, s.line, s.id LIMIT {limit}"
 
 
 @sql_operator
 def g05_rarely_used(d: Dialect, threshold: int = 1) -> str:
-    return f"SELECT s.id, s.name, count(c.caller_id) AS call_count FROM symbols s LEFT JOIN calls_sparse c ON c.callee_id = s.id WHERE s.kind IN ('function', 'method') GROUP BY s.id, s.name HAVING count(c.caller_id) <= {threshold}"
+    return f"SELECT s.id, s.name, count(c.caller_id) AS call_count FROM symbols s LEFT JOIN calls c ON c.callee_id = s.id WHERE s.kind IN ('function', 'method') GROUP BY s.id, s.name HAVING count(c.caller_id) <= {threshold}"
 
 
 @sql_operator
 def g06_unused_by_kind(d: Dialect, threshold: int = 1) -> str:
     """Unused and rarely used functions by kind; a function without calls is in both lists."""
-    return f"""WITH used AS (SELECT callee_id AS used_id, count(*) AS c FROM calls_sparse GROUP BY callee_id), counted AS (SELECT s.id, s.kind, coalesce(u.c, 0) AS c FROM symbols s LEFT JOIN used u ON u.used_id = s.id WHERE s.kind IN ('function', 'method'))
+    return f"""WITH used AS (SELECT callee_id AS used_id, count(*) AS c FROM calls GROUP BY callee_id), counted AS (SELECT s.id, s.kind, coalesce(u.c, 0) AS c FROM symbols s LEFT JOIN used u ON u.used_id = s.id WHERE s.kind IN ('function', 'method'))
         SELECT kind, CAST(sum(CASE WHEN c = 0 THEN 2 WHEN c <= {threshold} THEN 1 ELSE 0 END) AS BIGINT) AS n FROM counted GROUP BY kind"""
 
 
@@ -75,7 +75,7 @@ def g11_flow_metrics(d: Dialect) -> str:
 
 @sql_operator
 def g12_complexity_distribution(d: Dialect) -> str:
-    return "SELECT level, count(*) AS functions FROM (SELECT s.id, CASE WHEN count(c.callee_id) = 0 THEN 'simple' WHEN count(c.callee_id) < 5 THEN 'moderate' WHEN count(c.callee_id) < 10 THEN 'complex' ELSE 'very_complex' END AS level FROM symbols s LEFT JOIN calls_sparse c ON c.caller_id = s.id GROUP BY s.id) x GROUP BY level"
+    return "SELECT level, count(*) AS functions FROM (SELECT s.id, CASE WHEN count(c.callee_id) = 0 THEN 'simple' WHEN count(c.callee_id) < 5 THEN 'moderate' WHEN count(c.callee_id) < 10 THEN 'complex' ELSE 'very_complex' END AS level FROM symbols s LEFT JOIN (SELECT DISTINCT caller_id, callee_id FROM calls) c ON c.caller_id = s.id GROUP BY s.id) x GROUP BY level"
 
 
 @sql_operator
@@ -105,7 +105,7 @@ def g16_analyze_function(d: Dialect) -> str:
 @sql_operator
 def g17_entry_points(d: Dialect) -> str:
     """Functions that no call edge targets; a null target excludes nothing."""
-    return "SELECT s.id, s.name FROM symbols s WHERE s.kind IN ('function', 'method') AND NOT EXISTS (SELECT 1 FROM calls_rare r WHERE r.callee_id = s.id)"
+    return "SELECT s.id, s.name FROM symbols s WHERE s.kind IN ('function', 'method') AND NOT EXISTS (SELECT 1 FROM calls r WHERE r.callee_id = s.id)"
 
 
 @sql_operator

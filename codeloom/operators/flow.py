@@ -12,7 +12,7 @@ _XL = "SELECT r.id, r.from_id, r.to_id, r.type, r.confidence, f.file_path AS fro
 @sql_operator
 def d05_removal_candidates(d: Dialect) -> str:
     """Uncalled, unexported and small or unsure symbols, with a confidence of removal."""
-    return "SELECT s.id, s.end_line - s.line AS lines, CASE WHEN s.visibility = 'private' THEN 'high' ELSE 'medium' END AS certainty FROM symbols s WHERE NOT s.is_exported AND NOT EXISTS (SELECT 1 FROM calls_sparse c WHERE c.callee_id = s.id)"
+    return "SELECT s.id, s.end_line - s.line AS lines, CASE WHEN s.visibility = 'private' THEN 'high' ELSE 'medium' END AS certainty FROM symbols s WHERE NOT s.is_exported AND NOT EXISTS (SELECT 1 FROM calls c WHERE c.callee_id = s.id)"
 
 
 @sql_operator
@@ -32,10 +32,11 @@ def d11_flow_statistics(d: Dialect) -> str:
     return "SELECT s.kind, count(*) AS edges, count(DISTINCT c.caller_id) AS callers, count(*) - count(DISTINCT c.caller_id) + 2 AS cyclomatic, round(CAST(count(*) AS DOUBLE) / count(DISTINCT c.caller_id), 6) AS branching, count(*) FILTER (WHERE c.is_conditional) AS conditional, count(*) FILTER (WHERE c.is_recursive) AS recursive FROM calls c JOIN symbols s ON s.id = c.caller_id GROUP BY s.kind"
 
 
-@sql_operator
-def d12_compare_runs(d: Dialect) -> str:
-    """Out-degrees in the full and in the sparse graph, and the change."""
-    return "SELECT coalesce(a.caller_id, b.caller_id) AS id, coalesce(a.n, 0) AS before, coalesce(b.n, 0) AS after, coalesce(b.n, 0) - coalesce(a.n, 0) AS change FROM (SELECT caller_id, count(DISTINCT callee_id) AS n FROM calls GROUP BY caller_id) a FULL OUTER JOIN (SELECT caller_id, count(*) AS n FROM calls_sparse GROUP BY caller_id) b ON b.caller_id = a.caller_id"
+@sql_operator(before="calls", after="(SELECT * FROM calls WHERE NOT is_conditional)")
+def d12_compare_runs(d: Dialect, before: str = "calls_before", after: str = "calls_after") -> str:
+    """Out-degrees in two runs' call tables, and the change."""
+    degree = "(SELECT caller_id, count(DISTINCT callee_id) AS n FROM {} x GROUP BY caller_id)".format
+    return f"SELECT coalesce(a.caller_id, b.caller_id) AS id, coalesce(a.n, 0) AS before, coalesce(b.n, 0) AS after, coalesce(b.n, 0) - coalesce(a.n, 0) AS change FROM {degree(before)} a FULL OUTER JOIN {degree(after)} b ON b.caller_id = a.caller_id"
 
 
 @sql_operator
@@ -62,7 +63,7 @@ def d16_variable_usage(d: Dialect) -> str:
 @sql_operator
 def d17_def_use(d: Dialect) -> str:
     """Definitions and uses of a parameter type along call edges: the caller returns what the callee takes."""
-    return "SELECT c.caller_id, c.callee_id, f.return_type AS data FROM calls_sparse c JOIN symbols f ON f.id = c.caller_id JOIN symbols t ON t.id = c.callee_id WHERE f.return_type <> 'void' AND t.signature LIKE '%(' || f.return_type || '%'"
+    return "SELECT c.caller_id, c.callee_id, f.return_type AS data FROM (SELECT DISTINCT caller_id, callee_id FROM calls) c JOIN symbols f ON f.id = c.caller_id JOIN symbols t ON t.id = c.callee_id WHERE f.return_type <> 'void' AND t.signature LIKE '%(' || f.return_type || '%'"
 
 
 @sql_operator

@@ -9,6 +9,9 @@ about paths, along deduplicated edges and with a bound on depth.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,21 +21,34 @@ from ..storage import dropped, written
 from .components import connected_components
 
 
-def reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """seed, id and least depth for every vertex that edges (a, b) lead to from seeds (seed) in at most depth steps; a seed reaches itself at 0."""
-    edges = edges.select(F.col("a").alias("_a"), F.col("b").alias("_b")).where("_a IS NOT NULL AND _b IS NOT NULL").distinct()
-    frontier = seeds.select("seed", F.col("seed").alias("id"), F.lit(0).cast("long").alias("depth")).distinct()
-    visited = written(frontier, "visited")
-    frontier = visited
-    for k in range(1, depth + 1):
+def reach(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
+    """seed, id and least depth for every vertex that edges (a, b) lead to from seeds (seed) in at most depth steps (any number, if that is None); a seed reaches itself at 0."""
+    edges = written(edges.select(F.col("a").alias("_a"), F.col("b").alias("_b")).where("_a IS NOT NULL AND _b IS NOT NULL").distinct(), "edges")
+    frontier = written(seeds.select("seed", F.col("seed").alias("id"), F.lit(0).cast("long").alias("depth")).distinct(), "visited")
+    parts, k = [frontier], 0
+    while depth is None or k < depth:
+        k += 1
+        visited = _union(parts)
         step = frontier.join(edges, F.col("id") == F.col("_a")).select("seed", F.col("_b").alias("id")).distinct()
         fresh = written(step.join(visited.select("seed", "id"), ["seed", "id"], "left_anti").withColumn("depth", F.lit(k).cast("long")), "frontier")
         if fresh.isEmpty():
             dropped(fresh)
             break
-        visited = visited.unionByName(fresh)
         frontier = fresh
-    return visited
+        parts.append(fresh)
+        if len(parts) > 6:  # one table in place of many; the frontier is still read by itself
+            one = written(_union(parts[:-1]), "visited")
+            dropped(*parts[:-1])
+            parts = [one, fresh]
+    dropped(edges)
+    return _union(parts)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def strongly_connected(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
@@ -51,7 +67,9 @@ def strongly_connected(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         marks = written(marks, "marks")
         for _ in range(max_rounds):
             near = pairs.join(marks.withColumnRenamed("id", "u"), "u").groupBy(F.col("v").alias("id")).agg(F.min("mark").alias("near"))
-            new = written(marks.join(near, "id", "left").select("id", F.least("mark", F.coalesce("near", "mark")).alias("mark"), (F.coalesce("near", "mark") < F.col("mark")).alias("moved")), "marks")
+            low = marks.join(near, "id", "left").select("id", "mark", F.least("mark", "near").alias("low"))
+            jump = marks.select(F.col("id").alias("low"), F.col("mark").alias("far"))  # what reaches the label reaches the vertex as well
+            new = written(low.join(jump, "low", "left").select("id", F.least("low", "far").alias("mark"), (F.least("low", "far") < F.col("mark")).alias("moved")), "marks")
             dropped(marks)
             marks = new.select("id", "mark")
             marks._codeloom_path = new._codeloom_path
@@ -88,9 +106,18 @@ def strongly_connected(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     return found.join(sizes, "component").select("id", "component").unionAll(loops).groupBy("id").agg(F.min("component").alias("component"))
 
 
+def _edges(calls: DataFrame, a: str = "caller_id", b: str = "callee_id") -> DataFrame:
+    return calls.select(F.col(a).alias("a"), F.col(b).alias("b"))
+
+
 def _reach_sql(edges: str, seeds: str, depth: int, result: str) -> str:
-    return f"""WITH RECURSIVE e AS ({edges}), seeds AS ({seeds}), r AS (SELECT seed, seed AS id, CAST(0 AS BIGINT) AS depth FROM seeds UNION SELECT r.seed, e.b, r.depth + 1 FROM r JOIN e ON e.a = r.id WHERE r.depth < {depth}),
-        reached AS (SELECT seed, id, min(depth) AS depth FROM r GROUP BY seed, id) {result}"""
+    """An oracle's table reached(seed, id, depth): depths are lowered in place until none falls."""
+    return f"""WITH RECURSIVE e AS ({edges}), seeds AS ({seeds}), reached(seed, id, depth) USING KEY (seed, id) AS (SELECT seed, seed, CAST(0 AS BIGINT) FROM seeds
+        UNION SELECT r.seed, e.b, min(r.depth + 1) FROM reached r JOIN e ON e.a = r.id LEFT JOIN recurring.reached o ON o.seed = r.seed AND o.id = e.b WHERE r.depth < {depth} AND (o.depth IS NULL OR o.depth > r.depth + 1) GROUP BY r.seed, e.b) {result}"""
+
+
+_FORTH = "SELECT DISTINCT caller_id AS a, callee_id AS b FROM calls"
+_BACK = "SELECT DISTINCT callee_id AS a, caller_id AS b FROM calls"
 
 
 @sql_operator
@@ -100,104 +127,128 @@ def i01_ripple_edges(d: Dialect) -> str:
 
 
 RIPPLE_SEEDS = "1, 7, 42, 99"
+_RIPPLES = f"SELECT id AS seed FROM symbols WHERE id IN ({RIPPLE_SEEDS})"
 
 
-@frame_operator("calls_rare symbols", lambda d: _reach_sql("SELECT callee_id AS a, caller_id AS b FROM calls_rare", f"SELECT id AS seed FROM symbols WHERE id IN ({RIPPLE_SEEDS})", 6, "SELECT seed, id, depth FROM reached WHERE depth > 0"))
-def i02_ripple(t: dict[str, DataFrame], seeds: str = RIPPLE_SEEDS, depth: int = 6) -> DataFrame:
-    """Who depends on the seeds, directly or through others, and at what distance."""
+@frame_operator("calls symbols", lambda d: _reach_sql(_BACK, _RIPPLES, 6, "SELECT seed, id, depth FROM reached WHERE depth > 0"), seeds=RIPPLE_SEEDS)
+def i02_ripple(t: dict[str, DataFrame], seeds: str, depth: int = 6) -> DataFrame:
+    """Who depends on the seeds (ids, comma-joined), directly or through others, and at what distance."""
     start = t["symbols"].where(f"id IN ({seeds})").select(F.col("id").alias("seed"))
-    return reach(t["calls_rare"].select(F.col("callee_id").alias("a"), F.col("caller_id").alias("b")), start, depth).where("depth > 0").select("seed", "id", "depth")
+    return reach(_edges(t["calls"], "callee_id", "caller_id"), start, depth).where("depth > 0").select("seed", "id", "depth")
 
 
-@frame_operator("calls_rare symbols", lambda d: _reach_sql("SELECT callee_id AS a, caller_id AS b FROM calls_rare", f"SELECT id AS seed FROM symbols WHERE id IN ({RIPPLE_SEEDS})", 6, "SELECT seed, depth AS distance, count(*) AS symbols, CASE WHEN depth = 1 THEN 'direct' ELSE 'indirect' END AS impact FROM reached WHERE depth > 0 GROUP BY seed, depth"))
-def i13_ripple_waves(t: dict[str, DataFrame]) -> DataFrame:
+@frame_operator("calls symbols", lambda d: _reach_sql(_BACK, _RIPPLES, 6, "SELECT seed, depth AS distance, count(*) AS symbols, CASE WHEN depth = 1 THEN 'direct' ELSE 'indirect' END AS impact FROM reached WHERE depth > 0 GROUP BY seed, depth"), seeds=RIPPLE_SEEDS)
+def i13_ripple_waves(t: dict[str, DataFrame], seeds: str, depth: int = 6) -> DataFrame:
     """The ripple by distance."""
-    waves = i02_ripple(t).groupBy("seed", F.col("depth").alias("distance")).agg(F.count("*").alias("symbols"))
+    waves = i02_ripple(t, seeds, depth).groupBy("seed", F.col("depth").alias("distance")).agg(F.count("*").alias("symbols"))
     return waves.withColumn("impact", F.when(F.col("distance") == 1, "direct").otherwise("indirect"))
 
 
-@frame_operator("calls_rare symbols", lambda d: _reach_sql("SELECT callee_id AS a, caller_id AS b FROM calls_rare", f"SELECT id AS seed FROM symbols WHERE id IN ({RIPPLE_SEEDS})", 3, "SELECT seed, least(100, sum(CASE depth WHEN 1 THEN 10 WHEN 2 THEN 5 WHEN 3 THEN 3 ELSE 1 END))::BIGINT AS severity, round(min(greatest(0.3e0, 1e0 - 0.1e0 * depth)), 6) AS confidence FROM reached WHERE depth > 0 GROUP BY seed"))
-def i14_fallback_impact(t: dict[str, DataFrame]) -> DataFrame:
+@frame_operator("calls symbols", lambda d: _reach_sql(_BACK, _RIPPLES, 3, "SELECT seed, least(100, sum(CASE depth WHEN 1 THEN 10 WHEN 2 THEN 5 WHEN 3 THEN 3 ELSE 1 END))::BIGINT AS severity, round(min(greatest(0.3e0, 1e0 - 0.1e0 * depth)), 6) AS confidence FROM reached WHERE depth > 0 GROUP BY seed"), seeds=RIPPLE_SEEDS)
+def i14_fallback_impact(t: dict[str, DataFrame], seeds: str) -> DataFrame:
     """A plain estimate to distance 3: severity 10, 5, 3 by distance up to 100, confidence falling by a tenth a step."""
     points = F.when(F.col("depth") == 1, 10).when(F.col("depth") == 2, 5).when(F.col("depth") == 3, 3).otherwise(1)
-    return i02_ripple(t, depth=3).groupBy("seed").agg(F.least(F.lit(100), F.sum(points)).cast("long").alias("severity"), F.round(F.min(F.greatest(F.lit(0.3), 1 - 0.1 * F.col("depth"))), 6).alias("confidence"))
+    return i02_ripple(t, seeds, depth=3).groupBy("seed").agg(F.least(F.lit(100), F.sum(points)).cast("long").alias("severity"), F.round(F.min(F.greatest(F.lit(0.3), 1 - 0.1 * F.col("depth"))), 6).alias("confidence"))
 
 
-@frame_operator("calls_dag symbols", lambda d: _reach_sql("SELECT caller_id AS a, callee_id AS b FROM calls_dag", "SELECT id AS seed FROM symbols WHERE id % 20 = 1", 20, "SELECT id, count(*) AS visits, min(depth) AS depth FROM reached WHERE depth > 0 GROUP BY id"))
-def i18_execution_counts(t: dict[str, DataFrame]) -> DataFrame:
-    """Which functions runs from the entries pass: reachability counts in place of random walks."""
-    seeds = t["symbols"].where("id % 20 = 1").select(F.col("id").alias("seed"))
-    return reach(t["calls_dag"].select(F.col("caller_id").alias("a"), F.col("callee_id").alias("b")), seeds, 20).where("depth > 0").groupBy("id").agg(F.count("*").alias("visits"), F.min("depth").alias("depth"))
+ENTRIES = "5, 10"
+_FROM_ENTRIES = f"SELECT id AS seed FROM symbols WHERE id IN ({ENTRIES})"
 
 
-def _entries() -> str:
-    return "SELECT s.id AS seed FROM symbols s WHERE s.kind IN ('function', 'method') AND s.id NOT IN (SELECT callee_id FROM calls_rare)"
+def _start(t: dict[str, DataFrame], entries: str | None) -> DataFrame:
+    """The symbols of those ids, or else the functions that nothing calls."""
+    if entries:
+        return t["symbols"].where(f"id IN ({entries})").select("id")
+    called = t["calls"].select(F.col("callee_id").alias("id")).where("id IS NOT NULL").distinct()
+    return t["symbols"].where("kind IN ('function', 'method')").join(called, "id", "left_anti").select("id")
 
 
-@frame_operator("calls_rare symbols", lambda d: _reach_sql("SELECT caller_id AS a, callee_id AS b FROM calls_rare", _entries(), 10, "SELECT seed AS entry, id, depth FROM reached"))
-def g18_call_chains(t: dict[str, DataFrame], depth: int = 10) -> DataFrame:
-    """From each entry point: functions reached and the least depth."""
-    seeds = t["symbols"].where("kind IN ('function', 'method')").join(t["calls_rare"].select(F.col("callee_id").alias("id")).distinct(), "id", "left_anti").select(F.col("id").alias("seed"))
-    return reach(t["calls_rare"].select(F.col("caller_id").alias("a"), F.col("callee_id").alias("b")), seeds, depth).select(F.col("seed").alias("entry"), "id", "depth")
+@frame_operator("calls symbols", lambda d: _reach_sql(_FORTH, _FROM_ENTRIES, 20, "SELECT id, count(*) AS visits, min(depth) AS depth FROM reached WHERE depth > 0 GROUP BY id"), entries=ENTRIES)
+def i18_execution_counts(t: dict[str, DataFrame], entries: str | None = None, hops: int = 20) -> DataFrame:
+    """Which functions runs from the entries pass: reachability counts in place of random walks."""
+    seeds = _start(t, entries).select(F.col("id").alias("seed"))
+    return reach(_edges(t["calls"]), seeds, hops).where("depth > 0").groupBy("id").agg(F.count("*").alias("visits"), F.min("depth").alias("depth"))
+
+
+@frame_operator("calls symbols", lambda d: _reach_sql(_FORTH, _FROM_ENTRIES, 10, "SELECT seed AS entry, id, depth FROM reached"), entries=ENTRIES)
+def g18_call_chains(t: dict[str, DataFrame], entries: str | None = None, depth: int = 10) -> DataFrame:
+    """From each entry point: functions reached and the least depth; as many rows as entries reach functions."""
+    return reach(_edges(t["calls"]), _start(t, entries).select(F.col("id").alias("seed")), depth).select(F.col("seed").alias("entry"), "id", "depth")
 
 
-@frame_operator("calls_sparse symbols", lambda d: _reach_sql("SELECT caller_id AS a, callee_id AS b FROM calls_sparse", "SELECT id AS seed FROM symbols WHERE id IN (5, 10)", 100, "SELECT s.id, s.kind, s.end_line - s.line AS lines FROM symbols s WHERE s.id NOT IN (SELECT id FROM reached)"))
-def d04_dead_code(t: dict[str, DataFrame], entries: str = "5, 10") -> DataFrame:
+@frame_operator("calls symbols", lambda d: _reach_sql(_FORTH, _FROM_ENTRIES, 10**6, "SELECT s.id, s.kind, s.end_line - s.line AS lines FROM symbols s WHERE s.id NOT IN (SELECT id FROM reached)"), entries=ENTRIES)
+def d04_dead_code(t: dict[str, DataFrame], entries: str | None = None) -> DataFrame:
     """Symbols that no entry reaches, with their lines."""
-    seeds = t["symbols"].where(f"id IN ({entries})").select(F.lit(0).cast("long").alias("seed"), "id")
-    edges = t["calls_sparse"].select(F.col("caller_id").alias("_a"), F.col("callee_id").alias("_b")).distinct()
-    visited = written(seeds.select("id"), "visited")
-    frontier = visited
-    while True:
-        fresh = written(frontier.join(edges, F.col("id") == F.col("_a")).select(F.col("_b").alias("id")).distinct().join(visited, "id", "left_anti"), "frontier")
-        if fresh.isEmpty():
-            break
-        visited, frontier = visited.unionByName(fresh), fresh
-    return t["symbols"].join(visited, "id", "left_anti").select("id", "kind", (F.col("end_line") - F.col("line")).alias("lines"))
+    seeds = _start(t, entries)
+    edges = _edges(t["calls"])
+    alive = reach(edges.unionAll(seeds.select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))), seeds.limit(1).select(F.lit(0).cast("long").alias("seed")))  # one walk from all entries at once
+    return t["symbols"].join(alive.select("id"), "id", "left_anti").select("id", "kind", (F.col("end_line") - F.col("line")).alias("lines"))
 
 
-@frame_operator("calls_rare", lambda d: _reach_sql("SELECT caller_id AS a, callee_id AS b FROM calls_rare UNION SELECT callee_id, caller_id FROM calls_rare", "SELECT DISTINCT a AS seed FROM e", 60, "SELECT id, min(seed) AS component FROM reached GROUP BY id"))
+@frame_operator("calls", lambda d: """WITH RECURSIVE e AS (SELECT DISTINCT caller_id AS a, callee_id AS b FROM calls UNION SELECT callee_id, caller_id FROM calls), c(id, component) USING KEY (id) AS (SELECT a, a FROM (SELECT DISTINCT a FROM e) v
+        UNION SELECT e.b, min(c.component) FROM c JOIN e ON e.a = c.id JOIN recurring.c o ON o.id = e.b WHERE c.component < o.component GROUP BY e.b) SELECT id, component FROM c""")
 def d21_components(t: dict[str, DataFrame]) -> DataFrame:
     """Connected components."""
-    return connected_components(t["calls_rare"], "caller_id", "callee_id").select("id", "component")
+    return connected_components(t["calls"], "caller_id", "callee_id").select("id", "component")
 
 
-@frame_operator("calls_rare", lambda d: _reach_sql("SELECT caller_id AS a, callee_id AS b FROM calls_rare", "SELECT DISTINCT a AS seed FROM e", 60, ", loops AS (SELECT DISTINCT a AS id FROM e WHERE a = b), mates AS (SELECT x.seed AS id, x.id AS other FROM reached x JOIN reached y ON y.seed = x.id AND y.id = x.seed WHERE x.id <> x.seed), cyc AS (SELECT id, least(id, min(other)) AS component FROM mates GROUP BY id UNION SELECT id, id FROM loops WHERE id NOT IN (SELECT id FROM mates)) SELECT id, component, count(*) OVER (PARTITION BY component) AS cycle_length FROM cyc"))
+@frame_operator("calls")
 def m21_circular_dependencies(t: dict[str, DataFrame]) -> DataFrame:
     """Symbols on a cycle: strongly connected components of two or more, and self-loops. Independent of visit order."""
-    found = written(strongly_connected(t["calls_rare"].select(F.col("caller_id").alias("a"), F.col("callee_id").alias("b"))), "cycles")
+    found = written(strongly_connected(_edges(t["calls"])), "cycles")
     return found.join(found.groupBy("component").agg(F.count("*").alias("cycle_length")), "component").select("id", "component", "cycle_length")
 
 
-def _paths(d: Dialect, edges: str = "calls_dag", depth: int = 10, start: str = "") -> str:
+def _pairs(calls: str) -> str:
+    """The distinct edges of a table of calls."""
+    return f"(SELECT DISTINCT caller_id, callee_id FROM {calls})"
+
+
+def _paths(d: Dialect, edges: str, depth: int = 10, start: str = "") -> str:
     """Recursive table p(a, b, nodes, depth) of simple paths along an edge table."""
     grow = d.append("p.nodes", "e.callee_id")
     return f"WITH RECURSIVE p AS (SELECT caller_id AS a, callee_id AS b, {d.array('caller_id', 'callee_id')} AS nodes, CAST(1 AS BIGINT) AS depth FROM {edges} e {start} UNION ALL SELECT p.a, e.callee_id, {grow}, p.depth + 1 FROM p JOIN {edges} e ON e.caller_id = p.b WHERE p.depth < {depth} AND NOT {d.has('p.nodes', 'e.callee_id')})"
 
 
-@sql_operator
-def g02_execution_paths(d: Dialect, depth: int = 10) -> str:
+@sql_operator(calls="calls_dag")
+def g02_execution_paths(d: Dialect, depth: int = 10, calls: str = "calls") -> str:
     """All simple paths of at most that many calls, and whether each ends where nothing is called."""
-    return f"{_paths(d, depth=depth)} SELECT p.a AS start_id, p.b AS end_id, {d.join_ints('p.nodes')} AS path, p.depth AS length, NOT EXISTS (SELECT 1 FROM calls_dag c WHERE c.caller_id = p.b) AS is_complete FROM p"
+    return f"{_paths(d, _pairs(calls), depth=depth)} SELECT p.a AS start_id, p.b AS end_id, {d.join_ints('p.nodes')} AS path, p.depth AS length, NOT EXISTS (SELECT 1 FROM {_pairs(calls)} c WHERE c.caller_id = p.b) AS is_complete FROM p"
 
 
-@sql_operator
-def g25_shortest_path(d: Dialect) -> str:
-    """The shortest path between each connected pair; ties: the smallest path."""
-    return f"{_paths(d)} SELECT a AS from_id, b AS to_id, depth, path FROM (SELECT a, b, depth, {d.join_ints('nodes')} AS path, row_number() OVER (PARTITION BY a, b ORDER BY depth, {d.join_ints('nodes')}) AS k FROM p) r WHERE k = 1"
+_SHORTEST = _reach_sql(_FORTH, _FROM_ENTRIES, 10, """, p(a, b, depth, path) AS (SELECT seed, seed, CAST(0 AS BIGINT), CAST(seed AS VARCHAR) FROM seeds
+    UNION ALL SELECT p.a, r.id, r.depth, p.path || '>' || CAST(r.id AS VARCHAR) FROM p JOIN e ON e.a = p.b JOIN reached r ON r.seed = p.a AND r.id = e.b AND r.depth = p.depth + 1)
+    SELECT a AS from_id, b AS to_id, depth, min(path) AS path FROM p WHERE depth > 0 GROUP BY a, b, depth""")
 
 
-@sql_operator
-def d01_trace_paths(d: Dialect, max_depth: int = 6) -> str:
+@frame_operator("calls symbols", lambda d: _SHORTEST, entries=ENTRIES)
+def g25_shortest_path(t: dict[str, DataFrame], entries: str | None = None, depth: int = 10) -> DataFrame:
+    """The shortest path from each entry to all that it reaches; ties: the smallest path, as text. Breadth first: of each vertex one path is kept, so nothing is enumerated."""
+    edges = written(_edges(t["calls"]).where("a IS NOT NULL AND b IS NOT NULL").distinct(), "edges")
+    level = written(_start(t, entries).select(F.col("id").alias("from_id"), F.col("id").alias("to_id"), F.lit(0).cast("long").alias("depth"), F.col("id").cast("string").alias("path")), "level")
+    found = [level]
+    for k in range(1, depth + 1):
+        step = level.join(edges, F.col("to_id") == F.col("a")).groupBy("from_id", F.col("b").alias("to_id")).agg(F.min(F.concat_ws(">", "path", F.col("b").cast("string"))).alias("path"))
+        level = written(step.join(_union(found).select("from_id", "to_id"), ["from_id", "to_id"], "left_anti").select("from_id", "to_id", F.lit(k).cast("long").alias("depth"), "path"), "level")
+        if level.isEmpty():
+            dropped(level)
+            break
+        found.append(level)
+    dropped(edges)
+    return _union(found).where("depth > 0")
+
+
+@sql_operator(calls="calls_dag")
+def d01_trace_paths(d: Dialect, max_depth: int = 6, calls: str = "calls") -> str:
     """Paths that cannot be continued, and the share of nodes that any of them passes."""
-    return f"{_paths(d, depth=max_depth)} SELECT p.a AS entry, count(*) AS paths, max(p.depth) AS longest, round(avg(p.depth), 9) AS mean_length FROM p WHERE NOT EXISTS (SELECT 1 FROM calls_dag c WHERE c.caller_id = p.b) GROUP BY p.a"
+    return f"{_paths(d, _pairs(calls), depth=max_depth)} SELECT p.a AS entry, count(*) AS paths, max(p.depth) AS longest, round(avg(p.depth), 9) AS mean_length FROM p WHERE NOT EXISTS (SELECT 1 FROM {_pairs(calls)} c WHERE c.caller_id = p.b) GROUP BY p.a"
 
 
-@sql_operator
-def d02_redundant_paths(d: Dialect, similarity: float = 0.5) -> str:
+@sql_operator(calls="calls_dag")
+def d02_redundant_paths(d: Dialect, similarity: float = 0.5, calls: str = "calls") -> str:
     """Pairs of paths from one entry that share most nodes."""
     shared, all_ = d.size(d.common("x.nodes", "y.nodes")), d.size(d.union("x.nodes", "y.nodes"))
-    return f"{_paths(d)}, q AS (SELECT a, nodes, {d.join_ints('nodes')} AS path FROM p) SELECT x.path AS path_1, y.path AS path_2, round(CAST({shared} AS DOUBLE) / {all_}, 6) AS jaccard FROM q x JOIN q y ON y.a = x.a AND x.path < y.path WHERE CAST({shared} AS DOUBLE) / {all_} > {similarity}e0"
+    return f"{_paths(d, _pairs(calls))}, q AS (SELECT a, nodes, {d.join_ints('nodes')} AS path FROM p) SELECT x.path AS path_1, y.path AS path_2, round(CAST({shared} AS DOUBLE) / {all_}, 6) AS jaccard FROM q x JOIN q y ON y.a = x.a AND x.path < y.path WHERE CAST({shared} AS DOUBLE) / {all_} > {similarity}e0"
 
 
 @sql_operator
@@ -206,16 +257,17 @@ def d03_path_statistics(d: Dialect) -> str:
     return f"SELECT f.id, f.frequency, count(b.id) AS blocks, round(coalesce(avg(b.cost), 0e0), 6) AS mean_cost FROM (SELECT id, frequency, {d.explode('nodes')} AS node FROM flow_paths) f LEFT JOIN blocks b ON b.symbol_id = f.node GROUP BY f.id, f.frequency"
 
 
-@sql_operator
-def d08_call_layers(d: Dialect, depth: int = 6) -> str:
-    """Layers of the call graph from its roots: nodes first met at each depth."""
-    return f"{_paths(d, depth=depth, start='WHERE NOT EXISTS (SELECT 1 FROM calls_dag r WHERE r.callee_id = e.caller_id)')}, first AS (SELECT b AS id, min(depth) AS layer FROM p GROUP BY b) SELECT layer, count(*) AS nodes FROM first GROUP BY layer"
+@frame_operator("calls symbols", lambda d: _reach_sql(_FORTH, _FROM_ENTRIES, 6, "SELECT depth AS layer, count(*) AS nodes FROM (SELECT id, min(depth) AS depth FROM reached GROUP BY id) x GROUP BY depth"), entries=ENTRIES)
+def d08_call_layers(t: dict[str, DataFrame], entries: str | None = None, depth: int = 6) -> DataFrame:
+    """Layers of the call graph from its roots: nodes first met at each depth, breadth first."""
+    met = reach(_edges(t["calls"]), _start(t, entries).select(F.col("id").alias("seed")), depth)
+    return met.groupBy("id").agg(F.min("depth").alias("layer")).groupBy("layer").agg(F.count("*").alias("nodes"))
 
 
-@sql_operator
-def d09_call_chains_between(d: Dialect, limit: int = 10) -> str:
+@sql_operator(calls="calls_dag")
+def d09_call_chains_between(d: Dialect, limit: int = 10, calls: str = "calls") -> str:
     """Up to ten chains for each pair that has more than one."""
-    return f"{_paths(d)} SELECT a, b, path FROM (SELECT a, b, {d.join_ints('nodes')} AS path, count(*) OVER (PARTITION BY a, b) AS n, row_number() OVER (PARTITION BY a, b ORDER BY depth, {d.join_ints('nodes')}) AS k FROM p) r WHERE n > 1 AND k <= {limit}"
+    return f"{_paths(d, _pairs(calls))} SELECT a, b, path FROM (SELECT a, b, {d.join_ints('nodes')} AS path, count(*) OVER (PARTITION BY a, b) AS n, row_number() OVER (PARTITION BY a, b ORDER BY depth, {d.join_ints('nodes')}) AS k FROM p) r WHERE n > 1 AND k <= {limit}"
 
 
 @sql_operator
@@ -223,40 +275,103 @@ def d10_coupling(d: Dialect) -> str:
     return "SELECT s.id, coalesce(i.n, 0) AS fan_in, coalesce(o.n, 0) AS fan_out, coalesce(i.n, 0) + coalesce(o.n, 0) AS coupling FROM symbols s LEFT JOIN (SELECT callee_id, count(DISTINCT caller_id) AS n FROM calls GROUP BY callee_id) i ON i.callee_id = s.id LEFT JOIN (SELECT caller_id, count(DISTINCT callee_id) AS n FROM calls GROUP BY caller_id) o ON o.caller_id = s.id"
 
 
-@sql_operator
-def d27_cross_language_chains(d: Dialect) -> str:
+@sql_operator(calls="calls_dag")
+def d27_cross_language_chains(d: Dialect, calls: str = "calls") -> str:
     """Chains of more than two hops that cross languages, with the number of crossings."""
     grow = d.append("p.nodes", "e.callee_id")
-    return f"""WITH RECURSIVE e AS (SELECT c.caller_id, c.callee_id, CASE WHEN f.language_id <> t.language_id THEN 1 ELSE 0 END AS crosses FROM calls_dag c JOIN symbols f ON f.id = c.caller_id JOIN symbols t ON t.id = c.callee_id),
+    return f"""WITH RECURSIVE e AS (SELECT c.caller_id, c.callee_id, CASE WHEN f.language_id <> t.language_id THEN 1 ELSE 0 END AS crosses FROM {_pairs(calls)} c JOIN symbols f ON f.id = c.caller_id JOIN symbols t ON t.id = c.callee_id),
         p AS (SELECT caller_id AS a, callee_id AS b, {d.array('caller_id', 'callee_id')} AS nodes, CAST(1 AS BIGINT) AS hops, CAST(crosses AS BIGINT) AS crossings FROM e UNION ALL SELECT p.a, e.callee_id, {grow}, p.hops + 1, p.crossings + e.crosses FROM p JOIN e ON e.caller_id = p.b WHERE p.hops < 8)
         SELECT {d.join_ints('nodes')} AS path, hops, crossings FROM p WHERE hops > 2 AND crossings > 0"""
 
 
-@sql_operator
-def d31_process_tree(d: Dialect) -> str:
-    """Spawn chains over call edges from roots: depth and descendants of each root."""
-    return f"{_paths(d, start='WHERE NOT EXISTS (SELECT 1 FROM calls_dag r WHERE r.callee_id = e.caller_id)')} SELECT a AS root, count(DISTINCT b) AS descendants, max(depth) AS depth FROM p GROUP BY a"
-
-
-@sql_operator
-def d32_navigation(d: Dialect) -> str:
-    """Of each pair: number of ways, shortest and longest."""
-    return f"{_paths(d)} SELECT a, b, count(*) AS ways, min(depth) AS shortest, max(depth) AS longest FROM p GROUP BY a, b"
+@frame_operator("calls symbols", lambda d: _reach_sql(_FORTH, _FROM_ENTRIES, 10, "SELECT seed AS root, count(*) AS descendants, max(depth) AS depth FROM reached WHERE depth > 0 GROUP BY seed"), entries=ENTRIES)
+def d31_process_tree(t: dict[str, DataFrame], entries: str | None = None, depth: int = 10) -> DataFrame:
+    """Spawn chains over call edges from roots: descendants of each root and the depth of its tree, breadth first."""
+    met = reach(_edges(t["calls"]), _start(t, entries).select(F.col("id").alias("seed")), depth).where("depth > 0")
+    return met.groupBy(F.col("seed").alias("root")).agg(F.count("*").alias("descendants"), F.max("depth").alias("depth"))
+
+
+@frame_operator("calls_dag", lambda d: f"{_paths(d, _pairs('calls_dag'))} SELECT a, b, count(*) AS ways, min(depth) AS shortest, max(depth) AS longest FROM p GROUP BY a, b")
+def d32_navigation(t: dict[str, DataFrame], depth: int = 10) -> DataFrame:
+    """Of each pair of a graph without cycles (calls_dag): number of ways, shortest and longest. Ways of one length are counted, not listed: a step multiplies counts."""
+    edges = written(_edges(t["calls_dag"]).distinct(), "edges")
+    level = written(edges.select("a", "b", F.lit(1).cast("long").alias("ways"), F.lit(1).cast("long").alias("depth")), "level")
+    found = [level]
+    for k in range(2, depth + 1):
+        nxt = edges.select(F.col("a").alias("b"), F.col("b").alias("c"))
+        level = written(level.join(nxt, "b").groupBy("a", F.col("c").alias("b")).agg(F.sum("ways").alias("ways")).withColumn("depth", F.lit(k).cast("long")), "level")
+        if level.isEmpty():
+            dropped(level)
+            break
+        found.append(level)
+    dropped(edges)
+    return _union(found).groupBy("a", "b").agg(F.sum("ways").alias("ways"), F.min("depth").alias("shortest"), F.max("depth").alias("longest"))
 
 
-@sql_operator
-def d13_hot_paths(d: Dialect) -> str:
+@sql_operator(calls="calls_dag")
+def d13_hot_paths(d: Dialect, calls: str = "calls") -> str:
     """Paths by the product of edge probabilities: 0.7 for the smaller target of a fork, else 0.3; 1 where there is no fork."""
-    return f"""WITH RECURSIVE e AS (SELECT caller_id, callee_id, CASE WHEN count(*) OVER (PARTITION BY caller_id) = 1 THEN 1e0 WHEN row_number() OVER (PARTITION BY caller_id ORDER BY callee_id) = 1 THEN 0.7e0 ELSE 0.3e0 END AS probability FROM calls_dag),
+    return f"""WITH RECURSIVE e AS (SELECT caller_id, callee_id, CASE WHEN count(*) OVER (PARTITION BY caller_id) = 1 THEN 1e0 WHEN row_number() OVER (PARTITION BY caller_id ORDER BY callee_id) = 1 THEN 0.7e0 ELSE 0.3e0 END AS probability FROM {_pairs(calls)} c),
         p AS (SELECT caller_id AS a, callee_id AS b, {d.array('caller_id', 'callee_id')} AS nodes, CAST(1 AS BIGINT) AS depth, CAST(probability AS DOUBLE) AS probability FROM e UNION ALL SELECT p.a, e.callee_id, {d.append('p.nodes', 'e.callee_id')}, p.depth + 1, CAST(p.probability * e.probability AS DOUBLE) FROM p JOIN e ON e.caller_id = p.b WHERE p.depth < 10)
         SELECT {d.join_ints('nodes')} AS path, depth, round(probability, 6) AS probability FROM p"""
 
 
-# Block trees: every function's blocks form a chain by parent_id, so their depth is a running count; recursion over them would be as long as a function.
-@sql_operator
-def p28_unreachable_blocks(d: Dialect) -> str:
-    """Blocks that come after a first catch block without an entry in between are not reached from the entry."""
-    return "SELECT id, symbol_id FROM (SELECT id, symbol_id, block_type, max(CASE WHEN block_type = 'entry' THEN start_line END) OVER w AS entry, max(CASE WHEN block_type = 'catch' THEN start_line END) OVER w AS caught FROM blocks WINDOW w AS (PARTITION BY symbol_id ORDER BY start_line ROWS UNBOUNDED PRECEDING)) x WHERE coalesce(caught, 0) > coalesce(entry, 0) AND block_type <> 'catch'"
+# Control flow: the graph of one function is bounded by its source, so each is walked whole in one task; functions are dealt by one shuffle.
+EXITS = ("exit", "return", "throw", "catch")  # blocks at which a function ends
+
+
+def walked(entries: list[int], out: dict[int, list[int]]) -> dict[int, int]:
+    """Least distance of every block from an entry, breadth first."""
+    found, level = dict.fromkeys(entries, 0), list(entries)
+    while level:
+        nxt = []
+        for a in level:
+            for b in out.get(a, ()):
+                if b not in found:
+                    found[b] = found[a] + 1
+                    nxt.append(b)
+        level = nxt
+    return found
+
+
+def control_flow(blocks: DataFrame, edges: DataFrame) -> DataFrame:
+    """symbol_id, id, block_type, distance (from the function's entries, null if unreachable), reaches_exit and back_to (the smallest earlier block that it goes back to) of each block."""
+    of = blocks.groupBy("symbol_id").agg(F.collect_list(F.struct("id", "block_type", "start_line")).alias("blocks"))
+    steps = edges.groupBy("symbol_id").agg(F.collect_list(F.struct("from_id", "to_id")).alias("edges"))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for symbol, own, pairs in zip(*(batch.column(c).to_pylist() for c in ("symbol_id", "blocks", "edges")), strict=True):
+                out, into = {}, {}
+                for e in pairs or ():
+                    out.setdefault(e["from_id"], []).append(e["to_id"])
+                    into.setdefault(e["to_id"], []).append(e["from_id"])
+                ahead = walked([b["id"] for b in own if b["block_type"] == "entry"], out)
+                behind = walked([b["id"] for b in own if b["block_type"] in EXITS], into)
+                line = {b["id"]: b["start_line"] for b in own}
+                for b in own:
+                    back = [x for x in out.get(b["id"], ()) if line.get(x, b["start_line"] + 1) <= b["start_line"]]
+                    rows.append((symbol, b["id"], b["block_type"], ahead.get(b["id"]), b["id"] in behind, min(back, default=None)))
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["symbol_id", "id", "block_type", "distance", "reaches_exit", "back_to"])
+
+    return of.join(steps, "symbol_id", "left").select("symbol_id", "blocks", "edges").mapInArrow(walk, "symbol_id long, id long, block_type string, distance long, reaches_exit boolean, back_to long")
+
+
+def _flow_sql(result: str) -> str:
+    """Oracle tables: ahead(id, depth) from entries, behind(id) to exits."""
+    exits = ", ".join(f"'{x}'" for x in EXITS)
+    return f"""WITH RECURSIVE ahead(id, depth) USING KEY (id) AS (SELECT id, CAST(0 AS BIGINT) FROM blocks WHERE block_type = 'entry'
+        UNION SELECT e.to_id, min(a.depth + 1) FROM ahead a JOIN block_edges e ON e.from_id = a.id LEFT JOIN recurring.ahead o ON o.id = e.to_id WHERE o.depth IS NULL OR o.depth > a.depth + 1 GROUP BY e.to_id),
+        behind(id) AS (SELECT id FROM blocks WHERE block_type IN ({exits}) UNION SELECT e.from_id FROM behind b JOIN block_edges e ON e.to_id = b.id) {result}"""
+
+
+@frame_operator("blocks block_edges", lambda d: _flow_sql("SELECT id, symbol_id FROM blocks WHERE id NOT IN (SELECT id FROM ahead)"))
+def p28_unreachable_blocks(t: dict[str, DataFrame]) -> DataFrame:
+    """Blocks that no walk along the edges from an entry block of their function meets."""
+    return control_flow(t["blocks"], t["block_edges"]).where("distance IS NULL").select("id", "symbol_id")
 
 
 @sql_operator
@@ -265,10 +380,16 @@ def p29_hot_blocks(d: Dialect, top: int = 5) -> str:
     return f"SELECT symbol_id, id, complexity, cost FROM (SELECT *, row_number() OVER (PARTITION BY symbol_id ORDER BY complexity DESC, cost DESC, id) AS k FROM blocks) x WHERE k <= {top}"
 
 
-@sql_operator
-def p30_entry_to_exit(d: Dialect) -> str:
-    """Blocks and conditions from each function's first entry to its first later catch."""
-    return "SELECT e.symbol_id, e.start_line AS entry_line, min(b.start_line) AS exit_line FROM (SELECT symbol_id, min(start_line) AS start_line FROM blocks WHERE block_type = 'entry' GROUP BY symbol_id) e JOIN blocks b ON b.symbol_id = e.symbol_id AND b.block_type = 'catch' AND b.start_line > e.start_line GROUP BY e.symbol_id, e.start_line"
+@frame_operator(
+    "blocks block_edges",
+    lambda d: _flow_sql(f"SELECT b.symbol_id, arg_min(b.id, row(a.depth, b.id)) AS exit_id, min(a.depth) AS length, max(CASE WHEN c.symbol_id IS NOT NULL THEN 1 ELSE 0 END) = 1 AS is_cyclic FROM blocks b JOIN ahead a ON a.id = b.id LEFT JOIN (SELECT DISTINCT e.symbol_id FROM block_edges e JOIN blocks f ON f.id = e.from_id JOIN blocks g ON g.id = e.to_id JOIN ahead r ON r.id = e.from_id WHERE g.start_line <= f.start_line) c ON c.symbol_id = b.symbol_id WHERE b.block_type IN ({', '.join(repr(x) for x in EXITS)}) GROUP BY b.symbol_id"),
+)
+def p30_entry_to_exit(t: dict[str, DataFrame]) -> DataFrame:
+    """Of each function: the exit that is nearest to an entry along the edges (ties: the smallest id), the steps to it, and whether a reachable block goes back."""
+    found = written(control_flow(t["blocks"], t["block_edges"]).where("distance IS NOT NULL"), "flow")
+    exits = found.where(F.col("block_type").isin(*EXITS)).groupBy("symbol_id").agg(F.min(F.struct("distance", "id")).alias("m"))
+    loops = found.groupBy("symbol_id").agg(F.max(F.col("back_to").isNotNull()).alias("is_cyclic"))
+    return exits.join(loops, "symbol_id").select("symbol_id", F.col("m.id").alias("exit_id"), F.col("m.distance").alias("length"), "is_cyclic")
 
 
 @sql_operator
@@ -276,7 +397,7 @@ def p31_block_statistics(d: Dialect) -> str:
     return "SELECT symbol_id, block_type, count(*) AS n, CAST(sum(complexity) AS BIGINT) AS complexity, round(avg(cost), 9) AS cost FROM blocks GROUP BY symbol_id, block_type"
 
 
-@sql_operator
-def p32_exit_reachability(d: Dialect) -> str:
-    """For each loop: the block it goes back to, and whether an exit follows."""
-    return "SELECT id, symbol_id, back_to, exits > 0 AS reaches_exit FROM (SELECT id, symbol_id, block_type, parent_id AS back_to, sum(CASE WHEN block_type = 'catch' THEN 1 ELSE 0 END) OVER (PARTITION BY symbol_id ORDER BY start_line DESC ROWS UNBOUNDED PRECEDING) AS exits FROM blocks) x WHERE block_type = 'loop'"
+@frame_operator("blocks block_edges", lambda d: _flow_sql("SELECT b.id, b.symbol_id, min(CASE WHEN g.start_line <= b.start_line THEN g.id END) AS back_to, b.id IN (SELECT id FROM behind) AS reaches_exit FROM blocks b LEFT JOIN block_edges e ON e.from_id = b.id LEFT JOIN blocks g ON g.id = e.to_id WHERE b.block_type = 'loop' GROUP BY b.id, b.symbol_id"))
+def p32_exit_reachability(t: dict[str, DataFrame]) -> DataFrame:
+    """For each loop: the block it goes back to, and whether a walk along the edges leads to an exit."""
+    return control_flow(t["blocks"], t["block_edges"]).where("block_type = 'loop'").select("id", "symbol_id", "back_to", "reaches_exit")

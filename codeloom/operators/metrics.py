@@ -205,8 +205,8 @@ def m18_long_parameter_list(d: Dialect) -> str:
 
 @sql_operator
 def m19_dead_code(d: Dialect) -> str:
-    """Nothing refers to it (here: in the sparse call graph) and it is not exported."""
-    return "SELECT s.id, s.name FROM symbols s WHERE NOT s.is_exported AND NOT EXISTS (SELECT 1 FROM calls_sparse c WHERE c.callee_id = s.id)"
+    """Nothing refers to it and it is not exported."""
+    return "SELECT s.id, s.name FROM symbols s WHERE NOT s.is_exported AND NOT EXISTS (SELECT 1 FROM calls c WHERE c.callee_id = s.id)"
 
 
 @sql_operator

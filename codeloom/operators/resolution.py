@@ -106,14 +106,14 @@ def n14_resolve_dangling(d: Dialect) -> str:
 @sql_operator
 def n15_gpu_dispatch(d: Dialect) -> str:
     gpu = "(name ILIKE '%gear%' OR signature ILIKE '%buffer%')"
-    return f"SELECT DISTINCT c.caller_id AS from_id, c.callee_id AS to_id, 'dispatches_to_gpu' AS type FROM calls_sparse c JOIN (SELECT id FROM symbols WHERE {gpu}) g ON g.id = c.callee_id LEFT JOIN (SELECT id FROM symbols WHERE {gpu}) h ON h.id = c.caller_id WHERE h.id IS NULL"
+    return f"SELECT DISTINCT c.caller_id AS from_id, c.callee_id AS to_id, 'dispatches_to_gpu' AS type FROM (SELECT DISTINCT caller_id, callee_id FROM calls) c JOIN (SELECT id FROM symbols WHERE {gpu}) g ON g.id = c.callee_id LEFT JOIN (SELECT id FROM symbols WHERE {gpu}) h ON h.id = c.caller_id WHERE h.id IS NULL"
 
 
 @sql_operator
 def n16_data_flow(d: Dialect) -> str:
     """A callee's first parameter has the caller's return type (0.7); or both have parameters (0.3)."""
     first = d.extract("t.signature", r"\(([A-Za-z]+)")
-    return f"SELECT c.caller_id AS from_id, c.callee_id AS to_id, CASE WHEN f.return_type = {first} THEN 'passes_data_via_return' ELSE 'passes_data_via_params_heuristic' END AS type, CASE WHEN f.return_type = {first} THEN 0.7e0 ELSE 0.3e0 END AS confidence FROM calls_sparse c JOIN symbols f ON f.id = c.caller_id JOIN symbols t ON t.id = c.callee_id WHERE f.return_type = {first} OR (f.signature NOT LIKE '%()' AND t.signature NOT LIKE '%()')"
+    return f"SELECT c.caller_id AS from_id, c.callee_id AS to_id, CASE WHEN f.return_type = {first} THEN 'passes_data_via_return' ELSE 'passes_data_via_params_heuristic' END AS type, CASE WHEN f.return_type = {first} THEN 0.7e0 ELSE 0.3e0 END AS confidence FROM (SELECT DISTINCT caller_id, callee_id FROM calls) c JOIN symbols f ON f.id = c.caller_id JOIN symbols t ON t.id = c.callee_id WHERE f.return_type = {first} OR (f.signature NOT LIKE '%()' AND t.signature NOT LIKE '%()')"
 
 
 @sql_operator
@@ -145,7 +145,7 @@ def n21_factories(d: Dialect) -> str:
 
 @sql_operator
 def n22_callbacks(d: Dialect) -> str:
-    return "SELECT c.caller_id AS from_id, c.callee_id AS to_id, 0.85e0 AS confidence FROM calls_sparse c JOIN symbols f ON f.id = c.caller_id JOIN symbols t ON t.id = c.callee_id WHERE f.name ILIKE '%bolt%' AND t.kind IN ('function', 'method')"
+    return "SELECT c.caller_id AS from_id, c.callee_id AS to_id, 0.85e0 AS confidence FROM (SELECT DISTINCT caller_id, callee_id FROM calls) c JOIN symbols f ON f.id = c.caller_id JOIN symbols t ON t.id = c.callee_id WHERE f.name ILIKE '%bolt%' AND t.kind IN ('function', 'method')"
 
 
 @sql_operator
@@ -162,7 +162,7 @@ def n24_producers(d: Dialect) -> str:
 @sql_operator
 def n25_stages(d: Dialect) -> str:
     stage = "CASE {0}.tag WHEN 'red' THEN 1 WHEN 'green' THEN 2 WHEN 'blue' THEN 3 ELSE 4 END"
-    return f"SELECT c.caller_id AS from_id, c.callee_id AS to_id, 0.8e0 AS confidence FROM calls_sparse c JOIN symbols f ON f.id = c.caller_id JOIN symbols t ON t.id = c.callee_id WHERE {stage.format('t')} = {stage.format('f')} + 1"
+    return f"SELECT c.caller_id AS from_id, c.callee_id AS to_id, 0.8e0 AS confidence FROM (SELECT DISTINCT caller_id, callee_id FROM calls) c JOIN symbols f ON f.id = c.caller_id JOIN symbols t ON t.id = c.callee_id WHERE {stage.format('t')} = {stage.format('f')} + 1"
 
 
 @sql_operator

@@ -1,9 +1,10 @@
 """The model's tables, and their projection from the test tables.
 
 symbols, relationships, calls (one row for each call site), languages, projects,
-blocks (control flow), flow_paths, insights, files and sources are what operators
-read. A user passes frames of these shapes; the driver's queries use the projection
-below, which is plain SQL for both dialects.
+blocks and block_edges (control flow), flow_paths, insights, files and sources are
+what operators read. A user passes frames of these shapes; the driver's queries use
+the projection below, which is plain SQL for both dialects. calls_dag is a slice
+without cycles, for the enumeration of paths alone.
 """
 
 from __future__ import annotations
@@ -43,21 +44,26 @@ def definitions(d: Dialect) -> dict[str, str]:
               split_part(p_name, ' ', 1) AS tag
             FROM part""",
         "calls": f"SELECT a.l_partkey AS caller_id, b.l_partkey AS callee_id, CAST(a.l_linenumber AS BIGINT) AS line_number, a.l_discount > 0.05e0 AS is_conditional, a.l_linestatus AS condition, a.l_partkey = b.l_partkey AS is_recursive FROM {_SITES}",
-        "calls_sparse": f"SELECT DISTINCT a.l_partkey AS caller_id, b.l_partkey AS callee_id FROM {_SITES} WHERE a.l_discount >= 0.09e0",
-        "calls_rare": f"SELECT DISTINCT a.l_partkey AS caller_id, b.l_partkey AS callee_id FROM {_SITES} WHERE a.l_discount >= 0.09e0 AND a.l_returnflag = 'R'",
-        "calls_dag": "SELECT caller_id, callee_id FROM calls_rare WHERE caller_id < callee_id",
+        "calls_dag": f"SELECT DISTINCT a.l_partkey AS caller_id, b.l_partkey AS callee_id FROM {_SITES} WHERE a.l_discount >= 0.09e0 AND a.l_returnflag = 'R' AND a.l_partkey < b.l_partkey",
         "relationships": f"""
             SELECT caller_id * 1000003 + callee_id * 3 + CASE type WHEN 'calls' THEN 0 WHEN 'uses' THEN 1 ELSE 2 END AS id, caller_id AS from_id, CASE WHEN (caller_id + callee_id) % 17 = 0 THEN NULL ELSE callee_id END AS to_id, type, confidence, to_name,
               (caller_id + callee_id) % 7 = 0 AS is_cross_language FROM (
-              SELECT a.l_partkey AS caller_id, b.l_partkey AS callee_id, CASE a.l_returnflag WHEN 'R' THEN 'calls' WHEN 'A' THEN 'uses' ELSE 'imports' END AS type, max(1e0 - 5e0 * a.l_discount) AS confidence, max(replace(p.p_name, ' ', '_') || '_' || {s('p.p_partkey')}) AS to_name
-              FROM {_SITES} JOIN part p ON p.p_partkey = b.l_partkey GROUP BY a.l_partkey, b.l_partkey, CASE a.l_returnflag WHEN 'R' THEN 'calls' WHEN 'A' THEN 'uses' ELSE 'imports' END) r""",
+              SELECT a.l_partkey AS caller_id, b.l_partkey AS callee_id, CASE WHEN a.l_partkey % 5 = 0 AND b.l_partkey % 5 = 0 THEN 'inherits' WHEN a.l_returnflag = 'R' THEN 'calls' WHEN a.l_returnflag = 'A' THEN 'uses' ELSE 'imports' END AS type, max(1e0 - 5e0 * a.l_discount) AS confidence, max(replace(p.p_name, ' ', '_') || '_' || {s('p.p_partkey')}) AS to_name
+              FROM {_SITES} JOIN part p ON p.p_partkey = b.l_partkey GROUP BY a.l_partkey, b.l_partkey, CASE WHEN a.l_partkey % 5 = 0 AND b.l_partkey % 5 = 0 THEN 'inherits' WHEN a.l_returnflag = 'R' THEN 'calls' WHEN a.l_returnflag = 'A' THEN 'uses' ELSE 'imports' END) r""",
         "blocks": """
             SELECT event_id AS id, user_id AS symbol_id, CASE event_type WHEN 'view' THEN 'basic' WHEN 'click' THEN 'conditional' WHEN 'purchase' THEN 'loop' WHEN 'signup' THEN 'entry' ELSE 'catch' END AS block_type,
               lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS parent_id,
               CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) * 10 AS BIGINT) AS start_line,
               CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) * 10 + event_id % 25 AS BIGINT) AS end_line, CAST(event_id % 6 + 1 AS BIGINT) AS complexity, value AS cost
             FROM events""",
-        "flow_paths": f"SELECT caller_id * 1000003 + callee_id AS id, caller_id AS start_id, callee_id AS end_id, {d.array('caller_id', 'callee_id')} AS nodes, CAST(callee_id % 9 AS BIGINT) AS frequency, (caller_id % 5) / 4e0 AS coverage, caller_id = callee_id AS is_cyclic FROM calls_rare",
+        # A block goes on to the next one, unless it ends the function (catch); a loop also goes back, and a condition may skip a block.
+        "block_edges": """
+            SELECT symbol_id, from_id, to_id, kind FROM (
+              SELECT symbol_id, id AS from_id, lead(id) OVER w AS to_id, 'next' AS kind FROM blocks WINDOW w AS (PARTITION BY symbol_id ORDER BY start_line)
+              UNION ALL SELECT symbol_id, id AS from_id, lead(id, 2) OVER w AS to_id, 'skip' AS kind FROM (SELECT * FROM blocks) s WINDOW w AS (PARTITION BY symbol_id ORDER BY start_line)) e
+            JOIN (SELECT id, block_type FROM blocks) b ON b.id = e.from_id WHERE to_id IS NOT NULL AND (kind = 'next' AND block_type <> 'catch' OR kind = 'skip' AND block_type = 'conditional')
+            UNION ALL SELECT symbol_id, id AS from_id, parent_id AS to_id, 'back' AS kind FROM blocks WHERE block_type = 'loop' AND parent_id IS NOT NULL""",
+        "flow_paths": f"SELECT caller_id * 1000003 + callee_id AS id, caller_id AS start_id, callee_id AS end_id, {d.array('caller_id', 'callee_id')} AS nodes, CAST(callee_id % 9 AS BIGINT) AS frequency, (caller_id % 5) / 4e0 AS coverage, caller_id = callee_id AS is_cyclic FROM (SELECT DISTINCT caller_id, callee_id FROM calls) c",
         "insights": """
             SELECT d.doc_id AS id, CASE WHEN l.quality = 0 THEN 'quality' WHEN l.toxic = 1 THEN 'security' ELSE 'architecture' END AS category, d.lang AS type,
               CASE d.doc_id % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS severity, 0.4e0 + (d.doc_id % 60) / 100e0 AS confidence,
@@ -69,44 +75,39 @@ def definitions(d: Dialect) -> dict[str, str]:
     }
 
 
-def needed(body: str, defs: dict[str, str]) -> list[str]:
-    """Model tables that a text reads, dependencies first."""
+def needed(body: str, defs: dict[str, str], leaves: dict[str, str]) -> list[str]:
+    """Model tables that a text reads, dependencies first; leaves read nothing else."""
     out: list[str] = []
 
     def visit(text: str) -> None:
-        for name in defs:
-            if re.search(rf"\b{name}\b", text) and name not in out:
-                visit(defs[name])
-                if name not in out:
-                    out.append(name)
+        for name in (*leaves, *defs):
+            if name not in out and re.search(rf"\b{name}\b", text):
+                if name not in leaves:
+                    visit(defs[name])
+                out.append(name)
 
     visit(body)
-    return out
-
-
-def projected(spark: SparkSession, sf_dir: str, body: str) -> dict[str, DataFrame]:
-    """The frames that a text reads: base tables, and model tables over them."""
-    defs = definitions(SPARK)
-    names = needed(body, defs)
-    texts = " ".join([body, *(defs[n] for n in names)])
-    out = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in BASE if re.search(rf"\b{t}\b", texts)}
-    for t, df in out.items():
-        df.createOrReplaceTempView(t)
-    for n in names:
-        out[n] = spark.sql(defs[n])
-        out[n].createOrReplaceTempView(n)
-    return out
-
-
-def with_model(d: Dialect, body: str) -> str:
-    """The text with the model tables that it reads as common table expressions."""
-    defs = definitions(d)
-    names = needed(body, defs)
-    if not names:
+    return list(dict.fromkeys(out))
+
+
+def projected(spark: SparkSession, sf_dir: str, reads: str) -> dict[str, DataFrame]:
+    """The frames of the tables that are named: base tables, and model tables over them."""
+    base = {t: f"SELECT * FROM parquet.`{sf_dir}/{t}.parquet`" for t in BASE}
+    return {t: spark.sql(with_model(SPARK, f"SELECT * FROM {t}", base)) for t in reads.split()}
+
+
+def with_tables(tables: dict[str, str], body: str) -> str:
+    """The text with tables, given by their SQL, as common table expressions before its own."""
+    if not tables:
         return body
-    ctes = ", ".join(f"{n} AS ({defs[n]})" for n in names)
+    ctes = ", ".join(f"{n} AS ({t})" for n, t in tables.items())
     stripped = body.strip()
-    m = re.match(r"WITH( RECURSIVE)?\s", stripped)
-    if m:
+    if m := re.match(r"WITH( RECURSIVE)?\s", stripped):
         return f"WITH{m[1] or ''} {ctes}, {stripped[m.end():]}"
     return f"WITH {ctes} {stripped}"
+
+
+def with_model(d: Dialect, body: str, base: dict[str, str] | None = None) -> str:
+    """The text with the model tables that it reads (and base tables, if given by their SQL) as common table expressions."""
+    defs, base = definitions(d), base or {}
+    return with_tables({n: (base | defs)[n] for n in needed(body, defs, base)}, body)

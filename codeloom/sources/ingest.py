@@ -139,7 +139,7 @@ def s12_export_dot(d: Dialect) -> str:
     """Each caller's edges in DOT and Mermaid form; a graph's text is its rows in order."""
     t = "STRING" if d.spark else "VARCHAR"
     c = lambda x: f"CAST({x} AS {t})"
-    return f"SELECT caller_id, {d.joined_list(c('caller_id') + ' || ' + repr(' -> ') + ' || ' + c('callee_id'), 'callee_id', '; ')} AS dot, {d.joined_list(c('caller_id') + ' || ' + repr(' --> ') + ' || ' + c('callee_id'), 'callee_id', '; ')} AS mermaid FROM calls_dag GROUP BY caller_id"
+    return f"SELECT caller_id, {d.joined_list(c('caller_id') + ' || ' + repr(' -> ') + ' || ' + c('callee_id'), 'callee_id', '; ')} AS dot, {d.joined_list(c('caller_id') + ' || ' + repr(' --> ') + ' || ' + c('callee_id'), 'callee_id', '; ')} AS mermaid FROM (SELECT DISTINCT caller_id, callee_id FROM calls) c GROUP BY caller_id"
 
 
 @sql_operator

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from ..engine import sql_operator
+from ..plans import rules
 from ..plans.dialect import Dialect
+from ..plans.rules import ON_TEST_TABLES, like_any
 from .impact import _DEGREES
 
 _XL = "SELECT r.id, r.from_id, r.to_id, r.type, r.confidence, f.file_path AS from_file, t.file_path AS to_file, f.namespace AS from_ns, t.namespace AS to_ns, fl.name AS from_language, tl.name AS to_language, f.name AS from_name, t.name AS to_name FROM relationships r JOIN symbols f ON f.id = r.from_id JOIN symbols t ON t.id = r.to_id JOIN languages fl ON fl.id = f.language_id JOIN languages tl ON tl.id = t.language_id"
@@ -72,13 +74,14 @@ def d18_dependencies(d: Dialect) -> str:
     return "SELECT caller_id, callee_id, count(*) FILTER (WHERE NOT is_conditional) AS data, count(*) FILTER (WHERE is_conditional) AS control FROM calls GROUP BY caller_id, callee_id"
 
 
-@sql_operator
-def d19_taint(d: Dialect) -> str:
-    """From sources ('red') to sinks ('bolt') over one intermediate at most; sanitised where it is 'small'."""
-    return """SELECT s.id AS source_id, k.id AS sink_id, min(hops) AS hops, count(*) FILTER (WHERE sanitised) > 0 AS sanitised FROM (
-        SELECT caller_id AS a, callee_id AS b, CAST(1 AS BIGINT) AS hops, false AS sanitised FROM calls_sparse
-        UNION ALL SELECT x.caller_id AS a, y.callee_id AS b, CAST(2 AS BIGINT) AS hops, m.tag = 'small' AS sanitised FROM calls_sparse x JOIN calls_sparse y ON y.caller_id = x.callee_id JOIN symbols m ON m.id = x.callee_id) p
-        JOIN symbols s ON s.id = p.a AND s.tag = 'red' JOIN symbols k ON k.id = p.b AND k.name LIKE '%bolt%' GROUP BY s.id, k.id"""
+@sql_operator(sources=["red"], sinks=["bolt"], sanitisers=["small"])
+def d19_taint(d: Dialect, sources: list[str] = rules.TAINT_SOURCES, sinks: list[str] = rules.TAINT_SINKS, sanitisers: list[str] = rules.SANITISERS) -> str:
+    """From functions named for taking data in to those named for giving it out, over one intermediate at most; sanitised where one on the way is named for checking."""
+    e = "(SELECT DISTINCT caller_id, callee_id FROM calls)"
+    s, k = f"(SELECT id FROM symbols WHERE {like_any('name', sources)})", f"(SELECT id FROM symbols WHERE {like_any('name', sinks)})"
+    return f"""SELECT source_id, sink_id, min(hops) AS hops, count(*) FILTER (WHERE sanitised) > 0 AS sanitised FROM (
+        SELECT s.id AS source_id, k.id AS sink_id, CAST(1 AS BIGINT) AS hops, false AS sanitised FROM {e} x JOIN {s} s ON s.id = x.caller_id JOIN {k} k ON k.id = x.callee_id
+        UNION ALL SELECT s.id AS source_id, k.id AS sink_id, CAST(2 AS BIGINT) AS hops, {like_any('m.name', sanitisers)} AS sanitised FROM {e} x JOIN {s} s ON s.id = x.caller_id JOIN {e} y ON y.caller_id = x.callee_id JOIN {k} k ON k.id = y.callee_id JOIN symbols m ON m.id = x.callee_id) p GROUP BY source_id, sink_id"""
 
 
 @sql_operator

@@ -9,30 +9,36 @@ from ..engine import frame_operator, sql_operator
 from ..plans.dialect import Dialect
 from .impact import _DEGREES
 
-#: What counts as a decision, at most CAP_EACH times each and CAP_ALL together, over at most MAX_LINES lines.
+#: What counts as a decision, at most CAP_EACH times each and CAP_ALL together; and what else does in a language.
 DECISIONS = [r"\bif\s*\(", r"\belse\s+if\s*\(", r"\bwhile\s*\(", r"\bfor\s*\(", r"\bswitch\s*\(", r"\bcase\s", r"\bcatch\s*\(", r"\?\s*[^:]", r"&&", r"\|\|"]
-CAP_EACH, CAP_ALL, MAX_LINES = 20, 50, 200
+_JS = [r"\btry\s*\{", r"\bawait\s", r"\byield\s"]
+LANGUAGE_DECISIONS = {
+    "cpp": [r"\btry\s*\{", r"\bco_await\b", r"\bco_yield\b", r"\bco_return\b"], "typescript": _JS, "javascript": _JS,
+    "python": [r"\btry\s*:", r"\bexcept\s", r"\bfinally\s*:", r"\bawait\s", r"\byield\s"],
+}
+CAP_EACH, CAP_ALL = 20, 50
 NESTING_CAP, COGNITIVE_CAP, DEPTH_CAP = 15, 150, 25
 OPERATORS = "+ - * / % = < > ! & | ^ ~ ? :".split()
 KEYWORDS = "if else for while do switch case return break continue class struct public private new delete try catch throw const static void var let function import export".split()
 
 
-def _head(d: Dialect, text: str) -> str:
-    """The first MAX_LINES lines of a text."""
-    newline = "\\\\n" if d.spark else "\n"
-    parts = d.slice(d.split(text, "\n"), "1", str(MAX_LINES))
-    return f"array_join({parts}, '{newline[1:] if d.spark else newline}')" if d.spark else f"array_to_string({parts}, chr(10))"
+def _head(d: Dialect, text: str, lines: int | None) -> str:
+    """A text, or its first lines where their number is bounded."""
+    if lines is None:
+        return text
+    parts = d.slice(d.split(text, "\n"), "1", str(lines))
+    return f"array_join({parts}, '\\n')" if d.spark else f"array_to_string({parts}, chr(10))"
 
 
-@sql_operator
-def m01_cyclomatic(d: Dialect) -> str:
-    """Decisions in a text, each kind and all together capped; and edges minus nodes plus 2 for block graphs is G08."""
-    total = " + ".join(f"least({d.count_matches('head', p)}, {CAP_EACH})" for p in DECISIONS)
-    return f"SELECT id, least(1 + {total}, {CAP_ALL}) AS cyclomatic FROM (SELECT id, {_head(d, 'text')} AS head FROM sources) h"
+@sql_operator(language="javascript")
+def m01_cyclomatic(d: Dialect, language: str | None = None, lines: int | None = None) -> str:
+    """Decisions in a text (of a language), each kind and all together capped; whole texts, unless lines bounds them. Edges minus nodes plus 2 for block graphs is G08."""
+    total = " + ".join(f"least({d.count_matches('head', p)}, {CAP_EACH})" for p in DECISIONS + LANGUAGE_DECISIONS.get(language or "", []))
+    return f"SELECT id, least(1 + {total}, {CAP_ALL}) AS cyclomatic FROM (SELECT id, {_head(d, 'text', lines)} AS head FROM sources) h"
 
 
 def _lines(text: str) -> Column:
-    return F.slice(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), 1, MAX_LINES)
+    return F.split(F.coalesce(F.col(text), F.lit("")), "\n")
 
 
 def _brace(line: Column, c: str) -> Column:
@@ -41,13 +47,12 @@ def _brace(line: Column, c: str) -> Column:
 
 def cognitive(text: str) -> Column:
     """A fold over lines: control structures weigh 1 and the running depth; stops growing at its cap."""
-    weights = [(r"\b(if|while|for|switch)\s*\(", True), (r"\belse\s+if\s*\(", True), (r"\bcatch\s*\(", True), (r"\b&&\b|\b\|\|\b", False), (r"\?\s*:", True), (r"\b(break|continue)\b", True), (r"\breturn\s+\w+\s*\(", False)]
 
     def step(s: Column, line: Column) -> Column:
         t = F.trim(line)
         depth = F.least(F.greatest(s["depth"] + _brace(t, "{") - _brace(t, "}"), F.lit(0)), F.lit(NESTING_CAP))
         gain = F.lit(0)
-        for pattern, nested in weights:
+        for pattern, nested in _WEIGHTS:
             gain = gain + F.when(t.rlike(pattern), depth + 1 if nested else F.lit(1)).otherwise(0)
         done = s["score"] > COGNITIVE_CAP
         return F.struct(F.when(done, s["depth"]).otherwise(depth).alias("depth"), F.when(done, s["score"]).otherwise(s["score"] + gain).alias("score"))
@@ -67,13 +72,27 @@ def nesting(text: str) -> Column:
     return F.least(F.aggregate(_lines(text), start, step, lambda s: s["deepest"]), F.lit(DEPTH_CAP)).cast("long")
 
 
-@frame_operator("sources")
+_WEIGHTS = [(r"\b(if|while|for|switch)\s*\(", True), (r"\belse\s+if\s*\(", True), (r"\bcatch\s*\(", True), (r"\b&&\b|\b\|\|\b", False), (r"\?\s*:", True), (r"\b(break|continue)\b", True), (r"\breturn\s+\w+\s*\(", False)]
+
+
+def _cognitive_sql(d: Dialect) -> str:
+    """The oracle: the fold as a recursion over the lines of each text."""
+    line = "trim(lines[k + 1])"
+    gain = " + ".join(f"CASE WHEN regexp_matches({line}, '{p}') THEN {'now + 1' if nested else '1'} ELSE 0 END" for p, nested in _WEIGHTS)
+    now = f"least(greatest(depth + (length({line}) - length(replace({line}, '{{', ''))) - (length({line}) - length(replace({line}, '}}', ''))), 0), {NESTING_CAP})"
+    return f"""WITH RECURSIVE l AS (SELECT id, string_split(coalesce(text, ''), chr(10)) AS lines FROM sources),
+        walk AS (SELECT id, lines, 0 AS k, CAST(0 AS BIGINT) AS depth, CAST(0 AS BIGINT) AS score FROM l
+          UNION ALL SELECT id, lines, k + 1, CASE WHEN score > {COGNITIVE_CAP} THEN depth ELSE now END, CASE WHEN score > {COGNITIVE_CAP} THEN score ELSE score + {gain} END FROM (SELECT *, {now} AS now FROM walk WHERE k < len(lines)) w)
+        SELECT id, least(max(score), {COGNITIVE_CAP}) AS cognitive FROM walk GROUP BY id"""
+
+
+@frame_operator("sources", _cognitive_sql)
 def m02_cognitive(t: dict[str, DataFrame]) -> DataFrame:
     return t["sources"].select("id", cognitive("text").alias("cognitive"))
 
 
 def _nesting_sql(d: Dialect) -> str:
-    return f"""WITH RECURSIVE l AS (SELECT id, list_slice(string_split(text, chr(10)), 1, {MAX_LINES}) AS lines FROM sources),
+    return f"""WITH RECURSIVE l AS (SELECT id, string_split(text, chr(10)) AS lines FROM sources),
         walk AS (SELECT id, lines, 0 AS k, CAST(0 AS BIGINT) AS depth, CAST(0 AS BIGINT) AS deepest FROM l
           UNION ALL SELECT id, lines, k + 1, greatest(0, depth + delta), greatest(deepest, greatest(0, depth + delta)) FROM (SELECT *, (2 * length(lines[k + 1]) - length(replace(lines[k + 1], '{{', '')) * 1 - length(lines[k + 1]) - length(lines[k + 1]) + length(replace(lines[k + 1], '}}', ''))) AS delta FROM walk WHERE k < len(lines)) w)
         SELECT id, least(max(deepest), {DEPTH_CAP}) AS nesting FROM walk GROUP BY id"""

@@ -3,24 +3,27 @@
 from __future__ import annotations
 
 from ..engine import sql_operator
+from ..plans import rules
 from ..plans.dialect import Dialect
+from ..plans.rules import ON_TEST_TABLES, like_any
 from .impact import _DEGREES
 
 
-@sql_operator
-def p01_singletons(d: Dialect, child: str = "ring") -> str:
+@sql_operator(members=["ring"])
+def p01_singletons(d: Dialect, members: list[str] = rules.SINGLETON_MEMBERS) -> str:
     """Classes with a member whose name marks a single instance."""
-    return f"SELECT c.id, c.name FROM symbols c WHERE c.kind = 'class' AND EXISTS (SELECT 1 FROM symbols m WHERE m.parent_symbol_id = c.id AND m.name ILIKE '%{child}%')"
+    return f"SELECT c.id, c.name FROM symbols c WHERE c.kind = 'class' AND EXISTS (SELECT 1 FROM symbols m WHERE m.parent_symbol_id = c.id AND {like_any('m.name', members)})"
 
 
-@sql_operator
-def p02_factories(d: Dialect, word: str = "widget") -> str:
-    return f"SELECT id, name FROM symbols WHERE kind IN ('class', 'function', 'method') AND name ILIKE '%{word}%'"
+@sql_operator(words=["widget"])
+def p02_factories(d: Dialect, words: list[str] = rules.FACTORY_NAMES) -> str:
+    return f"SELECT id, name FROM symbols WHERE kind IN ('class', 'function', 'method') AND {like_any('name', words)}"
 
 
-@sql_operator
-def p03_observers(d: Dialect) -> str:
-    return "SELECT c.id, c.name FROM symbols c WHERE c.kind = 'class' AND EXISTS (SELECT 1 FROM symbols m WHERE m.parent_symbol_id = c.id AND (m.name ILIKE '%bolt%' OR m.name ILIKE '%gear%'))"
+@sql_operator(members=["bolt", "gear"])
+def p03_observers(d: Dialect, members: list[str] = rules.OBSERVER_MEMBERS) -> str:
+    """Classes with a member whose name marks subscription or notification."""
+    return f"SELECT c.id, c.name FROM symbols c WHERE c.kind = 'class' AND EXISTS (SELECT 1 FROM symbols m WHERE m.parent_symbol_id = c.id AND {like_any('m.name', members)})"
 
 
 @sql_operator
@@ -28,26 +31,29 @@ def p04_god_classes(d: Dialect, threshold: int = 1) -> str:
     return f"SELECT c.id, c.name, count(*) AS members FROM symbols c JOIN symbols m ON m.parent_symbol_id = c.id AND m.kind = 'function' WHERE c.kind = 'class' GROUP BY c.id, c.name HAVING count(*) > {threshold}"
 
 
-@sql_operator
-def p05_detect_patterns(d: Dialect) -> str:
+@sql_operator(singleton=["ring"], factory=["widget"], observer=["bolt", "gear"])
+def p05_detect_patterns(d: Dialect, singleton: list[str] = rules.SINGLETON_MEMBERS, factory: list[str] = rules.FACTORY_NAMES, observer: list[str] = rules.OBSERVER_MEMBERS) -> str:
     """P01 to P04 in one list, each with its fixed confidence."""
-    parts = {"singleton": (p01_singletons(d), 0.8), "factory": (p02_factories(d), 0.7), "observer": (p03_observers(d), 0.75), "god-class": (p04_god_classes(d), 0.9)}
+    parts = {"singleton": (p01_singletons(d, singleton), 0.8), "factory": (p02_factories(d, factory), 0.7), "observer": (p03_observers(d, observer), 0.75), "god-class": (p04_god_classes(d), 0.9)}
     return " UNION ALL ".join(f"SELECT '{k}' AS pattern, id, CAST({c} AS DOUBLE) AS confidence FROM ({q}) x{k[0]}" for k, (q, c) in parts.items())
 
 
-_RULES = "(VALUES ('singleton', 'ring', 0.9e0), ('singleton', 'small', 0.4e0), ('factory', 'widget', 0.8e0), ('factory', 'large', 0.3e0), ('observer', 'bolt', 0.7e0), ('observer', 'red', 0.5e0), ('repository', 'gear', 0.6e0), ('mvc', 'blue', 0.5e0)) AS r(pattern, word, weight)"
+def _named(names: list[tuple[str, str]]) -> str:
+    return "(VALUES " + ", ".join(f"('{p}', '{w}', {rules.NAMING_WEIGHT[p]}e0)" for p, w in names) + ") AS r(pattern, word, weight)"
 
 
-@sql_operator
-def p06_weighted_patterns(d: Dialect, threshold: float = 0.3) -> str:
-    """Weighted share of a pattern's rules that a name meets, times the symbol's confidence; kept from the threshold up."""
+@sql_operator(names=ON_TEST_TABLES["pattern_names"])
+def p06_weighted_patterns(d: Dialect, threshold: float = 0.3, names: list[tuple[str, str]] = rules.PATTERN_NAMES) -> str:
+    """Share of a pattern's name rules that a symbol meets (one is enough for half), times the symbol's confidence; kept from the threshold up."""
+    test = "lower(s.name) rlike r.word" if d.spark else "regexp_matches(lower(s.name), r.word)"
     return f"""SELECT id, pattern, round(score, 6) AS score, CASE WHEN score >= 0.7e0 THEN 'strong' WHEN score >= 0.5e0 THEN 'fair' ELSE 'weak' END AS quality FROM (
-        SELECT s.id, r.pattern, sum(CASE WHEN {d.contains('s.name', 'r.word')} THEN r.weight ELSE 0e0 END) / sum(r.weight) * max(s.confidence) AS score FROM symbols s CROSS JOIN {_RULES} GROUP BY s.id, r.pattern) x WHERE score >= {threshold}e0"""
+        SELECT s.id, r.pattern, (0.5e0 + 0.5e0 * count(*) / max(r.rules)) * max(s.confidence) AS score FROM symbols s JOIN (SELECT pattern, word, count(*) OVER (PARTITION BY pattern) AS rules FROM {_named(names)}) r ON {test} GROUP BY s.id, r.pattern) x WHERE score >= {threshold}e0"""
 
 
 @sql_operator
-def p07_rules(d: Dialect) -> str:
-    return f"SELECT pattern, count(*) AS rules, sum(weight) AS weight FROM {_RULES} GROUP BY pattern"
+def p07_rules(d: Dialect, names: list[tuple[str, str]] = rules.PATTERN_NAMES) -> str:
+    """The built-in patterns: name rules, and the weight of naming."""
+    return f"SELECT pattern, count(*) AS rules, max(weight) AS weight FROM {_named(names)} GROUP BY pattern"
 
 
 @sql_operator
@@ -57,22 +63,22 @@ def p08_naming(d: Dialect) -> str:
     return f"SELECT namespace, {d.least_by('style', d.row('-n', 'style'))} AS style, round(CAST(max(n) AS DOUBLE) / sum(n), 6) AS consistency FROM (SELECT namespace, {style} AS style, count(*) AS n FROM symbols GROUP BY 1, 2) x GROUP BY namespace"
 
 
-_ROLES = {
-    "data": "CASE WHEN kind IN ('class', 'struct') THEN 2 ELSE 0 END + CASE WHEN tag = 'small' THEN 1 ELSE 0 END",
-    "behavior": "CASE WHEN kind IN ('function', 'method') THEN 2 ELSE 0 END",
-    "control": "CASE WHEN complexity > 25 THEN 3 ELSE 0 END",
-    "interface": "CASE WHEN is_exported THEN 1 ELSE 0 END + CASE WHEN file_path LIKE '%.ixx' THEN 1 ELSE 0 END",
-    "utility": "CASE WHEN fan_in > 20 THEN 2 ELSE 0 END",
-    "configuration": "CASE WHEN tag = 'blue' THEN 2 ELSE 0 END",
-}
-
-
-@sql_operator
-def p09_semantic_roles(d: Dialect) -> str:
-    """Six scores and the largest; ties go in the order of the roles."""
-    cols = ", ".join(f"{e} AS {r}" for r, e in _ROLES.items())
-    best = f"greatest({', '.join(_ROLES)})"
-    return f"SELECT id, CASE {' '.join(f'WHEN {r} = {best} THEN {chr(39)}{r}{chr(39)}' for r in _ROLES)} END AS role, CAST({best} AS BIGINT) AS score FROM (SELECT id, {cols} FROM ({_DEGREES}) g) x"
+@sql_operator(names=ON_TEST_TABLES["role_names"])
+def p09_semantic_roles(d: Dialect, names: dict[str, str] = rules.ROLE_NAMES) -> str:
+    """Six scores by kind, text and name, and the largest (ties in the order of the roles); the confidence is held to 0.1..1. The signature stands for a symbol's text."""
+    has = lambda c, *words: "(" + " OR ".join(f"{c} LIKE '%{w}%'" for w in words) + ")"
+    typed, called = "kind IN ('class', 'struct')", "kind IN ('function', 'method')"
+    part = {
+        "data": f"CASE WHEN {typed} AND {has('signature', 'private:', 'public:')} THEN 4 WHEN {called} AND {has('name', 'get', 'set')} THEN 5 WHEN kind IN ('enum', 'constant') THEN 3 ELSE 0 END",
+        "behavior": f"CASE WHEN {typed} THEN 3 WHEN {called} THEN 4 ELSE 0 END",
+        "control": f"CASE WHEN {called} AND {has('name', 'control', 'manage')} THEN 6 ELSE 0 END",
+        "interface": f"CASE WHEN {typed} AND {has('signature', 'virtual', 'override')} THEN 6 WHEN kind = 'interface' THEN 8 ELSE 0 END",
+        "utility": f"CASE WHEN {called} AND {has('name', 'validate', 'check')} THEN 4 WHEN NOT ({typed} OR {called} OR kind IN ('interface', 'enum', 'constant')) THEN 5 ELSE 0 END",
+        "configuration": "CASE WHEN kind IN ('enum', 'constant') THEN 7 ELSE 0 END",
+    }
+    cols = ", ".join(f"({e} + CASE WHEN {d.matches('lower(name)', names[r])} THEN 1.5e0 ELSE 0e0 END) / 10e0 AS {r}" for r, e in part.items())
+    best = f"greatest({', '.join(part)})"
+    return f"SELECT id, CASE {' '.join(f'WHEN {r} = {best} THEN {chr(39)}{r}{chr(39)}' for r in part)} END AS role, round(greatest(0.1e0, least(1e0, {best})), 6) AS confidence FROM (SELECT id, {cols} FROM symbols) x"
 
 
 @sql_operator
@@ -80,9 +86,16 @@ def p10_usage_patterns(d: Dialect) -> str:
     return "SELECT from_id AS id, count(*) FILTER (WHERE type = 'calls') AS creator, count(*) FILTER (WHERE type = 'uses') AS consumer, count(*) FILTER (WHERE type = 'imports') AS observer, CASE WHEN count(DISTINCT type) = 3 THEN 'transformer' WHEN count(*) FILTER (WHERE type = 'uses') > 3 THEN 'consumer' ELSE 'creator' END AS pattern FROM relationships GROUP BY from_id"
 
 
-@sql_operator
-def p11_layers(d: Dialect) -> str:
-    return "SELECT id, CASE WHEN name LIKE '%widget%' THEN 'presentation' WHEN name LIKE '%gear%' THEN 'business' WHEN name LIKE '%ring%' THEN 'data' WHEN file_path LIKE '%.ixx' THEN 'interface' ELSE 'infrastructure' END AS layer FROM symbols"
+@sql_operator(paths=[("data", 0.8, [".ixx"])], names=[("presentation", 0.6, ["widget"]), ("business", 0.6, ["gear"])])
+def p11_layers(d: Dialect, paths: list[tuple] = rules.LAYER_PATHS, names: list[tuple] = rules.LAYER_NAMES) -> str:
+    """Layer by the first rule of the path, then of the name, that fits."""
+    ladder = [(like_any("file_path", w), layer, c) for layer, c, w in paths] + [(like_any("name", w), layer, c) for layer, c, w in names]
+    case = lambda f, rest: "CASE " + " ".join(f"WHEN {t} THEN {f(layer, c)}" for t, layer, c in ladder) + f" ELSE {rest} END"
+    return f"SELECT id, {case(lambda layer, c: repr(layer), repr('unknown'))} AS layer, {case(lambda layer, c: f'{c}e0', '0.1e0')} AS confidence FROM symbols"
+
+
+def _tags(names: list[tuple]) -> str:
+    return "(VALUES " + ", ".join(f"('{t}', '{p}', {c}e0)" for t, p, c in names) + ") AS r(tag, pattern, confidence)"
 
 
 @sql_operator
@@ -135,20 +148,18 @@ def p20_tags(d: Dialect) -> str:
     return f"SELECT s.tag, count(*) AS symbols, count(DISTINCT s.kind) AS kinds, {d.joined_set('l.name')} AS languages FROM symbols s LEFT JOIN languages l ON l.id = s.language_id GROUP BY s.tag"
 
 
-_TAG_RULES = "(VALUES ('collection', 'ring|chain', 0.8e0), ('ui', 'widget', 0.9e0), ('fastener', 'bolt', 0.7e0), ('drive', 'gear', 0.6e0), ('primary-colour', '^(red|blue)', 0.5e0)) AS r(tag, pattern, confidence)"
-
-
-@sql_operator
-def p21_suggest_tags(d: Dialect) -> str:
+@sql_operator(names=ON_TEST_TABLES["tag_names"])
+def p21_suggest_tags(d: Dialect, names: list[tuple] = rules.TAG_NAMES) -> str:
+    """Tags whose rules a name meets, with the largest confidence of them."""
     test = "s.name rlike r.pattern" if d.spark else "regexp_matches(s.name, r.pattern)"
-    return f"SELECT s.id, r.tag, r.confidence FROM symbols s JOIN {_TAG_RULES} ON {test}"
+    return f"SELECT s.id, r.tag, max(r.confidence) AS confidence FROM symbols s JOIN {_tags(names)} ON {test} GROUP BY s.id, r.tag"
 
 
-@sql_operator
-def p22_validate_tags(d: Dialect) -> str:
-    """Tags whose rule a symbol of the tag's first word does not meet."""
+@sql_operator(names=ON_TEST_TABLES["tag_names"])
+def p22_validate_tags(d: Dialect, names: list[tuple] = rules.TAG_NAMES) -> str:
+    """Of each rule: symbols whose name meets it, and those whose name does not."""
     test = "s.name rlike r.pattern" if d.spark else "regexp_matches(s.name, r.pattern)"
-    return f"SELECT r.tag, count(*) AS symbols, count(*) FILTER (WHERE {test}) AS valid, count(*) FILTER (WHERE NOT ({test})) AS invalid FROM symbols s CROSS JOIN {_TAG_RULES} GROUP BY r.tag"
+    return f"SELECT r.tag, r.pattern, count(*) AS symbols, count(*) FILTER (WHERE {test}) AS valid, count(*) FILTER (WHERE NOT ({test})) AS invalid FROM symbols s CROSS JOIN {_tags(names)} GROUP BY r.tag, r.pattern"
 
 
 @sql_operator

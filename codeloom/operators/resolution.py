@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from ..engine import sql_operator
+from ..plans import rules
 from ..plans.dialect import Dialect
+from ..plans.rules import ON_TEST_TABLES, like_any
 
 _UNRESOLVED = "SELECT id, from_id, type, to_name FROM relationships WHERE to_id IS NULL"
 _PARENT = "SELECT m.id, m.name, m.kind, m.signature, m.return_type, m.parent_symbol_id, c.name AS class_name, c.namespace AS class_namespace FROM symbols m JOIN symbols c ON c.id = m.parent_symbol_id"
@@ -74,10 +76,10 @@ def n09_implicit_this(d: Dialect) -> str:
     return _candidates("implicit_this")
 
 
-@sql_operator
-def n10_standard_library(d: Dialect) -> str:
-    """Names of the standard library called anywhere."""
-    return f"SELECT id, to_name, {d.matches('to_name', '^(small|large|red)_')} AS is_standard FROM ({_UNRESOLVED}) r"
+@sql_operator(names="^(small|large|red)_")
+def n10_standard_library(d: Dialect, names: str = rules.STANDARD_LIBRARY) -> str:
+    """Whether a name that an edge points to is one of the standard library; those are resolved with priority 70 and confidence 0.7."""
+    return f"SELECT id, to_name, {d.matches('to_name', names)} AS is_standard, CASE WHEN {d.matches('to_name', names)} THEN 0.7e0 END AS confidence FROM ({_UNRESOLVED}) r"
 
 
 @sql_operator
@@ -103,10 +105,11 @@ def n14_resolve_dangling(d: Dialect) -> str:
     return "SELECT r.id, r.from_id, coalesce(r.to_id, n.id) AS to_id, r.to_id IS NULL AND n.id IS NOT NULL AS was_resolved FROM relationships r LEFT JOIN (SELECT name, max(id) AS id FROM symbols GROUP BY name) n ON n.name = r.to_name AND r.to_id IS NULL"
 
 
-@sql_operator
-def n15_gpu_dispatch(d: Dialect) -> str:
-    gpu = "(name ILIKE '%gear%' OR signature ILIKE '%buffer%')"
-    return f"SELECT DISTINCT c.caller_id AS from_id, c.callee_id AS to_id, 'dispatches_to_gpu' AS type FROM (SELECT DISTINCT caller_id, callee_id FROM calls) c JOIN (SELECT id FROM symbols WHERE {gpu}) g ON g.id = c.callee_id LEFT JOIN (SELECT id FROM symbols WHERE {gpu}) h ON h.id = c.caller_id WHERE h.id IS NULL"
+@sql_operator(words=["gear", "buffer"])
+def n15_gpu_dispatch(d: Dialect, words: list[str] = rules.GPU_SIGNATURES) -> str:
+    """Calls from functions that are none of the device's to those that are, by name or signature."""
+    gpu = f"SELECT id FROM symbols WHERE kind IN ('function', 'method') AND ({like_any('name', words)} OR {like_any('signature', words)})"
+    return f"SELECT DISTINCT c.caller_id AS from_id, c.callee_id AS to_id, 'dispatches_to_gpu' AS type FROM calls c JOIN ({gpu}) g ON g.id = c.callee_id LEFT JOIN ({gpu}) h ON h.id = c.caller_id WHERE h.id IS NULL"
 
 
 @sql_operator
@@ -118,18 +121,21 @@ def n16_data_flow(d: Dialect) -> str:
 
 @sql_operator
 def n17_overrides(d: Dialect) -> str:
-    """Same signature in classes of one namespace."""
-    return f"SELECT a.id AS from_id, b.id AS to_id, 'overrides' AS type, 0.9e0 AS confidence FROM ({_PARENT}) a JOIN ({_PARENT}) b ON b.signature = a.signature AND b.class_namespace = a.class_namespace AND b.parent_symbol_id < a.parent_symbol_id"
+    """Members of a class that have name and signature of a member of a class it inherits from."""
+    return f"SELECT a.id AS from_id, b.id AS to_id, 'overrides' AS type, 0.9e0 AS confidence FROM (SELECT DISTINCT from_id, to_id FROM relationships WHERE type = 'inherits' AND to_id IS NOT NULL) i JOIN ({_PARENT}) a ON a.parent_symbol_id = i.from_id JOIN ({_PARENT}) b ON b.parent_symbol_id = i.to_id AND b.id <> a.id AND b.name = a.name AND b.signature = a.signature"
 
 
-@sql_operator
-def n18_inherits(d: Dialect) -> str:
-    return "SELECT a.id AS from_id, b.id AS to_id FROM symbols a JOIN symbols b ON b.namespace = a.namespace AND b.tag = a.tag AND b.kind = 'class' AND a.kind = 'struct'"
+@sql_operator(bases=["ring"], edge="inherits")
+def n18_inherits(d: Dialect, bases: list[str] = rules.BASE_CLASSES, edge: str = "calls") -> str:
+    """Classes that refer to a class whose name marks a base, or whose name stands qualified in their signature."""
+    return f"SELECT DISTINCT a.id AS from_id, b.id AS to_id, 0.8e0 AS confidence FROM relationships r JOIN symbols a ON a.id = r.from_id AND a.kind = 'class' JOIN symbols b ON b.id = r.to_id AND b.kind = 'class' WHERE r.type = '{edge}' AND a.name <> b.name AND ({like_any('b.name', bases)} OR a.signature LIKE '%::%' || b.name || '%')"
 
 
-@sql_operator
-def n19_overrides_by_name(d: Dialect) -> str:
-    return f"SELECT a.id AS from_id, b.id AS to_id, 0.85e0 AS confidence FROM ({_PARENT}) a JOIN ({_PARENT}) b ON split_part(b.signature, '(', 1) = split_part(a.signature, '(', 1) AND b.kind = 'method' AND a.kind = 'method' AND b.class_namespace = a.class_namespace AND a.parent_symbol_id < b.parent_symbol_id"
+@sql_operator(virtual="a.signature LIKE '%Buffer data%'", name="split_part(signature, '(', 1)")
+def n19_overrides_by_name(d: Dialect, virtual: str = "a.signature ILIKE '%virtual%'", name: str = "name") -> str:
+    """Members that are virtual (a condition on the symbol a) and those of one name in other classes that are not."""
+    s = f"(SELECT id, kind, signature, parent_symbol_id, {name} AS own_name FROM symbols WHERE kind IN ('method', 'function') AND parent_symbol_id IS NOT NULL)"
+    return f"SELECT m.id AS from_id, v.id AS to_id, 0.85e0 AS confidence FROM (SELECT * FROM {s} a WHERE {virtual}) v JOIN (SELECT * FROM {s} a WHERE NOT ({virtual})) m ON m.own_name = v.own_name AND m.parent_symbol_id <> v.parent_symbol_id"
 
 
 @sql_operator
@@ -138,31 +144,41 @@ def n20_templates(d: Dialect) -> str:
     return f"SELECT s.id AS from_id, token, count(t.id) AS targets, 0.75e0 AS confidence FROM (SELECT id, {d.extract('signature', r'([A-Za-z_]+)<')} AS token FROM symbols) s JOIN symbols t ON t.return_type = s.token AND t.kind = 'class' WHERE token <> '' GROUP BY s.id, token"
 
 
-@sql_operator
-def n21_factories(d: Dialect) -> str:
-    return "SELECT f.id AS from_id, c.id AS to_id, 0.9e0 AS confidence FROM symbols f JOIN symbols c ON c.namespace = f.namespace AND c.kind = 'class' WHERE f.name LIKE '%widget%' AND f.kind IN ('function', 'method')"
+@sql_operator(words=["widget"], owning=[""], product="c.name = split_part(split_part(f.signature, ' ', 2), '(', 1) || '_' || CAST(c.id AS VARCHAR(20))")
+def n21_factories(d: Dialect, words: list[str] = rules.FACTORY_FUNCTIONS, owning: list[str] = rules.OWNING_TYPES, product: str | None = None) -> str:
+    """Functions named for making that return an owning type of a class: the class's name is a word of the return type (an equality of words, not a comparison of all with all)."""
+    token = d.explode(d.distinct(d.extract_all("return_type", "[A-Za-z_][A-Za-z0-9_]*", 0)))
+    made = f"SELECT id, signature, {token} AS token FROM symbols WHERE kind = 'function' AND {like_any('name', words)} AND {like_any('return_type', owning)}"
+    return f"SELECT DISTINCT f.id AS from_id, c.id AS to_id, 0.9e0 AS confidence FROM ({made}) f JOIN symbols c ON {product or 'c.name = f.token'} AND c.kind = 'class'"
 
 
-@sql_operator
-def n22_callbacks(d: Dialect) -> str:
-    return "SELECT c.caller_id AS from_id, c.callee_id AS to_id, 0.85e0 AS confidence FROM (SELECT DISTINCT caller_id, callee_id FROM calls) c JOIN symbols f ON f.id = c.caller_id JOIN symbols t ON t.id = c.callee_id WHERE f.name ILIKE '%bolt%' AND t.kind IN ('function', 'method')"
+@sql_operator(registrars=["bolt"], callbacks=["Buffer"], edge="calls")
+def n22_callbacks(d: Dialect, registrars: list[str] = rules.REGISTRARS, callbacks: list[str] = rules.CALLBACK_SIGNATURES, edge: str | None = None) -> str:
+    """Edges from what is named for registering to what takes a function."""
+    return f"SELECT DISTINCT r.from_id, r.to_id, 0.85e0 AS confidence FROM relationships r JOIN symbols f ON f.id = r.from_id JOIN symbols t ON t.id = r.to_id WHERE {like_any('f.name', registrars)} AND {like_any('t.signature', callbacks)}" + (f" AND r.type = '{edge}'" if edge else "")
 
 
-@sql_operator
-def n23_raii(d: Dialect) -> str:
-    """Pairs of a class's members, one acquiring and one releasing."""
-    return f"SELECT a.parent_symbol_id AS class_id, a.id AS acquire_id, b.id AS release_id, 0.95e0 AS confidence FROM ({_PARENT}) a JOIN ({_PARENT}) b ON b.parent_symbol_id = a.parent_symbol_id AND a.return_type = 'Buffer' AND b.return_type = 'void'"
+@sql_operator(acquire="a.return_type = 'Buffer'", release="b.return_type = 'void'")
+def n23_raii(d: Dialect, acquire: str = "a.kind = 'constructor'", release: str = "b.kind = 'destructor'") -> str:
+    """Pairs of a class's members, one acquiring and one releasing: its constructors and destructors."""
+    return f"SELECT a.parent_symbol_id AS class_id, a.id AS acquire_id, b.id AS release_id, 0.95e0 AS confidence FROM ({_PARENT}) a JOIN ({_PARENT}) b ON b.parent_symbol_id = a.parent_symbol_id AND {acquire} AND {release}"
 
 
 @sql_operator
-def n24_producers(d: Dialect) -> str:
-    return "SELECT p.namespace, p.id AS producer, k.id AS consumer, 0.7e0 AS confidence FROM symbols p JOIN symbols k ON k.namespace = p.namespace AND p.return_type = 'Buffer' AND k.signature LIKE '%(Buffer%' AND p.id <> k.id"
+def n24_producers(d: Dialect, plain: list[str] = rules.PLAIN_TYPES) -> str:
+    """Data types that functions return and other functions name in their signature: of each type its producers and its consumers. Any producer goes with any other symbol's consumer (0.7); those pairs are not listed, as they grow with the square of a type's use."""
+    kept = f"return_type IS NOT NULL AND return_type NOT IN ({', '.join(repr(p) for p in plain)})"
+    token = d.explode(d.distinct(d.extract_all("signature", "[A-Za-z_][A-Za-z0-9_:]*", 0)))
+    made = f"SELECT return_type AS data_type, id FROM symbols WHERE kind = 'function' AND {kept}"
+    used = f"SELECT token AS data_type, id FROM (SELECT id, {token} AS token FROM symbols WHERE kind = 'function') s WHERE token IN (SELECT data_type FROM ({made}) t)"
+    return f"SELECT data_type, 'producer' AS role, id, 0.7e0 AS confidence FROM ({made}) m UNION ALL SELECT data_type, 'consumer' AS role, id, 0.7e0 AS confidence FROM ({used}) u"
 
 
-@sql_operator
-def n25_stages(d: Dialect) -> str:
-    stage = "CASE {0}.tag WHEN 'red' THEN 1 WHEN 'green' THEN 2 WHEN 'blue' THEN 3 ELSE 4 END"
-    return f"SELECT c.caller_id AS from_id, c.callee_id AS to_id, 0.8e0 AS confidence FROM (SELECT DISTINCT caller_id, callee_id FROM calls) c JOIN symbols f ON f.id = c.caller_id JOIN symbols t ON t.id = c.callee_id WHERE {stage.format('t')} = {stage.format('f')} + 1"
+@sql_operator(stages=["red", "green", "blue"])
+def n25_stages(d: Dialect, stages: list[str] = rules.STAGES) -> str:
+    """Edges between stages (a symbol's tag): one that goes forward feeds the later stage, one that goes back depends on it."""
+    rank = lambda s: "CASE " + " ".join(f"WHEN {s}.tag = '{x}' THEN {k + 1}" for k, x in enumerate(stages)) + " END"
+    return f"SELECT from_id, to_id, CASE WHEN a < b THEN 'feeds_into' ELSE 'depends_on' END AS type, 0.8e0 AS confidence FROM (SELECT DISTINCT c.caller_id AS from_id, c.callee_id AS to_id, {rank('f')} AS a, {rank('t')} AS b FROM calls c JOIN symbols f ON f.id = c.caller_id JOIN symbols t ON t.id = c.callee_id) x WHERE a <> b"
 
 
 @sql_operator
@@ -177,10 +193,12 @@ def n27_service_graph(d: Dialect) -> str:
     return f"SELECT {service.format('f')} AS from_service, {service.format('t')} AS to_service, count(*) AS edges, count(DISTINCT r.type) AS types, count(*) FILTER (WHERE f.language_id <> t.language_id) AS crossing FROM relationships r JOIN symbols f ON f.id = r.from_id JOIN symbols t ON t.id = r.to_id WHERE {service.format('f')} <> {service.format('t')} GROUP BY {service.format('f')}, {service.format('t')}"
 
 
-@sql_operator
-def n28_fields(d: Dialect) -> str:
-    """Typed parameters of a signature: type and name."""
-    return f"SELECT id, field, split_part(field, ' ', 1) AS type, split_part(field, ' ', 2) AS name FROM (SELECT id, {d.explode(d.extract_all('signature', r'[A-Za-z]+ (?:count|data)', 0))} AS field FROM symbols) f"
+@sql_operator(pattern="[A-Za-z]+ (?:count|data)", separator=" ", type_first=True)
+def n28_fields(d: Dialect, pattern: str = "[A-Za-z_][A-Za-z0-9_]*[?]?: *[^;,}]+", separator: str = ":", type_first: bool = False) -> str:
+    """Typed fields of a text: name and type, in the text's order."""
+    first, second = f"trim(split_part(field, '{separator}', 1))", f"trim(split_part(field, '{separator}', 2))"
+    name, kind = (second, first) if type_first else (first, second)
+    return f"SELECT id, field, {kind} AS type, replace({name}, '?', '') AS name FROM (SELECT id, {d.explode(d.extract_all('signature', pattern, 0))} AS field FROM symbols) f"
 
 
 @sql_operator

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..engine import frame_operator, sql_operator
+from ..plans import rules
 from ..plans.dialect import Dialect
+from ..plans.rules import like_any
 from .impact import _DEGREES
 
 DIMENSIONS = 256
@@ -209,10 +211,19 @@ def e19_cluster_insights(d: Dialect) -> str:
     return f"SELECT label, CASE WHEN members > 50 THEN 'split' WHEN spread < 0.3e0 THEN 'loose' ELSE 'sound' END AS insight FROM (SELECT label, count(*) AS members, avg(s) AS spread FROM ({_member_similarity(d)}) m GROUP BY label) x"
 
 
-@sql_operator
-def e20_generate_insights(d: Dialect) -> str:
-    """Layer violations, god objects, hotspots and naming, each from its rule."""
-    return f"SELECT id, 'god object' AS insight FROM ({_DEGREES}) g WHERE kind = 'class' AND fan_out > 15 UNION ALL SELECT id, 'hotspot' AS insight FROM ({_DEGREES}) g WHERE fan_in > 30 UNION ALL SELECT r.from_id AS id, 'layer violation' AS insight FROM relationships r JOIN symbols f ON f.id = r.from_id JOIN symbols t ON t.id = r.to_id WHERE f.name LIKE '%ring%' AND t.name LIKE '%widget%' GROUP BY r.from_id"
+@sql_operator(hotspots=["gear", "bolt"], lower=["ring"], upper=["widget"])
+def e20_generate_insights(d: Dialect, hotspots: list[str] = rules.HOTSPOT_NAMES, lower: list[str] = ("repository", "dao", "database"), upper: list[str] = ("gui", "view", "controller")) -> str:
+    """Six rules: a lower layer that refers to an upper one, clusters (labels) of over 20 vectors, complexity over 15, complexity over 10 of functions named for computing, clusters of quality over 0.9 with 3 members or more, namespaces without one way of naming. subject is the symbol's, label's or namespace's name or number."""
+    text = "CAST({} AS STRING)" if d.spark else "CAST({} AS VARCHAR)"
+    parts = [
+        f"SELECT {text.format('r.from_id')} AS subject, 'layer violation' AS insight FROM relationships r JOIN symbols f ON f.id = r.from_id JOIN symbols t ON t.id = r.to_id WHERE {like_any('f.name', list(lower))} AND {like_any('t.name', list(upper))} GROUP BY r.from_id",
+        f"SELECT {text.format('label')} AS subject, 'large cluster' AS insight FROM vectors GROUP BY label HAVING count(*) > 20",
+        f"SELECT {text.format('id')} AS subject, 'god object' AS insight FROM symbols WHERE complexity > 15",
+        f"SELECT {text.format('id')} AS subject, 'hotspot' AS insight FROM symbols WHERE complexity > 10 AND kind IN ('function', 'method') AND {like_any('name', hotspots)}",
+        f"SELECT {text.format('label')} AS subject, 'duplication' AS insight FROM ({e14_cluster_quality(d)}) q WHERE quality > 0.9e0 AND members >= 3",
+        f"SELECT namespace AS subject, 'naming' AS insight FROM ({e18_naming_inconsistency(d)}) n",
+    ]
+    return " UNION ALL ".join(parts)
 
 
 _RANK = "CASE severity WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'medium' THEN 3 ELSE 4 END"

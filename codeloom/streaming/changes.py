@@ -1,10 +1,10 @@
-"""File changes as a stream."""
+"""File changes as a stream."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
@@ -12,6 +12,19 @@ from ..engine import frame_operator
 from ..plans.dialect import Dialect
 
 
+def watched(spark: SparkSession, folder: str, *, pattern: str = "*", excluded: str | None = None, per_batch: int = 10_000) -> DataFrame:
+    """Files as they come to a folder and those below it, as a stream of path, ts (time of change), event_id (the same in milliseconds), event_type, n_bytes and text.
+
+    pattern is a glob of names, excluded a regular expression of paths that are left out; a batch takes at most
+    per_batch files, the rest come with the next ones. debounced(watched(...), "path", watermark="1 minute") gives
+    the last change of each burst. A store that rewrites files in place shows a change by a new name or by S02.
+    """
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_batch).load(folder)
+    if excluded:
+        files = files.where(~F.col("path").rlike(excluded))
+    return files.select("path", F.col("modificationTime").alias("ts"), F.unix_millis("modificationTime").alias("event_id"), F.lit("change").alias("event_type"), F.col("length").alias("n_bytes"), F.col("content").cast("string").alias("text"))
+
+
 def debounced(events: DataFrame, key: str = "path", delay: str = "5 minutes", *, watermark: str | None = None, order: str = "event_id") -> DataFrame:
     """Of each burst of a key's events (gaps shorter than the delay) only the last. Works on a table and, with a watermark, on a stream in append mode."""
     if watermark:

@@ -77,3 +77,20 @@ def test_reindex_and_progress(spark, tmp_path):
     paths = {r.path for r in current(spark.read.parquet(str(tmp_path / "symbols"))).collect()}
     assert paths == {"a.py"}
     json.dumps(seen)
+
+
+def test_watched_files(spark, tmp_path):
+    from codeloom.streaming.changes import watched
+
+    (tmp_path / "in" / "node_modules").mkdir(parents=True)
+    for name in ("a.py", "b.cpp", "node_modules/c.py"):
+        (tmp_path / "in" / name).write_text(f"# {name}")
+    stream = watched(spark, str(tmp_path / "in"), pattern="*.py", excluded="/node_modules/")
+
+    def run():
+        stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start().awaitTermination()
+        return sorted((r.path.split("/")[-1], r.text, r.event_type) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    assert run() == [("a.py", "# a.py", "change")]
+    (tmp_path / "in" / "d.py").write_text("# d")
+    assert run() == [("a.py", "# a.py", "change"), ("d.py", "# d", "change")]

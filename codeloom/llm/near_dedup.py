@@ -9,7 +9,7 @@ minimum over table slices.
 Signatures are cut into ``bands`` of ``rows``. Documents that share a band are
 candidates. Unless ``bands`` is given there are as many as it takes for a pair at
 the threshold to be missed with probability below 1e-6: at the default of 80 percent
-59 bands of 7 rows, at 85 percent 36. Links are decided on full sets:
+35 bands of 5 rows, at 85 percent 24. Links are decided on full sets:
 
 1. documents of equal word sequences are one class, with a number of its own;
 2. in each bucket every member is compared with one pivot, the member that meets
@@ -176,7 +176,7 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select(*pairs.columns, common.cast("long").alias("common"), (F.size("of_a") + F.size("of_b") - common).cast("long").alias("total"))
 
 
-def groups(df: DataFrame, *, id_col="doc_id", text_col="text", percent=80, bands=None, rows=7, seed=1, max_broadcast=MAX_BROADCAST, peelings=3) -> DataFrame:
+def groups(df: DataFrame, *, id_col="doc_id", text_col="text", percent=80, bands=None, rows=5, seed=1, max_broadcast=MAX_BROADCAST, peelings=3) -> DataFrame:
     """doc_id, row key (k1, k2), n_shingles, component_id, and stays (whether the row is the first of its group, null ids last) for each row of df."""
     bands = bands or bands_for(percent, rows)
     docs = picked(df, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))

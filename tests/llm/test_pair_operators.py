@@ -100,10 +100,10 @@ def edit_distance(a, b):
     return row[-1]
 
 
-@pytest.mark.parametrize(("percent", "bands"), [(80, 59), (85, 36)])
-def test_bands_meet_the_bound(percent, bands):
-    share = (percent / 100) ** 7
-    assert near_dedup.bands_for(percent, 7) == bands
+@pytest.mark.parametrize(("percent", "rows", "bands"), [(80, 7, 59), (85, 7, 36), (80, 5, 35), (85, 5, 24)])
+def test_bands_meet_the_bound(percent, rows, bands):
+    share = (percent / 100) ** rows
+    assert near_dedup.bands_for(percent, rows) == bands
     assert (1 - share) ** bands < 1e-6 <= (1 - share) ** (bands - 1)
 
 

@@ -240,7 +240,8 @@ def groups(df: DataFrame, *, id_col="doc_id", text_col="text", percent=80, bands
     known = known.select("key", "id", "n", "component", "pivot", with_pivot.alias("inside"), (F.col("n") - with_pivot - F.coalesce("lone", F.lit(0))).alias("beside"), "keys")
     known = written(known, "known")
     deals = known.groupBy("key").agg(F.max(F.when(F.col("id") == F.col("pivot"), F.col("component"))).alias("main"), F.ceil(F.count("*") / HOT).cast("int").alias("deals"))
-    dealt = written(known.join(deals, "key"), "dealt")
+    deals = written(deals, "deals")
+    dealt = known.join(near(deals, 20, max_broadcast), "key")
     outside = dealt.where("main IS NULL OR component != main").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)))
     outside = outside.select(*[F.col(c).alias(f"{c}_2") for c in (*known.columns, "salt")])
     dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("id"), "deals").cast("int"))
@@ -252,7 +253,7 @@ def groups(df: DataFrame, *, id_col="doc_id", text_col="text", percent=80, bands
     if not more.isEmpty():
         dropped(parts)
         parts = connected_components(links.unionAll(more))
-    dropped(sets, open_, lone, known, dealt, pivots, stars, more)
+    dropped(sets, open_, lone, known, deals, pivots, stars, more)
 
     # Back to all rows: class, first row of its component
     linked = classes.select("id", "s1", "s2", "first").join(parts, "id")

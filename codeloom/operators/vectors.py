@@ -144,7 +144,7 @@ def _label_pairs(d: Dialect, threshold: float = 0.8) -> str:
 
 @frame_operator("vectors", _label_pairs)
 def e11_semantic_pairs(t: dict[str, DataFrame], threshold: float = 0.8, block: int = BLOCK) -> DataFrame:
-    """Pairs of any labels with cosine from the threshold up; confidence min(0.9, 1.1 s).."""
+    """Pairs of any labels with cosine from the threshold up; confidence min(0.9, 1.1 s)."""
     pairs = similar_pairs(t["vectors"], threshold, block)
     return pairs.select("first_id", "second_id", F.round("s", 5).alias("similarity"), F.round(F.least(F.lit(0.9), 1.1 * F.col("s")), 5).alias("confidence"))
 

@@ -56,12 +56,15 @@ class Engine:
 
     def run(self, name: str, **parameters) -> DataFrame:
         if name in SQL_OPERATORS:
-            body = SQL_OPERATORS[name](SPARK, **parameters)
-            return self.spark.sql(with_tables({t: f"SELECT * FROM {v}" for t, v in self._views.items() if re.search(rf"\b{t}\b", body)}, body))
+            return self.sql(SQL_OPERATORS[name](SPARK, **parameters))
         if name not in FRAME_OPERATORS:
             raise ValueError(f"no operator is named {name}")
         return FRAME_OPERATORS[name][0](self.tables, **parameters)
 
+    def sql(self, body: str) -> DataFrame:
+        """A text over the engine's tables."""
+        return self.spark.sql(with_tables({t: f"SELECT * FROM {v}" for t, v in self._views.items() if re.search(rf"\b{t}\b", body)}, body))
+
     @staticmethod
     def operators() -> list[str]:
         load()
@@ -70,7 +73,7 @@ class Engine:
 
 def load() -> None:
     """Import every operator module."""
-    from .operators import callgraph, crosslang, flow, graph, impact, metrics, patterns, relational, resolution, vectors  # noqa: F401
+    from .operators import callgraph, crosslang, dataflow, features, flow, graph, impact, metrics, patterns, relational, resolution, vectors  # noqa: F401
     from .sources import ingest  # noqa: F401
     from .streaming import changes  # noqa: F401
 

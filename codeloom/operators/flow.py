@@ -1,4 +1,4 @@
-"""Graph analytics of the client side: coverage, statistics, languages, clusters, containment."""
+"""Graph analytics of the client side: coverage, statistics, languages, clusters, containment."""
 
 from __future__ import annotations
 
@@ -52,38 +52,12 @@ def d15_optimisations(d: Dialect) -> str:
     return "SELECT id, CASE WHEN block_type = 'loop' AND complexity >= 5 THEN 'unroll or hoist' WHEN block_type = 'catch' AND cost > 50 THEN 'avoid exceptions' WHEN block_type IN ('condition', 'conditional') AND complexity >= 5 THEN 'simplify condition' END AS advice FROM blocks WHERE block_type = 'loop' AND complexity >= 5 OR block_type = 'catch' AND cost > 50 OR block_type IN ('condition', 'conditional') AND complexity >= 5"
 
 
-def _variables(d: Dialect) -> str:
-    return f"SELECT id, {d.explode(d.extract_all('text', r'(?:var|let|const)\s+([A-Za-z_][A-Za-z0-9_]*)', 1))} AS name FROM sources"
-
-
-@sql_operator
-def d16_variable_usage(d: Dialect) -> str:
-    """Variables that a text defines, with how many times."""
-    return f"SELECT id, name, count(*) AS definitions FROM ({_variables(d)}) v GROUP BY id, name"
-
-
-@sql_operator
-def d17_def_use(d: Dialect) -> str:
-    """Definitions and uses of a parameter type along call edges: the caller returns what the callee takes."""
-    return "SELECT c.caller_id, c.callee_id, f.return_type AS data FROM (SELECT DISTINCT caller_id, callee_id FROM calls) c JOIN symbols f ON f.id = c.caller_id JOIN symbols t ON t.id = c.callee_id WHERE f.return_type <> 'void' AND t.signature LIKE '%(' || f.return_type || '%'"
-
-
 @sql_operator
 def d18_dependencies(d: Dialect) -> str:
     """Data dependencies (unconditional sites) and control dependencies (conditional ones) of each pair."""
     return "SELECT caller_id, callee_id, count(*) FILTER (WHERE NOT is_conditional) AS data, count(*) FILTER (WHERE is_conditional) AS control FROM calls GROUP BY caller_id, callee_id"
 
 
-@sql_operator(sources=["red"], sinks=["bolt"], sanitisers=["small"])
-def d19_taint(d: Dialect, sources: list[str] = rules.TAINT_SOURCES, sinks: list[str] = rules.TAINT_SINKS, sanitisers: list[str] = rules.SANITISERS) -> str:
-    """From functions named for taking data in to those named for giving it out, over one intermediate at most; sanitised where one on the way is named for checking."""
-    e = "(SELECT DISTINCT caller_id, callee_id FROM calls)"
-    s, k = f"(SELECT id FROM symbols WHERE {like_any('name', sources)})", f"(SELECT id FROM symbols WHERE {like_any('name', sinks)})"
-    return f"""SELECT source_id, sink_id, min(hops) AS hops, count(*) FILTER (WHERE sanitised) > 0 AS sanitised FROM (
-        SELECT s.id AS source_id, k.id AS sink_id, CAST(1 AS BIGINT) AS hops, false AS sanitised FROM {e} x JOIN {s} s ON s.id = x.caller_id JOIN {k} k ON k.id = x.callee_id
-        UNION ALL SELECT s.id AS source_id, k.id AS sink_id, CAST(2 AS BIGINT) AS hops, {like_any('m.name', sanitisers)} AS sanitised FROM {e} x JOIN {s} s ON s.id = x.caller_id JOIN {e} y ON y.caller_id = x.callee_id JOIN {k} k ON k.id = y.callee_id JOIN symbols m ON m.id = x.callee_id) p GROUP BY source_id, sink_id"""
-
-
 @sql_operator
 def d20_graph_filter(d: Dialect, max_degree: int = 30) -> str:
     return f"SELECT r.id, r.from_id, r.to_id, r.type FROM relationships r JOIN ({_DEGREES}) f ON f.id = r.from_id JOIN ({_DEGREES}) t ON t.id = r.to_id WHERE r.type = 'calls' AND f.complexity BETWEEN 5 AND 40 AND f.fan_in + f.fan_out <= {max_degree} AND t.fan_in + t.fan_out <= {max_degree}"

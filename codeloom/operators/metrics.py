@@ -91,14 +91,16 @@ def m02_cognitive(t: dict[str, DataFrame]) -> DataFrame:
     return t["sources"].select("id", cognitive("text").alias("cognitive"))
 
 
-def _nesting_sql(d: Dialect) -> str:
-    return f"""WITH RECURSIVE l AS (SELECT id, string_split(text, chr(10)) AS lines FROM sources),
+def nesting_sql(texts: str) -> str:
+    """The oracle: the fold as a recursion over the lines of each text."""
+    delta = "length(replace(lines[k + 1], '}', '')) - length(replace(lines[k + 1], '{', ''))"
+    return f"""WITH RECURSIVE l AS (SELECT id, string_split(text, chr(10)) AS lines FROM {texts}),
         walk AS (SELECT id, lines, 0 AS k, CAST(0 AS BIGINT) AS depth, CAST(0 AS BIGINT) AS deepest FROM l
-          UNION ALL SELECT id, lines, k + 1, greatest(0, depth + delta), greatest(deepest, greatest(0, depth + delta)) FROM (SELECT *, (2 * length(lines[k + 1]) - length(replace(lines[k + 1], '{{', '')) * 1 - length(lines[k + 1]) - length(lines[k + 1]) + length(replace(lines[k + 1], '}}', ''))) AS delta FROM walk WHERE k < len(lines)) w)
+          UNION ALL SELECT id, lines, k + 1, greatest(0, depth + delta), greatest(deepest, greatest(0, depth + delta)) FROM (SELECT *, {delta} AS delta FROM walk WHERE k < len(lines)) w)
         SELECT id, least(max(deepest), {DEPTH_CAP}) AS nesting FROM walk GROUP BY id"""
 
 
-@frame_operator("sources", _nesting_sql)
+@frame_operator("sources", lambda d: nesting_sql("sources"))
 def m03_nesting(t: dict[str, DataFrame]) -> DataFrame:
     return t["sources"].select("id", nesting("text").alias("nesting"))
 
@@ -155,11 +157,11 @@ def m09_language_tokens(d: Dialect) -> str:
     return "SELECT * FROM (VALUES " + ", ".join(f"('{x}', '{k}')" for k, xs in (("operator", OPERATORS), ("keyword", KEYWORDS)) for x in xs) + ") AS v(token, kind)"
 
 
-@sql_operator
-def m10_maintainability(d: Dialect) -> str:
-    """The maintainability index from volume, complexity, lines and the share of comments, held to 0..100."""
-    return """SELECT id, round(greatest(0e0, least(100e0, 171e0 - 5.2e0 * ln(volume) - 0.23e0 * complexity - 16.2e0 * ln(loc) + 50e0 * sin(sqrt(2.4e0 * comments)))), 6) AS maintainability FROM (
-        SELECT id, greatest(1e0, cognitive * log2(complexity + 2)) AS volume, complexity, greatest(1, end_line - line) AS loc, (id % 10) / 20e0 AS comments FROM symbols) x"""
+@sql_operator(language="javascript")
+def m10_maintainability(d: Dialect, language: str | None = None) -> str:
+    """The maintainability index of a text from its volume, decisions, logical lines and their ratio of comment lines, held to 0..100."""
+    return f"""SELECT id, round(greatest(0e0, least(100e0, 171e0 - 5.2e0 * ln(greatest(1e0, volume)) - 0.23e0 * cyclomatic - 16.2e0 * ln(CAST(greatest(1, logical) AS DOUBLE)) + 50e0 * sin(sqrt(2.4e0 * CASE WHEN logical > 0 THEN CAST(comments AS DOUBLE) / logical ELSE 0e0 END)))), 6) AS maintainability FROM (
+        SELECT c.id, c.cyclomatic, l.logical, l.comments, coalesce(h.volume, 0e0) AS volume FROM ({m01_cyclomatic(d, language)}) c JOIN ({m05_line_metrics(d)}) l ON l.id = c.id LEFT JOIN ({m08_halstead(d)}) h ON h.id = c.id) x"""
 
 
 _RISK = """(CASE WHEN complexity > 20 THEN 3 WHEN complexity > 10 THEN 2 WHEN complexity > 5 THEN 1 ELSE 0 END + CASE WHEN cognitive > 25 THEN 3 WHEN cognitive > 15 THEN 2 ELSE 0 END
@@ -188,9 +190,14 @@ def m14_architecture(d: Dialect) -> str:
         CASE WHEN avg(complexity) > 30 THEN 'high' WHEN avg(complexity) > 20 THEN 'medium' ELSE 'low' END AS risk, count(*) FILTER (WHERE complexity <= 10) AS healthy FROM ({_DEGREES}) g GROUP BY namespace"""
 
 
-@sql_operator
-def m15_quality(d: Dialect, default_coverage: float = 70.0) -> str:
-    return f"SELECT s.id, round(coalesce(100e0 * p.coverage, {default_coverage}e0), 6) AS coverage, round(100e0 - s.complexity - 10e0 * (1e0 - s.confidence), 6) AS code_health, round(0.5e0 * s.complexity, 6) AS debt FROM symbols s LEFT JOIN (SELECT start_id, avg(coverage) AS coverage FROM flow_paths GROUP BY start_id) p ON p.start_id = s.id"
+@sql_operator(language="javascript")
+def m15_quality(d: Dialect, test_coverage: float = 70.0, language: str | None = None) -> str:
+    """One row for the project: confidence, coverage by symbols of a file, health, mean maintainability and debt; a fixed test coverage unless it is known."""
+    whole = d.half_up
+    return f"""SELECT confidence, coverage, {test_coverage}e0 AS test_coverage, code_health, round(maintainability, 6) AS maintainability, greatest(0e0, 100e0 - {whole('(maintainability + code_health) / 2e0')}) AS technical_debt FROM (
+        SELECT *, {whole(f'(confidence + coverage + {test_coverage}e0) / 3e0')} AS code_health FROM (
+          SELECT {whole('round(coalesce(avg(confidence), 0.8e0), 9) * 100e0')} AS confidence, CASE WHEN count(*) > 0 THEN least(100e0, {whole('CAST(count(*) AS DOUBLE) / count(DISTINCT file_path) / 20e0 * 100e0')}) ELSE 50e0 END AS coverage FROM symbols) s
+        CROSS JOIN (SELECT coalesce(round(avg(maintainability), 9), 60e0) AS maintainability FROM ({m10_maintainability(d, language)}) i) m) q"""
 
 
 @sql_operator
@@ -199,7 +206,7 @@ def m16_metrics_base(d: Dialect) -> str:
 
 
 _ANTI = {
-    "god-class": ("complexity > 15 AND fan_out > 10 AND end_line - line > 200", "'high'"),
+    "god-class": ("complexity > 15 AND fan_out > 10 AND end_line - line > 200", "CASE WHEN complexity > 25 THEN 'critical' ELSE 'high' END"),
     "long-parameter-list": ("parameter_count > 7", "CASE WHEN parameter_count > 12 THEN 'high' ELSE 'medium' END"),
     "dead-code": ("fan_in = 0 AND NOT is_exported", "'low'"),
     "feature-envy": ("fan_out > 8 AND complexity > 5", "'medium'"),

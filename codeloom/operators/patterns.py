@@ -81,9 +81,14 @@ def p09_semantic_roles(d: Dialect, names: dict[str, str] = rules.ROLE_NAMES) ->
     return f"SELECT id, CASE {' '.join(f'WHEN {r} = {best} THEN {chr(39)}{r}{chr(39)}' for r in part)} END AS role, round(greatest(0.1e0, least(1e0, {best})), 6) AS confidence FROM (SELECT id, {cols} FROM symbols) x"
 
 
-@sql_operator
-def p10_usage_patterns(d: Dialect) -> str:
-    return "SELECT from_id AS id, count(*) FILTER (WHERE type = 'calls') AS creator, count(*) FILTER (WHERE type = 'uses') AS consumer, count(*) FILTER (WHERE type = 'imports') AS observer, CASE WHEN count(DISTINCT type) = 3 THEN 'transformer' WHEN count(*) FILTER (WHERE type = 'uses') > 3 THEN 'consumer' ELSE 'creator' END AS pattern FROM relationships GROUP BY from_id"
+@sql_operator(creates=["imports"], observes=["inherits"], words=["bolt"])
+def p10_usage_patterns(d: Dialect, creates: list[str] = rules.CREATING, uses: list[str] = rules.USING, observes: list[str] = rules.OBSERVING, words: list[str] = rules.TRANSFORMER_NAMES) -> str:
+    """Usage patterns of each symbol and how often: what it creates, more than two uses, what notifies it, and names of transformation."""
+    kinds = lambda types: ", ".join(f"'{t}'" for t in types)
+    return f"""SELECT from_id AS id, 'creator' AS pattern, count(*) AS frequency FROM relationships WHERE type IN ({kinds(creates)}) GROUP BY from_id
+        UNION ALL SELECT from_id, 'consumer', count(*) FROM relationships WHERE type IN ({kinds(uses)}) GROUP BY from_id HAVING count(*) > 2
+        UNION ALL SELECT to_id, 'observer', count(*) FROM relationships WHERE type IN ({kinds(observes)}) AND to_id IS NOT NULL GROUP BY to_id
+        UNION ALL SELECT id, 'transformer', CAST(1 AS BIGINT) FROM symbols WHERE {like_any("name", words)}"""
 
 
 @sql_operator(paths=[("data", 0.8, [".ixx"])], names=[("presentation", 0.6, ["widget"]), ("business", 0.6, ["gear"])])

@@ -1,4 +1,4 @@
-"""Vectors, clusters and insights."""
+"""Vectors, clusters and insights."""
 
 from __future__ import annotations
 
@@ -16,30 +16,10 @@ from .impact import _DEGREES
 DIMENSIONS = 256
 
 
-@sql_operator
-def e01_feature_vector(d: Dialect) -> str:
-    """Features of a symbol from its metrics, degrees and name, in a fixed order."""
-    features = ["complexity", "cognitive", "parameter_count", "end_line - line", "fan_in", "fan_out", "length(name)", "CASE WHEN is_exported THEN 1 ELSE 0 END", "CASE WHEN kind = 'class' THEN 1 ELSE 0 END", "CASE WHEN kind IN ('function', 'method') THEN 1 ELSE 0 END", "CASE WHEN signature LIKE '%Buffer%' THEN 1 ELSE 0 END", "confidence"]
-    return "SELECT id, " + ", ".join(f"round(CAST({x} AS DOUBLE), 6) AS f{k:02d}" for k, x in enumerate(features)) + f" FROM ({_DEGREES}) g"
-
-
 def _norm(d: Dialect, v: str) -> str:
     return f"sqrt({d.dot(v, v)})"
 
 
-@sql_operator
-def e02_reduced(d: Dialect) -> str:
-    """To 256 dimensions: shorter vectors are padded with zeros and normalised (norm and length shown)."""
-    return f"SELECT id, CAST({DIMENSIONS} AS BIGINT) AS dimensions, {d.size('vec')} AS filled, round({_norm(d, 'vec')}, 5) AS norm_before FROM vectors"
-
-
-@sql_operator
-def e03_batch(d: Dialect) -> str:
-    """Normalised first three coordinates."""
-    at = lambda k: f"vec[{k - 1 if d.spark else k}]"
-    return f"SELECT id, round(CAST({at(1)} AS DOUBLE) / {_norm(d, 'vec')}, 5) AS v1, round(CAST({at(2)} AS DOUBLE) / {_norm(d, 'vec')}, 5) AS v2, round(CAST({at(3)} AS DOUBLE) / {_norm(d, 'vec')}, 5) AS v3 FROM vectors"
-
-
 def _cosine(d: Dialect, a: str, b: str) -> str:
     return f"CASE WHEN {_norm(d, a)} * {_norm(d, b)} = 0e0 THEN 0e0 ELSE {d.dot(a, b)} / ({_norm(d, a)} * {_norm(d, b)}) END"
 

@@ -1,7 +1,7 @@
 """The model's tables, and their projection from the test tables.
 
 symbols, relationships, calls (one row for each call site), languages, projects,
-blocks and block_edges (control flow), flow_paths, insights, files and sources are
+blocks and block_edges (control flow), syntax_nodes, flow_paths, insights, files and sources are
 what operators read. A user passes frames of these shapes; the driver's queries use
 the projection below, which is plain SQL for both dialects. calls_dag is a slice
 without cycles, for the enumeration of paths alone.
@@ -50,11 +50,12 @@ def definitions(d: Dialect) -> dict[str, str]:
               (caller_id + callee_id) % 7 = 0 AS is_cross_language FROM (
               SELECT a.l_partkey AS caller_id, b.l_partkey AS callee_id, CASE WHEN a.l_partkey % 5 = 0 AND b.l_partkey % 5 = 0 THEN 'inherits' WHEN a.l_returnflag = 'R' THEN 'calls' WHEN a.l_returnflag = 'A' THEN 'uses' ELSE 'imports' END AS type, max(1e0 - 5e0 * a.l_discount) AS confidence, max(replace(p.p_name, ' ', '_') || '_' || {s('p.p_partkey')}) AS to_name
               FROM {_SITES} JOIN part p ON p.p_partkey = b.l_partkey GROUP BY a.l_partkey, b.l_partkey, CASE WHEN a.l_partkey % 5 = 0 AND b.l_partkey % 5 = 0 THEN 'inherits' WHEN a.l_returnflag = 'R' THEN 'calls' WHEN a.l_returnflag = 'A' THEN 'uses' ELSE 'imports' END) r""",
-        "blocks": """
+        "blocks": f"""
             SELECT event_id AS id, user_id AS symbol_id, CASE event_type WHEN 'view' THEN 'basic' WHEN 'click' THEN 'conditional' WHEN 'purchase' THEN 'loop' WHEN 'signup' THEN 'entry' ELSE 'catch' END AS block_type,
               lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS parent_id,
               CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) * 10 AS BIGINT) AS start_line,
-              CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) * 10 + event_id % 25 AS BIGINT) AS end_line, CAST(event_id % 6 + 1 AS BIGINT) AS complexity, value AS cost
+              CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) * 10 + event_id % 25 AS BIGINT) AS end_line, CAST(event_id % 6 + 1 AS BIGINT) AS complexity, value AS cost,
+              CASE event_type WHEN 'view' THEN 'int v' || {s('event_id % 7')} || ' = read(v' || {s('event_id % 5')} || ')' WHEN 'click' THEN 'if (check(v' || {s('event_id % 7')} || ')) v' || {s('event_id % 5')} || ' += v' || {s('event_id % 3')} WHEN 'purchase' THEN 'for (auto v' || {s('event_id % 7')} || ' = 0; count > v' || {s('event_id % 7')} || '; v' || {s('event_id % 7')} || '++) count = input(data)' WHEN 'signup' THEN 'auto v0 == value' ELSE 'printf(v' || {s('event_id % 7')} || ')' END AS code
             FROM events""",
         # A block goes on to the next one, unless it ends the function (catch); a loop also goes back, and a condition may skip a block.
         "block_edges": """
@@ -63,6 +64,7 @@ def definitions(d: Dialect) -> dict[str, str]:
               UNION ALL SELECT symbol_id, id AS from_id, lead(id, 2) OVER w AS to_id, 'skip' AS kind FROM (SELECT * FROM blocks) s WINDOW w AS (PARTITION BY symbol_id ORDER BY start_line)) e
             JOIN (SELECT id, block_type FROM blocks) b ON b.id = e.from_id WHERE to_id IS NOT NULL AND (kind = 'next' AND block_type <> 'catch' OR kind = 'skip' AND block_type = 'conditional')
             UNION ALL SELECT symbol_id, id AS from_id, parent_id AS to_id, 'back' AS kind FROM blocks WHERE block_type = 'loop' AND parent_id IS NOT NULL""",
+        "syntax_nodes": "SELECT symbol_id, CASE block_type WHEN 'basic' THEN 'expression_statement' WHEN 'conditional' THEN 'if_statement' WHEN 'loop' THEN 'for_statement' WHEN 'entry' THEN 'function_definition' ELSE 'catch_clause' END AS type, complexity AS depth FROM blocks",
         "flow_paths": f"SELECT caller_id * 1000003 + callee_id AS id, caller_id AS start_id, callee_id AS end_id, {d.array('caller_id', 'callee_id')} AS nodes, CAST(callee_id % 9 AS BIGINT) AS frequency, (caller_id % 5) / 4e0 AS coverage, caller_id = callee_id AS is_cyclic FROM (SELECT DISTINCT caller_id, callee_id FROM calls) c",
         "insights": """
             SELECT d.doc_id AS id, CASE WHEN l.quality = 0 THEN 'quality' WHEN l.toxic = 1 THEN 'security' ELSE 'architecture' END AS category, d.lang AS type,

@@ -57,8 +57,12 @@ BINDINGS = {
 #: tag: points of criticality, of complexity, and how much longer it takes to mend
 TAG_POINTS = {"core": (3, 0, 1.0), "vulkan": (2, 1, 1.4), "gpu": (2, 1, 1.3), "factory": (1, 0, 1.2)}
 
-TAINT_SOURCES = ["cin", "scanf", "gets", "fgets", "readline", "input", "argv", "getenv", "request", "query", "fread", "read", "ifstream", "getline", "open"]
-TAINT_SINKS = ["cout", "printf", "puts", "write", "send", "response", "system", "exec", "popen", "fork", "spawn", "shell"]
+CREATING, USING, OBSERVING = ["creates", "instantiates"], ["uses", "calls"], ["notifies", "signals"]
+TRANSFORMER_NAMES = ["transform", "convert", "map", "process"]
+
+#: kind of source or sink: words of a statement
+TAINT_SOURCES = {"user-input": ["cin", "scanf", "gets", "fgets", "readline", "input", "argv", "getenv", "request", "query"], "file": ["fread", "read", "ifstream", "getline", "file.read", "open"]}
+TAINT_SINKS = {"output": ["cout", "printf", "puts", "write", "send", "response"], "system-call": ["system", "exec", "popen", "fork", "spawn", "shell"]}
 SANITISERS = ["validate", "sanitize", "escape", "filter", "clean", "check"]
 HOTSPOT_NAMES = ["process", "calculate", "compute"]
 

@@ -7,6 +7,7 @@ from ..plans import rules
 from ..plans.dialect import Dialect
 from ..plans.rules import ON_TEST_TABLES, like_any
 from .impact import _DEGREES
+from .metrics import m23_anti_patterns
 
 _XL = "SELECT r.id, r.from_id, r.to_id, r.type, r.confidence, f.file_path AS from_file, t.file_path AS to_file, f.namespace AS from_ns, t.namespace AS to_ns, fl.name AS from_language, tl.name AS to_language, f.name AS from_name, t.name AS to_name FROM relationships r JOIN symbols f ON f.id = r.from_id JOIN symbols t ON t.id = r.to_id JOIN languages fl ON fl.id = f.language_id JOIN languages tl ON tl.id = t.language_id"
 
@@ -112,12 +113,34 @@ def d33_execution_analysis(d: Dialect) -> str:
     return "SELECT s.file_path, count(*) AS functions, count(p.id) AS covered, round(CAST(count(p.id) AS DOUBLE) / count(*), 6) AS share FROM symbols s LEFT JOIN (SELECT DISTINCT start_id AS id FROM flow_paths WHERE coverage > 0e0) p ON p.id = s.id GROUP BY s.file_path"
 
 
-@sql_operator
-def d34_pattern_categories(d: Dialect) -> str:
-    """Strength = (50 + 15 for each indicator + 10 for each tag - 20 for each anti-pattern) * confidence, held to 0..100; health and priority by it."""
-    ind = "(CASE WHEN is_exported THEN 1 ELSE 0 END + CASE WHEN fan_in > 10 THEN 1 ELSE 0 END + CASE WHEN fan_out > 10 THEN 1 ELSE 0 END)"
-    anti = "(CASE WHEN complexity > 30 THEN 1 ELSE 0 END + CASE WHEN parameter_count > 7 THEN 1 ELSE 0 END)"
-    return f"SELECT id, round(strength, 6) AS strength, CASE WHEN strength >= 70 THEN 'healthy' WHEN strength >= 40 THEN 'fair' ELSE 'poor' END AS health, CASE WHEN strength < 30 THEN 'urgent' WHEN strength < 60 THEN 'planned' ELSE 'none' END AS refactoring FROM (SELECT id, greatest(0e0, least(100e0, (50 + 15 * {ind} + 10 * CASE WHEN tag IN ('red', 'blue') THEN 1 ELSE 0 END - 20 * {anti}) * confidence)) AS strength FROM ({_DEGREES}) g) x"
+@sql_operator(names=[("Factory", "widget"), ("Decorator", "bolt"), ("Observer", "red"), ("MVC", "ring|chain"), ("Repository", "small")])
+def d34_pattern_categories(d: Dialect, names: list[tuple] = [(n.upper() if n == "mvc" else n.capitalize(), p) for n, p in rules.PATTERN_NAMES]) -> str:
+    """The strongest pattern of a symbol and up to three more (ties in the order of the definitions), with strength and role; of the strongest its health, complexity, priority of refactoring and stage.
+
+    Patterns are detected by name; a symbol's own tag is its only tag, and M23 gives
+    its anti-patterns. Without a depth of nesting a pattern's complexity takes one.
+    """
+    defs, text = rules.PATTERN_DEFINITIONS, "lower(concat(g.name, ' ', coalesce(g.signature, ''), ' ', g.kind))"
+    hits = lambda words, test: "(" + (" + ".join(f"CASE WHEN {test(w)} THEN 1 ELSE 0 END" for w in words) or "0") + ")"
+    said = lambda w: f"contains(text, '{w.lower()}')"
+    sign = lambda w: f"(contains(text, '{w}') OR contains(tag, '{w}'))"
+    anti = lambda w: d.has("anti_patterns", f"'{w}'")
+    of = lambda f: "CASE pattern " + " ".join(f"WHEN '{p}' THEN {f(p, v)}" for p, v in defs.items()) + " END"
+    tagged = lambda words: "CASE WHEN " + " OR ".join(f"contains(lower(tag), '{w.lower()}')" for w in words) + " THEN 1 ELSE 0 END"
+    role = lambda p, v: "CASE " + " ".join(f"WHEN ({' OR '.join(map(said, w))}){chr(32) + 'AND kind = ' + repr('class') if only else ''} THEN '{r}'" for r, only, w in rules.PATTERN_ROLES[p]) + " ELSE 'consumer' END" if p in rules.PATTERN_ROLES else "'consumer'"
+    found = "(VALUES " + ", ".join(f"('{p}', '(?i)({'|'.join(r for q, r in names if q == p)})', {k})" for k, p in enumerate(defs) if any(q == p for q, _ in names)) + ") AS r(pattern, word, place)"
+    test = "g.name rlike r.word" if d.spark else "regexp_matches(g.name, r.word)"
+    kinds = "array_agg(DISTINCT pattern)" if not d.spark else "collect_set(pattern)"
+    none = "CAST([] AS VARCHAR[])" if not d.spark else "CAST(array() AS ARRAY<STRING>)"
+    base = f"SELECT g.id, g.kind, g.complexity, coalesce(g.tag, '') AS tag, g.confidence, r.pattern, r.place, {text} AS text, coalesce(m.anti_patterns, {none}) AS anti_patterns FROM ({_DEGREES}) g JOIN {found} ON {test} LEFT JOIN (SELECT id, {kinds} AS anti_patterns FROM ({m23_anti_patterns(d)}) q GROUP BY id) m ON m.id = g.id"
+    strength = f"greatest(0e0, least(100e0, {d.half_up('(50 + 15 * indicators + 10 * tags - 20 * antis) * coalesce(confidence, 1e0)')}))"
+    scored = f"""SELECT *, {of(lambda p, v: repr(v[0]))} AS family, {of(lambda p, v: hits(v[1], said))} AS indicators, {of(lambda p, v: tagged(v[1]))} AS tags, {of(lambda p, v: hits(v[2], anti))} AS antis, {of(role)} AS role, {of(lambda p, v: hits(v[3], sign))} AS good,
+        {of(lambda p, v: hits(v[4], sign))} + CASE WHEN complexity > 10 AND complexity <= 15 THEN 1 ELSE 0 END AS warned, {of(lambda p, v: hits(v[5], anti))} + CASE WHEN complexity > 15 THEN 1 ELSE 0 END AS bad FROM ({base}) b"""
+    ranked = f"SELECT *, row_number() OVER (PARTITION BY id ORDER BY strength DESC, place) AS k FROM (SELECT *, {strength} AS strength FROM ({scored}) s) t"
+    judged = f"SELECT *, CASE WHEN k = 1 THEN CASE WHEN antis > 0 THEN 'anti-pattern' WHEN bad > 0 THEN 'problematic' WHEN warned > good THEN 'warning' WHEN good > 0 THEN 'healthy' ELSE 'warning' END END AS health FROM ({ranked}) u WHERE k <= 4"
+    return f"""SELECT id, CAST(k AS BIGINT) AS k, pattern, family, strength, role, health, CASE WHEN k = 1 THEN least(100, 5 * greatest(coalesce(complexity, 1), 1) + 10) END AS pattern_complexity,
+        CASE health WHEN 'healthy' THEN 'none' WHEN 'warning' THEN 'low' WHEN 'problematic' THEN 'medium' WHEN 'anti-pattern' THEN 'critical' END AS refactoring,
+        CASE WHEN k > 1 THEN NULL WHEN strength > 0e0 THEN CASE WHEN health = 'healthy' THEN 'mature' ELSE 'stable' END WHEN health = 'anti-pattern' THEN 'legacy' ELSE 'degrading' END AS stage FROM ({judged}) j"""
 
 
 @sql_operator
@@ -131,16 +154,20 @@ def d36_call_classes(d: Dialect) -> str:
     return f"SELECT CASE WHEN from_language = to_language THEN 'direct' WHEN type = 'calls' AND from_language IN ('cpp', 'rust') THEN 'ffi' WHEN type = 'uses' THEN 'api' ELSE 'indirect' END AS class, count(*) AS n FROM ({_XL}) x GROUP BY 1"
 
 
-@sql_operator
-def d37_shared_structures(d: Dialect) -> str:
-    """Type names used by more than one language."""
-    return f"SELECT t.name AS type_name, count(DISTINCT s.language_id) AS languages, count(*) AS uses FROM symbols s JOIN (VALUES ('Buffer'), ('Result'), ('int'), ('string'), ('Config'), ('Request')) AS t(name) ON {d.contains('s.signature', 't.name')} GROUP BY t.name HAVING count(DISTINCT s.language_id) > 1"
+@sql_operator(formats={"json": ["ring"], "xml": ["brass"], "avro": ["bolt"]}, types=["widget", "small"])
+def d37_shared_structures(d: Dialect, formats: dict[str, list[str]] = rules.FORMATS, types: list[str] = rules.SHARED_TYPES, least: int = 3) -> str:
+    """Data formats and common type names that symbols are named for, with their languages, and boundaries between languages of more than so many edges."""
+    shared = "SELECT '{0}' AS structure, '{1}' AS name, {2} AS languages, count(*) AS uses FROM symbols s JOIN languages l ON l.id = s.language_id WHERE {3} HAVING count(*) > 0".format
+    listed = d.joined_set("l.name")
+    found = [shared("format", k, listed, f"{like_any('s.name', w)} OR {like_any('s.file_path', w)}") for k, w in formats.items()] + [shared("type", t, listed, d.contains("s.name", f"'{t}'")) for t in types]
+    return " UNION ALL ".join(found) + f" UNION ALL SELECT 'boundary' AS structure, concat(from_language, '_', to_language, '_', type) AS name, concat(from_language, ',', to_language) AS languages, count(*) AS uses FROM ({_XL}) x WHERE from_language <> to_language GROUP BY from_language, to_language, type HAVING count(*) > {least}"
 
 
-@sql_operator
-def d38_process_communication(d: Dialect) -> str:
-    """Texts that mention means of communication between processes."""
-    return f"SELECT k.word, count(*) AS texts FROM sources s JOIN (VALUES ('pipe'), ('socket'), ('queue'), ('track'), ('signal'), ('href')) AS k(word) ON {d.contains('s.text', 'k.word')} GROUP BY k.word"
+@sql_operator(words=["ring", "bolt", "gear", "brass"])
+def d38_process_communication(d: Dialect, words: list[str] = rules.COMMUNICATION) -> str:
+    """Means of communication that symbols are named for, by name or path. Chains of started processes are D38's other half, in graph.py."""
+    named = "(VALUES " + ", ".join(f"('{w}')" for w in words) + ") AS k(word)"
+    return f"SELECT k.word, count(*) AS symbols FROM symbols s JOIN {named} ON contains(lower(s.name), k.word) OR contains(lower(coalesce(s.file_path, '')), k.word) GROUP BY k.word"
 
 
 @sql_operator

@@ -401,3 +401,20 @@ def p31_block_statistics(d: Dialect) -> str:
 def p32_exit_reachability(t: dict[str, DataFrame]) -> DataFrame:
     """For each loop: the block it goes back to, and whether a walk along the edges leads to an exit."""
     return control_flow(t["blocks"], t["block_edges"]).where("block_type = 'loop'").select("id", "symbol_id", "back_to", "reaches_exit")
+
+
+_SPAWNS = "SELECT DISTINCT from_id AS a, to_id AS b FROM relationships WHERE type = '{}' AND to_id IS NOT NULL"
+
+
+@frame_operator(
+    "symbols relationships",
+    lambda d: _reach_sql(_SPAWNS.format("inherits"), "SELECT DISTINCT a AS seed FROM e WHERE a NOT IN (SELECT b FROM e WHERE a <> b)", 1_000_000, "SELECT seed, id, depth FROM reached JOIN (SELECT id FROM symbols) s USING (id) WHERE seed IN (SELECT seed FROM reached WHERE depth > 0)"),
+    kind="inherits",
+)
+def d38_spawn_chains(t: dict[str, DataFrame], kind: str = "spawn") -> DataFrame:
+    """Everything that the first process of a chain of starts leads to, with the least steps to it. Chains begin where nothing else starts the process; a ring of processes has no first one and is left to M21."""
+    edges = written(t["relationships"].where((F.col("type") == kind) & F.col("to_id").isNotNull()).select(F.col("from_id").alias("a"), F.col("to_id").alias("b")).distinct(), "spawns")
+    first = edges.select("a").distinct().join(edges.where("a <> b").select(F.col("b").alias("a")), "a", "left_anti").select(F.col("a").alias("seed"))
+    met = reach(edges, first)
+    long = met.where("depth > 0").select("seed").distinct()
+    return met.join(long, "seed", "left_semi").join(t["symbols"].select("id"), "id", "left_semi").select("seed", "id", "depth")

@@ -115,13 +115,20 @@ def p13_component_types(d: Dialect) -> str:
 
 @sql_operator
 def p14_quality_indicators(d: Dialect) -> str:
-    """Long methods (over 50 lines), complex conditions, magic numbers in a text."""
-    return f"SELECT id, {d.size(d.split('text', chr(10)))} > 50 AS is_long, {d.count_matches('text', r'&&|[|][|]')} > 5 AS complex_conditions, {d.count_matches('text', r'[^0-9A-Za-z][0-9][0-9]+')} AS magic_numbers FROM sources"
+    """Texts of over 50 lines, with a line of over two connectives, or with over two lines of bare numbers (two digits and more, no comment on the line)."""
+    lines = d.split("text", "\n")
+    connected = d.size(d.filter_lines("lines", f"{d.count_matches('x', '&&|[|][|]')} > 2"))
+    numbers = d.size(d.filter_lines("lines", d.matches("x", r"\b[0-9]{2,}\b") + " AND NOT contains(x, '//')"))
+    return f"SELECT id, {d.size('lines')} > 50 AS is_long, {connected} > 0 AS complex_conditions, {numbers} > 2 AS magic_numbers FROM (SELECT id, {lines} AS lines FROM sources) s"
 
 
 @sql_operator
 def p15_algorithms(d: Dialect) -> str:
-    return f"SELECT id, {d.contains('text', chr(39) + 'sort' + chr(39))} AS sorts, {d.matches('text', r'for[^;]*;')} AS iterates, {d.matches('text', r'(map|filter|reduce)\(')} AS functional, {d.contains('text', chr(39) + 'track(' + chr(39))} AS tracks FROM sources"
+    """Algorithmic patterns of a text: sums in loops, recursion (the first function of it is named before a parenthesis, its own included), state machines, pipelines."""
+    named = r"(?:function\s+([A-Za-z0-9_]+)|([A-Za-z0-9_]+)\s*[=:]\s*(?:function|\(.*\)\s*=>))"
+    has = lambda w: f"contains(lower(text), '{w}')"
+    return f"""SELECT id, {has('for')} AND ({has('sum')} OR {has('total')} OR {has('+=')}) AS accumulates, own <> '' AND contains(text, concat(own, '(')) AS recursive, {has('switch')} AND {has('state')} AS state_machine,
+        {has('pipe')} OR {has('transform')} AND {has('chain')} AS pipeline FROM (SELECT id, text, coalesce(nullif({d.extract('text', named, 1)}, ''), {d.extract('text', named, 2)}) AS own FROM sources) s"""
 
 
 @sql_operator

@@ -207,16 +207,37 @@ def n29_symbol_keys(d: Dialect) -> str:
     return f"SELECT id, file_path || ':' || name || ':' || CAST(line AS {t}) AS by_place, qualified_name || '#' || kind AS by_name, md5(qualified_name || '|' || signature) AS by_hash FROM symbols"
 
 
-@sql_operator
-def n30_api_tags(d: Dialect) -> str:
-    """Tags of use: buffers, templates, fasteners and drives by name or signature."""
-    rules = {"buffer": "signature LIKE '%Buffer%'", "template": "signature LIKE '%<%'", "container": "name LIKE '%ring%'", "threading": "name LIKE '%gear%'"}
-    return " UNION ALL ".join(f"SELECT id, '{k}' AS tag FROM symbols WHERE {w}" for k, w in rules.items())
+_TEST_TAGS = [("api_buffer", ["function", "method"], [], ["Buffer"], []), ("stl_ring", ["function", "class"], ["%ring%"], [], []), ("thread_safe", ["method", "function"], ["%gear%"], ["Result<"], ["STEEL", "count"])]
 
 
-@sql_operator
-def n31_api_usage(d: Dialect) -> str:
-    return f"SELECT tags, count(*) AS symbols FROM (SELECT id, {d.joined_set('tag')} AS tags FROM ({n30_api_tags(d)}) t GROUP BY id) x GROUP BY tags"
+@sql_operator(tags=_TEST_TAGS)
+def n30_api_tags(d: Dialect, tags: list[tuple] = rules.API_TAGS) -> str:
+    """Tags of the interfaces that a symbol of some kinds uses, by its name or signature (letters of either case), and of what it does with them, by words as they are spelt."""
+    listed = lambda xs: ", ".join(f"'{x}'" for x in xs)
+
+    def rule(tag: str, kinds: list[str], names: list[str], signature: list[str], exact: list[str]) -> str:
+        some = " OR ".join([f"name ILIKE '{n}'" for n in names] + ([like_any("signature", signature)] if signature else []))
+        spelt = " AND (" + " OR ".join(f"contains(coalesce(signature, ''), '{w}') OR contains(coalesce(qualified_name, ''), '{w}')" for w in exact) + ")" if exact else ""
+        return f"SELECT id, '{tag}' AS tag FROM symbols WHERE kind IN ({listed(kinds)}) AND ({some}){spelt}"
+
+    return " UNION ALL ".join(rule(*t) for t in tags)
+
+
+@sql_operator(creators=["Buffer"], users=(["Buffer"], ["bolt", "ring"]))
+def n30_buffer_lifecycle(d: Dialect, creators: list[str] = ["VkBuffer", "vkCreateBuffer"], users: tuple = (["VkBuffer"], ["Bind", "Map", "Update"])) -> str:
+    """From what makes a buffer to what uses it (0.8), in one class or where one calls the other. Symbols outside of classes meet by calls alone: all of them with one another are no finding."""
+    made = f"SELECT id, parent_symbol_id AS parent FROM symbols WHERE kind IN ('function', 'method') AND {like_any('signature', creators)}"
+    used = f"SELECT id, parent_symbol_id AS parent FROM symbols WHERE {like_any('signature', users[0])} AND {like_any('name', users[1])}"
+    return f"""SELECT DISTINCT from_id, to_id, 0.8e0 AS confidence FROM (
+        SELECT m.id AS from_id, u.id AS to_id FROM ({made}) m JOIN ({used}) u ON u.parent = m.parent
+        UNION ALL SELECT m.id, u.id FROM ({made}) m JOIN relationships r ON r.from_id = m.id AND r.type = 'calls' JOIN ({used}) u ON u.id = r.to_id
+        UNION ALL SELECT m.id, u.id FROM ({made}) m JOIN relationships r ON r.to_id = m.id AND r.type = 'calls' JOIN ({used}) u ON u.id = r.from_id) e"""
+
+
+@sql_operator(tags=_TEST_TAGS)
+def n31_api_usage(d: Dialect, tags: list[tuple] = rules.API_TAGS, kept: list[str] = ["api", "vulkan_", "stl_"]) -> str:
+    """Symbols for each set of tags in which one of the words stands."""
+    return f"SELECT tags, count(*) AS symbols FROM (SELECT id, {d.joined_set('tag')} AS tags FROM ({n30_api_tags(d, tags)}) t GROUP BY id) x WHERE {like_any('tags', kept)} GROUP BY tags"
 
 
 @sql_operator

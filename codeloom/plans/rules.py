@@ -66,6 +66,53 @@ TAINT_SINKS = {"output": ["cout", "printf", "puts", "write", "send", "response"]
 SANITISERS = ["validate", "sanitize", "escape", "filter", "clean", "check"]
 HOTSPOT_NAMES = ["process", "calculate", "compute"]
 
+#: kinds that have a data format's or a shared type's word in their name (formats: or path), and words of communication between processes
+FORMATS = {"protobuf": ["proto"], "json": ["json"], "xml": ["xml"], "thrift": ["thrift"], "avro": ["avro"], "msgpack": ["msgpack"], "grpc": ["grpc"], "graphql": ["graphql"]}
+SHARED_TYPES = ["User", "Config", "Request", "Response", "Message", "Event"]
+COMMUNICATION = ["socket", "pipe", "queue", "redis", "rabbitmq", "kafka", "grpc", "rest", "http", "websocket", "sharedmemory", "mmap", "dbus", "com", "rpc"]
+
+#: (tag, kinds, patterns of a name, words of a signature, words one of which must stand in the signature or qualified name as spelt)
+_CALLABLE = ["function", "method"]
+_VULKAN = {
+    "buffer_management": ["VkBuffer", "vkCreateBuffer", "vkBindBufferMemory", "vkMapMemory", "vkUnmapMemory"], "command_recording": ["VkCommandBuffer", "vkBeginCommandBuffer", "vkEndCommandBuffer", "vkCmdDraw"],
+    "pipeline_creation": ["VkPipeline", "vkCreateGraphicsPipelines", "vkCreateComputePipelines"], "descriptor_sets": ["VkDescriptorSet", "vkCreateDescriptorSetLayout", "vkUpdateDescriptorSets"],
+    "synchronization": ["VkSemaphore", "VkFence", "vkWaitForFences", "vkCreateSemaphore"], "memory_management": ["VkDeviceMemory", "vkAllocateMemory", "vkFreeMemory"],
+    "render_passes": ["VkRenderPass", "vkCreateRenderPass", "vkCmdBeginRenderPass"], "swapchain": ["VkSwapchainKHR", "vkCreateSwapchainKHR", "vkAcquireNextImageKHR"],
+}
+_STL = {
+    "containers": ["vector", "map", "unordered_map", "set", "list", "array"], "algorithms": ["std::sort", "std::find", "std::transform", "std::for_each"], "smart_pointers": ["unique_ptr", "shared_ptr", "weak_ptr"],
+    "threading": ["thread", "mutex", "lock_guard", "condition_variable"], "chrono": ["chrono::", "duration", "time_point"], "functional": ["function<", "bind", "lambda"],
+}
+_THREADS = (["function", "method", "class"], ["%Thread%", "%Async%"], ["thread", "mutex", "atomic", "future", "async"])
+API_TAGS = [
+    *((f"vulkan_{k}", _CALLABLE, ["vk%"], ["Vk"], w) for k, w in _VULKAN.items()),
+    ("external_api_vulkan", _CALLABLE, ["vk%"], ["Vk"], [x for w in _VULKAN.values() for x in w]),
+    ("external_api_opengl", _CALLABLE, ["gl%"], ["gl"], []),
+    *((f"stl_{k}", [*_CALLABLE, "variable"], [], w, []) for k, w in _STL.items()),
+    ("filesystem_api", _CALLABLE, ["%File%", "%Directory%"], ["fstream", "filesystem::"], []),
+    ("threading_api", *_THREADS, []), ("thread_safe", *_THREADS, ["mutex", "lock"]), ("atomic_operation", *_THREADS, ["atomic"]),
+]
+
+#: pattern: (family, indicators, anti-patterns, good, warning and problematic signs), in the order that breaks ties
+PATTERN_DEFINITIONS = {
+    "Factory": ("creational", ["factory", "create", "make", "build", "getInstance"], ["god-object"], ["single-responsibility", "interface-segregation", "dependency-injection"], ["high-complexity", "many-parameters"], ["god-object", "tight-coupling", "hardcoded-dependencies"]),
+    "Singleton": ("creational", ["singleton", "getInstance", "static-instance"], ["global-state", "hidden-dependencies"], ["thread-safe", "lazy-initialization"], ["eager-initialization", "mutable-state"], ["global-state", "tight-coupling", "testing-difficulties"]),
+    "Builder": ("creational", ["builder", "build", "with", "set", "fluent-interface"], ["telescoping-constructor"], ["fluent-interface", "immutable-products", "validation"], ["complex-builder", "incomplete-validation"], ["mutable-products", "no-validation", "god-builder"]),
+    "Decorator": ("structural", ["decorator", "wrapper", "enhance", "extend"], ["feature-envy"], ["composition-over-inheritance", "interface-based", "single-responsibility"], ["deep-nesting", "performance-overhead"], ["inheritance-abuse", "circular-dependencies", "god-decorator"]),
+    "Adapter": ("structural", ["adapter", "wrapper", "bridge", "convert", "translate"], ["impedance-mismatch"], ["clean-interface", "minimal-translation", "error-handling"], ["complex-translation", "data-loss"], ["leaky-abstraction", "performance-bottleneck", "god-adapter"]),
+    "Observer": ("behavioral", ["observer", "notify", "subscribe", "listen", "event", "signal"], ["event-spam", "memory-leaks"], ["weak-references", "async-notifications", "error-isolation"], ["synchronous-notifications", "many-observers"], ["memory-leaks", "circular-notifications", "event-spam"]),
+    "Command": ("behavioral", ["command", "execute", "undo", "redo", "invoke", "action"], ["anemic-command"], ["undoable", "composable", "stateless"], ["stateful-commands", "complex-commands"], ["anemic-command", "god-command", "tight-coupling"]),
+    "State": ("behavioral", ["state", "transition", "context", "currentState"], ["state-explosion", "god-state"], ["clear-transitions", "immutable-states", "validation"], ["complex-states", "many-transitions"], ["state-explosion", "invalid-transitions", "god-state"]),
+    "MVC": ("architectural", ["controller", "model", "view", "mvc"], ["fat-controller", "anemic-model"], ["separation-of-concerns", "testable", "loose-coupling"], ["fat-controller", "fat-model"], ["god-controller", "anemic-model", "tight-coupling"]),
+    "Repository": ("architectural", ["repository", "dao", "data-access", "persistence"], ["generic-repository"], ["domain-specific", "testable", "abstraction"], ["generic-repository", "leaky-abstraction"], ["god-repository", "data-access-mixing", "tight-coupling"]),
+    "Producer-Consumer": ("concurrency", ["producer", "consumer", "queue", "buffer", "publish", "subscribe"], ["busy-waiting", "race-conditions"], ["bounded-buffer", "proper-synchronization", "backpressure"], ["unbounded-buffer", "blocking-operations"], ["race-conditions", "deadlock", "resource-leaks"]),
+}
+#: pattern: (role, whether only of classes, words), the first that fits; else consumer
+PATTERN_ROLES = {
+    "Factory": [("creator", False, ["create", "make", "factory"])], "Observer": [("subject", False, ["notify", "publish", "emit"]), ("observer", False, ["observe", "listen", "subscribe"])],
+    "Command": [("coordinator", False, ["execute", "invoke", "run"])], "MVC": [("coordinator", True, ["controller"]), ("subject", True, ["model", "entity"]), ("observer", False, ["view", "ui", "component"])],
+}
+
 #: What the driver's queries pass.
 ON_TEST_TABLES = {
     "pattern_names": [("singleton", "ring"), ("singleton", "small"), ("factory", "widget"), ("factory", "large"), ("observer", "bolt"), ("observer", "red"), ("repository", "gear"), ("mvc", "blue")],

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..engine import frame_operator, sql_operator
 from ..plans.dialect import Dialect
+from .braces import parse_braces
 
 #: File extensions of the languages that are read.
 EXTENSIONS = {
@@ -214,14 +215,14 @@ def parse_lines(path: str, text: str) -> list[tuple]:
 
 
 def parsed(files: DataFrame) -> DataFrame:
-    """Symbols, imports, inheritance and calls of files (path, language, text). A file that does not parse by grammar is read by lines."""
+    """Symbols, imports, inheritance and calls of files (path, language, text). Python is read by its grammar (by lines, where it does not parse), other languages by their braces."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows: list[tuple] = []
             for path, language, text in zip(b["path"], b["language"], b["text"], strict=True):
                 try:
-                    rows += parse_python(path, text or "") if language == "python" else parse_lines(path, text or "")
+                    rows += parse_python(path, text or "") if language == "python" else parse_braces(path, language, text or "")
                 except (SyntaxError, ValueError, RecursionError):
                     rows += parse_lines(path, text or "")
             yield pd.DataFrame(rows, columns=["path", "kind", "name", "line", "parent", "target"])
@@ -249,7 +250,7 @@ def _spelt(symbols: DataFrame, line) -> DataFrame:
     return symbols.groupBy(F.col("file_path").alias("path")).agg(F.array_join(lines, "\n").alias("text")).withColumn("language", F.lit("cpp"))
 
 
-@frame_operator("symbols", lambda d: "SELECT file_path AS path, CASE WHEN kind IN ('class', 'struct') THEN 'class' ELSE 'function' END AS kind, count(*) AS n FROM symbols GROUP BY 1, 2")
+@frame_operator("symbols", lambda d: "SELECT file_path AS path, CASE WHEN kind IN ('class', 'struct') THEN kind ELSE 'function' END AS kind, count(*) AS n FROM symbols GROUP BY 1, 2")
 def p25_parse(t: dict[str, DataFrame]) -> DataFrame:
     """The symbol table's declarations, spelt as source text and parsed again."""
     line = F.when(F.col("kind").isin("class", "struct"), F.concat(F.col("kind"), F.lit(" "), F.col("name"), F.lit(" {\n};"))).otherwise(F.concat("signature", F.lit(" {\n}")))
@@ -260,7 +261,7 @@ def p25_parse(t: dict[str, DataFrame]) -> DataFrame:
 def p24_scopes(t: dict[str, DataFrame]) -> DataFrame:
     """Declarations inside namespaces: each is a member of the scope it stands in."""
     line = F.concat(F.lit("namespace "), F.replace(F.col("namespace"), F.lit("#"), F.lit("")), F.lit(" {\nvoid f_"), F.col("tag"), F.lit("() {\n}\n}"))
-    return parsed(_spelt(t["symbols"], line)).where("kind = 'method'").groupBy("parent").agg(F.count("*").alias("n"))
+    return parsed(_spelt(t["symbols"], line)).where("kind = 'function'").groupBy("parent").agg(F.count("*").alias("n"))
 
 
 @frame_operator("symbols", lambda d: "SELECT file_path AS path, count(*) AS macros, CAST(2 * count(*) AS BIGINT) AS uses FROM symbols GROUP BY file_path")

@@ -181,10 +181,22 @@ def n25_stages(d: Dialect, stages: list[str] = rules.STAGES) -> str:
     return f"SELECT from_id, to_id, CASE WHEN a < b THEN 'feeds_into' ELSE 'depends_on' END AS type, 0.8e0 AS confidence FROM (SELECT DISTINCT c.caller_id AS from_id, c.callee_id AS to_id, {rank('f')} AS a, {rank('t')} AS b FROM calls c JOIN symbols f ON f.id = c.caller_id JOIN symbols t ON t.id = c.callee_id) x WHERE a <> b"
 
 
-@sql_operator
-def n26_rpc(d: Dialect) -> str:
-    """Clients and implementations of one service name in different languages."""
-    return "SELECT c.id AS client_id, s.id AS service_id FROM symbols c JOIN symbols s ON split_part(s.signature, '(', 1) = split_part(c.signature, '(', 1) AND s.namespace = c.namespace AND s.kind = 'class' AND c.kind IN ('function', 'method') AND s.language_id <> c.language_id"
+@sql_operator(type="imports", service="split_part(r.to_name, '_', 1)", suffix="_bolt", skipped=["brass"])
+def n26_rpc(d: Dialect, type: str = "invokes", service: str = "r.to_name", suffix: str = "Service", skipped: list[str] = ["pb.go", "_pb2", "generated"]) -> str:
+    """From callers of a remote service to what implements it in other, not generated files (0.9), by how languages name implementations: NameService holding Name, nameService structs, NameServicer and NameService... classes.
+
+    Every way is a join on the service's name, taken out of the implementation's name.
+    """
+    low, end = "lower(name)", suffix.lower()
+    parts = d.split(low, end)
+    before = d.mapped(d.sequence("1", "n - 1"), f"array_join(slice(parts, 1, CAST(x AS INT)), '{end}')" if d.spark else f"array_to_string(list_slice(parts, 1, x), '{end}')")
+    cut = f"substr(name, 1, length(name) - {len(suffix)})"
+    found = f"""SELECT id, file_path, {cut} AS service, false AS low FROM symbols WHERE kind = 'class' AND right(name, {len(suffix)}) = '{suffix}' AND contains(coalesce(qualified_name, ''), {cut})
+        UNION ALL SELECT id, file_path, {cut}, true FROM symbols WHERE kind = 'struct' AND right(name, {len(suffix)}) = '{suffix}' AND {cut} = lower({cut})
+        UNION ALL SELECT id, file_path, {d.explode(before)}, true FROM (SELECT id, file_path, parts, {d.size('parts')} AS n FROM (SELECT id, file_path, {parts} AS parts FROM symbols WHERE kind = 'class') c) p WHERE n > 1"""
+    named = f"SELECT DISTINCT r.from_id, s.file_path, {service} AS service FROM relationships r JOIN symbols s ON s.id = r.from_id WHERE r.type = '{type}'"
+    join = f"SELECT c.from_id, f.id AS to_id, c.file_path AS caller, f.file_path AS file FROM ({named}) c JOIN ({found}) f ON f.low = {{0}} AND f.service = {{1}} WHERE c.service <> ''"
+    return f"SELECT DISTINCT from_id, to_id, 0.9e0 AS confidence FROM ({join.format('false', 'c.service')} UNION ALL {join.format('true', 'lower(c.service)')}) x WHERE caller <> file AND NOT {like_any('file', skipped)}"
 
 
 @sql_operator

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ast
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -230,18 +231,49 @@ def parsed(files: DataFrame) -> DataFrame:
     return files.select("path", "language", "text").mapInPandas(parse, PARSED)
 
 
+_DEFINE = re.compile(r"^[ \t]*#define\s+([A-Z_][A-Z0-9_]*)[ \t]*(?:\(([^)]*)\))?[ \t]+((?:.*\\\n)*.*)", re.M)
+MACROS = "path string, name string, line int, parameters array<string>, is_variadic boolean, value string, uses int, complexity int, targets array<struct<name:string,type:string,confidence:double>>"
+
+
+def _macro_targets(name: str, value: str) -> list[tuple]:
+    """What code that uses a macro calls and uses through it; a macro named LOG_... reaches its logger."""
+    out = []
+    chain = re.search(r":*([A-Za-z_:]+)::getInstance\(\)\.(\w+)\(", value) if name.startswith("LOG_") else None
+    if chain:
+        out += [(chain[1], "uses", 0.95), ("getInstance", "calls", 0.95), (chain[2], "calls", 0.95)]
+    return out + [(c, "calls", 0.7) for c in re.findall(r"\b([A-Za-z_]\w*)\s*\(", value) if c != name and c not in ("if", "for", "while", "sizeof")]
+
+
+def _macro_complexity(value: str) -> int:
+    """1 to 5, by calls, loops, conditions and statements of the body."""
+    points = 1 + min(len(re.findall(r"\w+\s*\(", value)) * 0.5, 2) + ("do {" in value or "while(" in value) + 0.5 * ("if" in value or "?" in value) + min(value.count(";") * 0.3, 1)
+    return min(int(points + 0.5), 5)
+
+
 def expanded_macros(files: DataFrame) -> DataFrame:
-    """Object-like macros of a file and how often their names are used in it."""
+    """Macros of a file (upper-case names) with their bodies over continued lines, how often their names are used in it, and what they lead to."""
 
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for path, text in zip(b["path"], b["text"], strict=True):
-                for name, value in re.findall(r"^\s*#define\s+(\w+)[ \t]+(.+)$", text or "", re.M):
-                    rows.append((path, name, value.strip(), len(re.findall(rf"\b{re.escape(name)}\b", text)) - 1))
-            yield pd.DataFrame(rows, columns=["path", "name", "value", "uses"])
+                words = Counter(re.findall(r"\w+", text or ""))
+                at, line = 0, 1
+                for m in _DEFINE.finditer(text or ""):
+                    line += text.count("\n", at, m.start())
+                    at = m.start()
+                    name, listed = m[1], [p.strip() for p in (m[2] or "").split(",") if p.strip()]
+                    value = " ".join(x.strip() for x in m[3].split("\\\n")).strip()
+                    rows.append((path, name, line, listed, "..." in listed, value, words[name] - 1, _macro_complexity(value), _macro_targets(name, value)))
+            yield pd.DataFrame(rows, columns=["path", "name", "line", "parameters", "is_variadic", "value", "uses", "complexity", "targets"])
+
+    return files.select("path", "text").mapInPandas(expand, MACROS)
+
 
-    return files.select("path", "text").mapInPandas(expand, "path string, name string, value string, uses int")
+def macro_edges(calls: DataFrame, macros: DataFrame) -> DataFrame:
+    """Edges of code that uses macros (calls: parsed rows) to what those lead to: path, line, caller, target, type, confidence."""
+    led = macros.select("name", F.explode("targets").alias("t")).distinct()
+    return calls.where("kind = 'call'").join(led, "name").select("path", "line", F.col("parent").alias("caller"), F.col("t.name").alias("target"), "t.type", "t.confidence")
 
 
 def _spelt(symbols: DataFrame, line) -> DataFrame:
@@ -267,7 +299,7 @@ def p24_scopes(t: dict[str, DataFrame]) -> DataFrame:
 @frame_operator("symbols", lambda d: "SELECT file_path AS path, count(*) AS macros, CAST(2 * count(*) AS BIGINT) AS uses FROM symbols GROUP BY file_path")
 def p26_macros(t: dict[str, DataFrame]) -> DataFrame:
     """A macro for each symbol, used twice."""
-    line = F.concat(F.lit("#define "), F.col("name"), F.lit(" "), F.col("id").cast("string"), F.lit("\nint x = "), F.col("name"), F.lit(" + "), F.col("name"), F.lit(";"))
+    line = F.concat(F.lit("#define "), F.upper("name"), F.lit(" "), F.col("id").cast("string"), F.lit("\nint x = "), F.upper("name"), F.lit(" + "), F.upper("name"), F.lit(";"))
     return expanded_macros(_spelt(t["symbols"], line)).groupBy("path").agg(F.count("*").alias("macros"), F.sum("uses").alias("uses"))
 
 

@@ -63,3 +63,10 @@ def test_texts(engine):
     assert rows(engine, "p14_quality_indicators", "id", "is_long", "complex_conditions", "magic_numbers") == [(1, False, False, False), (2, False, False, False), (3, False, True, True), (4, False, False, False)]
     assert rows(engine, "p15_algorithms", "id", "accumulates", "recursive", "state_machine", "pipeline") == [(1, False, False, False, False), (2, True, True, False, False), (3, False, False, True, False), (4, False, False, False, False)]
     assert rows(engine, "x12_connection_flow", "id", "line", "method", "field", "text") == [(1, 2, "connection", "addr", "cartConn = dial(addr"), (1, 3, "client-creation", "addr", "NewCartClient"), (1, 3, "connection", "addr", "NewCartClient(addr")]
+
+
+def test_remote_services(spark):
+    symbols = [(1, "checkout", "method", "app::checkout", "src/checkout.go"), (2, "CartService", "class", "Cart.CartService", "src/cart.cs"), (3, "cartService", "struct", "main::cartService", "src/cart.go"), (4, "CartServicer", "class", "CartServicer", "src/cart.py"), (5, "CartServiceImplBase", "class", "CartServiceImplBase", "gen/cart_pb2.py"), (6, "CartServiceStore", "class", "x", "src/Store.java"), (7, "MyCartService", "class", "MyCartService", "src/my.cs"), (8, "CartServiceHere", "class", "x", "src/checkout.go")]
+    edges = [(1, 1, None, "invokes", "Cart"), (2, 1, None, "calls", "My"), (3, 1, None, "invokes", "")]
+    e = Engine(spark, symbols=spark.createDataFrame(symbols, "id long, name string, kind string, qualified_name string, file_path string"), relationships=spark.createDataFrame(edges, "id long, from_id long, to_id long, type string, to_name string"))
+    assert rows(e, "n26_rpc", "from_id", "to_id") == [(1, 2), (1, 3), (1, 4), (1, 6)]

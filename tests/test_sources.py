@@ -29,6 +29,18 @@ def test_parse(spark):
     assert macros == [("LIMIT", "10", 1)]
 
 
+def test_macros(spark):
+    code = "#define MAX(a, b) ((a) > (b) ? (a) : (b))\n#define LOG_INFO(m, ...) \\\n  do { app::Logger::getInstance().info(m); } \\\n  while(0)\n#define ON\nvoid f() {\n  LOG_INFO(1);\n  int x = MAX(1, 2);\n}\n"
+    files = spark.createDataFrame([("a.h", "cpp", code), ("e.h", "cpp", None)], "path string, language string, text string")
+    macros = ingest.expanded_macros(files)
+    assert sorted((r.name, r.line, r.parameters, r.is_variadic, r.value, r.uses, r.complexity) for r in macros.collect()) == [
+        ("LOG_INFO", 2, ["m", "..."], True, "do { app::Logger::getInstance().info(m); } while(0)", 1, 4),  # one, three calls, a loop, a statement: 1 + 1.5 + 1 + 0.3
+        ("MAX", 1, ["a", "b"], False, "((a) > (b) ? (a) : (b))", 1, 2),  # one and a condition
+    ]
+    edges = ingest.macro_edges(ingest.parsed(files), macros).collect()
+    assert sorted({(r.caller, r.target, r.type, r.confidence) for r in edges}) == [("f", "app::Logger", "uses", 0.95), ("f", "getInstance", "calls", 0.7), ("f", "getInstance", "calls", 0.95), ("f", "info", "calls", 0.7), ("f", "info", "calls", 0.95)]
+
+
 def test_stores(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
     new = spark.createDataFrame([(2, "x"), (3, "y"), (3, "y")], "id long, v string")

@@ -129,18 +129,20 @@ def e11_semantic_pairs(t: dict[str, DataFrame], threshold: float = 0.8, block: i
     return pairs.select("first_id", "second_id", F.round("s", 5).alias("similarity"), F.round(F.least(F.lit(0.9), 1.1 * F.col("s")), 5).alias("confidence"))
 
 
-def clustered(vectors: DataFrame, k: int = 10, seed: int = 42, rounds: int = 20) -> DataFrame:
-    """id and cluster by k-means with parallel seeding."""
+@frame_operator("vectors")
+def e12_kmeans(t: dict[str, DataFrame], max_clusters: int = 20, min_size: int = 3, seed: int = 42, rounds: int = 20) -> DataFrame:
+    """id and cluster by k-means with parallel seeding, one cluster for each min_size vectors within 2 and max_clusters. Fewer vectors than min_size have none, and smaller clusters are left out."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    rows = vectors.select("id", array_to_vector(F.col("vec").cast("array<double>")).alias("features"))
-    return KMeans(k=k, seed=seed, maxIter=rounds, initMode="k-means||").fit(rows).transform(rows).select("id", F.col("prediction").cast("long").alias("cluster"))
-
-
-@frame_operator("vectors")
-def e12_kmeans(t: dict[str, DataFrame]) -> DataFrame:
-    return clustered(t["vectors"])
+    rows = t["vectors"].where("id IS NOT NULL AND vec IS NOT NULL").select("id", array_to_vector(F.col("vec").cast("array<double>")).alias("features"))
+    n = rows.count()
+    if n < min_size:
+        return t["vectors"].select("id", F.lit(0).cast("long").alias("cluster")).limit(0)
+    k = min(max_clusters, max(2, n // min_size))
+    placed = KMeans(k=k, seed=seed, maxIter=rounds, initMode="k-means||").fit(rows).transform(rows).select("id", F.col("prediction").cast("long").alias("cluster"))
+    large = placed.groupBy("cluster").agg(F.count("*").alias("members")).where(F.col("members") >= min_size)
+    return placed.join(large.select("cluster"), "cluster", "left_semi").select("id", "cluster")
 
 
 def _centroids(d: Dialect) -> str:

@@ -25,3 +25,29 @@ def test_semantic_pairs_across_labels(spark, block):
     got = Engine(spark, vectors=spark.createDataFrame(rows, "id long, vec array<float>, label long")).run("e11_semantic_pairs", block=block).collect()
     assert len(got) == len(want) and {(r.first_id, r.second_id) for r in got} == set(want)
     assert all(abs(r.similarity - want[r.first_id, r.second_id]) < 2e-5 for r in got)
+
+
+def test_k_means(spark):
+    """Well separated groups come out whole, and every vector stands with the nearest of the groups' means."""
+    load()
+    rng = random.Random(3)
+    centers = [[20.0 * (k == j) for j in range(5)] for k in range(5)]
+    rows = [(100 * k + i, [x + rng.gauss(0, 0.5) for x in c], k) for k, c in enumerate(centers) for i in range(20)]
+    engine = Engine(spark, vectors=spark.createDataFrame(rows, "id long, vec array<float>, label long"))
+    got = {r["id"]: r["cluster"] for r in engine.run("e12_kmeans", max_clusters=5).collect()}
+    assert sorted(got) == sorted(i for i, _, _ in rows)
+    members = {}
+    for i, v, _ in rows:
+        members.setdefault(got[i], []).append(v)
+    means = {c: [sum(x) / len(x) for x in zip(*vs, strict=True)] for c, vs in members.items()}
+    for i, v, _ in rows:
+        assert math.dist(v, means[got[i]]) <= min(math.dist(v, m) for m in means.values()) + 1e-3
+    for k in range(5):  # no cluster holds parts of two groups
+        inside = {got[i] for i, _, label in rows if label == k}
+        assert not inside & {got[i] for i, _, label in rows if label != k}
+    few = Engine(spark, vectors=spark.createDataFrame(rows[:2], "id long, vec array<float>, label long"))
+    assert few.run("e12_kmeans").collect() == []
+    sizes = {}
+    for r in engine.run("e12_kmeans").collect():
+        sizes[r["cluster"]] = sizes.get(r["cluster"], 0) + 1
+    assert len(sizes) <= 20 and min(sizes.values()) >= 3

@@ -81,6 +81,68 @@ def test_isolation_scores_equal_a_plain_walk():
     assert quality_rules.calibrated(good, bad, 0.05) == best[1]
 
 
+def test_verdicts_learn_from_all_labelled_rows(spark):
+    """2,200 labelled rows, all good; the last 100 by id hash look unlike the others, and only whoever reads all rows can know them."""
+    ids = [r[0] for r in spark.range(1, 3400).where("crc32(cast(id as string)) % 3 != 1").orderBy(F.xxhash64("id"), "id").limit(2200).collect()]
+    last = set(ids[-100:])
+    rng = random.Random(4)
+    word = lambda odd: "".join(rng.choices("AB01!?#$" if odd else "abcdefgh" * 6 + "A0!#", k=12 if odd else rng.randrange(3, 8)))
+    text = lambda i: " ".join(word(i in last) for _ in range(rng.randrange(20, 40)))
+    docs = documents(spark, [(i, text(i)) for i in ids])
+    kept = {r.doc_id: r.kept for r in quality_rules.assess(docs, spark.createDataFrame([(i, 1) for i in ids], "doc_id long, quality int"), min_words=5).collect()}
+    assert len(ids) == 2200 and sum(kept.values()) >= 2195 and sum(kept[i] for i in last) >= 95
+
+
+def test_a_forest_over_a_table_equals_a_plain_one(spark):
+    """Every labelled row is in every tree of its fold, masses are those of a plain count, and the threshold is that of all rows scored by the other fold's trees."""
+    docs, labels = labelled(spark)
+    found = quality_rules.statistics(docs.unionAll(docs.where("doc_id = 100")).repartition(5))
+    forest, threshold = quality_rules.fit(found, labels, trees=6, depth=4, false_rejects=0.1, contamination=0.2)
+    marks = {r.doc_id: r.quality for r in labels.where("quality IS NOT NULL AND doc_id < 900").collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1}
+    rows = [(r.fold, marks[r.doc_id], r.x) for r in found.withColumn("fold", F.expr("pmod(xxhash64(doc_id), 2)")).collect() if r.doc_id in marks]
+    fold, good, x = (np.array(v) for v in zip(*rows, strict=True))
+    scores = np.zeros(len(x))
+    for tree in range(6):
+        own = fold == tree % 2
+        weight = np.where(good[own] == 1, 1.0, 0.2 * (good[own] == 1).sum() / (good[own] == 0).sum())
+        at = np.array([[0]] * len(x))
+        while (at[:, -1:] * 2 + 1 < forest.split.shape[1]).any() and at.shape[1] < 5:
+            now = at[:, -1]
+            at = np.column_stack([at, forest.child[tree, now, (x[np.arange(len(x)), forest.feature[tree, now]] > forest.split[tree, now]).astype(int)]])
+        assert abs(forest.size[tree] - weight.sum()) < 1e-9
+        for leaf in set(at[own, -1]):
+            level = int(math.log2(leaf + 1))
+            assert abs(forest.path[tree, leaf] - level - forest.mean_path(weight[at[own, -1] == leaf].sum())) < 1e-9
+            inside = x[own][at[own, -1] == leaf]
+            assert level == 4 or (inside == inside[0]).all()
+        scores[~own] += forest.path[tree, at[~own, -1]] / forest.mean_path(forest.size[tree]) / 3
+    scores = 2.0**-scores
+    assert abs(threshold - quality_rules.calibrated(scores[good == 1], scores[good == 0], 0.1)) < 1e-9
+    again = quality_rules.fit(found.repartition(2), labels, trees=6, depth=4, false_rejects=0.1, contamination=0.2)
+    assert again[1] == threshold and (again[0].split == forest.split).all() and (again[0].path == forest.path).all()
+
+
+def test_few_labelled_rows(spark):
+    """One good row: one of the folds has none, so all rows grow and calibrate all trees; bad rows alone: no forest."""
+    docs, labels = labelled(spark)
+    known = [i for i in range(100, 130) if zlib.crc32(str(i).encode()) % 3 != 1]
+    for some in (f"doc_id = {known[0]}", f"doc_id IN ({known[0]}, 200, 201, 202, 203)"):
+        forest, threshold = quality_rules.fit(quality_rules.statistics(docs), labels.where(some), trees=4, depth=3)
+        assert len(set(forest.size)) == 1 and 0 < threshold <= 1
+        got = {r.doc_id: r for r in quality_rules.assess(docs, labels.where(some), min_words=5, trees=4, depth=3).collect()}
+        assert got[known[0]].kept and got[known[0]].threshold == threshold
+    assert quality_rules.fit(quality_rules.statistics(docs), labels.where("quality = 0")) == (None, float("inf"))
+
+
+@pytest.mark.parametrize("share", [0, 0.01, 0.05, 0.3, 1])
+def test_thresholds_over_a_table_equal_plain_ones(spark, share):
+    rng = np.random.default_rng(8)
+    good, bad = rng.normal(0.4, 0.05, 900).round(3), rng.normal(0.5, 0.05, 90).round(3)
+    for few in (bad, bad[:1] - 1, bad[:0]):
+        scores = spark.createDataFrame([(True, float(v)) for v in good] + [(False, float(v)) for v in few], "good boolean, score double")
+        assert quality_rules.calibrated_over(scores, share) == quality_rules.calibrated(good, few, share)
+
+
 def test_repeats_of_many_distinct_words():
     words = [str(k).encode() for k in range(50_000)]
     assert quality_rules.repeated_positions([*words, *words[7:10], b"x"]) == 6

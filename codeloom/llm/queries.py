@@ -8,7 +8,7 @@ import secrets
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, license_scan, line_dedup, near_dedup, pii, piece_codec, quality_knn, quality_rules, sharding
+from . import decontaminate, html_text, license_scan, line_dedup, near_dedup, pii, piece_codec, quality_knn, quality_rules, resample, sharding
 from .common import table
 
 PIECES = os.environ.get("CODELOOM_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
@@ -60,8 +60,12 @@ def op10_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_knn.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_sentencepiece, op3_sharding, op4_license_scan, op5_near_dedup, op6_line_dedup, op7_decontaminate, op8_html_text, op9_pii, op10_quality_knn)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_sentencepiece, op3_sharding, op4_license_scan, op5_near_dedup, op6_line_dedup, op7_decontaminate, op8_html_text, op9_pii, op10_quality_knn, op12_resample)}
 
 
 def _op3_sql() -> str:
@@ -74,4 +78,4 @@ def _op3_sql() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_sharding": _op3_sql(), "op4_license_scan": license_scan.oracle(), "op7_decontaminate": decontaminate.oracle()}
+    return {"op3_sharding": _op3_sql(), "op4_license_scan": license_scan.oracle(), "op7_decontaminate": decontaminate.oracle(), "op12_resample": resample.oracle()}

@@ -8,7 +8,7 @@ import secrets
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, license_scan, line_dedup, near_dedup, pii, piece_codec, quality_knn, quality_rules, resample, sharding
+from . import decontaminate, html_text, license_scan, line_dedup, near_dedup, pii, piece_codec, quality_knn, quality_rules, resample, secret_scan, sharding
 from .common import table
 
 PIECES = os.environ.get("CODELOOM_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
@@ -64,8 +64,13 @@ def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table names one place of origin, taken as the owner; each document stands for a repository."""
+    return secret_scan.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_sentencepiece, op3_sharding, op4_license_scan, op5_near_dedup, op6_line_dedup, op7_decontaminate, op8_html_text, op9_pii, op10_quality_knn, op12_resample)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_sentencepiece, op3_sharding, op4_license_scan, op5_near_dedup, op6_line_dedup, op7_decontaminate, op8_html_text, op9_pii, op10_quality_knn, op12_resample, op13_secret_scan)}
 
 
 def _op3_sql() -> str:
@@ -78,4 +83,4 @@ def _op3_sql() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_sharding": _op3_sql(), "op4_license_scan": license_scan.oracle(), "op7_decontaminate": decontaminate.oracle(), "op12_resample": resample.oracle()}
+    return {"op3_sharding": _op3_sql(), "op4_license_scan": license_scan.oracle(), "op7_decontaminate": decontaminate.oracle(), "op12_resample": resample.oracle(), "op13_secret_scan": secret_scan.oracle()}

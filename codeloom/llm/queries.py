@@ -1,4 +1,4 @@
-"""Driver queries of the ten operators, each over its whole intended table, and their SQL."""
+"""Driver queries of the operators, each over its whole intended table, and their SQL."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import secrets
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, license_scan, line_dedup, near_dedup, pii, piece_codec, quality_knn, quality_rules, resample, secret_scan, sharding
+from . import decontaminate, hard_negatives, html_text, license_scan, line_dedup, near_dedup, pii, piece_codec, quality_knn, quality_rules, resample, secret_scan, sharding
 from .common import table
 
 PIECES = os.environ.get("CODELOOM_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
@@ -60,6 +60,12 @@ def op10_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_knn.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of ids divisible by 7 are moved on by one."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", moved))
+
+
 def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -70,7 +76,7 @@ def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_sentencepiece, op3_sharding, op4_license_scan, op5_near_dedup, op6_line_dedup, op7_decontaminate, op8_html_text, op9_pii, op10_quality_knn, op12_resample, op13_secret_scan)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_sentencepiece, op3_sharding, op4_license_scan, op5_near_dedup, op6_line_dedup, op7_decontaminate, op8_html_text, op9_pii, op10_quality_knn, op11_hard_negatives, op12_resample, op13_secret_scan)}
 
 
 def _op3_sql() -> str:
@@ -83,4 +89,4 @@ def _op3_sql() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_sharding": _op3_sql(), "op4_license_scan": license_scan.oracle(), "op7_decontaminate": decontaminate.oracle(), "op12_resample": resample.oracle(), "op13_secret_scan": secret_scan.oracle()}
+    return {"op3_sharding": _op3_sql(), "op4_license_scan": license_scan.oracle(), "op7_decontaminate": decontaminate.oracle(), "op11_hard_negatives": hard_negatives.oracle(), "op12_resample": resample.oracle(), "op13_secret_scan": secret_scan.oracle()}

@@ -361,6 +361,110 @@ def test_pages_give_the_text_they_were_made_of():
         assert html_text.main_text(page) == text, page
 
 
+LONG = "This is the long text of the page and it is full of words that people use in a text, which goes on."
+ODD_PAGES = {
+    '<article><p class="a"">One two.</p><p>Three "four".</p></article>': 'One two.\nThree "four".',
+    "<article><p title=it's>One.</p><p>Two.</p><p>Three.</p></article>": "One.\nTwo.\nThree.",
+    '<article><p>a<p title="never closed>b<p>c</article>': "a\nb\nc",
+    '<article><p a=b="c>d</p></article>': "d",
+    f'<body><form id="aspnetForm"><article><p>{LONG}</p><p>Short.</p></article></form></body>': f"{LONG}\nShort.",
+    f"<body><form><form>Search here</form><main><p>{LONG}</p></main></form></body>": LONG,
+    f'<body><form id="aspnetForm"><div><p>{LONG} {LONG}</p><p>Short.</p></div><form>Search</form></form></body>': f"{LONG} {LONG}\nShort.",
+    f"<article><p>a</p><form><input><p>{LONG}</p></article>": f"a\n{LONG}",
+    "<article><p>One</p><form><label>Your name</label><p>Your mail stays with us.</p></form><p>Two</p></article>": "One\nTwo",
+    f"<div class=content><p>{LONG}</p></div><article class=teaser><p>Read the other story.</p></article>": LONG,
+    f"<div class=content><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div><article><p>Read the other story.</p></article>": f"{LONG}\n{LONG}\n{LONG}",
+    f"<article><p>{LONG}</p><p>{LONG}</p></article><article class=x><h2>Card</h2><p>Short card.</p></article>": f"{LONG}\n{LONG}",
+    f"<article><p>{LONG}</p></article><article><p>{LONG}</p></article>": f"{LONG}\n{LONG}",
+    f"<article><p>{LONG}</p><article class=card><p>{LONG}</p></article></article>": LONG,
+    "<article class=card><p>only a card</p></article>": "only a card",
+    f"<article><section class='related-work'><p>Earlier studies.</p></section><div class='alert-level widget'>{LONG}</div><div class=widget><a href=1>A link</a></div><div class='related-posts'>More</div><div class=alert>No</div></article>": f"Earlier studies.\n{LONG}",
+}
+
+
+def test_odd_pages_lose_no_article():
+    for page, text in ODD_PAGES.items():
+        assert html_text.main_text(page) == text, page
+
+
+def plain_tags(page):
+    """End mark, name and attributes of every whole tag, read character by character."""
+    out, k = [], 0
+    space = " \t\n\r\f\v"
+    while (k := page.find("<", k)) >= 0:
+        if page.startswith("<!--", k):
+            end = page.find("-->", k + 4)
+            k = len(page) if end < 0 else end + 3
+            continue
+        if page[k + 1 : k + 2] in ("!", "?"):
+            end = page.find(">", k)
+            k = len(page) if end < 0 else end + 1
+            continue
+        at = k + 1 + (page[k + 1 : k + 2] == "/")
+        if not (at < len(page) and page[at].isascii() and page[at].isalpha()):
+            k += 1
+            continue
+        ends = at > k + 1
+        start = at
+        while at < len(page) and page[at] not in space + "/>":
+            at += 1
+        name, given = page[start:at], {}
+        while at < len(page) and page[at] != ">":
+            if page[at] in space + "/":
+                at += 1
+                continue
+            start = at
+            at += 1  # the first character of a name may be anything, = too
+            while at < len(page) and page[at] not in space + "/>=":
+                at += 1
+            key, value, back = page[start:at].lower(), "", at
+            while at < len(page) and page[at] in space:
+                at += 1
+            if at < len(page) and page[at] == "=":
+                at += 1
+                while at < len(page) and page[at] in space:
+                    at += 1
+                if at < len(page) and page[at] in "\"'" and (end := page.find(page[at], at + 1)) >= 0:
+                    value = page[at + 1 : end]
+                    at = end + 1
+                else:
+                    start = at
+                    while at < len(page) and page[at] not in space + ">":
+                        at += 1
+                    value = page[start:at]
+            else:
+                at = back
+            given.setdefault(key, value)
+        if at == len(page):
+            break
+        out.append((ends, name, given))
+        k = at + 1
+    return out
+
+
+def test_tags_are_read_as_by_a_plain_reader():
+    rng = random.Random(12)
+    bits = ["<p", "<a", "</p", "<br/", ">", ">", " ", " ", "=", "=", '"', "'", "/", "class", "title", "x", "<!--", "-->", "<!doctype", "<", "text", "\n", "==", "a=b"]
+    for _ in range(20_000):
+        page = "".join(rng.choice(bits) for _ in range(rng.randrange(25)))
+        got = [(m[1] == "/", m[2], html_text.attributes(m[3])) for m in html_text._TOKEN.finditer(page) if m[2] and m[4] == ">"]
+        assert got == plain_tags(page), page
+
+
+def test_pages_with_broken_markup_give_the_text_they_were_made_of():
+    rng = random.Random(13)
+    odd = ['<p class="a"">', "<p title=it's>", "<p data-x='a>b'>", '<p x="1"y=\'2\'>', "<p a = b>", '<p "">', "<p =>"]
+    for _ in range(1500):
+        page, text = made_page(rng)
+        page = re.sub("<p>", lambda m: rng.choice([*odd, "<p>"]), page)
+        page = page.replace("<article>", rng.choice(['<article class="post"">', "<article id=it's>", "<article>"]))
+        if rng.random() < 0.5:
+            page = page.replace("<body>", "<body><form id=aspnetForm method=post>").replace("</body>", rng.choice(["</form></body>", "</body>"]))
+        if rng.random() < 0.3:
+            page = page.replace("</article>", "</article><article class=card><p>The of la und</p></article>", 1)
+        assert html_text.main_text(page) == text, page
+
+
 @pytest.mark.parametrize("part", ["<div>x</b>", "<b><div>x</b>", "<div></p>", "<p><a href=1>x", "<div class=header>", "<li></ul>", "<header></x>", "<article></div>", "a<b", "<!--", "&amp;<p title='"])
 def test_nested_pages_take_linear_time(part):
     took = []

@@ -13,8 +13,9 @@ as it does in any isolation forest: what a leaf still holds counts as the mean p
 of that many rows.
 
 Labelled rows fall into two folds by id hash. Every other tree grows on the one, the
-rest on the other, and a row is calibrated by the trees of the other fold. Good rows
-weigh 1; all bad rows of a fold together weigh at most ``contamination`` times its
+rest on the other, and every row, labelled or not, is scored by the trees of the fold
+that its id is not in. So what is calibrated is what decides, and at most the stated share
+of the labelled good rows is rejected. Good rows weigh 1; all bad rows of a fold together weigh at most ``contamination`` times its
 good ones, and they stretch the ranges from which splits are drawn.
 
 Defined cases: a null or empty text has no words and fails the base rules; with
@@ -299,11 +300,23 @@ def statistics(documents: DataFrame, *, id_col="doc_id", text_col="text") -> Dat
     return rows.mapInArrow(counted, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", x array<double>")
 
 
+_FOLD = "CAST(pmod(xxhash64(doc_id), 2) AS INT) AS fold"
+
+
+def _by_other_fold(forest: IsolationForest, b: pa.RecordBatch) -> np.ndarray:
+    """Anomaly of each row of a batch (fold, x) by the trees that its fold did not grow (by all, where the folds are one)."""
+    x, fold = _vectors(b.column("x")), b.column("fold").to_numpy() % forest.folds
+    out = np.empty(len(x))
+    for k in range(forest.folds):
+        out[fold == k] = forest.score(x[fold == k], _trees_of(forest.folds - 1 - k, forest.folds, len(forest.feature)))
+    return out
+
+
 def fit(found: DataFrame, labels: DataFrame, *, trees=100, depth=8, false_rejects=0.01, contamination=0.03, seed=7):
     """(forest, threshold) from the statistics of all labelled rows that are not held out; (None, inf) where no good row is labelled."""
     marks = picked(labels, doc_id="doc_id", quality="quality").where("doc_id IS NOT NULL AND quality IN (0, 1)").where(~held_out(F.col("doc_id")))
     marks = marks.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    rows = found.select("doc_id", "x").join(marks, "doc_id").select(F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("fold"), (F.col("quality") == 1).alias("good"), "x")
+    rows = found.select("doc_id", "x").join(marks, "doc_id").select(F.expr(_FOLD), (F.col("quality") == 1).alias("good"), "x")
     rows = written(rows, "rule-training")
     count = {(r.fold, r.good): r.n for r in rows.groupBy("fold", "good").agg(F.count("*").alias("n")).collect()}
     if not any(good for _, good in count):
@@ -314,13 +327,11 @@ def fit(found: DataFrame, labels: DataFrame, *, trees=100, depth=8, false_reject
     total = [[sum(count.get((fold, kind), 0) for fold in part) for kind in (True, False)] for part in parts]
     forest = grown_over(rows, [min(1.0, contamination * good / max(bad, 1)) for good, bad in total], trees=trees, depth=depth, seed=seed)
 
+    forest.folds = len(parts)
+
     def unseen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, fold = _vectors(b.column("x")), b.column("fold").to_numpy() % len(parts)
-            score = np.empty(len(x))
-            for k in range(len(parts)):
-                score[fold == k] = forest.score(x[fold == k], _trees_of(len(parts) - 1 - k, len(parts), trees))
-            yield pa.RecordBatch.from_arrays([b.column("good"), pa.array(score)], ["good", "score"])
+            yield pa.RecordBatch.from_arrays([b.column("good"), pa.array(_by_other_fold(forest, b))], ["good", "score"])
 
     scores = written(rows.mapInArrow(unseen, "good boolean, score double"), "rule-scores")
     threshold = calibrated_over(scores, false_rejects)
@@ -335,9 +346,9 @@ def assess(documents: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            anomaly = forest.score(_vectors(b.column("x"))) if forest else np.zeros(b.num_rows)
+            anomaly = _by_other_fold(forest, b) if forest else np.zeros(b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(c) for c in ("doc_id", *COUNTS)] + [pa.array(anomaly)], schema=_OUT)
 
-    out = found.mapInArrow(scored, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, anomaly double")
+    out = found.selectExpr("*", _FOLD).mapInArrow(scored, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, anomaly double")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     return out.select("doc_id", *COUNTS, failed.alias("base_failed"), (~failed & (F.col("anomaly") <= F.lit(threshold))).alias("kept"), "anomaly", F.lit(threshold).alias("threshold"))

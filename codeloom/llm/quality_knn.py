@@ -8,7 +8,7 @@ the two has unit length, and patterns count ``pattern_share`` of the squared len
 A truncated SVD of a bounded sample of labelled rows (``max_fit`` of each class,
 smallest id hash first) spans the latent space.
 The sample's latent vectors (at most 2 * max_fit rows of ``rank`` floats, so the
-broadcast is bounded) are sent to the executors, which multiply each block of
+broadcast is bounded; of an id that repeats, the text of the smallest hash) are sent to the executors, which multiply each block of
 documents with all of them and let the ``neighbours`` nearest vote, weighted by
 their cosine.
 
@@ -69,10 +69,6 @@ def term_counts(text: str | None, dims: int) -> np.ndarray:
     return out
 
 
-def _pack(counts: np.ndarray) -> bytes:
-    return np.minimum(counts, 65535).astype(np.uint16).tobytes()
-
-
 class Space:
     """idf, latent axes, and the sample's unit vectors with their labels."""
 
@@ -120,23 +116,24 @@ def fit(documents: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="t
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [_pack(term_counts(t, dims)) for t in b.column("text").to_pylist()]
+            got = [term_counts(t, dims).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array(got, pa.binary())], ["doc_id", "quality", "x"])
 
     rows = picked(documents, doc_id=id_col, text=text_col).join(F.broadcast(chosen), "doc_id")
-    got = rows.mapInArrow(counted, "doc_id long, quality int, x binary").toPandas()  # at most 2 * max_fit rows of 2 * dims bytes
+    rows = rows.groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("first")).select("doc_id", "quality", "first.text")
+    got = rows.mapInArrow(counted, "doc_id long, quality int, x binary").toPandas()  # at most 2 * max_fit rows of 4 * dims bytes
     got = got.sort_values(["doc_id", "x"], kind="stable")
     y = got["quality"].to_numpy()
     if len(np.unique(y)) < 2:
         return float(y.mean()) if len(y) else 0.5
-    x = np.stack([np.frombuffer(v, np.uint16) for v in got["x"]]).astype(np.float32)
+    x = np.stack([np.frombuffer(v, np.float32) for v in got["x"]])
     return Space(x, y, rank, pattern_share)
 
 
 def _scores(space, texts: list[str | None], dims: int, neighbours: int, power: float) -> np.ndarray:
     if not isinstance(space, Space):
         return np.full(len(texts), space)
-    counts = np.stack([np.minimum(term_counts(t, dims), 65535) for t in texts])
+    counts = np.stack([term_counts(t, dims) for t in texts])
     return space.vote(counts, neighbours, power).astype(np.float64)
 
 

@@ -1,10 +1,13 @@
 """Operator 5: near-duplicate documents by circulant MinHash, verified exactly.
 
 A document's set is its distinct 5-word shingles (64-bit hashes). One permutation
-scatters shingles over a circle of 2**20 places; a second one, a table over that
-circle, gives all signature coordinates at once: coordinate k of a shingle is the
-table k places further on (a circular shift), so a signature is one running
-minimum over table slices.
+scatters shingles over a circle of 2**64 places; a second one gives all signature
+coordinates: coordinate k is the shingle that comes first in its order once the circle is
+shifted by k * 2**44. It orders places by a table over their leading 20 bits, then by the
+others, so a running minimum over table slices finds the leading bits of all coordinates,
+and a look-up of each in the sorted shingles the rest. Coordinates are whole shingles: sets
+of millions, which reach every entry of the table, share no more of them than their
+similarity.
 
 Signatures are cut into ``bands`` of ``rows``. Documents that share a band are
 candidates. Unless ``bands`` is given there are as many as it takes for a pair at
@@ -54,7 +57,7 @@ from pyspark.sql import functions as F
 from ..operators.components import connected_components
 from .common import MAX_BROADCAST, dropped, near, picked, row_key, written
 
-SHINGLE, CIRCLE = 5, 1 << 20
+SHINGLE, ARCS = 5, 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 KNOWN = 1 << 15  # word hashes that a task remembers
 SLICE = 256  # rows of a batch that are worked on at a time
@@ -99,24 +102,29 @@ def shingle_set(words: list[bytes], known: Hashes) -> np.ndarray:
 
 
 @lru_cache(2)
-def circulant(count: int, seed: int) -> np.ndarray:
-    """Row i: the second permutation's values at i, i + 1, ... around the circle (a view, not a copy)."""
-    table = np.random.RandomState(seed).permutation(CIRCLE).astype(np.int32)
-    return np.lib.stride_tricks.sliding_window_view(np.concatenate([table, table[:count]]), count)
+def circulant(count: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The second permutation's table: row i holds its values at i, i + 1, ... around the circle (a view, not a copy); and its inverse."""
+    table = np.random.RandomState(seed).permutation(ARCS).astype(np.int32)
+    inverse = np.empty(ARCS, np.int64)
+    inverse[table] = np.arange(ARCS)
+    return np.lib.stride_tricks.sliding_window_view(np.concatenate([table, table[:count]]), count), inverse
 
 
 def signature(shingles: np.ndarray, count: int, seed: int) -> np.ndarray:
-    table = circulant(count, seed)
-    places = ((shingles * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(44)).astype(np.int64)  # the first permutation
-    out = np.full(count, CIRCLE, dtype=np.int32)
-    for lo in range(0, len(places), 512):
-        np.minimum(out, table[places[lo : lo + 512]].min(axis=0), out=out)
-    return out
+    """For each of count shifts the place of the set's first shingle."""
+    table, inverse = circulant(count, seed)
+    places = np.sort(shingles * np.uint64(0xBF58476D1CE4E5B9))  # the first permutation
+    arcs = (places >> np.uint64(44)).astype(np.int64)
+    least = np.full(count, ARCS, dtype=np.int32)
+    for lo in range(0, len(arcs), 512):
+        np.minimum(least, table[arcs[lo : lo + 512]].min(axis=0), out=least)
+    first = (inverse[least] - np.arange(count)) % ARCS  # the arc whose shifted value is the least
+    return places[np.searchsorted(arcs, first)]  # its first place
 
 
 def band_keys(sig: np.ndarray, bands: int, rows: int) -> list[int]:
     raw = sig.tobytes()
-    step = 4 * rows
+    step = 8 * rows
     return np.array([xxhash.xxh64_intdigest(raw[k * step : (k + 1) * step], seed=k + 1) for k in range(bands)], dtype=np.uint64).astype(np.int64).tolist()
 
 

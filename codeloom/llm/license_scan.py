@@ -15,13 +15,15 @@ template's distinct words. The join finds all such pairs exactly:
   min(n - p, m - q) common words, which must be k or more;
 * what remains is verified on the whole word sets.
 
-Templates are a parameter, checked to be at most ``MAX_WORDS`` words together, so
-what is broadcast or inlined is bounded; documents are never shuffled, only one
-narrow row for each document and each block that meets a template.
+Templates are a parameter. Up to ``INLINE`` different words of theirs stand in the plan
+itself; then documents are never shuffled, only one narrow row for each document and
+each block that meets a template. More words become a table of their places in the global
+order, broadcast up to 16 MB of its own bytes, else joined by a shuffle: blocks are then
+made of the words that this join finds. The rows are the same.
 
 Defined cases: null or empty texts have no words, labels '' and score 0; long
 texts are cut into blocks like any other; repeated rows get one equal result each;
-a null id is kept; columns besides id and text are not read.
+a null id is kept; templates without words are met by nothing; columns besides id and text are not read.
 """
 
 from __future__ import annotations
@@ -29,13 +31,13 @@ from __future__ import annotations
 import math
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import picked
+from .common import MAX_BROADCAST, picked
 from .native_text import count_words, spaced, words_of
 
-MAX_WORDS = 2000
+INLINE = 2000  # different words of templates that are put into the plan
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 #: Notices of public licences, with their labels.
 TEMPLATES = [
@@ -63,32 +65,48 @@ def _array(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 
 
+def _table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows of the templates as a table, marked for broadcast up to MAX_BROADCAST bytes of their words and numbers."""
+    size = sum(sum(sum(8 + len(str(x).encode()) for x in v) if isinstance(v, list) else len(v.encode()) if isinstance(v, str) else 8 for v in r) for r in rows)
+    df = spark.createDataFrame(rows, schema)
+    return F.broadcast(df) if size <= MAX_BROADCAST else df
+
+
 def held_by(documents: DataFrame, vocabulary: list[str], text_col="text") -> dict[str, int]:
-    """Number of documents that hold each word of a bounded vocabulary."""
+    """Number of documents that hold each word of the templates' vocabulary."""
     words = words_of(spaced(F.col("text")))
-    rows = picked(documents, text=text_col).select(F.explode(F.array_intersect(_array(vocabulary), words)).alias("word"))
+    rows = picked(documents, text=text_col)
+    if len(vocabulary) <= INLINE:
+        rows = rows.select(F.explode(F.array_intersect(_array(vocabulary), words)).alias("word"))
+    else:
+        rows = rows.select(F.explode(F.array_distinct(words)).alias("word")).join(_table(documents.sparkSession, [(w,) for w in vocabulary], "word string"), "word")
     return {r["word"]: r["n"] for r in rows.groupBy("word").agg(F.count("*").alias("n")).collect()}  # one row for each word of the vocabulary
 
 
+def _blocks(words: Column, size: int) -> Column:
+    """Overlapping blocks of 2 * size words, one beginning at every size-th."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)), F.lit(size)) if size else F.array(F.lit(0))
+    return F.transform(starts, lambda i: F.slice(words, i + 1, 2 * size))
+
+
 def scan(documents: DataFrame, *, id_col="doc_id", text_col="text", templates=TEMPLATES, threshold=0.8) -> DataFrame:
     """One row for each row of documents: counts and places of the phrases, labels and the best containment."""
-    sets = [(label, template_words(text)) for label, text in templates]
+    sets = [(label, t) for label, text in templates if (t := template_words(text))]
     vocabulary = sorted({w for _, t in sets for w in t})
-    if len(vocabulary) > MAX_WORDS:
-        raise ValueError(f"templates have {len(vocabulary)} words; at most {MAX_WORDS} are inlined")
     spark = documents.sparkSession
-    counts = held_by(documents, vocabulary, text_col)
+    counts = held_by(documents, vocabulary, text_col) if sets else {}
     order = sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
     place = {w: k for k, w in enumerate(order)}
-    size = max(len(t) for _, t in sets)
+    size = max((len(t) for _, t in sets), default=0)
+    inlined = len(vocabulary) <= INLINE
     probes = []
     for label, t in sets:
-        ranked = sorted(t, key=place.__getitem__)
+        ranked = sorted(t, key=place.__getitem__) if inlined else sorted(place[w] for w in t)
         k = math.ceil(threshold * len(ranked) - 1e-9)
         probes += [(w, p, label, ranked, len(ranked), k) for p, w in enumerate(ranked[: len(ranked) - k + 1])]
-    prefix = _array(sorted({x[0] for x in probes}))
-    probe = F.broadcast(spark.createDataFrame(probes, "word string, p int, label string, t array<string>, n int, k int"))
-    least = min(x[5] for x in probes)
+    kind = "string" if inlined else "int"
+    probe = _table(spark, probes, f"word {kind}, p int, label string, t array<{kind}>, n int, k int")
+    least = min((x[5] for x in probes), default=1)
 
     # One row for each document, with what the base asks for. The row number is made in the scan's own stage and used in this one plan only.
     rows = picked(documents, doc_id=id_col, text=text_col).select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.inline(F.array(F.struct(spaced(F.col("text")).alias("padded")))))
@@ -98,22 +116,29 @@ def scan(documents: DataFrame, *, id_col="doc_id", text_col="text", templates=TE
     named = F.col("padded").contains(" license ")
     parts = F.when(named, F.split("padded", phrase))
     spaces = lambda c: (F.char_length(c) - F.char_length(F.translate(c, " ", ""))).cast("long")
-    starts = F.array(*[F.lit(0)]) if size == 0 else F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(size))
-    blocks = F.transform(starts, lambda i: F.array_intersect(_array(order), F.slice(F.col("words"), i + 1, 2 * size)))
-    met = F.filter(blocks, lambda b: (F.size(b) >= least) & F.arrays_overlap(b, prefix))
+    if inlined:
+        prefix = _array(sorted({x[0] for x in probes}))
+        met = F.transform(_blocks(F.col("words"), size), lambda b: F.array_intersect(_array(order), b))
+        blocks = F.when(F.arrays_overlap("words", prefix), F.filter(met, lambda b: (F.size(b) >= least) & F.arrays_overlap(b, prefix)))
+    else:
+        blocks = _blocks(F.col("words"), size)
     rows = rows.select(
         "row", "doc_id", count_words(F.col("padded")).alias("n_words"),
         F.inline(F.array(F.struct(parts.alias("parts")))),
         F.concat_ws(",", *[F.when(F.col("padded").contains(f" {p} "), F.lit(label)) for p, label in sorted(PHRASES.items(), key=lambda x: x[1])]).alias("base_labels"),
-        F.when(F.arrays_overlap("words", prefix), met).alias("blocks"),
+        blocks.alias("blocks"),
     )
     has = F.size("parts") > 1
+    base = ["row", "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"]
     rows = rows.select(
         "row", "doc_id", "n_words", F.when(has, F.size("parts") - 1).otherwise(0).cast("long").alias("n_base"),
         F.when(has, spaces(F.element_at("parts", 1))).alias("first_word"), F.when(has, F.col("n_words") - spaces(F.element_at("parts", -1))).alias("last_word"), "base_labels",
-        F.explode_outer("blocks").alias("block"),
+        F.posexplode_outer("blocks").alias("at", "block"),
     )
-    base = ["row", "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"]
+    if not inlined:
+        known = _table(spark, [(w, k) for k, w in enumerate(order)], "spelt string, word int")
+        each = rows.select(*base, "at", F.explode_outer(F.array_distinct("block")).alias("spelt")).join(known, "spelt", "left")
+        rows = each.groupBy(*base, "at").agg(F.array_sort(F.collect_list("word")).alias("block"))
     pairs = rows.select(*base, "block", F.posexplode_outer("block").alias("q", "word")).join(probe, "word", "left")
     possible = (F.size("block") >= F.col("k")) & (F.least(F.col("n") - F.col("p"), F.size("block") - F.col("q")) >= F.col("k"))
     common = F.when(possible, F.size(F.array_intersect("block", "t")))
@@ -127,10 +152,10 @@ def scan(documents: DataFrame, *, id_col="doc_id", text_col="text", templates=TE
     )
 
 
-def oracle(threshold=0.8) -> str:
+def oracle(threshold=0.8, templates=TEMPLATES) -> str:
     """The same rows by comparing every block with every template."""
     words = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
-    sets = [(label, template_words(text)) for label, text in TEMPLATES]
+    sets = [(label, template_words(text)) for label, text in templates]
     size = max(len(t) for _, t in sets)
     values = ", ".join(f"('{label}', [{', '.join(repr(w) for w in t)}], {math.ceil(threshold * len(t) - 1e-9)})" for label, t in sets)
     at = lambda *w: "list_filter(range(len(w)), lambda i: " + " AND ".join(f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(w)) + ")"

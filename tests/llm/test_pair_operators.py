@@ -5,6 +5,7 @@ import re
 from hashlib import sha256
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -260,6 +261,54 @@ def test_license_scan(spark):
     assert [r.labels for r in license_scan.scan(frame(spark, [(1, greek[0][1]), (2, greek[1][1]), (3, "Άδεια")]), templates=greek).orderBy("doc_id").collect()] == ["greek", "mit", ""]
 
 
+@pytest.mark.parametrize("limit", [16 << 20, 0])
+def test_license_scan_with_any_number_of_words(spark, monkeypatch, limit):
+    """Templates of 5,000 different words together, as a table of places, broadcast or shuffled."""
+    monkeypatch.setattr(license_scan, "MAX_BROADCAST", limit)
+    rng = random.Random(14)
+    vocabulary = [f"t{k}" for k in range(4900)] + ["license", "the", "software", *(f"é{k}" for k in range(100))]
+    templates = [(f"l{k}", " ".join(vocabulary[49 * k : 49 * k + rng.randrange(30, 49)] + rng.sample(vocabulary[-103:], 3))) for k in range(100)] + [("none", " .,; ")]
+    assert len({w for _, t in templates for w in license_scan.template_words(t)}) > license_scan.INLINE
+    docs = [(k, " ".join(rng.choice(WORDS) for _ in range(rng.randrange(90))) + " " + " ".join(w for w in templates[rng.randrange(100)][1].split() if rng.random() < 0.9) + " mit license") for k in range(60)]
+    docs += [(100, None), (101, ""), (102, " ".join(t for _, t in templates)), (102, "again"), (None, templates[5][1].upper())]
+    got = license_scan.scan(frame(spark, docs), templates=templates).collect()
+    plain = [t for t in templates if license_scan.template_words(t[1])]
+    tidy = lambda x: re.sub(r"0\.\d{10,}", lambda m: str(round(float(m[0]), 9)), x)
+    assert sorted(tidy(str(sorted(r.asDict().items()))) for r in got) == sorted(map(tidy, oracle(license_scan.oracle(templates=plain), documents=(docs, DOCS))))
+    assert sum(r.labels not in ("", "mit") for r in got) > 30
+
+
+def test_giant_texts_share_no_band():
+    """Unrelated sets, larger than the circle's table, are no candidates of one another; near ones are."""
+    rng = np.random.default_rng(15)
+    sets = [np.unique(rng.integers(0, 1 << 63, size=3_000_000, dtype=np.uint64)) for _ in range(2)]
+    near = np.unique(np.concatenate([sets[0][:2_850_000], sets[1][:150_000]]))
+    keys = [near_dedup.band_keys(near_dedup.signature(s, 120, 1), 24, 5) for s in (*sets, near)]
+    assert not set(keys[0]) & set(keys[1]) and set(keys[0]) & set(keys[2])
+
+
+def test_signatures_are_those_of_a_plain_permutation():
+    """Each coordinate is the first of the set in the order of the shifted second permutation."""
+    rng = np.random.default_rng(16)
+    table = near_dedup.circulant(12, 1)[0][:, 0]
+    for size in (1, 5, 700):
+        shingles = np.unique(rng.integers(0, 1 << 63, size=size, dtype=np.uint64))
+        places = [int(x) * 0xBF58476D1CE4E5B9 % (1 << 64) for x in shingles]
+        order = lambda y, k: (table[((y >> 44) + k) % (1 << 20)], y % (1 << 44))
+        assert near_dedup.signature(shingles, 12, 1).tolist() == [min(places, key=lambda y: order(y, k)) for k in range(12)]
+
+
+@pytest.mark.parametrize(("percent", "common", "size"), [(85, 185, 200), (80, 179, 200)])
+def test_bands_find_pairs_at_the_threshold(percent, common, size):
+    """Pairs of similarity 0.86 and 0.81: none of 3,000 is missed."""
+    rng = np.random.default_rng(17)
+    bands = near_dedup.bands_for(percent, 5)
+    keys = lambda s: near_dedup.band_keys(near_dedup.signature(np.unique(s), 5 * bands, 1), bands, 5)
+    for _ in range(3000):
+        x = rng.integers(0, 1 << 63, size=2 * size - common, dtype=np.uint64)
+        assert set(keys(x[:size])) & set(keys(np.concatenate([x[:common], x[size:]])))
+
+
 def test_pipeline_stages_chain(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     rng = random.Random(8)

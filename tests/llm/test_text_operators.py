@@ -122,6 +122,16 @@ def test_a_forest_over_a_table_equals_a_plain_one(spark):
     assert again[1] == threshold and (again[0].split == forest.split).all() and (again[0].path == forest.path).all()
 
 
+def test_no_more_good_rows_are_rejected_than_stated(spark):
+    """Of what assess() returns for labelled rows: what is calibrated is what decides."""
+    docs, labels = labelled(spark)
+    known = [i for i in range(100, 130) if zlib.crc32(str(i).encode()) % 3 != 1]
+    for share in (0.0, 0.1, 0.3):
+        got = {r.doc_id: r for r in quality_rules.assess(docs, labels, min_words=0, max_repeat_percent=100, trees=10, depth=4, false_rejects=share).collect()}
+        rejected = sum(got[i].anomaly > got[i].threshold for i in known)
+        assert rejected <= share * len(known)
+
+
 def test_few_labelled_rows(spark):
     """One good row: one of the folds has none, so all rows grow and calibrate all trees; bad rows alone: no forest."""
     docs, labels = labelled(spark)
@@ -162,6 +172,25 @@ def test_quality_knn(spark):
     assert quality_knn.score(docs.where("false"), labels).collect() == []
 
 
+def test_long_texts_count_in_full():
+    """No count is cut: a text of 10 MB of one letter, and one of 200,000."""
+    for n in (200_000, 10_000_000):
+        counts = quality_knn.term_counts("a" * n, 2048)
+        assert counts[: -quality_knn.PATTERNS].max() == counts[: -quality_knn.PATTERNS].sum() == n - 2
+
+
+def test_repeated_ids_are_learned_from_once(spark):
+    """A labelled id that stands 10,000 times: one row of it reaches the driver, whatever the order, and scores stay as they were."""
+    docs, labels = labelled(spark)
+    options = {"max_fit": 50, "rank": 8, "neighbours": 3}
+    known = next(i for i in range(100, 130) if zlib.crc32(str(i).encode()) % 3 != 1)
+    copies = docs.where(f"doc_id = {known}").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(9_999)))).drop("n")
+    many = docs.unionAll(copies)
+    one, two = quality_knn.fit(docs, labels, max_fit=50, rank=8), quality_knn.fit(many.repartition(7), labels, max_fit=50, rank=8)
+    assert one.bank.shape == two.bank.shape and (one.labels == two.labels).all() and np.allclose(one.idf, two.idf)
+    assert {r.score for r in quality_knn.score(many, labels, **options).where(f"doc_id = {known}").collect()} == {quality_knn.score(docs, labels, **options).where(f"doc_id = {known}").first().score}
+
+
 def test_votes_equal_a_plain_cosine_loop():
     """Every document against every row of the bank, one cosine at a time."""
     texts, labels = GOOD + BAD, [1] * len(GOOD) + [0] * len(BAD)

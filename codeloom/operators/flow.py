@@ -1,4 +1,4 @@
-"""Graph analytics of the client side: coverage, statistics, languages, clusters, containment."""
+"""Graph analytics of the client side: coverage, statistics, languages, clusters, containment."""
 
 from __future__ import annotations
 
@@ -53,12 +53,6 @@ def d15_optimisations(d: Dialect) -> str:
     return "SELECT id, CASE WHEN block_type = 'loop' AND complexity >= 5 THEN 'unroll or hoist' WHEN block_type = 'catch' AND cost > 50 THEN 'avoid exceptions' WHEN block_type IN ('condition', 'conditional') AND complexity >= 5 THEN 'simplify condition' END AS advice FROM blocks WHERE block_type = 'loop' AND complexity >= 5 OR block_type = 'catch' AND cost > 50 OR block_type IN ('condition', 'conditional') AND complexity >= 5"
 
 
-@sql_operator
-def d18_dependencies(d: Dialect) -> str:
-    """Data dependencies (unconditional sites) and control dependencies (conditional ones) of each pair."""
-    return "SELECT caller_id, callee_id, count(*) FILTER (WHERE NOT is_conditional) AS data, count(*) FILTER (WHERE is_conditional) AS control FROM calls GROUP BY caller_id, callee_id"
-
-
 @sql_operator
 def d20_graph_filter(d: Dialect, max_degree: int = 30) -> str:
     return f"SELECT r.id, r.from_id, r.to_id, r.type FROM relationships r JOIN ({_DEGREES}) f ON f.id = r.from_id JOIN ({_DEGREES}) t ON t.id = r.to_id WHERE r.type = 'calls' AND f.complexity BETWEEN 5 AND 40 AND f.fan_in + f.fan_out <= {max_degree} AND t.fan_in + t.fan_out <= {max_degree}"

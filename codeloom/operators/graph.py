@@ -1,4 +1,4 @@
-"""Reachability, paths, components and cycles.
+"""Reachability, paths, components and cycles.
 
 Reachability is an iterative frontier: one join with the edges, a distinct and an
 anti-join with what is visited in each round, so what is carried is vertices and
@@ -308,14 +308,6 @@ def d32_navigation(t: dict[str, DataFrame], depth: int = 10) -> DataFrame:
     return _union(found).groupBy("a", "b").agg(F.sum("ways").alias("ways"), F.min("depth").alias("shortest"), F.max("depth").alias("longest"))
 
 
-@sql_operator(calls="calls_dag")
-def d13_hot_paths(d: Dialect, calls: str = "calls") -> str:
-    """Paths by the product of edge probabilities: 0.7 for the smaller target of a fork, else 0.3; 1 where there is no fork."""
-    return f"""WITH RECURSIVE e AS (SELECT caller_id, callee_id, CASE WHEN count(*) OVER (PARTITION BY caller_id) = 1 THEN 1e0 WHEN row_number() OVER (PARTITION BY caller_id ORDER BY callee_id) = 1 THEN 0.7e0 ELSE 0.3e0 END AS probability FROM {_pairs(calls)} c),
-        p AS (SELECT caller_id AS a, callee_id AS b, {d.array('caller_id', 'callee_id')} AS nodes, CAST(1 AS BIGINT) AS depth, CAST(probability AS DOUBLE) AS probability FROM e UNION ALL SELECT p.a, e.callee_id, {d.append('p.nodes', 'e.callee_id')}, p.depth + 1, CAST(p.probability * e.probability AS DOUBLE) FROM p JOIN e ON e.caller_id = p.b WHERE p.depth < 10)
-        SELECT {d.join_ints('nodes')} AS path, depth, round(probability, 6) AS probability FROM p"""
-
-
 # Control flow: the graph of one function is bounded by its source, so each is walked whole in one task; functions are dealt by one shuffle.
 EXITS = ("exit", "return", "throw", "catch")  # blocks at which a function ends
 

@@ -1,7 +1,7 @@
 """The model's tables, and their projection from the test tables.
 
 symbols, relationships, calls (one row for each call site), languages, projects,
-blocks and block_edges (control flow), syntax_nodes, flow_paths, insights, files and sources are
+arguments (of call sites), blocks and block_edges (control flow), syntax_nodes, flow_paths, insights, files and sources are
 what operators read. A user passes frames of these shapes; the driver's queries use
 the projection below, which is plain SQL for both dialects. calls_dag is a slice
 without cycles, for the enumeration of paths alone.
@@ -59,11 +59,12 @@ def definitions(d: Dialect) -> dict[str, str]:
             FROM events""",
         # A block goes on to the next one, unless it ends the function (catch); a loop also goes back, and a condition may skip a block.
         "block_edges": """
-            SELECT symbol_id, from_id, to_id, kind FROM (
-              SELECT symbol_id, id AS from_id, lead(id) OVER w AS to_id, 'next' AS kind FROM blocks WINDOW w AS (PARTITION BY symbol_id ORDER BY start_line)
-              UNION ALL SELECT symbol_id, id AS from_id, lead(id, 2) OVER w AS to_id, 'skip' AS kind FROM (SELECT * FROM blocks) s WINDOW w AS (PARTITION BY symbol_id ORDER BY start_line)) e
-            JOIN (SELECT id, block_type FROM blocks) b ON b.id = e.from_id WHERE to_id IS NOT NULL AND (kind = 'next' AND block_type <> 'catch' OR kind = 'skip' AND block_type = 'conditional')
-            UNION ALL SELECT symbol_id, id AS from_id, parent_id AS to_id, 'back' AS kind FROM blocks WHERE block_type = 'loop' AND parent_id IS NOT NULL""",
+            SELECT e.symbol_id, from_id, to_id, CASE WHEN step = 'skip' THEN 'false' WHEN t.block_type = 'catch' THEN 'exception' WHEN b.block_type = 'conditional' THEN 'true' ELSE 'next' END AS kind FROM (
+              SELECT symbol_id, id AS from_id, lead(id) OVER w AS to_id, 'next' AS step FROM blocks WINDOW w AS (PARTITION BY symbol_id ORDER BY start_line)
+              UNION ALL SELECT symbol_id, id AS from_id, lead(id, 2) OVER w AS to_id, 'skip' AS step FROM (SELECT * FROM blocks) s WINDOW w AS (PARTITION BY symbol_id ORDER BY start_line)) e
+            JOIN (SELECT id, block_type FROM blocks) b ON b.id = e.from_id JOIN (SELECT id, block_type FROM blocks) t ON t.id = e.to_id WHERE step = 'next' AND b.block_type <> 'catch' OR step = 'skip' AND b.block_type = 'conditional'
+            UNION ALL SELECT symbol_id, id AS from_id, parent_id AS to_id, 'loop-back' AS kind FROM blocks WHERE block_type = 'loop' AND parent_id IS NOT NULL""",
+        "arguments": f"SELECT a.l_partkey AS caller_id, b.l_partkey AS callee_id, CAST(a.l_linenumber AS BIGINT) AS line_number, CAST(n.position AS BIGINT) AS position, 'v' || {s('CAST(a.l_quantity AS BIGINT) % 7 + n.position')} AS argument FROM {_SITES} JOIN (SELECT * FROM (VALUES (0), (1)) AS v(position)) n ON n.position <= a.l_linenumber % 2",
         "syntax_nodes": "SELECT symbol_id, CASE block_type WHEN 'basic' THEN 'expression_statement' WHEN 'conditional' THEN 'if_statement' WHEN 'loop' THEN 'for_statement' WHEN 'entry' THEN 'function_definition' ELSE 'catch_clause' END AS type, complexity AS depth FROM blocks",
         "flow_paths": f"SELECT caller_id * 1000003 + callee_id AS id, caller_id AS start_id, callee_id AS end_id, {d.array('caller_id', 'callee_id')} AS nodes, CAST(callee_id % 9 AS BIGINT) AS frequency, (caller_id % 5) / 4e0 AS coverage, caller_id = callee_id AS is_cyclic FROM (SELECT DISTINCT caller_id, callee_id FROM calls) c",
         "insights": """

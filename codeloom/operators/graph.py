@@ -1,4 +1,4 @@
-"""Reachability, paths, components and cycles.
+"""Reachability, paths, components and cycles.
 
 Reachability is an iterative frontier: one join with the edges, a distinct and an
 anti-join with what is visited in each round, so what is carried is vertices and
@@ -22,15 +22,16 @@ from .components import connected_components
 
 
 def reach(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
-    """seed, id and least depth for every vertex that edges (a, b) lead to from seeds (seed) in at most depth steps (any number, if that is None); a seed reaches itself at 0."""
+    """seed, id, least depth and via (the smallest vertex one step before it; null at the seed) for every vertex that edges (a, b) lead to from seeds (seed) in at most depth steps (any number, if that is None); a seed reaches itself at 0."""
     edges = written(edges.select(F.col("a").alias("_a"), F.col("b").alias("_b")).where("_a IS NOT NULL AND _b IS NOT NULL").distinct(), "edges")
-    frontier = written(seeds.select("seed", F.col("seed").alias("id"), F.lit(0).cast("long").alias("depth")).distinct(), "visited")
+    frontier = written(seeds.select("seed", F.col("seed").alias("id"), F.lit(0).cast("long").alias("depth"), F.lit(None).cast("long").alias("via")).distinct(), "visited")
     parts, k = [frontier], 0
     while depth is None or k < depth:
         k += 1
         visited = _union(parts)
-        step = frontier.join(edges, F.col("id") == F.col("_a")).select("seed", F.col("_b").alias("id")).distinct()
-        fresh = written(step.join(visited.select("seed", "id"), ["seed", "id"], "left_anti").withColumn("depth", F.lit(k).cast("long")), "frontier")
+        step = frontier.join(edges, F.col("id") == F.col("_a")).groupBy("seed", F.col("_b").alias("id")).agg(F.min("_a").alias("via"))
+        fresh = step.join(visited.select("seed", "id"), ["seed", "id"], "left_anti")
+        fresh = written(fresh.select("seed", "id", F.lit(k).cast("long").alias("depth"), "via"), "frontier")
         if fresh.isEmpty():
             dropped(fresh)
             break
@@ -44,6 +45,23 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataF
     return _union(parts)
 
 
+def with_paths(forest: DataFrame) -> DataFrame:
+    """forest (seed, id, depth, via) with path, the vertices from the seed on.
+
+    Each round joins a vertex with the one its path so far begins after, whose own path is as long: so a path of n
+    steps takes about log2(n) rounds, and the rounds of the search carry none.
+    """
+    parts = written(forest.select("seed", "id", "depth", F.col("via").alias("up"), F.array("id").alias("path")), "forest")
+    longest = parts.agg(F.max("depth")).first()[0] or 0
+    for _ in range(longest.bit_length()):
+        above = parts.select("seed", F.col("id").alias("up"), F.col("up").alias("higher"), F.col("path").alias("before"))
+        joined = parts.join(above, ["seed", "up"], "left")
+        new = written(joined.select("seed", "id", "depth", F.col("higher").alias("up"), F.when(F.col("before").isNull(), F.col("path")).otherwise(F.concat("before", "path")).alias("path")), "forest")
+        dropped(parts)
+        parts = new
+    return forest.select("seed", "id", "depth", "via").join(parts.select("seed", "id", "path"), ["seed", "id"])
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
@@ -126,63 +144,109 @@ def i01_ripple_edges(d: Dialect) -> str:
     return "SELECT DISTINCT f.qualified_name AS from_name, t.qualified_name AS to_name FROM relationships r JOIN symbols f ON f.id = r.from_id JOIN symbols t ON t.id = r.to_id WHERE r.confidence > 0.7e0"
 
 
-RIPPLE_SEEDS = "1, 7, 42, 99"
-_RIPPLES = f"SELECT id AS seed FROM symbols WHERE id IN ({RIPPLE_SEEDS})"
+SEEDS = "id % 100 = 0"  # of the driver's queries: the symbols whose ids are divisible by 100
+_RIPPLES = f"SELECT id AS seed FROM symbols WHERE {SEEDS}"
+
+
+def _forest_sql(edges: str, seeds: str, depth: int, result: str) -> str:
+    """An oracle's table p(seed, id, depth, via, path): of each vertex reached the smallest one before it, and the path over these."""
+    return _reach_sql(edges, seeds, depth, f""", forest AS (SELECT r.seed, r.id, r.depth, min(e.a) AS via FROM reached r JOIN e ON e.b = r.id JOIN reached q ON q.seed = r.seed AND q.id = e.a AND q.depth = r.depth - 1 GROUP BY r.seed, r.id, r.depth),
+        p(seed, id, depth, via, path) AS (SELECT seed, seed, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(seed AS VARCHAR) FROM seeds UNION ALL SELECT f.seed, f.id, f.depth, f.via, p.path || '>' || CAST(f.id AS VARCHAR) FROM p JOIN forest f ON f.seed = p.seed AND f.via = p.id) {result}""")
 
 
-@frame_operator("calls symbols", lambda d: _reach_sql(_BACK, _RIPPLES, 6, "SELECT seed, id, depth FROM reached WHERE depth > 0"), seeds=RIPPLE_SEEDS)
+def _joined(path: str) -> F.Column:
+    return F.array_join(F.col(path).cast("array<string>"), ">")
+
+
+@frame_operator("calls symbols", lambda d: _forest_sql(_BACK, _RIPPLES, 6, "SELECT seed, id, depth, path FROM p WHERE depth > 0"), seeds=SEEDS)
 def i02_ripple(t: dict[str, DataFrame], seeds: str, depth: int = 6) -> DataFrame:
-    """Who depends on the seeds (ids, comma-joined), directly or through others, and at what distance."""
-    start = t["symbols"].where(f"id IN ({seeds})").select(F.col("id").alias("seed"))
-    return reach(_edges(t["calls"], "callee_id", "caller_id"), start, depth).where("depth > 0").select("seed", "id", "depth")
+    """Who depends on the seeds (symbols of a condition), directly or through others: at what distance, and by which path from the seed (of equally short ones that over the smallest ids, from the end on)."""
+    met = written(_ripple(t, seeds, depth), "ripple")
+    return with_paths(met).where("depth > 0").select("seed", "id", "depth", _joined("path").alias("path"))
+
 
+def _ripple(t: dict[str, DataFrame], seeds: str, depth: int) -> DataFrame:
+    return reach(_edges(t["calls"], "callee_id", "caller_id"), t["symbols"].where(seeds).select(F.col("id").alias("seed")), depth)
 
-@frame_operator("calls symbols", lambda d: _reach_sql(_BACK, _RIPPLES, 6, "SELECT seed, depth AS distance, count(*) AS symbols, CASE WHEN depth = 1 THEN 'direct' ELSE 'indirect' END AS impact FROM reached WHERE depth > 0 GROUP BY seed, depth"), seeds=RIPPLE_SEEDS)
+
+@frame_operator("calls symbols", lambda d: _reach_sql(_BACK, _RIPPLES, 6, "SELECT seed, depth AS distance, count(*) AS symbols, CASE WHEN depth = 1 THEN 'direct' ELSE 'indirect' END AS impact FROM reached WHERE depth > 0 GROUP BY seed, depth"), seeds=SEEDS)
 def i13_ripple_waves(t: dict[str, DataFrame], seeds: str, depth: int = 6) -> DataFrame:
     """The ripple by distance."""
-    waves = i02_ripple(t, seeds, depth).groupBy("seed", F.col("depth").alias("distance")).agg(F.count("*").alias("symbols"))
+    waves = _ripple(t, seeds, depth).where("depth > 0").groupBy("seed", F.col("depth").alias("distance")).agg(F.count("*").alias("symbols"))
     return waves.withColumn("impact", F.when(F.col("distance") == 1, "direct").otherwise("indirect"))
 
 
-@frame_operator("calls symbols", lambda d: _reach_sql(_BACK, _RIPPLES, 3, "SELECT seed, least(100, sum(CASE depth WHEN 1 THEN 10 WHEN 2 THEN 5 WHEN 3 THEN 3 ELSE 1 END))::BIGINT AS severity, round(min(greatest(0.3e0, 1e0 - 0.1e0 * depth)), 6) AS confidence FROM reached WHERE depth > 0 GROUP BY seed"), seeds=RIPPLE_SEEDS)
+@frame_operator("calls symbols", lambda d: _reach_sql(_BACK, _RIPPLES, 3, "SELECT seed, least(100, sum(CASE depth WHEN 1 THEN 10 WHEN 2 THEN 5 WHEN 3 THEN 3 ELSE 1 END))::BIGINT AS severity, round(min(greatest(0.3e0, 1e0 - 0.1e0 * depth)), 6) AS confidence FROM reached WHERE depth > 0 GROUP BY seed"), seeds=SEEDS)
 def i14_fallback_impact(t: dict[str, DataFrame], seeds: str) -> DataFrame:
     """A plain estimate to distance 3: severity 10, 5, 3 by distance up to 100, confidence falling by a tenth a step."""
     points = F.when(F.col("depth") == 1, 10).when(F.col("depth") == 2, 5).when(F.col("depth") == 3, 3).otherwise(1)
-    return i02_ripple(t, seeds, depth=3).groupBy("seed").agg(F.least(F.lit(100), F.sum(points)).cast("long").alias("severity"), F.round(F.min(F.greatest(F.lit(0.3), 1 - 0.1 * F.col("depth"))), 6).alias("confidence"))
+    return _ripple(t, seeds, 3).where("depth > 0").groupBy("seed").agg(F.least(F.lit(100), F.sum(points)).cast("long").alias("severity"), F.round(F.min(F.greatest(F.lit(0.3), 1 - 0.1 * F.col("depth"))), 6).alias("confidence"))
 
 
-ENTRIES = "5, 10"
-_FROM_ENTRIES = f"SELECT id AS seed FROM symbols WHERE id IN ({ENTRIES})"
+_FROM_ENTRIES = _RIPPLES
 
 
 def _start(t: dict[str, DataFrame], entries: str | None) -> DataFrame:
-    """The symbols of those ids, or else the functions that nothing calls."""
+    """The symbols of that condition, or else the functions that nothing calls."""
     if entries:
-        return t["symbols"].where(f"id IN ({entries})").select("id")
+        return t["symbols"].where(entries).select("id")
     called = t["calls"].select(F.col("callee_id").alias("id")).where("id IS NOT NULL").distinct()
     return t["symbols"].where("kind IN ('function', 'method')").join(called, "id", "left_anti").select("id")
 
 
-@frame_operator("calls symbols", lambda d: _reach_sql(_FORTH, _FROM_ENTRIES, 20, "SELECT id, count(*) AS visits, min(depth) AS depth FROM reached WHERE depth > 0 GROUP BY id"), entries=ENTRIES)
+@frame_operator("calls symbols", lambda d: _reach_sql(_FORTH, _FROM_ENTRIES, 20, "SELECT id, count(*) AS visits, min(depth) AS depth FROM reached WHERE depth > 0 GROUP BY id"), entries=SEEDS)
 def i18_execution_counts(t: dict[str, DataFrame], entries: str | None = None, hops: int = 20) -> DataFrame:
     """Which functions runs from the entries pass: reachability counts in place of random walks."""
     seeds = _start(t, entries).select(F.col("id").alias("seed"))
     return reach(_edges(t["calls"]), seeds, hops).where("depth > 0").groupBy("id").agg(F.count("*").alias("visits"), F.min("depth").alias("depth"))
 
 
-@frame_operator("calls symbols", lambda d: _reach_sql(_FORTH, _FROM_ENTRIES, 10, "SELECT seed AS entry, id, depth FROM reached"), entries=ENTRIES)
+@frame_operator("calls symbols", lambda d: _forest_sql(_FORTH, _FROM_ENTRIES, 10, "SELECT seed AS entry, id, via AS caller, depth, path FROM p"), entries=SEEDS)
 def g18_call_chains(t: dict[str, DataFrame], entries: str | None = None, depth: int = 10) -> DataFrame:
-    """From each entry point: functions reached and the least depth; as many rows as entries reach functions."""
-    return reach(_edges(t["calls"]), _start(t, entries).select(F.col("id").alias("seed")), depth).select(F.col("seed").alias("entry"), "id", "depth")
+    """From each entry point: functions reached, the least depth, the caller each was first met from (the smallest) and the chain of calls; as many rows as entries reach functions."""
+    met = written(reach(_edges(t["calls"]), _start(t, entries).select(F.col("id").alias("seed")), depth), "chains")
+    return with_paths(met).select(F.col("seed").alias("entry"), "id", F.col("via").alias("caller"), "depth", _joined("path").alias("path"))
+
 
+def _dead_sql(result: str) -> str:
+    """An oracle's table alive(id) over the calls of calls_returned."""
+    return f"""WITH RECURSIVE e AS (SELECT DISTINCT caller_id AS a, callee_id AS b FROM calls_returned), entries AS (SELECT id FROM symbols WHERE {SEEDS}),
+        alive(id) AS (SELECT id FROM entries UNION SELECT e.b FROM alive JOIN e ON e.a = alive.id) {result}"""
 
-@frame_operator("calls symbols", lambda d: _reach_sql(_FORTH, _FROM_ENTRIES, 10**6, "SELECT s.id, s.kind, s.end_line - s.line AS lines FROM symbols s WHERE s.id NOT IN (SELECT id FROM reached)"), entries=ENTRIES)
-def d04_dead_code(t: dict[str, DataFrame], entries: str | None = None) -> DataFrame:
-    """Symbols that no entry reaches, with their lines."""
-    seeds = _start(t, entries)
-    edges = _edges(t["calls"])
-    alive = reach(edges.unionAll(seeds.select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))), seeds.limit(1).select(F.lit(0).cast("long").alias("seed")))  # one walk from all entries at once
-    return t["symbols"].join(alive.select("id"), "id", "left_anti").select("id", "kind", (F.col("end_line") - F.col("line")).alias("lines"))
+
+def _alive(t: dict[str, DataFrame], calls: str, entries: str | None) -> DataFrame:
+    """id of all that some entry reaches: one walk from all entries at once."""
+    seeds = _start({"symbols": t["symbols"], "calls": t[calls]}, entries)
+    edges = _edges(t[calls]).unionAll(seeds.select(F.lit(ROOT).cast("long").alias("a"), F.col("id").alias("b")))
+    return reach(edges, seeds.limit(1).select(F.lit(ROOT).cast("long").alias("seed"))).select("id")
+
+
+ROOT = -(1 << 62)  # stands before all entries
+
+
+@frame_operator("calls_returned symbols", lambda d: _dead_sql("SELECT s.id, s.kind, s.end_line - s.line AS lines, EXISTS (SELECT 1 FROM e WHERE e.b = s.id) AS is_called FROM symbols s WHERE s.id NOT IN (SELECT id FROM alive)"), entries=SEEDS, calls="calls_returned")
+def d04_dead_code(t: dict[str, DataFrame], entries: str | None = None, calls: str = "calls") -> DataFrame:
+    """Symbols that no entry reaches, with their lines, and whether anything (dead as well) calls them."""
+    called = t[calls].select(F.col("callee_id").alias("id")).distinct().withColumn("is_called", F.lit(True))
+    dead = t["symbols"].join(_alive(t, calls, entries), "id", "left_anti").join(called, "id", "left")
+    return dead.select("id", "kind", (F.col("end_line") - F.col("line")).alias("lines"), F.coalesce("is_called", F.lit(False)).alias("is_called"))
+
+
+@frame_operator("calls_returned symbols", lambda d: _dead_sql("SELECT e.a AS caller_id, e.b AS callee_id, CASE WHEN e.b IN (SELECT id FROM alive) THEN 'caller unreachable' ELSE 'both ends unreachable' END AS reason FROM e WHERE e.a NOT IN (SELECT id FROM alive)"), entries=SEEDS, calls="calls_returned")
+def d04_dead_edges(t: dict[str, DataFrame], entries: str | None = None, calls: str = "calls") -> DataFrame:
+    """Calls that are never made because no entry reaches the caller, and whether the callee lives by others."""
+    alive = written(_alive(t, calls, entries), "alive")
+    edges = t[calls].select("caller_id", "callee_id").distinct().join(alive.withColumnRenamed("id", "caller_id"), "caller_id", "left_anti")
+    ends = edges.join(alive.select(F.col("id").alias("callee_id"), F.lit(True).alias("lives")), "callee_id", "left")
+    return ends.select("caller_id", "callee_id", F.when(F.col("lives"), "caller unreachable").otherwise("both ends unreachable").alias("reason"))
+
+
+@frame_operator("calls_returned symbols", lambda d: _dead_sql("SELECT s.file_path, count(*) AS symbols, count(*) FILTER (WHERE a.id IS NULL) AS dead, CAST(sum(s.end_line - s.line) AS BIGINT) AS lines, round(100e0 * coalesce(sum(s.end_line - s.line) FILTER (WHERE a.id IS NULL), 0) / sum(s.end_line - s.line), 6) AS dead_percent FROM symbols s LEFT JOIN alive a ON a.id = s.id GROUP BY s.file_path HAVING sum(s.end_line - s.line) > 0"), entries=SEEDS, calls="calls_returned")
+def d04_dead_lines(t: dict[str, DataFrame], entries: str | None = None, calls: str = "calls") -> DataFrame:
+    """Of each file with lines: symbols, those that no entry reaches, lines, and the share of dead ones in percent."""
+    rows = t["symbols"].join(_alive(t, calls, entries).withColumn("lives", F.lit(True)), "id", "left").select("file_path", (F.col("end_line") - F.col("line")).alias("lines"), F.col("lives").isNull().alias("dead"))
+    out = rows.groupBy("file_path").agg(F.count("*").alias("symbols"), F.count_if("dead").alias("dead"), F.sum("lines").alias("lines"), F.sum(F.when(F.col("dead"), F.col("lines")).otherwise(0)).alias("gone"))
+    return out.where("lines > 0").select("file_path", "symbols", "dead", "lines", F.round(F.lit(100.0) * F.col("gone") / F.col("lines"), 6).alias("dead_percent"))
 
 
 @frame_operator("calls", lambda d: """WITH RECURSIVE e AS (SELECT DISTINCT caller_id AS a, callee_id AS b FROM calls UNION SELECT callee_id, caller_id FROM calls), c(id, component) USING KEY (id) AS (SELECT a, a FROM (SELECT DISTINCT a FROM e) v
@@ -192,6 +256,17 @@ def d21_components(t: dict[str, DataFrame]) -> DataFrame:
     return connected_components(t["calls"], "caller_id", "callee_id").select("id", "component")
 
 
+@frame_operator("calls", lambda d: """WITH RECURSIVE e AS (SELECT DISTINCT caller_id AS a, callee_id AS b FROM calls), ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e), c(id, component) USING KEY (id) AS (SELECT a, a FROM (SELECT DISTINCT a FROM ways) v
+        UNION SELECT ways.b, min(c.component) FROM c JOIN ways ON ways.a = c.id JOIN recurring.c o ON o.id = ways.b WHERE c.component < o.component GROUP BY ways.b),
+    n AS (SELECT component, count(*) AS nodes FROM c GROUP BY component), m AS (SELECT c.component, count(*) AS edges FROM e JOIN c ON c.id = e.a GROUP BY c.component)
+    SELECT n.component, nodes, edges, round(2e0 * edges / nodes, 6) AS mean_degree FROM n JOIN m USING (component)""")
+def d21_component_sizes(t: dict[str, DataFrame]) -> DataFrame:
+    """Of each connected component: nodes, distinct edges and their mean number of ends a node."""
+    parts = written(connected_components(t["calls"], "caller_id", "callee_id"), "components")
+    edges = t["calls"].where("caller_id IS NOT NULL AND callee_id IS NOT NULL").select(F.col("caller_id").alias("id"), "callee_id").distinct().join(parts.select("id", "component"), "id").groupBy("component").agg(F.count("*").alias("edges"))
+    return parts.groupBy("component").agg(F.count("*").alias("nodes")).join(edges, "component").select("component", "nodes", "edges", F.round(F.lit(2.0) * F.col("edges") / F.col("nodes"), 6).alias("mean_degree"))
+
+
 @frame_operator("calls")
 def m21_circular_dependencies(t: dict[str, DataFrame]) -> DataFrame:
     """Symbols on a cycle: strongly connected components of two or more, and self-loops. Independent of visit order."""
@@ -199,29 +274,12 @@ def m21_circular_dependencies(t: dict[str, DataFrame]) -> DataFrame:
     return found.join(found.groupBy("component").agg(F.count("*").alias("cycle_length")), "component").select("id", "component", "cycle_length")
 
 
-def _pairs(calls: str) -> str:
-    """The distinct edges of a table of calls."""
-    return f"(SELECT DISTINCT caller_id, callee_id FROM {calls})"
-
-
-def _paths(d: Dialect, edges: str, depth: int = 10, start: str = "") -> str:
-    """Recursive table p(a, b, nodes, depth) of simple paths along an edge table."""
-    grow = d.append("p.nodes", "e.callee_id")
-    return f"WITH RECURSIVE p AS (SELECT caller_id AS a, callee_id AS b, {d.array('caller_id', 'callee_id')} AS nodes, CAST(1 AS BIGINT) AS depth FROM {edges} e {start} UNION ALL SELECT p.a, e.callee_id, {grow}, p.depth + 1 FROM p JOIN {edges} e ON e.caller_id = p.b WHERE p.depth < {depth} AND NOT {d.has('p.nodes', 'e.callee_id')})"
-
-
-@sql_operator(calls="calls_dag")
-def g02_execution_paths(d: Dialect, depth: int = 10, calls: str = "calls") -> str:
-    """All simple paths of at most that many calls, and whether each ends where nothing is called."""
-    return f"{_paths(d, _pairs(calls), depth=depth)} SELECT p.a AS start_id, p.b AS end_id, {d.join_ints('p.nodes')} AS path, p.depth AS length, NOT EXISTS (SELECT 1 FROM {_pairs(calls)} c WHERE c.caller_id = p.b) AS is_complete FROM p"
-
-
 _SHORTEST = _reach_sql(_FORTH, _FROM_ENTRIES, 10, """, p(a, b, depth, path) AS (SELECT seed, seed, CAST(0 AS BIGINT), CAST(seed AS VARCHAR) FROM seeds
     UNION ALL SELECT p.a, r.id, r.depth, p.path || '>' || CAST(r.id AS VARCHAR) FROM p JOIN e ON e.a = p.b JOIN reached r ON r.seed = p.a AND r.id = e.b AND r.depth = p.depth + 1)
     SELECT a AS from_id, b AS to_id, depth, min(path) AS path FROM p WHERE depth > 0 GROUP BY a, b, depth""")
 
 
-@frame_operator("calls symbols", lambda d: _SHORTEST, entries=ENTRIES)
+@frame_operator("calls symbols", lambda d: _SHORTEST, entries=SEEDS)
 def g25_shortest_path(t: dict[str, DataFrame], entries: str | None = None, depth: int = 10) -> DataFrame:
     """The shortest path from each entry to all that it reaches; ties: the smallest path, as text. Breadth first: of each vertex one path is kept, so nothing is enumerated."""
     edges = written(_edges(t["calls"]).where("a IS NOT NULL AND b IS NOT NULL").distinct(), "edges")
@@ -238,76 +296,31 @@ def g25_shortest_path(t: dict[str, DataFrame], entries: str | None = None, depth
     return _union(found).where("depth > 0")
 
 
-@sql_operator(calls="calls_dag")
-def d01_trace_paths(d: Dialect, max_depth: int = 6, calls: str = "calls") -> str:
-    """Paths that cannot be continued, and the share of nodes that any of them passes."""
-    return f"{_paths(d, _pairs(calls), depth=max_depth)} SELECT p.a AS entry, count(*) AS paths, max(p.depth) AS longest, round(avg(p.depth), 9) AS mean_length FROM p WHERE NOT EXISTS (SELECT 1 FROM {_pairs(calls)} c WHERE c.caller_id = p.b) GROUP BY p.a"
-
-
-@sql_operator(calls="calls_dag")
-def d02_redundant_paths(d: Dialect, similarity: float = 0.5, calls: str = "calls") -> str:
-    """Pairs of paths from one entry that share most nodes."""
-    shared, all_ = d.size(d.common("x.nodes", "y.nodes")), d.size(d.union("x.nodes", "y.nodes"))
-    return f"{_paths(d, _pairs(calls))}, q AS (SELECT a, nodes, {d.join_ints('nodes')} AS path FROM p) SELECT x.path AS path_1, y.path AS path_2, round(CAST({shared} AS DOUBLE) / {all_}, 6) AS jaccard FROM q x JOIN q y ON y.a = x.a AND x.path < y.path WHERE CAST({shared} AS DOUBLE) / {all_} > {similarity}e0"
-
-
 @sql_operator
 def d03_path_statistics(d: Dialect) -> str:
     """Stored paths joined with the costs of their nodes."""
     return f"SELECT f.id, f.frequency, count(b.id) AS blocks, round(coalesce(avg(b.cost), 0e0), 6) AS mean_cost FROM (SELECT id, frequency, {d.explode('nodes')} AS node FROM flow_paths) f LEFT JOIN blocks b ON b.symbol_id = f.node GROUP BY f.id, f.frequency"
 
 
-@frame_operator("calls symbols", lambda d: _reach_sql(_FORTH, _FROM_ENTRIES, 6, "SELECT depth AS layer, count(*) AS nodes FROM (SELECT id, min(depth) AS depth FROM reached GROUP BY id) x GROUP BY depth"), entries=ENTRIES)
+@frame_operator("calls symbols", lambda d: _reach_sql(_FORTH, _FROM_ENTRIES, 6, "SELECT depth AS layer, count(*) AS nodes FROM (SELECT id, min(depth) AS depth FROM reached GROUP BY id) x GROUP BY depth"), entries=SEEDS)
 def d08_call_layers(t: dict[str, DataFrame], entries: str | None = None, depth: int = 6) -> DataFrame:
     """Layers of the call graph from its roots: nodes first met at each depth, breadth first."""
     met = reach(_edges(t["calls"]), _start(t, entries).select(F.col("id").alias("seed")), depth)
     return met.groupBy("id").agg(F.min("depth").alias("layer")).groupBy("layer").agg(F.count("*").alias("nodes"))
 
 
-@sql_operator(calls="calls_dag")
-def d09_call_chains_between(d: Dialect, limit: int = 10, calls: str = "calls") -> str:
-    """Up to ten chains for each pair that has more than one."""
-    return f"{_paths(d, _pairs(calls))} SELECT a, b, path FROM (SELECT a, b, {d.join_ints('nodes')} AS path, count(*) OVER (PARTITION BY a, b) AS n, row_number() OVER (PARTITION BY a, b ORDER BY depth, {d.join_ints('nodes')}) AS k FROM p) r WHERE n > 1 AND k <= {limit}"
-
-
 @sql_operator
 def d10_coupling(d: Dialect) -> str:
     return "SELECT s.id, coalesce(i.n, 0) AS fan_in, coalesce(o.n, 0) AS fan_out, coalesce(i.n, 0) + coalesce(o.n, 0) AS coupling FROM symbols s LEFT JOIN (SELECT callee_id, count(DISTINCT caller_id) AS n FROM calls GROUP BY callee_id) i ON i.callee_id = s.id LEFT JOIN (SELECT caller_id, count(DISTINCT callee_id) AS n FROM calls GROUP BY caller_id) o ON o.caller_id = s.id"
 
 
-@sql_operator(calls="calls_dag")
-def d27_cross_language_chains(d: Dialect, calls: str = "calls") -> str:
-    """Chains of more than two hops that cross languages, with the number of crossings."""
-    grow = d.append("p.nodes", "e.callee_id")
-    return f"""WITH RECURSIVE e AS (SELECT c.caller_id, c.callee_id, CASE WHEN f.language_id <> t.language_id THEN 1 ELSE 0 END AS crosses FROM {_pairs(calls)} c JOIN symbols f ON f.id = c.caller_id JOIN symbols t ON t.id = c.callee_id),
-        p AS (SELECT caller_id AS a, callee_id AS b, {d.array('caller_id', 'callee_id')} AS nodes, CAST(1 AS BIGINT) AS hops, CAST(crosses AS BIGINT) AS crossings FROM e UNION ALL SELECT p.a, e.callee_id, {grow}, p.hops + 1, p.crossings + e.crosses FROM p JOIN e ON e.caller_id = p.b WHERE p.hops < 8)
-        SELECT {d.join_ints('nodes')} AS path, hops, crossings FROM p WHERE hops > 2 AND crossings > 0"""
-
-
-@frame_operator("calls symbols", lambda d: _reach_sql(_FORTH, _FROM_ENTRIES, 10, "SELECT seed AS root, count(*) AS descendants, max(depth) AS depth FROM reached WHERE depth > 0 GROUP BY seed"), entries=ENTRIES)
+@frame_operator("calls symbols", lambda d: _reach_sql(_FORTH, _FROM_ENTRIES, 10, "SELECT seed AS root, count(*) AS descendants, max(depth) AS depth FROM reached WHERE depth > 0 GROUP BY seed"), entries=SEEDS)
 def d31_process_tree(t: dict[str, DataFrame], entries: str | None = None, depth: int = 10) -> DataFrame:
     """Spawn chains over call edges from roots: descendants of each root and the depth of its tree, breadth first."""
     met = reach(_edges(t["calls"]), _start(t, entries).select(F.col("id").alias("seed")), depth).where("depth > 0")
     return met.groupBy(F.col("seed").alias("root")).agg(F.count("*").alias("descendants"), F.max("depth").alias("depth"))
 
 
-@frame_operator("calls_dag", lambda d: f"{_paths(d, _pairs('calls_dag'))} SELECT a, b, count(*) AS ways, min(depth) AS shortest, max(depth) AS longest FROM p GROUP BY a, b")
-def d32_navigation(t: dict[str, DataFrame], depth: int = 10) -> DataFrame:
-    """Of each pair of a graph without cycles (calls_dag): number of ways, shortest and longest. Ways of one length are counted, not listed: a step multiplies counts."""
-    edges = written(_edges(t["calls_dag"]).distinct(), "edges")
-    level = written(edges.select("a", "b", F.lit(1).cast("long").alias("ways"), F.lit(1).cast("long").alias("depth")), "level")
-    found = [level]
-    for k in range(2, depth + 1):
-        nxt = edges.select(F.col("a").alias("b"), F.col("b").alias("c"))
-        level = written(level.join(nxt, "b").groupBy("a", F.col("c").alias("b")).agg(F.sum("ways").alias("ways")).withColumn("depth", F.lit(k).cast("long")), "level")
-        if level.isEmpty():
-            dropped(level)
-            break
-        found.append(level)
-    dropped(edges)
-    return _union(found).groupBy("a", "b").agg(F.sum("ways").alias("ways"), F.min("depth").alias("shortest"), F.max("depth").alias("longest"))
-
-
 # Control flow: the graph of one function is bounded by its source, so each is walked whole in one task; functions are dealt by one shuffle.
 EXITS = ("exit", "return", "throw", "catch")  # blocks at which a function ends
 

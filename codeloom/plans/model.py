@@ -3,8 +3,9 @@
 symbols, relationships, calls (one row for each call site), languages, projects,
 arguments (of call sites), blocks and block_edges (control flow), syntax_nodes, flow_paths, insights, files and sources are
 what operators read. A user passes frames of these shapes; the driver's queries use
-the projection below, which is plain SQL for both dialects. calls_dag is a slice
-without cycles, for the enumeration of paths alone.
+the projection below, which is plain SQL for both dialects. calls_returned is the calls
+of one program among those that the lines tell of, the one whose lines were returned and
+closed: in it some symbols are called by nothing, which questions about dead code ask for.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ def definitions(d: Dialect) -> dict[str, str]:
               split_part(p_name, ' ', 1) AS tag
             FROM part""",
         "calls": f"SELECT a.l_partkey AS caller_id, b.l_partkey AS callee_id, CAST(a.l_linenumber AS BIGINT) AS line_number, a.l_discount > 0.05e0 AS is_conditional, a.l_linestatus AS condition, a.l_partkey = b.l_partkey AS is_recursive FROM {_SITES}",
-        "calls_dag": f"SELECT DISTINCT a.l_partkey AS caller_id, b.l_partkey AS callee_id FROM {_SITES} WHERE a.l_discount >= 0.09e0 AND a.l_returnflag = 'R' AND a.l_partkey < b.l_partkey",
+        "calls_returned": "SELECT c.* FROM (SELECT a.l_partkey AS caller_id, b.l_partkey AS callee_id, CAST(a.l_linenumber AS BIGINT) AS line_number, a.l_discount > 0.05e0 AS is_conditional, a.l_linestatus AS condition, a.l_partkey = b.l_partkey AS is_recursive, a.l_returnflag AS flag FROM " + _SITES + ") c WHERE flag = 'R' AND condition = 'F'",
         "relationships": f"""
             SELECT caller_id * 1000003 + callee_id * 3 + CASE type WHEN 'calls' THEN 0 WHEN 'uses' THEN 1 ELSE 2 END AS id, caller_id AS from_id, CASE WHEN (caller_id + callee_id) % 17 = 0 THEN NULL ELSE callee_id END AS to_id, type, confidence, to_name,
               (caller_id + callee_id) % 7 = 0 AS is_cross_language FROM (

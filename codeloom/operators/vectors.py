@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +9,10 @@ from ..engine import frame_operator, sql_operator
 from ..plans import rules
 from ..plans.dialect import Dialect
 from ..plans.rules import like_any
+from ..storage import written
+from .components import connected_components
 from .impact import _DEGREES
+from .vectorindex import BLOCK, VectorIndex, representatives, similar_pairs
 
 DIMENSIONS = 256
 
@@ -24,31 +25,64 @@ def _cosine(d: Dialect, a: str, b: str) -> str:
     return f"CASE WHEN {_norm(d, a)} * {_norm(d, b)} = 0e0 THEN 0e0 ELSE {d.dot(a, b)} / ({_norm(d, a)} * {_norm(d, b)}) END"
 
 
-@sql_operator
-def e04_cosine_clamped(d: Dialect, query: int = 0) -> str:
-    return f"SELECT v.id, round(greatest(0e0, least(1e0, {_cosine(d, 'v.vec', 'q.vec')})), 5) AS similarity FROM vectors v JOIN vectors q ON q.id = {query}"
+QUERIES = "id % 100 = 0"  # of the driver's searches: the vectors whose ids are divisible by 100
 
 
-@sql_operator
-def e05_cosine(d: Dialect, query: int = 0) -> str:
-    return f"SELECT v.id, round({_cosine(d, 'v.vec', 'q.vec')}, 5) AS similarity FROM vectors v JOIN vectors q ON q.id = {query}"
+def _pairs_sql(d: Dialect, columns: str) -> str:
+    return f"SELECT q.id AS query_id, v.id, {columns} FROM vectors v JOIN vectors q ON q.{QUERIES} AND q.id <> v.id"
 
 
-@sql_operator
-def e06_sliced(d: Dialect, query: int = 0) -> str:
-    """Similarity over thirds of the vector: semantic, structural, functional."""
-    part = lambda k: _cosine(d, d.slice("v.vec", str(1 + 21 * k), "21"), d.slice("q.vec", str(1 + 21 * k), "21"))
-    return f"SELECT v.id, round({part(0)}, 5) AS semantic, round({part(1)}, 5) AS structural, round({part(2)}, 5) AS functional FROM vectors v JOIN vectors q ON q.id = {query}"
+@frame_operator("vectors", lambda d: _pairs_sql(d, f"round(greatest(0e0, least(1e0, {_cosine(d, 'v.vec', 'q.vec')})), 5) AS similarity"), queries=QUERIES)
+def e04_cosine_clamped(t: dict[str, DataFrame], queries: str) -> DataFrame:
+    """Cosine of each query (vectors of a condition) with each other vector, held to 0..1."""
+    return VectorIndex(t["vectors"]).search(queries).select("query_id", "id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), "s")), 5).alias("similarity"))
 
 
-@sql_operator
-def e07_top_similar(d: Dialect, query: int = 0, k: int = 10) -> str:
-    return f"SELECT v.id, round({_cosine(d, 'v.vec', 'q.vec')}, 5) AS similarity FROM vectors v JOIN vectors q ON q.id = {query} WHERE v.id <> q.id ORDER BY {_cosine(d, 'v.vec', 'q.vec')} DESC, v.id LIMIT {k}"
+@frame_operator("vectors", lambda d: _pairs_sql(d, f"round({_cosine(d, 'v.vec', 'q.vec')}, 5) AS similarity"), queries=QUERIES)
+def e05_cosine(t: dict[str, DataFrame], queries: str) -> DataFrame:
+    return VectorIndex(t["vectors"]).search(queries).select("query_id", "id", F.round("s", 5).alias("similarity"))
 
 
-@sql_operator
-def e08_semantic_search(d: Dialect, query: int = 1, threshold: float = 0.1, k: int = 20) -> str:
-    return f"SELECT id, round(s, 5) AS similarity FROM (SELECT v.id, {_cosine(d, 'v.vec', 'q.vec')} AS s FROM vectors v JOIN vectors q ON q.id = {query} WHERE v.id <> q.id) x WHERE s >= {threshold}e0 ORDER BY s DESC, id LIMIT {k}"
+#: Which elements of a feature vector (from 0) tell of meaning, structure and function; the last five are those of quality. A vector too short for a part is compared whole.
+SEMANTIC, STRUCTURAL, COMPLEXITY, QUALITY = (40, 59), (0, 29), (22, 29), 5
+
+
+def segments(n: int) -> dict[str, list[int] | None]:
+    """The elements compared for each part in vectors of that length; None: all."""
+    return {
+        "semantic": list(range(*SEMANTIC)) if n > SEMANTIC[1] else None, "structural": list(range(*STRUCTURAL)) if n > STRUCTURAL[1] else None,
+        "functional": [*range(*COMPLEXITY), *range(n - QUALITY, n)] if n > COMPLEXITY[1] else None,
+    }
+
+
+def _sliced_sql(d: Dialect, n: int = 64) -> str:
+    take = lambda v, part: v if part is None else f"[{', '.join(f'{v}[{k + 1}]' for k in part)}]"
+    held = lambda part: f"round(greatest(0e0, least(1e0, {_cosine(d, take('v.vec', part), take('q.vec', part))})), 5)"
+    return _pairs_sql(d, ", ".join(f"{held(part)} AS {name}" for name, part in segments(n).items()))
+
+
+@frame_operator("vectors", lambda d: _sliced_sql(d), queries=QUERIES)
+def e06_sliced(t: dict[str, DataFrame], queries: str) -> DataFrame:
+    """Of each query with each other vector: the similarity of the parts that tell of meaning, structure and function, held to 0..1."""
+    index = VectorIndex(t["vectors"])
+    held = [F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)), 5).alias(c) for c in segments(0)]
+    return index.search(queries, segments=segments(index.dims)).select("query_id", "id", *held)
+
+
+def _top_sql(d: Dialect, k: int, threshold: float = -2.0) -> str:
+    return f"SELECT query_id, id, round(s, 5) AS similarity, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS k FROM ({_pairs_sql(d, _cosine(d, 'v.vec', 'q.vec') + ' AS s')}) p WHERE s >= {threshold}e0) x WHERE k <= {k}"
+
+
+@frame_operator("vectors", lambda d: _top_sql(d, 10), queries=QUERIES)
+def e07_top_similar(t: dict[str, DataFrame], queries: str, k: int = 10) -> DataFrame:
+    """The k most similar vectors of each query, by the index; ties: smaller ids."""
+    return VectorIndex(t["vectors"]).search(queries, k=k).select("query_id", "id", F.round("s", 5).alias("similarity"), "rank")
+
+
+@frame_operator("vectors", lambda d: _top_sql(d, 20, 0.1), queries=QUERIES)
+def e08_semantic_search(t: dict[str, DataFrame], queries: str, threshold: float = 0.1, k: int = 20) -> DataFrame:
+    """The same from a threshold up."""
+    return VectorIndex(t["vectors"]).search(queries, threshold=threshold, k=k).select("query_id", "id", F.round("s", 5).alias("similarity"), "rank")
 
 
 @sql_operator
@@ -65,70 +99,44 @@ def e10_find_implementations(d: Dialect, word: str = "bolt", exact: int = 5, sim
     return f"SELECT id, grade, score FROM (SELECT id, grade, score, row_number() OVER (PARTITION BY grade ORDER BY score DESC, id) AS k FROM (SELECT id, CASE WHEN name ILIKE '{word}%' THEN 'exact' ELSE 'similar' END AS grade, round({score}, 6) AS score FROM symbols WHERE {score} > 0e0) s) x WHERE grade = 'exact' AND k <= {exact} OR grade = 'similar' AND k <= {similar}"
 
 
-BLOCK = 1000  # vectors; two blocks are compared in one task
-
-
-def similar_pairs(vectors: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """first_id, second_id and s of all pairs with cosine from the threshold up, whatever their labels.
-
-    Every block of vectors meets every block once, so no pair is left out and a hot
-    label or vector is no hot key; the work is quadratic in the table. A matrix product
-    finds candidates, which are then summed in the order of the elements. Vectors of
-    different lengths, null ids, and vectors with null elements have no pair.
-    """
-    rows = vectors.select("id", F.col("vec").cast("array<double>").alias("vec")).where("id IS NOT NULL AND vec IS NOT NULL AND NOT exists(vec, x -> x IS NULL)")
-    blocks = max(1, -(-rows.count() // block))
-    placed = rows.withColumn("block", F.expr(f"pmod(xxhash64(id), {blocks})"))
-    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    dealt = dealt.select("id", "vec", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-
-    def summed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(a))
-        for k in range(a.shape[1]):
-            out += a[:, k] * b[:, k]
-        return out
-
-    def met(t: pa.Table) -> pa.Table:
-        ids, sides, vecs = t.column("id").to_numpy(), t.column("block").to_numpy(), t.column("vec").to_pylist()
-        sizes, low = np.array([len(v) for v in vecs]), t.column("low")[0].as_py()
-        one = low == t.column("high")[0].as_py()
-        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
-        for size in np.unique(sizes):
-            mine = np.flatnonzero(sizes == size)
-            x = np.array([vecs[k] for k in mine], dtype=np.float64).reshape(len(mine), size)
-            norm, at = np.sqrt(summed(x, x)), ids[mine]
-            left = np.arange(len(mine)) if one else np.flatnonzero(sides[mine] == low)
-            right = left if one else np.flatnonzero(sides[mine] != low)
-            with np.errstate(all="ignore"):
-                scale = np.outer(norm[left], norm[right])
-                about = np.where(scale == 0, 0.0, x[left] @ x[right].T / scale)
-                i, j = np.nonzero(~(about < threshold - 1e-6))
-            i, j = left[i], right[j]
-            kept = at[i] < at[j] if one else at[i] != at[j]
-            i, j = i[kept], j[kept]
-            i, j = np.where(at[i] < at[j], i, j), np.where(at[i] < at[j], j, i)
-            for lo in range(0, len(i), 10_000):
-                p, q = i[lo : lo + 10_000], j[lo : lo + 10_000]
-                with np.errstate(all="ignore"):
-                    s = np.where(norm[p] * norm[q] == 0, 0.0, summed(x[p], x[q]) / (norm[p] * norm[q]))
-                up = ~(s < threshold)
-                found.append((at[p][up], at[q][up], s[up]))
-        return pa.table({n: np.concatenate(c) for n, c in zip(("first_id", "second_id", "s"), zip(*found, strict=True), strict=True)})
-
-    return dealt.groupBy("low", "high").applyInArrow(met, "first_id long, second_id long, s double")
-
-
 def _label_pairs(d: Dialect, threshold: float = 0.8) -> str:
-    return f"SELECT first_id, second_id, round(s, 5) AS similarity, round(least(0.9e0, 1.1e0 * s), 5) AS confidence FROM (SELECT a.id AS first_id, b.id AS second_id, {_cosine(d, 'a.vec', 'b.vec')} AS s FROM vectors a JOIN vectors b ON a.id < b.id) x WHERE s >= {threshold}e0"
+    different = "(SELECT min(id) AS id, vec FROM vectors_near GROUP BY vec)"
+    return f"SELECT first_id, second_id, round(s, 5) AS similarity, round(least(0.9e0, 1.1e0 * s), 5) AS confidence FROM (SELECT a.id AS first_id, b.id AS second_id, {_cosine(d, 'a.vec', 'b.vec')} AS s FROM {different} a JOIN {different} b ON a.id < b.id) x WHERE s >= {threshold}e0"
 
 
-@frame_operator("vectors", _label_pairs)
-def e11_semantic_pairs(t: dict[str, DataFrame], threshold: float = 0.8, block: int = BLOCK) -> DataFrame:
-    """Pairs of any labels with cosine from the threshold up; confidence min(0.9, 1.1 s)."""
-    pairs = similar_pairs(t["vectors"], threshold, block)
+def _pairs(t: dict[str, DataFrame], vectors: str, threshold: float, block: int) -> DataFrame:
+    pairs = similar_pairs(t[vectors], threshold, block)
     return pairs.select("first_id", "second_id", F.round("s", 5).alias("similarity"), F.round(F.least(F.lit(0.9), 1.1 * F.col("s")), 5).alias("confidence"))
 
 
+@frame_operator("vectors_near", _label_pairs, vectors="vectors_near")
+def e11_semantic_pairs(t: dict[str, DataFrame], threshold: float = 0.8, block: int = BLOCK, vectors: str = "vectors") -> DataFrame:
+    """Pairs of different vectors of any labels with cosine from the threshold up, under the smallest ids that have them; confidence min(0.9, 1.1 s)."""
+    return _pairs(t, vectors, threshold, block)
+
+
+def _class_sql(d: Dialect, threshold: float = 0.8) -> str:
+    return f"""WITH RECURSIVE l AS (SELECT a.id AS a, b.id AS b FROM vectors_near a JOIN vectors_near b ON a.id <> b.id AND {_cosine(d, 'a.vec', 'b.vec')} >= {threshold}e0),
+        c(id, class_id) USING KEY (id) AS (SELECT id, id FROM vectors_near UNION SELECT l.b, min(c.class_id) FROM c JOIN l ON l.a = c.id JOIN recurring.c o ON o.id = l.b WHERE c.class_id < o.class_id GROUP BY l.b)
+        SELECT c.id, c.class_id, coalesce(n.links, 0) AS links FROM c LEFT JOIN (SELECT a, count(*) AS links FROM l GROUP BY a) n ON n.a = c.id"""
+
+
+@frame_operator("vectors_near", _class_sql, vectors="vectors_near")
+def e11_semantic_classes(t: dict[str, DataFrame], threshold: float = 0.8, block: int = BLOCK, vectors: str = "vectors") -> DataFrame:
+    """Of each vector: how many others have a cosine from the threshold up with it (copies counted), and the smallest id that such links lead to."""
+    rows = t[vectors].where("id IS NOT NULL AND vec IS NOT NULL AND NOT exists(vec, x -> x IS NULL)")
+    kinds = written(representatives(rows).select(F.col("id").alias("kind"), "vec", "copies"), "kinds")
+    pairs = similar_pairs(rows, threshold, block)
+    both = pairs.select(F.col("first_id").alias("kind"), F.col("second_id").alias("other")).unionAll(pairs.select("second_id", "first_id"))
+    links = both.join(kinds.select(F.col("kind").alias("other"), F.col("copies").alias("more")), "other").groupBy("kind").agg(F.sum("more").alias("links"))
+    classes = connected_components(pairs, "first_id", "second_id").withColumnRenamed("id", "kind")
+    each = kinds.join(links, "kind", "left").join(classes, "kind", "left")
+    alike = F.exists("vec", lambda x: x != 0).cast("long")  # copies of a zero vector have cosine 0
+    own = F.when(alike == 1, F.col("copies") - 1).otherwise(0)
+    each = each.select("vec", (F.coalesce("links", F.lit(0)) + own).alias("links"), F.coalesce("component", F.when(alike == 1, F.col("kind"))).alias("class_id"))
+    return rows.select("id", "vec").join(each, "vec").select("id", F.coalesce("class_id", "id").alias("class_id"), "links")
+
+
 @frame_operator("vectors")
 def e12_kmeans(t: dict[str, DataFrame], max_clusters: int = 20, min_size: int = 3, seed: int = 42, rounds: int = 20) -> DataFrame:
     """id and cluster by k-means with parallel seeding, one cluster for each min_size vectors within 2 and max_clusters. Fewer vectors than min_size have none, and smaller clusters are left out."""
@@ -177,9 +185,14 @@ def e16_cluster_merge(d: Dialect, threshold: float = 0.8) -> str:
     return f"SELECT b.label, min(CASE WHEN s > {threshold}e0 THEN a.label ELSE b.label END) AS merged_into FROM (SELECT b.label AS bl, a.label AS al, sum(a.x * b.x) / sqrt(sum(a.x * a.x) * sum(b.x * b.x)) AS s FROM ({_centroids(d)}) a JOIN ({_centroids(d)}) b ON b.pos = a.pos AND a.label <= b.label GROUP BY a.label, b.label) p JOIN (SELECT DISTINCT label FROM vectors) a ON a.label = p.al JOIN (SELECT DISTINCT label FROM vectors) b ON b.label = p.bl GROUP BY b.label"
 
 
-@frame_operator("vectors", lambda d: _label_pairs(d, 0.9))
-def e17_high_pairs(t: dict[str, DataFrame]) -> DataFrame:
-    return e11_semantic_pairs(t, 0.9)
+@frame_operator("vectors_near", lambda d: _label_pairs(d, 0.9), vectors="vectors_near")
+def e17_high_pairs(t: dict[str, DataFrame], vectors: str = "vectors") -> DataFrame:
+    return _pairs(t, vectors, 0.9, BLOCK)
+
+
+@frame_operator("vectors_near", lambda d: _class_sql(d, 0.9), vectors="vectors_near")
+def e17_high_classes(t: dict[str, DataFrame], vectors: str = "vectors") -> DataFrame:
+    return e11_semantic_classes(t, 0.9, vectors=vectors)
 
 
 @sql_operator

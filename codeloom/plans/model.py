@@ -75,6 +75,8 @@ def definitions(d: Dialect) -> dict[str, str]:
             FROM documents d JOIN labels l ON l.doc_id = d.doc_id""",
         "sources": "SELECT page_id AS id, url AS path, html AS text FROM pages",
         "files": f"SELECT page_id AS id, url AS path, html AS text, 'm' || {s('page_id % 8')} AS module FROM pages",
+        # Every twentieth vector measured anew, once a little off and under another label, and once as it was.
+        "vectors_near": f"SELECT id, vec, label FROM vectors UNION ALL SELECT id + 1000000 AS id, {d.mapped('vec', 'CAST(x * 1.25e0 + 0.0078125e0 AS FLOAT)')} AS vec, (label + 1) % 10 AS label FROM vectors WHERE id % 20 = 0 UNION ALL SELECT id + 2000000 AS id, vec, label FROM vectors WHERE id % 20 = 0",
         "vectors": "SELECT vec_id AS id, embedding AS vec, CAST(label AS BIGINT) AS label FROM embeddings",
     }
 

@@ -2,8 +2,10 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from codeloom.engine import Engine, load
+from codeloom.operators import vectorindex
 
 
 @pytest.mark.parametrize("block", [7, 1000])
@@ -51,3 +53,64 @@ def test_k_means(spark):
     for r in engine.run("e12_kmeans").collect():
         sizes[r["cluster"]] = sizes.get(r["cluster"], 0) + 1
     assert len(sizes) <= 20 and min(sizes.values()) >= 3
+
+
+def plain_cosine(a, b):
+    size = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+    return sum(x * y for x, y in zip(a, b, strict=True)) / size if size else 0.0
+
+
+def clustered(n, dims, seed):
+    """Vectors around a few directions, with copies, zero vectors and other lengths."""
+    rng = random.Random(seed)
+    centres = [[rng.gauss(0, 1) for _ in range(dims)] for _ in range(5)]
+    rows = [(k, [x + rng.gauss(0, 0.25) for x in rng.choice(centres)]) for k in range(n)]
+    rows += [(n + k, rows[0][1]) for k in range(40)] + [(1000, [0.0] * dims), (1001, [0.0] * dims), (1100, [1.0, 2.0]), (1101, [2.0, 1.0]), (1200, None), (1201, [1.0, None]), (None, rows[1][1])]
+    return [(i, None if v is None else [None if x is None else float(x) for x in v], 0) for i, v in rows]
+
+
+def test_searches_by_the_index_equal_brute_force(spark, monkeypatch):
+    """Recall is 1, with small blocks and packs, few centres and several turns."""
+    for name, value in (("SAMPLE", 60), ("PACK", 3), ("LOT", 2), ("TURN", 2)):
+        monkeypatch.setattr(vectorindex, name, value)
+    rows = clustered(300, 6, 9)
+    df = spark.createDataFrame(rows, "id long, vec array<double>, label long")
+    index = vectorindex.VectorIndex(df, block=16)
+    full = {i: v for i, v, _ in rows if i is not None and v is not None and None not in v}
+    for k, threshold in ((5, None), (3, 0.9), (None, 0.95)):
+        got = {}
+        for r in index.search("id % 50 = 0", k=k, threshold=threshold).collect():
+            got.setdefault(r.query_id, []).append((-r.s, r.id))
+        for q, v in full.items():
+            if q % 50 == 0:
+                best = sorted((-plain_cosine(v, w), i) for i, w in full.items() if i != q and len(w) == len(v) and (threshold is None or plain_cosine(v, w) >= threshold))[:k]
+                assert [i for _, i in sorted(got.get(q, []))] == [i for _, i in best]
+                assert all(abs(a[0] - b[0]) < 1e-9 for a, b in zip(sorted(got.get(q, [])), best, strict=True))
+    packs = index.placed.where("id % 50 = 0 AND list >= 0").groupBy("list", F.lit(0).alias("salt")).applyInArrow(index._packer(None, 5), "pack binary, size int, lists array<long>").collect()
+    assert min(len(r.lists) for r in packs) < len(index.centres)  # something is left out
+
+
+def test_classes_count_copies_once_and_lose_no_link(spark):
+    rows = clustered(120, 6, 10)
+    full = {i: v for i, v, _ in rows if i is not None and v is not None and None not in v}
+    links = {i: {j for j, w in full.items() if j != i and len(w) == len(v) and plain_cosine(v, w) >= 0.97} for i, v in full.items()}
+    root = {i: i for i in full}
+    for _ in full:
+        for i, near in links.items():
+            root[i] = min([root[i], *(root[j] for j in near)])
+    engine = Engine(spark, vectors=spark.createDataFrame(rows, "id long, vec array<double>, label long"))
+    got = {r.id: (r.class_id, r.links) for r in engine.run("e11_semantic_classes", threshold=0.97, block=32).where("id IS NOT NULL").collect()}
+    assert got == {i: (root[i], len(links[i])) for i in full}
+    assert got[1000] == (1000, 0)
+
+
+def test_parts_of_a_feature_vector(spark):
+    """The parts of a vector of 64 elements, and of one too short for them."""
+    load()
+    a, b = [0.0] * 64, [0.0] * 64
+    a[3], b[3], a[45], b[46], a[25], b[63], a[63] = 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0
+    rows = [(100, a, 0), (1, b, 0), (200, [1.0, 0.0], 0), (2, [1.0, 1.0], 0)]
+    got = {(r.query_id, r.id): (r.semantic, r.structural, r.functional) for r in Engine(spark, vectors=spark.createDataFrame(rows[:2], "id long, vec array<float>, label long")).run("e06_sliced", queries="id = 100").collect()}
+    assert got == {(100, 1): (0.0, round(1 / math.sqrt(2), 5), round(1 / math.sqrt(2), 5))}
+    short = Engine(spark, vectors=spark.createDataFrame(rows[2:], "id long, vec array<float>, label long")).run("e06_sliced", queries="id = 200").first()
+    assert (short.semantic, short.structural, short.functional) == (0.70711,) * 3

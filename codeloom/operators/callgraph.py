@@ -21,14 +21,14 @@ def g03_branches(d: Dialect) -> str:
         LEFT JOIN (SELECT start_id, max(coverage) AS coverage FROM flow_paths GROUP BY start_id) p ON p.start_id = c.caller_id WHERE c.is_conditional GROUP BY c.caller_id, c.condition"""
 
 
-@sql_operator
-def g04_unused_functions(d: Dialect, limit: int = 100) -> str:
-    return f"SELECT s.id, s.name, s.file_path, s.line FROM symbols s WHERE s.kind IN ('function', 'method') AND NOT EXISTS (SELECT 1 FROM calls c WHERE c.callee_id = s.id) ORDER BY s.file_path, s.line, s.id LIMIT {limit}"
+@sql_operator(calls="calls_returned")
+def g04_unused_functions(d: Dialect, limit: int = 100, calls: str = "calls") -> str:
+    return f"SELECT s.id, s.name, s.file_path, s.line FROM symbols s WHERE s.kind IN ('function', 'method') AND NOT EXISTS (SELECT 1 FROM {calls} c WHERE c.callee_id = s.id) ORDER BY s.file_path, s.line, s.id LIMIT {limit}"
 
 
-@sql_operator
-def g05_rarely_used(d: Dialect, threshold: int = 1) -> str:
-    return f"SELECT s.id, s.name, count(c.caller_id) AS call_count FROM symbols s LEFT JOIN calls c ON c.callee_id = s.id WHERE s.kind IN ('function', 'method') GROUP BY s.id, s.name HAVING count(c.caller_id) <= {threshold}"
+@sql_operator(calls="calls_returned")
+def g05_rarely_used(d: Dialect, threshold: int = 1, calls: str = "calls") -> str:
+    return f"SELECT s.id, s.name, count(c.caller_id) AS call_count FROM symbols s LEFT JOIN {calls} c ON c.callee_id = s.id WHERE s.kind IN ('function', 'method') GROUP BY s.id, s.name HAVING count(c.caller_id) <= {threshold}"
 
 
 @sql_operator
@@ -102,10 +102,10 @@ def g16_analyze_function(d: Dialect) -> str:
         FROM symbols s LEFT JOIN (SELECT caller_id, count(*) AS n, count(*) FILTER (WHERE is_conditional) AS conditional FROM calls GROUP BY caller_id) o ON o.caller_id = s.id LEFT JOIN (SELECT callee_id, count(*) AS n FROM calls GROUP BY callee_id) i ON i.callee_id = s.id WHERE s.kind IN ('function', 'method')"""
 
 
-@sql_operator
-def g17_entry_points(d: Dialect) -> str:
+@sql_operator(calls="calls_returned")
+def g17_entry_points(d: Dialect, calls: str = "calls") -> str:
     """Functions that no call edge targets; a null target excludes nothing."""
-    return "SELECT s.id, s.name FROM symbols s WHERE s.kind IN ('function', 'method') AND NOT EXISTS (SELECT 1 FROM calls r WHERE r.callee_id = s.id)"
+    return f"SELECT s.id, s.name FROM symbols s WHERE s.kind IN ('function', 'method') AND NOT EXISTS (SELECT 1 FROM {calls} r WHERE r.callee_id = s.id)"
 
 
 @sql_operator
@@ -123,9 +123,10 @@ def g21_path_coverage(d: Dialect) -> str:
     return "SELECT count(DISTINCT id) AS paths, count(DISTINCT id) FILTER (WHERE coverage > 0e0) AS covered, round(avg(coverage), 9) AS mean_coverage FROM flow_paths"
 
 
-@sql_operator
-def g22_uncovered_symbols(d: Dialect) -> str:
-    return "SELECT s.id, s.name FROM symbols s WHERE NOT EXISTS (SELECT 1 FROM (SELECT start_id AS id FROM flow_paths WHERE coverage > 0e0 UNION ALL SELECT end_id FROM flow_paths WHERE coverage > 0e0) p WHERE p.id = s.id)"
+@sql_operator(paths="(SELECT * FROM flow_paths WHERE frequency >= 8)")
+def g22_uncovered_symbols(d: Dialect, paths: str = "flow_paths") -> str:
+    """Symbols that no covered path begins or ends at."""
+    return f"SELECT s.id, s.name FROM symbols s WHERE NOT EXISTS (SELECT 1 FROM (SELECT start_id AS id FROM {paths} x WHERE coverage > 0e0 UNION ALL SELECT end_id FROM {paths} y WHERE coverage > 0e0) p WHERE p.id = s.id)"
 
 
 @sql_operator

@@ -12,10 +12,10 @@ from .metrics import m23_anti_patterns
 _XL = "SELECT r.id, r.from_id, r.to_id, r.type, r.confidence, f.file_path AS from_file, t.file_path AS to_file, f.namespace AS from_ns, t.namespace AS to_ns, fl.name AS from_language, tl.name AS to_language, f.name AS from_name, t.name AS to_name FROM relationships r JOIN symbols f ON f.id = r.from_id JOIN symbols t ON t.id = r.to_id JOIN languages fl ON fl.id = f.language_id JOIN languages tl ON tl.id = t.language_id"
 
 
-@sql_operator
-def d05_removal_candidates(d: Dialect) -> str:
+@sql_operator(calls="calls_returned")
+def d05_removal_candidates(d: Dialect, calls: str = "calls") -> str:
     """Uncalled, unexported and small or unsure symbols, with a confidence of removal."""
-    return "SELECT s.id, s.end_line - s.line AS lines, CASE WHEN s.visibility = 'private' THEN 'high' ELSE 'medium' END AS certainty FROM symbols s WHERE NOT s.is_exported AND NOT EXISTS (SELECT 1 FROM calls c WHERE c.callee_id = s.id)"
+    return f"SELECT s.id, s.end_line - s.line AS lines, CASE WHEN s.visibility = 'private' THEN 'high' ELSE 'medium' END AS certainty FROM symbols s WHERE NOT s.is_exported AND NOT EXISTS (SELECT 1 FROM {calls} c WHERE c.callee_id = s.id)"
 
 
 @sql_operator
@@ -30,9 +30,9 @@ def d07_suggested_tests(d: Dialect) -> str:
 
 
 @sql_operator
-def d11_flow_statistics(d: Dialect) -> str:
-    """Cyclomatic (edges - nodes + 2), mean branching factor, bottlenecks, by kind of caller."""
-    return "SELECT s.kind, count(*) AS edges, count(DISTINCT c.caller_id) AS callers, count(*) - count(DISTINCT c.caller_id) + 2 AS cyclomatic, round(CAST(count(*) AS DOUBLE) / count(DISTINCT c.caller_id), 6) AS branching, count(*) FILTER (WHERE c.is_conditional) AS conditional, count(*) FILTER (WHERE c.is_recursive) AS recursive FROM calls c JOIN symbols s ON s.id = c.caller_id GROUP BY s.kind"
+def d11_flow_by_kind(d: Dialect) -> str:
+    """Edges, callers and mean branching factor by kind of caller."""
+    return "SELECT s.kind, count(*) AS edges, count(DISTINCT c.caller_id) AS callers, round(CAST(count(*) AS DOUBLE) / count(DISTINCT c.caller_id), 6) AS branching, count(*) FILTER (WHERE c.is_conditional) AS conditional, count(*) FILTER (WHERE c.is_recursive) AS recursive FROM calls c JOIN symbols s ON s.id = c.caller_id GROUP BY s.kind"
 
 
 @sql_operator(before="calls", after="(SELECT * FROM calls WHERE NOT is_conditional)")

@@ -105,11 +105,45 @@ def m03_nesting(t: dict[str, DataFrame]) -> DataFrame:
     return t["sources"].select("id", nesting("text").alias("nesting"))
 
 
-@sql_operator
-def m04_parameter_count(d: Dialect) -> str:
-    """Parameters of a signature: commas outside angle brackets, plus one, where there is anything between the parentheses."""
-    inside = d.replace(d.extract("signature", r"\(([^()]*)\)"), r"<[^<>]*>", "")
-    return f"SELECT id, CASE WHEN trim({inside}) = '' THEN 0 ELSE length({inside}) - length(replace({inside}, ',', '')) + 1 END AS parameters FROM symbols"
+_OPENS, _CLOSES, _QUOTES = "(<[", ")>]", "\"'"
+_ARROWS = "->|=>|<=|>="  # no brackets
+
+
+def _inside(signature: Column) -> Column:
+    """What stands between the first opening and the last closing parenthesis, without arrows."""
+    inside = F.regexp_extract(signature, r"(?s)^[^(]*\((.*)\)[^)]*$", 1)
+    return F.regexp_replace(F.coalesce(inside, F.lit("")), _ARROWS, "")
+
+
+def parameters(signature: Column) -> Column:
+    """Parts of a signature's parameter list that hold anything, split at commas outside brackets of all kinds and quoted text; a fold over its characters."""
+
+    def step(s: Column, c: Column) -> Column:
+        quoted = s["quote"] != ""
+        quote = F.when(quoted, F.when((c == s["quote"]) & (s["last"] != "\\"), "").otherwise(s["quote"])).when(c.isin(*_QUOTES), c).otherwise("")
+        depth = F.when(quoted, s["depth"]).otherwise(F.greatest(s["depth"] + F.when(c.isin(*_OPENS), 1).when(c.isin(*_CLOSES), -1).otherwise(0), F.lit(0)))
+        ends = ~quoted & (c == ",") & (s["depth"] == 0)
+        held = F.when(ends, False).otherwise(s["held"] | (F.trim(c) != ""))
+        return F.struct(depth.alias("depth"), quote.alias("quote"), c.alias("last"), held.alias("held"), (s["n"] + F.when(ends & s["held"], 1).otherwise(0)).alias("n"))
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("quote"), F.lit("").alias("last"), F.lit(False).alias("held"), F.lit(0).alias("n"))
+    return F.aggregate(F.split(_inside(signature), ""), start, step, lambda s: s["n"] + s["held"].cast("int")).cast("long")
+
+
+def _parameters_sql(d: Dialect) -> str:
+    """The oracle: the fold as a recursion over the characters of each signature."""
+    names = lambda cs: ", ".join("'" + c.replace("'", "''") + "'" for c in cs)
+    return f"""WITH RECURSIVE l AS (SELECT id, string_split(regexp_replace(coalesce(regexp_extract(signature, '(?s)^[^(]*\\((.*)\\)[^)]*$', 1), ''), '{_ARROWS}', '', 'g'), '') AS cs FROM symbols),
+        walk AS (SELECT id, cs, 0 AS k, 0 AS depth, '' AS quote, '' AS last, false AS held, 0 AS n FROM l UNION ALL
+          SELECT id, cs, k + 1, CASE WHEN quote <> '' THEN depth ELSE greatest(0, depth + CASE WHEN c IN ({names(_OPENS)}) THEN 1 WHEN c IN ({names(_CLOSES)}) THEN -1 ELSE 0 END) END, CASE WHEN quote <> '' THEN CASE WHEN c = quote AND last <> '\\' THEN '' ELSE quote END WHEN c IN ({names(_QUOTES)}) THEN c ELSE '' END, c,
+            CASE WHEN ends THEN false ELSE held OR trim(c) <> '' END, n + CASE WHEN ends AND held THEN 1 ELSE 0 END FROM (SELECT *, cs[k + 1] AS c, quote = '' AND cs[k + 1] = ',' AND depth = 0 AS ends FROM walk WHERE k < len(cs)) w)
+        SELECT id, CAST(n + CASE WHEN held THEN 1 ELSE 0 END AS BIGINT) AS parameters FROM walk WHERE k = len(cs)"""
+
+
+@frame_operator("symbols", _parameters_sql)
+def m04_parameter_count(t: dict[str, DataFrame]) -> DataFrame:
+    """Parameters of each signature."""
+    return t["symbols"].select("id", parameters(F.col("signature")).alias("parameters"))
 
 
 @sql_operator
@@ -127,9 +161,17 @@ def m06_branches(d: Dialect) -> str:
     return f"SELECT id, {total} AS branches FROM sources"
 
 
+#: Strings, which stay, or comments (in stars, after two slashes or a hash), which go.
+_STRINGS_OR_COMMENTS = r'("[^"\\\n]*(?:\\.[^"\\\n]*)*"|\x27[^\x27\\\n]*(?:\\.[^\x27\\\n]*)*\x27)|/\*[\s\S]*?\*/|//[^\n]*|#[^\n]*'
+
+
+def without_comments(d: Dialect, text: str) -> str:
+    """A text without its comments; what looks like one inside a string stays."""
+    return d.replace(text, _STRINGS_OR_COMMENTS, "$1 " if d.spark else r"\1 ")
+
+
 def _tokens(d: Dialect) -> str:
-    bare = d.replace(d.replace("text", r"/\*[^*]*\*/", " "), r"//[^\n]*", " ")
-    return d.extract_all(bare, r"[A-Za-z0-9_]+|[^A-Za-z0-9_\s]", 0)
+    return d.extract_all(without_comments(d, "text"), r"[A-Za-z0-9_]+|[^A-Za-z0-9_\s]", 0)
 
 
 @sql_operator
@@ -153,8 +195,9 @@ def m08_halstead(d: Dialect) -> str:
 
 @sql_operator
 def m09_language_tokens(d: Dialect) -> str:
-    """The operator and keyword sets."""
-    return "SELECT * FROM (VALUES " + ", ".join(f"('{x}', '{k}')" for k, xs in (("operator", OPERATORS), ("keyword", KEYWORDS)) for x in xs) + ") AS v(token, kind)"
+    """The operator and keyword sets, with how often each stands in the texts and in how many."""
+    sets = "(VALUES " + ", ".join(f"('{x}', '{k}')" for k, xs in (("operator", OPERATORS), ("keyword", KEYWORDS)) for x in xs) + ") AS v(token, kind)"
+    return f"SELECT v.token, v.kind, coalesce(n.n, 0) AS n, coalesce(n.texts, 0) AS texts FROM (SELECT * FROM {sets}) v LEFT JOIN (SELECT token, count(*) AS n, count(DISTINCT id) AS texts FROM (SELECT id, {d.explode(_tokens(d))} AS token FROM sources) s GROUP BY token) n ON n.token = v.token"
 
 
 @sql_operator(language="javascript")
@@ -175,7 +218,13 @@ def m11_risk_level(d: Dialect) -> str:
 
 @sql_operator
 def m12_hints(d: Dialect) -> str:
-    return f"SELECT id, {d.matches('text', r'for[^;]*for')} AS nested_loops, {d.matches('text', r'new\s+[A-Z]')} AS allocates, {d.matches('text', 'await')} AS waits, length(text) > 20000 AS is_long FROM sources"
+    """Hints of cost, and whether the first function that a text defines is called in it again."""
+    first = d.extract("text", r"function\s+([A-Za-z0-9_]+)|([A-Za-z0-9_]+)\s*[=:]\s*function|([A-Za-z0-9_]+)\s*[=:]\s*\([^\n]*\)\s*=>")
+    second, third = first.replace(", 1)", ", 2)"), first.replace(", 1)", ", 3)")
+    pattern = r"concat('\\b', f, '\\s*\\(')" if d.spark else r"concat('\b', f, '\s*\(')"
+    again = f"regexp_count(text, {pattern})" if d.spark else f"len(regexp_extract_all(text, {pattern}))"
+    hints = f"{d.matches('text', r'for[^;]*for')} AS nested_loops, {d.matches('text', r'new\s+[A-Z]')} AS allocates, {d.matches('text', 'await')} AS waits, length(text) > 20000 AS is_long"
+    return f"SELECT id, {hints}, f <> '' AND {again} > 1 AS is_recursive FROM (SELECT id, text, concat({first}, {second}, {third}) AS f FROM sources) s"
 
 
 @sql_operator
@@ -229,10 +278,10 @@ def m18_long_parameter_list(d: Dialect) -> str:
     return _anti("long-parameter-list")
 
 
-@sql_operator
-def m19_dead_code(d: Dialect) -> str:
-    """Nothing refers to it and it is not exported."""
-    return "SELECT s.id, s.name FROM symbols s WHERE NOT s.is_exported AND NOT EXISTS (SELECT 1 FROM calls c WHERE c.callee_id = s.id)"
+@sql_operator(calls="calls_returned")
+def m19_dead_code(d: Dialect, calls: str = "calls") -> str:
+    """Nothing calls it and it is not exported."""
+    return f"SELECT s.id, s.name FROM symbols s WHERE NOT s.is_exported AND NOT EXISTS (SELECT 1 FROM {calls} c WHERE c.callee_id = s.id)"
 
 
 @sql_operator

@@ -56,11 +56,14 @@ def p07_rules(d: Dialect, names: list[tuple[str, str]] = rules.PATTERN_NAMES) ->
     return f"SELECT pattern, count(*) AS rules, max(weight) AS weight FROM {_named(names)} GROUP BY pattern"
 
 
+def naming_style(d: Dialect, name: str) -> str:
+    return f"CASE WHEN {d.matches(name, '^[a-z]+(_[a-z0-9]+)+$')} THEN 'snake' WHEN {d.matches(name, '^[a-z]+([A-Z][a-z0-9]*)+$')} THEN 'camel' WHEN {d.matches(name, '^[A-Z]')} THEN 'pascal' ELSE 'other' END"
+
+
 @sql_operator
 def p08_naming(d: Dialect) -> str:
     """Naming style of each namespace and its consistency (share of the most frequent style)."""
-    style = f"CASE WHEN {d.matches('name', '^[a-z]+(_[a-z0-9]+)+$')} THEN 'snake' WHEN {d.matches('name', '^[a-z]+([A-Z][a-z0-9]*)+$')} THEN 'camel' WHEN {d.matches('name', '^[A-Z]')} THEN 'pascal' ELSE 'other' END"
-    return f"SELECT namespace, {d.least_by('style', d.row('-n', 'style'))} AS style, round(CAST(max(n) AS DOUBLE) / sum(n), 6) AS consistency FROM (SELECT namespace, {style} AS style, count(*) AS n FROM symbols GROUP BY 1, 2) x GROUP BY namespace"
+    return f"SELECT namespace, {d.least_by('style', d.row('-n', 'style'))} AS style, round(CAST(max(n) AS DOUBLE) / sum(n), 6) AS consistency FROM (SELECT namespace, {naming_style(d, 'name')} AS style, count(*) AS n FROM symbols GROUP BY 1, 2) x GROUP BY namespace"
 
 
 @sql_operator(names=ON_TEST_TABLES["role_names"])
@@ -141,7 +144,12 @@ def p16_semantic_relationships(d: Dialect, top: int = 10) -> str:
 
 @sql_operator
 def p17_performance(d: Dialect) -> str:
-    return f"SELECT id, CASE WHEN complexity > 35 THEN 'quadratic' WHEN complexity > 20 THEN 'linearithmic' WHEN complexity > 5 THEN 'linear' ELSE 'constant' END AS time, CASE WHEN signature LIKE '%Buffer%' THEN 'linear' ELSE 'constant' END AS space, fan_out > 20 AS io_bound FROM ({_DEGREES}) g"
+    """How a text seems to run, by words that stand in it (in any case, as parts of words too)."""
+    has = lambda *words: "(" + " OR ".join(f"contains(t, '{w}')" for w in words) + ")"
+    mode = " ".join(f"WHEN {has(*w)} THEN '{k}'" for k, w in rules.EXECUTION_MODES.items())
+    scale = f"CASE WHEN {has('for')} AND NOT {has('nested')} THEN 'linear' WHEN {has('log', 'binary')} THEN 'logarithmic' WHEN {has('nested', 'double')} THEN 'polynomial' ELSE 'unknown' END"
+    use = ", ".join(f"CASE WHEN {has(*w)} THEN 'medium' ELSE 'low' END AS {k}" for k, w in rules.RESOURCES.items())
+    return f"SELECT id, CASE {mode} ELSE 'balanced' END AS execution_mode, {scale} AS scalability, {use}, {has('parallel', 'thread')} AS parallelizable, NOT {has('random', 'time')} AS cacheable FROM (SELECT id, lower(coalesce(text, '')) AS t FROM sources) s"
 
 
 @sql_operator

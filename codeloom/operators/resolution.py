@@ -8,6 +8,8 @@ from ..plans.dialect import Dialect
 from ..plans.rules import ON_TEST_TABLES, like_any
 
 _UNRESOLVED = "SELECT id, from_id, type, to_name FROM relationships WHERE to_id IS NULL"
+#: Edges to fields, and kinds of symbols that are fields.
+FIELD_EDGES, FIELD_KINDS = ("reads_field", "writes_field", "initializes_field"), ("field", "property", "variable")
 _PARENT = "SELECT m.id, m.name, m.kind, m.signature, m.return_type, m.parent_symbol_id, c.name AS class_name, c.namespace AS class_namespace FROM symbols m JOIN symbols c ON c.id = m.parent_symbol_id"
 
 
@@ -22,10 +24,12 @@ def n02_import_edges(d: Dialect) -> str:
     return "SELECT DISTINCT f.file_path AS from_file, t.file_path AS to_file, 'imports' AS type FROM relationships r JOIN symbols f ON f.id = r.from_id JOIN symbols t ON t.name = r.to_name WHERE r.type = 'imports'"
 
 
-@sql_operator
-def n03_field_fallback(d: Dialect) -> str:
-    """The last segment after a dot, and the first symbol (smallest id) whose name begins with it."""
-    return f"SELECT r.id, {d.last(d.split('r.to_name', '_'))} AS segment, min(s.id) AS symbol_id FROM ({_UNRESOLVED}) r JOIN symbols s ON {d.last(d.split('s.name', '_'))} = {d.last(d.split('r.to_name', '_'))} GROUP BY r.id, {d.last(d.split('r.to_name', '_'))}"
+@sql_operator(types=["uses"], kinds=["struct", "class"])
+def n03_field_fallback(d: Dialect, types: list[str] = FIELD_EDGES, kinds: list[str] = FIELD_KINDS) -> str:
+    """Of each unresolved edge to a field: what its name has after the last dot, and the first field (smallest id) of that name."""
+    segment = d.last(d.split("r.to_name", "."))
+    listed = lambda x: ", ".join(f"'{k}'" for k in x)
+    return f"SELECT r.id, r.segment, min(s.id) AS symbol_id FROM (SELECT id, {segment} AS segment FROM ({_UNRESOLVED}) r WHERE type IN ({listed(types)})) r JOIN symbols s ON s.name = r.segment AND s.kind IN ({listed(kinds)}) GROUP BY r.id, r.segment"
 
 
 #: Strategy: (priority, confidence, join condition between caller's symbol f, unresolved edge r and candidate s)
@@ -119,10 +123,10 @@ def n16_data_flow(d: Dialect) -> str:
     return f"SELECT c.caller_id AS from_id, c.callee_id AS to_id, CASE WHEN f.return_type = {first} THEN 'passes_data_via_return' ELSE 'passes_data_via_params_heuristic' END AS type, CASE WHEN f.return_type = {first} THEN 0.7e0 ELSE 0.3e0 END AS confidence FROM (SELECT DISTINCT caller_id, callee_id FROM calls) c JOIN symbols f ON f.id = c.caller_id JOIN symbols t ON t.id = c.callee_id WHERE f.return_type = {first} OR (f.signature NOT LIKE '%()' AND t.signature NOT LIKE '%()')"
 
 
-@sql_operator
-def n17_overrides(d: Dialect) -> str:
+@sql_operator(name="split_part({0}.signature, '(', 1)")
+def n17_overrides(d: Dialect, name: str = "{0}.name") -> str:
     """Members of a class that have name and signature of a member of a class it inherits from."""
-    return f"SELECT a.id AS from_id, b.id AS to_id, 'overrides' AS type, 0.9e0 AS confidence FROM (SELECT DISTINCT from_id, to_id FROM relationships WHERE type = 'inherits' AND to_id IS NOT NULL) i JOIN ({_PARENT}) a ON a.parent_symbol_id = i.from_id JOIN ({_PARENT}) b ON b.parent_symbol_id = i.to_id AND b.id <> a.id AND b.name = a.name AND b.signature = a.signature"
+    return f"SELECT a.id AS from_id, b.id AS to_id, 'overrides' AS type, 0.9e0 AS confidence FROM (SELECT DISTINCT from_id, to_id FROM relationships WHERE type = 'inherits' AND to_id IS NOT NULL) i JOIN ({_PARENT}) a ON a.parent_symbol_id = i.from_id JOIN ({_PARENT}) b ON b.parent_symbol_id = i.to_id AND b.id <> a.id AND {name.format('b')} = {name.format('a')} AND b.signature = a.signature"
 
 
 @sql_operator(bases=["ring"], edge="inherits")

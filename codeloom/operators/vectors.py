@@ -11,6 +11,7 @@ from ..plans.dialect import Dialect
 from ..plans.rules import like_any
 from ..storage import written
 from .components import connected_components
+from .patterns import naming_style
 from .impact import _DEGREES
 from .vectorindex import BLOCK, VectorIndex, representatives, similar_pairs
 
@@ -86,10 +87,13 @@ def e08_semantic_search(t: dict[str, DataFrame], queries: str, threshold: float
 
 
 @sql_operator
-def e09_similar_code(d: Dialect, word: str = "red widget") -> str:
-    """Without vectors: by words of the name, ranked by where they match."""
-    a, b = word.split()
-    return f"SELECT id, name, CASE WHEN name ILIKE '{a}_{b}%' THEN 1 WHEN name ILIKE '%{a}%' AND name ILIKE '%{b}%' THEN 2 WHEN name ILIKE '%{a}%' THEN 3 ELSE 4 END AS relevance FROM symbols WHERE name ILIKE '%{a}%' OR name ILIKE '%{b}%' ORDER BY relevance, id"
+def e09_similar_code(d: Dialect, words: str = "red widget") -> str:
+    """Without vectors: by the words of a name (any number), ranked by where they match: all joined at its beginning, all anywhere, the first, another."""
+    each = [w.replace("'", "''") for w in words.split()]
+    if not each:
+        raise ValueError("no words are given")
+    every = " AND ".join(f"name ILIKE '%{w}%'" for w in each)
+    return f"SELECT id, name, CASE WHEN name ILIKE '{'_'.join(each)}%' THEN 1 WHEN {every} THEN 2 WHEN name ILIKE '%{each[0]}%' THEN 3 ELSE 4 END AS relevance FROM symbols WHERE {every.replace(' AND ', ' OR ')}"
 
 
 @sql_operator
@@ -195,10 +199,13 @@ def e17_high_classes(t: dict[str, DataFrame], vectors: str = "vectors") -> DataF
     return e11_semantic_classes(t, 0.9, vectors=vectors)
 
 
-@sql_operator
-def e18_naming_inconsistency(d: Dialect) -> str:
-    """Namespaces whose most frequent first word covers under 70 % of the symbols."""
-    return "SELECT namespace, max(n) AS dominant, CAST(sum(n) AS BIGINT) AS symbols FROM (SELECT namespace, tag, count(*) AS n FROM symbols GROUP BY namespace, tag) x GROUP BY namespace HAVING CAST(max(n) AS DOUBLE) / sum(n) < 0.7e0"
+PASCAL_IF_EXPORTED = "CASE WHEN is_exported THEN upper(substr(name, 1, 1)) || substr(name, 2) ELSE name END"  # the names of the test tables' symbols, exported ones with a capital
+
+
+@sql_operator(name=PASCAL_IF_EXPORTED)
+def e18_naming_inconsistency(d: Dialect, name: str = "name") -> str:
+    """Namespaces in which the most frequent way of naming (snake, camel, pascal or other) has under 70 % of the symbols."""
+    return f"SELECT namespace, max(n) AS dominant, CAST(sum(n) AS BIGINT) AS symbols FROM (SELECT namespace, {naming_style(d, 'name')} AS style, count(*) AS n FROM (SELECT namespace, {name} AS name FROM symbols) s GROUP BY 1, 2) x GROUP BY namespace HAVING CAST(max(n) AS DOUBLE) / sum(n) < 0.7e0"
 
 
 @sql_operator
@@ -206,8 +213,8 @@ def e19_cluster_insights(d: Dialect) -> str:
     return f"SELECT label, CASE WHEN members > 50 THEN 'split' WHEN spread < 0.3e0 THEN 'loose' ELSE 'sound' END AS insight FROM (SELECT label, count(*) AS members, avg(s) AS spread FROM ({_member_similarity(d)}) m GROUP BY label) x"
 
 
-@sql_operator(hotspots=["gear", "bolt"], lower=["ring"], upper=["widget"])
-def e20_generate_insights(d: Dialect, hotspots: list[str] = rules.HOTSPOT_NAMES, lower: list[str] = ("repository", "dao", "database"), upper: list[str] = ("gui", "view", "controller")) -> str:
+@sql_operator(hotspots=["gear", "bolt"], lower=["ring"], upper=["widget"], name=PASCAL_IF_EXPORTED)
+def e20_generate_insights(d: Dialect, hotspots: list[str] = rules.HOTSPOT_NAMES, lower: list[str] = ("repository", "dao", "database"), upper: list[str] = ("gui", "view", "controller"), name: str = "name") -> str:
     """Six rules: a lower layer that refers to an upper one, clusters (labels) of over 20 vectors, complexity over 15, complexity over 10 of functions named for computing, clusters of quality over 0.9 with 3 members or more, namespaces without one way of naming. subject is the symbol's, label's or namespace's name or number."""
     text = "CAST({} AS STRING)" if d.spark else "CAST({} AS VARCHAR)"
     parts = [
@@ -216,7 +223,7 @@ def e20_generate_insights(d: Dialect, hotspots: list[str] = rules.HOTSPOT_NAMES,
         f"SELECT {text.format('id')} AS subject, 'god object' AS insight FROM symbols WHERE complexity > 15",
         f"SELECT {text.format('id')} AS subject, 'hotspot' AS insight FROM symbols WHERE complexity > 10 AND kind IN ('function', 'method') AND {like_any('name', hotspots)}",
         f"SELECT {text.format('label')} AS subject, 'duplication' AS insight FROM ({e14_cluster_quality(d)}) q WHERE quality > 0.9e0 AND members >= 3",
-        f"SELECT namespace AS subject, 'naming' AS insight FROM ({e18_naming_inconsistency(d)}) n",
+        f"SELECT namespace AS subject, 'naming' AS insight FROM ({e18_naming_inconsistency(d, name)}) n",
     ]
     return " UNION ALL ".join(parts)
 

@@ -126,3 +126,11 @@ ON_TEST_TABLES = {
 def like_any(column: str, words: list[str]) -> str:
     """Whether a column has one of the words, without regard to case; % in a word stands for any run."""
     return "(" + " OR ".join(f"{column} ILIKE '%{w}%'" for w in words) + ")" if words else "false"
+
+#: Words that tell how a text runs (the first kind found counts), and what it uses.
+EXECUTION_MODES = {"cpu-intensive": ["sort", "search", "calculate"], "io-intensive": ["read", "write", "file"], "memory-intensive": ["allocate", "buffer", "cache"]}
+RESOURCES = {"memory": ["new", "allocate"], "cpu": ["loop", "calculate"], "io": ["read", "write"]}
+#: Words in a block's code that tell of input and output, of waiting for others, and of memory.
+IO_WORDS = "read write open close cout cin printf scanf fstream ifstream ofstream socket recv send database query fetch".split()
+SYNC_WORDS = "mutex lock unlock lock_guard condition_variable wait notify atomic thread async future semaphore barrier synchronized".split()
+MEMORY_WORDS = "new malloc calloc realloc vector push_back resize map unordered_map set string substr append copy clone duplicate".split()

@@ -1,4 +1,4 @@
-"""Graph analytics of the client side: coverage, statistics, languages, clusters, containment."""
+"""Graph analytics of the client side: coverage, statistics, languages, clusters, containment."""
 
 from __future__ import annotations
 
@@ -42,12 +42,6 @@ def d12_compare_runs(d: Dialect, before: str = "calls_before", after: str = "cal
     return f"SELECT coalesce(a.caller_id, b.caller_id) AS id, coalesce(a.n, 0) AS before, coalesce(b.n, 0) AS after, coalesce(b.n, 0) - coalesce(a.n, 0) AS change FROM {degree(before)} a FULL OUTER JOIN {degree(after)} b ON b.caller_id = a.caller_id"
 
 
-@sql_operator
-def d14_bottlenecks(d: Dialect) -> str:
-    """Loops with the cost of blocks that begin inside them (a range join within the function)."""
-    return "SELECT l.id, l.symbol_id, count(b.id) AS inner_blocks, round(coalesce(sum(b.cost), 0e0), 4) AS inner_cost FROM blocks l LEFT JOIN blocks b ON b.symbol_id = l.symbol_id AND b.id <> l.id AND b.start_line BETWEEN l.start_line AND l.end_line WHERE l.block_type = 'loop' GROUP BY l.id, l.symbol_id"
-
-
 @sql_operator
 def d15_optimisations(d: Dialect) -> str:
     return "SELECT id, CASE WHEN block_type = 'loop' AND complexity >= 5 THEN 'unroll or hoist' WHEN block_type = 'catch' AND cost > 50 THEN 'avoid exceptions' WHEN block_type IN ('condition', 'conditional') AND complexity >= 5 THEN 'simplify condition' END AS advice FROM blocks WHERE block_type = 'loop' AND complexity >= 5 OR block_type = 'catch' AND cost > 50 OR block_type IN ('condition', 'conditional') AND complexity >= 5"
@@ -174,13 +168,12 @@ def d40_boundary_groups(d: Dialect) -> str:
     return f"SELECT from_language, to_language, type, count(*) AS n, count(DISTINCT from_file) AS files FROM ({_XL}) x WHERE from_language <> to_language GROUP BY from_language, to_language, type"
 
 
-@sql_operator
-def d41_navigation_targets(d: Dialect) -> str:
-    """Calls whose line lies inside a block of the caller."""
-    return "SELECT DISTINCT b.id AS block_id, c.callee_id FROM blocks b JOIN calls c ON c.caller_id = b.symbol_id AND c.line_number * 10 BETWEEN b.start_line AND b.end_line"
-
-
 @sql_operator
 def d42_containment(d: Dialect) -> str:
-    """Members of a class by namespace, and whether a method is simple (an accessor by its size)."""
-    return "SELECT c.id AS class_id, m.id AS member_id, m.end_line - m.line <= 60 AND m.complexity <= 10 AS is_simple FROM symbols c JOIN symbols m ON m.parent_symbol_id = c.id WHERE c.kind = 'class'"
+    """Members of a class: those with it as parent (stored), and symbols whose qualified name is the class's own and one more name (inferred); and whether a member is simple (an accessor by its size)."""
+    cut = "substr(qualified_name, 1, length(qualified_name) - length(last) - 2)"
+    last = d.last(d.split("qualified_name", "::"))
+    simple = "m.end_line - m.line <= 60 AND m.complexity <= 10 AS is_simple"
+    owners = f"(SELECT *, {cut} AS owner FROM (SELECT *, {last} AS last FROM symbols WHERE qualified_name LIKE '%::%') x)"
+    return f"""SELECT c.id AS class_id, m.id AS member_id, 'stored' AS source, {simple} FROM symbols c JOIN symbols m ON m.parent_symbol_id = c.id WHERE c.kind = 'class'
+        UNION ALL SELECT c.id AS class_id, m.id AS member_id, 'inferred' AS source, {simple} FROM symbols c JOIN {owners} m ON m.owner = c.qualified_name WHERE c.kind = 'class' AND (m.parent_symbol_id IS NULL OR m.parent_symbol_id <> c.id)"""

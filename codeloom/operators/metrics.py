@@ -121,7 +121,7 @@ def parameters(signature: Column) -> Column:
     def step(s: Column, c: Column) -> Column:
         quoted = s["quote"] != ""
         quote = F.when(quoted, F.when((c == s["quote"]) & (s["last"] != "\\"), "").otherwise(s["quote"])).when(c.isin(*_QUOTES), c).otherwise("")
-        depth = F.when(quoted, s["depth"]).otherwise(F.greatest(s["depth"] + F.when(c.isin(*_OPENS), 1).when(c.isin(*_CLOSES), -1).otherwise(0), F.lit(0)))
+        depth = F.when(quoted, s["depth"]).otherwise(s["depth"] + F.when(c.isin(*_OPENS), 1).when(c.isin(*_CLOSES), -1).otherwise(0))
         ends = ~quoted & (c == ",") & (s["depth"] == 0)
         held = F.when(ends, False).otherwise(s["held"] | (F.trim(c) != ""))
         return F.struct(depth.alias("depth"), quote.alias("quote"), c.alias("last"), held.alias("held"), (s["n"] + F.when(ends & s["held"], 1).otherwise(0)).alias("n"))
@@ -135,7 +135,7 @@ def _parameters_sql(d: Dialect) -> str:
     names = lambda cs: ", ".join("'" + c.replace("'", "''") + "'" for c in cs)
     return f"""WITH RECURSIVE l AS (SELECT id, string_split(regexp_replace(coalesce(regexp_extract(signature, '(?s)^[^(]*\\((.*)\\)[^)]*$', 1), ''), '{_ARROWS}', '', 'g'), '') AS cs FROM symbols),
         walk AS (SELECT id, cs, 0 AS k, 0 AS depth, '' AS quote, '' AS last, false AS held, 0 AS n FROM l UNION ALL
-          SELECT id, cs, k + 1, CASE WHEN quote <> '' THEN depth ELSE greatest(0, depth + CASE WHEN c IN ({names(_OPENS)}) THEN 1 WHEN c IN ({names(_CLOSES)}) THEN -1 ELSE 0 END) END, CASE WHEN quote <> '' THEN CASE WHEN c = quote AND last <> '\\' THEN '' ELSE quote END WHEN c IN ({names(_QUOTES)}) THEN c ELSE '' END, c,
+          SELECT id, cs, k + 1, CASE WHEN quote <> '' THEN depth ELSE depth + CASE WHEN c IN ({names(_OPENS)}) THEN 1 WHEN c IN ({names(_CLOSES)}) THEN -1 ELSE 0 END END, CASE WHEN quote <> '' THEN CASE WHEN c = quote AND last <> '\\' THEN '' ELSE quote END WHEN c IN ({names(_QUOTES)}) THEN c ELSE '' END, c,
             CASE WHEN ends THEN false ELSE held OR trim(c) <> '' END, n + CASE WHEN ends AND held THEN 1 ELSE 0 END FROM (SELECT *, cs[k + 1] AS c, quote = '' AND cs[k + 1] = ',' AND depth = 0 AS ends FROM walk WHERE k < len(cs)) w)
         SELECT id, CAST(n + CASE WHEN held THEN 1 ELSE 0 END AS BIGINT) AS parameters FROM walk WHERE k = len(cs)"""
 

@@ -46,6 +46,7 @@ def definitions(d: Dialect) -> dict[str, str]:
             FROM part""",
         "calls": f"SELECT a.l_partkey AS caller_id, b.l_partkey AS callee_id, CAST(a.l_linenumber AS BIGINT) AS line_number, a.l_discount > 0.05e0 AS is_conditional, a.l_linestatus AS condition, a.l_partkey = b.l_partkey AS is_recursive FROM {_SITES}",
         "calls_returned": "SELECT c.* FROM (SELECT a.l_partkey AS caller_id, b.l_partkey AS callee_id, CAST(a.l_linenumber AS BIGINT) AS line_number, a.l_discount > 0.05e0 AS is_conditional, a.l_linestatus AS condition, a.l_partkey = b.l_partkey AS is_recursive, a.l_returnflag AS flag FROM " + _SITES + ") c WHERE flag = 'R' AND condition = 'F'",
+        "call_lines": "SELECT caller_id, callee_id, line_number * 10 AS line_number FROM calls",  # by the lines of blocks, which are tens
         "relationships": f"""
             SELECT caller_id * 1000003 + callee_id * 3 + CASE type WHEN 'calls' THEN 0 WHEN 'uses' THEN 1 ELSE 2 END AS id, caller_id AS from_id, CASE WHEN (caller_id + callee_id) % 17 = 0 THEN NULL ELSE callee_id END AS to_id, type, confidence, to_name,
               (caller_id + callee_id) % 7 = 0 AS is_cross_language FROM (

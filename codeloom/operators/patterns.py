@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from ..engine import sql_operator
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..engine import frame_operator, sql_operator
 from ..plans import rules
 from ..plans.dialect import Dialect
 from ..plans.rules import ON_TEST_TABLES, like_any
+from .graph import reach
 from .impact import _DEGREES
 
 
@@ -168,6 +172,57 @@ def p20_tags(d: Dialect) -> str:
     return f"SELECT s.tag, count(*) AS symbols, count(DISTINCT s.kind) AS kinds, {d.joined_set('l.name')} AS languages FROM symbols s LEFT JOIN languages l ON l.id = s.language_id GROUP BY s.tag"
 
 
+_CLOSURE = """WITH RECURSIVE up(id, ancestor_id, depth) AS (SELECT id, parent_id, CAST(1 AS BIGINT) FROM tags WHERE parent_id IN (SELECT id FROM tags) UNION ALL SELECT u.id, t.parent_id, u.depth + 1 FROM up u JOIN tags t ON t.id = u.ancestor_id WHERE t.parent_id IN (SELECT id FROM tags) AND u.depth < 50),
+    closure AS (SELECT id, ancestor_id, min(depth) AS depth FROM up GROUP BY id, ancestor_id UNION SELECT id, id, CAST(0 AS BIGINT) FROM tags)"""
+
+
+def tag_closure(tags: DataFrame) -> DataFrame:
+    """id, ancestor_id and depth (0: itself) of each tag and all tags above it. On a ring of parents every tag is above every other, each once, and itself at depth 0."""
+    known = tags.select(F.col("id").alias("b"))
+    up = tags.select(F.col("id").alias("a"), F.col("parent_id").alias("b")).join(known, "b", "left_semi").select("a", "b")
+    return reach(up, tags.select(F.col("id").alias("seed"))).select(F.col("seed").alias("id"), F.col("id").alias("ancestor_id"), "depth")
+
+
+@frame_operator("tags", lambda d: f"{_CLOSURE} SELECT id, ancestor_id, depth FROM closure")
+def p20_tag_hierarchy(t: dict[str, DataFrame]) -> DataFrame:
+    """The closure of the tags' hierarchy."""
+    return tag_closure(t["tags"])
+
+
+@frame_operator(
+    "tags tag_assignments",
+    lambda d: f"{_CLOSURE} SELECT symbol_id, name, category, is_own, confidence FROM (SELECT a.symbol_id, c.ancestor_id AS id, max(CASE WHEN c.depth = 0 THEN 1 ELSE 0 END) = 1 AS is_own, max(a.confidence) AS confidence FROM tag_assignments a JOIN closure c ON c.id = a.tag_id GROUP BY a.symbol_id, c.ancestor_id) x JOIN tags t ON t.id = x.id WHERE t.is_active",
+)
+def p20_symbol_tags(t: dict[str, DataFrame]) -> DataFrame:
+    """The active tags of each symbol: assigned ones, and those above them with the largest confidence below."""
+    up = tag_closure(t["tags"]).select(F.col("id").alias("tag_id"), F.col("ancestor_id").alias("id"), "depth")
+    held = t["tag_assignments"].select("symbol_id", "tag_id", "confidence").join(up, "tag_id").groupBy("symbol_id", "id").agg((F.max((F.col("depth") == 0).cast("int")) == 1).alias("is_own"), F.max("confidence").alias("confidence"))
+    return held.join(t["tags"].where("is_active").select("id", "name", "category"), "id").select("symbol_id", "name", "category", "is_own", "confidence")
+
+
+@sql_operator
+def p20_tags_by_category(d: Dialect) -> str:
+    """Of each category: active tags, those for all languages, and assignments."""
+    return "SELECT t.category, count(DISTINCT t.id) AS tags, count(DISTINCT CASE WHEN t.is_universal THEN t.id END) AS universal, count(a.symbol_id) AS assignments FROM tags t LEFT JOIN tag_assignments a ON a.tag_id = t.id WHERE t.is_active GROUP BY t.category"
+
+
+@sql_operator(language="cpp")
+def p20_tags_for_language(d: Dialect, language: str) -> str:
+    """Active tags for all languages, or for this one."""
+    return f"SELECT id, name, category FROM tags WHERE is_active AND (is_universal OR {d.has('languages', repr(language))})"
+
+
+@frame_operator("tags tag_assignments new_assignments", lambda d: """SELECT symbol_id, tag_id, confidence, is_automatic, source FROM (SELECT *, row_number() OVER (PARTITION BY symbol_id, tag_id ORDER BY place DESC, confidence DESC, is_automatic, source) AS k FROM (
+    SELECT *, 0 AS place FROM tag_assignments UNION ALL SELECT n.symbol_id, t.id, n.confidence, n.is_automatic, n.source, 1 FROM new_assignments n JOIN tags t ON t.name = n.name AND t.is_active) a) x WHERE k = 1""")
+def p20_assign_tags(t: dict[str, DataFrame]) -> DataFrame:
+    """The assignments after new ones (symbol_id, name, confidence, is_automatic, source): of a symbol and tag a new one takes the old one's place, of several the surest; names of no active tag are left out."""
+    new = t["new_assignments"].join(t["tags"].where("is_active").select(F.col("id").alias("tag_id"), "name"), "name")
+    columns = ["symbol_id", "tag_id", "confidence", "is_automatic", "source"]
+    both = t["tag_assignments"].select(*columns, F.lit(0).alias("place")).unionAll(new.select(*columns, F.lit(1).alias("place")))
+    best = both.groupBy("symbol_id", "tag_id").agg(F.min(F.struct((-F.col("place")).alias("place"), (-F.col("confidence")).alias("low"), "is_automatic", "source", "confidence")).alias("m"))
+    return best.select("symbol_id", "tag_id", "m.confidence", "m.is_automatic", "m.source")
+
+
 @sql_operator(names=ON_TEST_TABLES["tag_names"])
 def p21_suggest_tags(d: Dialect, names: list[tuple] = rules.TAG_NAMES) -> str:
     """Tags whose rules a name meets, with the largest confidence of them."""

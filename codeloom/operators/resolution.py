@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from ..engine import sql_operator
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..engine import Engine, frame_operator, sql_operator
 from ..plans import rules
 from ..plans.dialect import Dialect
 from ..plans.rules import ON_TEST_TABLES, like_any
+from ..storage import written
+from .textjoin import contained
 
 _UNRESOLVED = "SELECT id, from_id, type, to_name FROM relationships WHERE to_id IS NULL"
 #: Edges to fields, and kinds of symbols that are fields.
@@ -92,10 +97,52 @@ def n11_global(d: Dialect) -> str:
     return f"SELECT id, symbol_id, 100 + bonus AS score, round(0.6e0 * (100 + bonus) / 150e0, 6) AS confidence FROM ({_candidates('global')}) c"
 
 
-@sql_operator
-def n12_cross_language(d: Dialect) -> str:
-    """Names equal without case and underscores, in another language."""
-    return "SELECT r.id, s.id AS symbol_id FROM relationships r JOIN symbols f ON f.id = r.from_id JOIN symbols s ON lower(replace(s.name, '_', '')) = lower(replace(r.to_name, '_', '')) WHERE r.to_id IS NULL AND s.language_id <> f.language_id"
+_OPEN_EDGES = "SELECT id, to_name FROM relationships WHERE to_id IS NULL AND is_cross_language AND to_name IS NOT NULL"
+
+
+def _folded(name: str) -> str:
+    return f"replace(replace(lower({name}), '-', ''), '_', '')"
+
+
+def _variants(ends: list[str], marks: list[str]) -> str:
+    """Names under which a called service may be implemented: its own, if it has a mark of one, else with each end."""
+    marked = " OR ".join(f"to_name LIKE '%{m}'" for m in marks) or "false"
+    plain = " UNION ALL ".join(f"SELECT id, to_name || '{e}' AS variant, {k} AS place FROM r WHERE NOT ({marked})" for k, e in enumerate(ends))
+    return f"SELECT id, to_name AS variant, 0 AS place FROM r WHERE {marked} UNION ALL {plain}"
+
+
+def _service_sql(d: Dialect, ends: list[str], marks: list[str], service: str, kinds: tuple[str, ...]) -> str:
+    named = ", ".join(f"'{k}'" for k in kinds)
+    stubs = " UNION ALL ".join(f"SELECT id, to_name || '{e}' AS variant, {k} AS place FROM r" for k, e in enumerate(rules.STUB_ENDS))
+    return f"""WITH r AS ({_OPEN_EDGES}), c AS (SELECT id, name, qualified_name FROM symbols WHERE kind IN ({named})),
+        hits AS (SELECT v.id, c.id AS symbol_id, 1 AS step, v.place FROM ({_variants(ends, marks)}) v JOIN c ON c.name = v.variant OR ends_with(c.qualified_name, v.variant)
+          UNION ALL SELECT r.id, c.id, 2 AS step, 0 AS place FROM r JOIN c ON contains(lower(r.to_name), '{service}') AND replace({_folded('r.to_name')}, '{service}', '') <> '' AND contains({_folded('c.name')}, replace({_folded('r.to_name')}, '{service}', ''))
+          UNION ALL SELECT v.id, s.id, 3 AS step, v.place FROM ({stubs}) v JOIN symbols s ON s.name = v.variant)
+        SELECT id, symbol_id, {", ".join(_STEP)} FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY step, place, symbol_id) AS k FROM hits) h WHERE k = 1"""
+
+
+_STEP = ["CASE step WHEN 1 THEN 'implementation' WHEN 2 THEN 'fuzzy' ELSE 'stub' END AS strategy", "CASE step WHEN 1 THEN 0.8e0 WHEN 2 THEN 0.6e0 ELSE 0.7e0 END AS confidence"]
+_SERVICES = {"ends": [""], "marks": [], "service": "widget", "kinds": ("class", "struct")}
+
+
+@frame_operator("symbols relationships", lambda d: _service_sql(d, **_SERVICES), **_SERVICES)
+def n12_cross_language(t: dict[str, DataFrame], ends: list[str] = rules.SERVICE_ENDS, marks: list[str] = rules.SERVICE_MARKS, service: str = "service", kinds: tuple[str, ...] = ("class", "interface")) -> DataFrame:
+    """What an unresolved edge to another language calls: the class of the service's name and one of its ends (or whose qualified name ends so), else one whose folded name holds that of the service, else a stub; the first by step, end and id."""
+    spark = t["symbols"].sparkSession
+    engine = Engine(spark, **t)
+    edges = written(engine.sql(_OPEN_EDGES), "edges")
+    classes = t["symbols"].where(F.col("kind").isin(*kinds)).select(F.col("id").alias("symbol_id"), "name", "qualified_name", F.expr(_folded("name")).alias("folded"))
+    variants = Engine(spark, r=edges).sql(_variants(ends, marks))
+    by_end = contained(variants.select(F.col("variant").alias("needle")), classes.select(F.col("qualified_name").alias("text"))).where("endswith(text, needle)")
+    exact = variants.join(classes.select("symbol_id", F.col("name").alias("variant")), "variant").select("id", "symbol_id", F.lit(1).alias("step"), "place")
+    ending = variants.join(by_end.withColumnRenamed("needle", "variant"), "variant").join(classes.select("symbol_id", F.col("qualified_name").alias("text")), "text").select("id", "symbol_id", F.lit(1).alias("step"), "place")
+    named = edges.where(F.contains(F.lower("to_name"), F.lit(service))).select("id", F.expr(f"replace({_folded('to_name')}, '{service}', '')").alias("needle"))
+    near = named.join(contained(named, classes.select(F.col("folded").alias("text"))), "needle").join(classes.select("symbol_id", F.col("folded").alias("text")), "text").select("id", "symbol_id", F.lit(2).alias("step"), F.lit(0).alias("place"))
+    ends_of_stubs = F.explode(F.array(*[F.struct(F.lit(e).alias("end"), F.lit(k).alias("place")) for k, e in enumerate(rules.STUB_ENDS)]))
+    stubs = edges.select("id", "to_name", ends_of_stubs.alias("e")).select("id", F.concat("to_name", "e.end").alias("name"), "e.place")
+    stubs = stubs.join(t["symbols"].select(F.col("id").alias("symbol_id"), "name"), "name").select("id", "symbol_id", F.lit(3).alias("step"), "place")
+    hits = exact.unionAll(ending).unionAll(near).unionAll(stubs).groupBy("id").agg(F.min(F.struct("step", "place", "symbol_id")).alias("h"))
+    return hits.select("id", "h.symbol_id", F.col("h.step").alias("step")).selectExpr("id", "symbol_id", *_STEP)
 
 
 @sql_operator

@@ -1,7 +1,8 @@
 """The model's tables, and their projection from the test tables.
 
 symbols, relationships, calls (one row for each call site), languages, projects,
-arguments (of call sites), blocks and block_edges (control flow), syntax_nodes, flow_paths, insights, files and sources are
+arguments (of call sites), blocks and block_edges (control flow), syntax_nodes, flow_paths, insights, files, sources, tags, tag_assignments and
+new_assignments are
 what operators read. A user passes frames of these shapes; the driver's queries use
 the projection below, which is plain SQL for both dialects. calls_returned is the calls
 of one program among those that the lines tell of, the one whose lines were returned and
@@ -67,6 +68,11 @@ def definitions(d: Dialect) -> dict[str, str]:
             JOIN (SELECT id, block_type FROM blocks) b ON b.id = e.from_id JOIN (SELECT id, block_type FROM blocks) t ON t.id = e.to_id WHERE step = 'next' AND b.block_type <> 'catch' OR step = 'skip' AND b.block_type = 'conditional'
             UNION ALL SELECT symbol_id, id AS from_id, parent_id AS to_id, 'loop-back' AS kind FROM blocks WHERE block_type = 'loop' AND parent_id IS NOT NULL""",
         "arguments": f"SELECT a.l_partkey AS caller_id, b.l_partkey AS callee_id, CAST(a.l_linenumber AS BIGINT) AS line_number, CAST(n.position AS BIGINT) AS position, 'v' || {s('CAST(a.l_quantity AS BIGINT) % 7 + n.position')} AS argument FROM {_SITES} JOIN (SELECT * FROM (VALUES (0), (1)) AS v(position)) n ON n.position <= a.l_linenumber % 2",
+        # Tags are the kinds of parts: brands below the first digit of their number, that below all brands; types of parts beside them.
+        "tags": f"""SELECT CAST(n AS BIGINT) AS id, 'brand-' || {s('n')} AS name, CASE WHEN n >= 10 THEN CAST(floor(n / 10) AS BIGINT) WHEN n > 0 THEN CAST(0 AS BIGINT) END AS parent_id, CASE WHEN n >= 10 THEN 'brand' ELSE 'group' END AS category, n % 3 = 0 AS is_universal, {d.array("'cpp'", "CASE WHEN n % 2 = 0 THEN 'go' ELSE 'java' END")} AS languages, n % 11 <> 5 AS is_active
+            FROM (SELECT DISTINCT CAST(replace(p_brand, 'Brand#', '') AS INT) AS n FROM part UNION SELECT DISTINCT CAST(floor(CAST(replace(p_brand, 'Brand#', '') AS INT) / 10) AS INT) AS n FROM part UNION SELECT 0 AS n) b""",
+        "tag_assignments": "SELECT p_partkey AS symbol_id, CAST(replace(p_brand, 'Brand#', '') AS BIGINT) AS tag_id, 0.5e0 + (p_partkey % 50) / 100e0 AS confidence, p_partkey % 2 = 0 AS is_automatic, p_type AS source FROM part",
+        "new_assignments": f"SELECT l_partkey AS symbol_id, 'brand-' || {s('l_suppkey % 30')} AS name, CAST(l_discount AS DOUBLE) AS confidence, l_returnflag = 'R' AS is_automatic, l_linestatus AS source FROM lineitem",
         "syntax_nodes": "SELECT symbol_id, CASE block_type WHEN 'basic' THEN 'expression_statement' WHEN 'conditional' THEN 'if_statement' WHEN 'loop' THEN 'for_statement' WHEN 'entry' THEN 'function_definition' ELSE 'catch_clause' END AS type, complexity AS depth FROM blocks",
         "flow_paths": f"SELECT caller_id * 1000003 + callee_id AS id, caller_id AS start_id, callee_id AS end_id, {d.array('caller_id', 'callee_id')} AS nodes, CAST(callee_id % 9 AS BIGINT) AS frequency, (caller_id % 5) / 4e0 AS coverage, caller_id = callee_id AS is_cyclic FROM (SELECT DISTINCT caller_id, callee_id FROM calls) c",
         "insights": """

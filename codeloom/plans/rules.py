@@ -134,3 +134,14 @@ RESOURCES = {"memory": ["new", "allocate"], "cpu": ["loop", "calculate"], "io":
 IO_WORDS = "read write open close cout cin printf scanf fstream ifstream ofstream socket recv send database query fetch".split()
 SYNC_WORDS = "mutex lock unlock lock_guard condition_variable wait notify atomic thread async future semaphore barrier synchronized".split()
 MEMORY_WORDS = "new malloc calloc realloc vector push_back resize map unordered_map set string substr append copy clone duplicate".split()
+
+#: Words that mark symbols at one end of a bridge between languages, what is cut from their names to compare them, and how sure a bridge is.
+BRIDGE_WORDS = {"api": ["api"], "client": ["client"], "ffi": ["extern", "ffi"], "serialization": ["serialize", "deserialize", "json", "xml", "protobuf"], "database": ["repository", "dao", "model", "entity"], "configuration": ["config", "setting", "env"]}
+BRIDGE_TAGS = {"api": ["api", "endpoint"], "client": ["client", "http"], "ffi": ["ffi", "extern"], "serialization": ["serialization", "json"], "database": ["database", "repository", "persistence"], "configuration": ["configuration", "config"]}
+BRIDGE_CUTS = {
+    "api": ["api|endpoint|handler|controller"], "client": ["client|service|api"], "ffi": ["^(?:lib|c_|py_|rs_|js_)", "(?:_lib|_ffi|_binding)$"], "serialization": ["(?:serialize|deserialize|json|xml|dto|model|entity)$", "^(?:json|xml|proto)_?"],
+    "database": ["(?:repository|dao|model|entity)$"], "configuration": ["^(?:get|set|load)_?", "_(?:config|setting|env)$"],
+}
+BRIDGE_CONFIDENCE = {"api": 0.7, "ffi": 0.8, "serialization": 0.6, "database": 0.7, "configuration": 0.8}
+#: What a service's name may have after it where it is implemented, and where it is called.
+SERVICE_ENDS, STUB_ENDS, SERVICE_MARKS = ["Service", "ServiceImpl", "ServiceServicer", "ServiceBase"], ["Stub", "Client", "ServiceStub", "ServiceClient"], ["Service", "Stub", "Client"]

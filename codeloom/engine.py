@@ -74,7 +74,7 @@ class Engine:
 def load() -> None:
     """Import every operator module."""
     from .operators import callgraph, controlflow, crosslang, dataflow, features, flow, graph, impact, intervals, metrics, paths, patterns, relational, resolution, vectors  # noqa: F401
-    from .sources import ingest  # noqa: F401
+    from .sources import ingest, services  # noqa: F401
     from .streaming import changes  # noqa: F401
 
 

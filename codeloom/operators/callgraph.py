@@ -68,9 +68,10 @@ def g10_critical_paths(d: Dialect) -> str:
 @sql_operator
 def g11_flow_metrics(d: Dialect) -> str:
     """Totals over functions and calls; the mean calls both weighted by call and by function."""
-    return """SELECT count(DISTINCT s.id) AS functions, count(c.callee_id) AS calls, count(c.callee_id) FILTER (WHERE c.is_conditional) AS conditional, count(c.callee_id) FILTER (WHERE c.is_recursive) AS recursive, count(DISTINCT c.caller_id) AS callers,
-        round(avg(q.n), 9) AS mean_weighted_by_call, round(max(q.mean_n), 6) AS mean_by_function FROM symbols s LEFT JOIN calls c ON c.caller_id = s.id
-        LEFT JOIN (SELECT caller_id, n, avg(n) OVER () AS mean_n FROM (SELECT caller_id, count(*) AS n FROM calls GROUP BY caller_id) k) q ON q.caller_id = s.id"""
+    counted = "(SELECT caller_id, count(*) AS n FROM calls GROUP BY caller_id)"
+    return f"""SELECT count(DISTINCT s.id) AS functions, count(c.callee_id) AS calls, count(c.callee_id) FILTER (WHERE c.is_conditional) AS conditional, count(c.callee_id) FILTER (WHERE c.is_recursive) AS recursive, count(DISTINCT c.caller_id) AS callers,
+        round(avg(q.n), 9) AS mean_weighted_by_call, (SELECT round(avg(n), 6) FROM {counted} k WHERE caller_id IN (SELECT id FROM symbols)) AS mean_by_function FROM symbols s LEFT JOIN calls c ON c.caller_id = s.id
+        LEFT JOIN {counted} q ON q.caller_id = s.id"""
 
 
 @sql_operator

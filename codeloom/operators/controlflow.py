@@ -1,4 +1,4 @@
-"""Paths and dependences in the control flow of functions.
+"""Paths and dependences in the control flow of functions.
 
 The graph of one function is bounded by its source, so each is worked on whole in one
 task; functions are dealt by one shuffle. Paths are found best first, with a bound on
@@ -36,7 +36,7 @@ def each_function(blocks: DataFrame, edges: DataFrame, block_columns: list[str],
                 columns = list(zip(*((symbol, *row) for row in walk(own, pairs or [])), strict=True)) or [()] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64(), *schema.values()], strict=True)], names)
 
-    spelt = {pa.int64(): "long", pa.int32(): "int", pa.string(): "string", pa.float64(): "double", pa.list_(pa.int64()): "array<long>"}
+    spelt = {pa.int64(): "long", pa.int32(): "int", pa.string(): "string", pa.float64(): "double", pa.bool_(): "boolean"}
     return of.join(steps, "symbol_id", "left").select("symbol_id", "blocks", "edges").mapInArrow(walk_all, "symbol_id long, " + ", ".join(f"{n} {spelt[k]}" for n, k in schema.items()))
 
 
@@ -167,6 +167,39 @@ def p29_hot_paths(t: dict[str, DataFrame], top: int = 5) -> DataFrame:
     return each_function(t["blocks"], t["block_edges"], ["id", "block_type", "complexity"], ["from_id", "to_id"], walk, schema)
 
 
+def _shortest_sql() -> str:
+    inner = "(SELECT DISTINCT symbol_id, from_id, to_id FROM block_edges)"
+    condition = "CASE WHEN b.block_type IN ('conditional', 'condition', 'loop', 'switch') AND coalesce(b.code, '') <> '' THEN [b.code] ELSE [] END"
+    carried = {"conditions": (condition, f"list_concat(p.conditions, {condition})"), "complexity": ("coalesce(b.complexity, 0)", "p.complexity + coalesce(b.complexity, 0)")}
+    return _simple("b.block_type = 'entry'", carried, inner) + f""" SELECT q.symbol_id, first AS entry_id, last AS exit_id, array_to_string(nodes, '>') AS path, array_to_string(conditions, ' && ') AS conditions, CAST(complexity AS BIGINT) AS complexity,
+        EXISTS (SELECT 1 FROM block_edges e WHERE e.symbol_id = q.symbol_id AND list_contains(nodes, e.from_id) AND list_contains(nodes, e.to_id) AND list_position(nodes, e.to_id) < list_position(nodes, e.from_id)) AS is_cyclic
+        FROM (SELECT * FROM p WHERE block_type IN ({_exits()}) QUALIFY row_number() OVER (PARTITION BY symbol_id, first, last ORDER BY len(nodes), nodes) = 1) q"""
+
+
+@frame_operator("blocks block_edges", lambda d: _shortest_sql())
+def p30_shortest_paths(t: dict[str, DataFrame]) -> DataFrame:
+    """From each entry of a function to each exit the shortest path (ties: by blocks), the code of its conditions and loops, its complexity, and whether an edge leads back along it. A path ends at the first exit."""
+
+    def walk(blocks: list[dict], edges: list[dict]) -> Iterator[tuple]:
+        of = {b["id"]: b for b in blocks}
+        out: Graph = {}
+        for e in edges:
+            if e["to_id"] in of:
+                out.setdefault(e["from_id"], {})[e["to_id"]] = (1, 1)
+        ends = {b["id"] for b in blocks if b["block_type"] in EXITS}
+        for start in sorted(b["id"] for b in blocks if b["block_type"] == "entry"):
+            for end in sorted(ends):
+                inner = {a: {b: c for b, c in nxt.items() if b == end or b not in ends} for a, nxt in out.items()}
+                for _, path in best_paths(start, {end}, inner, 1):
+                    place = {b: k for k, b in enumerate(path)}
+                    said = [of[b]["code"] for b in path if of[b]["block_type"] in ("conditional", "condition", "loop", "switch") and of[b]["code"]]
+                    back = any(place.get(e["to_id"], len(path)) < place.get(e["from_id"], -1) for e in edges)
+                    yield start, end, ">".join(map(str, path)), " && ".join(said), sum(of[b]["complexity"] or 0 for b in path), back
+
+    schema = {"entry_id": pa.int64(), "exit_id": pa.int64(), "path": pa.string(), "conditions": pa.string(), "complexity": pa.int64(), "is_cyclic": pa.bool_()}
+    return each_function(t["blocks"], t["block_edges"], ["id", "block_type", "complexity", "code"], ["from_id", "to_id"], walk, schema)
+
+
 #: How likely an edge of a kind is taken, any other being certain, and the factor of those that leave a loop.
 LIKELY = {"true": 0.7, "false": 0.3, "exception": 0.05, "loop-back": 0.8}
 LEAVES_LOOP = 0.2

@@ -267,6 +267,20 @@ def d21_component_sizes(t: dict[str, DataFrame]) -> DataFrame:
     return parts.groupBy("component").agg(F.count("*").alias("nodes")).join(edges, "component").select("component", "nodes", "edges", F.round(F.lit(2.0) * F.col("edges") / F.col("nodes"), 6).alias("mean_degree"))
 
 
+@frame_operator("calls", lambda d: """WITH RECURSIVE e AS (SELECT DISTINCT caller_id AS a, callee_id AS b FROM calls), ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e), c(id, component) USING KEY (id) AS (SELECT a, a FROM (SELECT DISTINCT a FROM ways) v
+        UNION SELECT ways.b, min(c.component) FROM c JOIN ways ON ways.a = c.id JOIN recurring.c o ON o.id = ways.b WHERE c.component < o.component GROUP BY ways.b)
+    SELECT n.nodes, m.edges, n.components, m.edges - n.nodes + 2 * n.components AS cyclomatic, round(CAST(m.edges AS DOUBLE) / m.callers, 6) AS branching, (SELECT count(*) FROM calls WHERE is_conditional) AS conditional, (SELECT count(*) FROM calls WHERE is_recursive) AS recursive
+    FROM (SELECT count(*) AS nodes, count(DISTINCT component) AS components FROM c) n, (SELECT count(*) AS edges, count(DISTINCT a) AS callers FROM e) m""")
+def d11_flow_statistics(t: dict[str, DataFrame]) -> DataFrame:
+    """One row of the call graph: nodes, distinct edges, connected components, cyclomatic number (edges - nodes + 2 for each component), mean calls of a caller, and sites."""
+    parts = written(connected_components(t["calls"], "caller_id", "callee_id"), "components").agg(F.count("*").alias("nodes"), F.count_distinct("component").alias("components"))
+    pairs = t["calls"].where("caller_id IS NOT NULL AND callee_id IS NOT NULL").groupBy("caller_id", "callee_id").agg(F.count_if("is_conditional").alias("conditional"), F.count_if("is_recursive").alias("recursive"))
+    of = pairs.groupBy("caller_id").agg(F.count("*").alias("n"), F.sum("conditional").alias("conditional"), F.sum("recursive").alias("recursive"))
+    sums = of.agg(F.sum("n").alias("edges"), F.count("*").alias("callers"), F.sum("conditional").alias("conditional"), F.sum("recursive").alias("recursive"))
+    row = parts.join(F.broadcast(sums), F.lit(True))  # one row each
+    return row.select("nodes", "edges", "components", (F.col("edges") - F.col("nodes") + 2 * F.col("components")).alias("cyclomatic"), F.round(F.col("edges") / F.col("callers"), 6).alias("branching"), "conditional", "recursive")
+
+
 @frame_operator("calls")
 def m21_circular_dependencies(t: dict[str, DataFrame]) -> DataFrame:
     """Symbols on a cycle: strongly connected components of two or more, and self-loops. Independent of visit order."""

@@ -214,8 +214,9 @@ def a35_find_in_namespace(d: Dialect, pattern: str = "Brand#1*::ECO*") -> str:
 
 @sql_operator
 def a36_resolve_symbol(d: Dialect, part: str = "red_widget", namespace: str = "Brand#17::ECONOMY") -> str:
-    """Candidates in order: same namespace, its parent, global, others."""
-    return f"""SELECT id, qualified_name, CAST(CASE WHEN namespace = '{namespace}' THEN 1 WHEN namespace LIKE '{namespace.split("::")[0]}::%' THEN 2 WHEN namespace = '' THEN 3 ELSE 5 END AS BIGINT) AS priority
+    """Candidates in order: same namespace, the one around it, global, others."""
+    around = namespace.rpartition("::")[0]
+    return f"""SELECT id, qualified_name, CAST(CASE WHEN namespace = '{namespace}' THEN 1 WHEN namespace = '{around}' AND '{around}' <> '' THEN 2 WHEN coalesce(namespace, '') = '' THEN 3 ELSE 5 END AS BIGINT) AS priority
         FROM symbols WHERE name LIKE '{part}%' ORDER BY priority, qualified_name, id"""
 
 

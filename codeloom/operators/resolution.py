@@ -264,10 +264,26 @@ def n28_fields(d: Dialect, pattern: str = "[A-Za-z_][A-Za-z0-9_]*[?]?: *[^;,}]+"
     return f"SELECT id, field, {kind} AS type, replace({name}, '?', '') AS name FROM (SELECT id, {d.explode(d.extract_all('signature', pattern, 0))} AS field FROM symbols) f"
 
 
-@sql_operator
-def n29_symbol_keys(d: Dialect) -> str:
+def _keys(d: Dialect) -> str:
     t = "STRING" if d.spark else "VARCHAR"
-    return f"SELECT id, file_path || ':' || name || ':' || CAST(line AS {t}) AS by_place, qualified_name || '#' || kind AS by_name, md5(qualified_name || '|' || signature) AS by_hash FROM symbols"
+    n = lambda c: f"CAST(coalesce({c}, 0) AS {t})"
+    full = f"coalesce(nullif(qualified_name, ''), name) || '@' || coalesce(file_path, '') || ':' || {n('line')} || ':' || {n('start_column')}"
+    return f"SELECT id, {full} AS primary_key, coalesce(file_path, '') || ':' || coalesce(nullif(name, ''), qualified_name) || ':' || {n('line')} || ':' || {n('start_column')} AS alternative_key, name AS simple_key, coalesce(nullif(qualified_name, ''), name) AS qualified_key, {full} || ':' || {n('complexity')} AS embedding_key FROM (SELECT *, {{column}} AS start_column FROM symbols) s"
+
+
+@sql_operator(column="id % 80")
+def n29_symbol_keys(d: Dialect, column: str = "column") -> str:
+    """The five keys of a symbol: by place, by file first, by name, by qualified name, and by place and complexity."""
+    return _keys(d).format(column=column)
+
+
+@sql_operator(keys="(SELECT id, embedding_key AS key, 'embedding' AS strategy FROM k UNION ALL SELECT id, alternative_key AS key, 'alternative' AS strategy FROM k UNION ALL SELECT id, primary_key AS key, 'primary' AS strategy FROM k)", column="id % 80")
+def n29_parse_keys(d: Dialect, keys: str = "symbol_keys", column: str = "column") -> str:
+    """Keys (id, key, strategy) taken apart: name, file, line and column; null where a key has no such parts. Names may hold @ and :, files :."""
+    part = lambda p, k: f"CASE WHEN {d.matches('key', p)} THEN {d.extract('key', p, k)} END"
+    primary, alternative, embedding = r"^(.*)@(.*):([0-9]+):([0-9]+)$", r"^(.*):([^:]*):([0-9]+):([0-9]+)$", r"^(.*)@(.*):([0-9]+):([0-9]+):[0-9]+$"
+    pick = lambda a, b, c: f"CASE strategy WHEN 'primary' THEN {part(primary, a)} WHEN 'alternative' THEN {part(alternative, b)} WHEN 'embedding' THEN {part(embedding, c)} END"
+    return f"WITH k AS ({_keys(d).format(column=column)}) SELECT id, strategy, {pick(1, 2, 1)} AS name, {pick(2, 1, 2)} AS file_path, CAST({pick(3, 3, 3)} AS BIGINT) AS line, CAST({pick(4, 4, 4)} AS BIGINT) AS start_column FROM {keys} x"
 
 
 _TEST_TAGS = [("api_buffer", ["function", "method"], [], ["Buffer"], []), ("stl_ring", ["function", "class"], ["%ring%"], [], []), ("thread_safe", ["method", "function"], ["%gear%"], ["Result<"], ["STEEL", "count"])]

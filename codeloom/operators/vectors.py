@@ -9,7 +9,7 @@ from ..engine import frame_operator, sql_operator
 from ..plans import rules
 from ..plans.dialect import Dialect
 from ..plans.rules import like_any
-from ..storage import written
+from ..storage import dropped, written
 from .components import connected_components
 from .patterns import naming_style
 from .impact import _DEGREES
@@ -183,10 +183,36 @@ def e15_member_roles(d: Dialect) -> str:
     return f"SELECT id, label, CASE WHEN s >= 0.85e0 THEN 'core' WHEN s >= 0.7e0 THEN 'member' WHEN s >= 0.5e0 THEN 'peripheral' ELSE 'outlier' END AS role FROM ({_member_similarity(d)}) m"
 
 
-@sql_operator
-def e16_cluster_merge(d: Dialect, threshold: float = 0.8) -> str:
-    """Clusters whose centroids are alike join the first such cluster."""
-    return f"SELECT b.label, min(CASE WHEN s > {threshold}e0 THEN a.label ELSE b.label END) AS merged_into FROM (SELECT b.label AS bl, a.label AS al, sum(a.x * b.x) / sqrt(sum(a.x * a.x) * sum(b.x * b.x)) AS s FROM ({_centroids(d)}) a JOIN ({_centroids(d)}) b ON b.pos = a.pos AND a.label <= b.label GROUP BY a.label, b.label) p JOIN (SELECT DISTINCT label FROM vectors) a ON a.label = p.al JOIN (SELECT DISTINCT label FROM vectors) b ON b.label = p.bl GROUP BY b.label"
+def greedy_merge(ids: DataFrame, pairs: DataFrame) -> DataFrame:
+    """id and merged_into, as a walk over ids in their order would merge: an id that no earlier one has taken takes all later ones it is paired with (a < b) that none has taken. Rounds settle whatever all earlier partners of are settled."""
+    state = written(ids.select("id", F.lit(None).cast("long").alias("merged_into")), "merge")
+    pairs = written(pairs.select("a", "b"), "merge-pairs")
+    while not state.where("merged_into IS NULL").isEmpty():
+        head = state.select(F.col("id").alias("a"), F.col("merged_into").alias("of"))
+        before = pairs.join(head, "a").groupBy(F.col("b").alias("id")).agg(F.min(F.when(F.col("of") == F.col("a"), F.col("a"))).alias("taker"), F.min(F.when(F.col("of").isNull(), F.col("a"))).alias("open"))
+        settled = F.when(F.col("taker").isNotNull() & (F.col("open").isNull() | (F.col("open") > F.col("taker"))), F.col("taker")).when(F.col("taker").isNull() & F.col("open").isNull(), F.col("id"))
+        new = written(state.join(before, "id", "left").select("id", F.coalesce("merged_into", settled).alias("merged_into")), "merge")
+        dropped(state)
+        state = new
+    return state
+
+
+def _merge_sql(d: Dialect, threshold: float) -> str:
+    return f"""WITH RECURSIVE c AS (SELECT label, list(x ORDER BY pos) AS vec FROM ({_centroids(d)}) x GROUP BY label), o AS (SELECT label, vec, row_number() OVER (ORDER BY label) AS k FROM c),
+        pairs AS (SELECT a.label AS a, b.label AS b FROM c a JOIN c b ON a.label < b.label AND {_cosine(d, 'a.vec', 'b.vec')} > {threshold}e0),
+        walk(k, heads, label, merged_into) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT)
+          UNION ALL SELECT o.k, CASE WHEN t IS NULL THEN list_append(heads, o.label) ELSE heads END, o.label, coalesce(t, o.label) FROM (SELECT w.k, w.heads, o.label AS ol, (SELECT min(p.a) FROM pairs p WHERE p.b = o.label AND list_contains(w.heads, p.a)) AS t FROM walk w JOIN o ON o.k = w.k + 1) s JOIN o ON o.label = s.ol)
+        SELECT label, merged_into FROM walk WHERE label IS NOT NULL"""
+
+
+@frame_operator("vectors", lambda d: _merge_sql(d, 0.05), threshold=0.05)
+def e16_cluster_merge(t: dict[str, DataFrame], threshold: float = 0.8) -> DataFrame:
+    """Clusters in the order of their labels: one that none has taken takes all later ones, not yet taken, whose centroid has a cosine over the threshold with its own."""
+    centres = t["vectors"].where("vec IS NOT NULL").select("label", F.posexplode("vec").alias("pos", "x")).groupBy("label", "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    centres = centres.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("vec"))
+    centres = written(centres.select(F.col("label").cast("long").alias("id"), "vec"), "centres")
+    pairs = VectorIndex(centres).search(threshold=threshold).where(F.col("s") > threshold).where("query_id < id").select(F.col("query_id").alias("a"), F.col("id").alias("b"))
+    return greedy_merge(centres, pairs).select(F.col("id").alias("label"), "merged_into")
 
 
 @frame_operator("vectors_near", lambda d: _label_pairs(d, 0.9), vectors="vectors_near")

@@ -93,3 +93,10 @@ def test_hot_paths(engine):
         (14, 1): ("10>11>12>14", 0.7, "main", 10, 1), (14, 2): ("10>11>13>14", 0.3, "early-exit", 10, 1), (23, 1): ("20>21>23", 0.06, "main", 54, 1),
         (32, 1): ("30>31>32", 0.7, "main", 9, 1), (34, 1): ("30>31>33>34", 0.3, "main", 10, 1),
     }
+
+
+def test_shortest_paths_of_functions(engine):
+    got = {(r.entry_id, r.exit_id): (r.path, r.conditions, r.complexity, r.is_cyclic) for r in engine.run("p30_shortest_paths").collect()}
+    assert got == {
+        (10, 14): ("10>11>12>14", "if (size > 0)", 11, False), (20, 23): ("20>21>23", "", 3, False), (30, 32): ("30>31>32", "", 3, False), (30, 34): ("30>31>33>34", "", 4, False),
+    }

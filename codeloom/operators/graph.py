@@ -316,16 +316,23 @@ def d03_path_statistics(d: Dialect) -> str:
     return f"SELECT f.id, f.frequency, count(b.id) AS blocks, round(coalesce(avg(b.cost), 0e0), 6) AS mean_cost FROM (SELECT id, frequency, {d.explode('nodes')} AS node FROM flow_paths) f LEFT JOIN blocks b ON b.symbol_id = f.node GROUP BY f.id, f.frequency"
 
 
-@frame_operator("calls symbols", lambda d: _reach_sql(_FORTH, _FROM_ENTRIES, 6, "SELECT depth AS layer, count(*) AS nodes FROM (SELECT id, min(depth) AS depth FROM reached GROUP BY id) x GROUP BY depth"), entries=SEEDS)
+@frame_operator(
+    "calls symbols",
+    lambda d: _reach_sql(_FORTH, _FROM_ENTRIES, 6, """, m AS (SELECT id, min(depth) AS layer FROM reached GROUP BY id)
+        SELECT layer, count(*) AS nodes, count(*) FILTER (WHERE id IN (SELECT a FROM e WHERE a = b)) AS recursive, CAST(coalesce(sum(x.n), 0) AS BIGINT) AS cross_file_calls FROM m
+        LEFT JOIN (SELECT e.a, count(*) AS n FROM e JOIN symbols f ON f.id = e.a JOIN symbols t ON t.id = e.b WHERE f.file_path <> t.file_path GROUP BY e.a) x ON x.a = m.id GROUP BY layer"""),
+    entries=SEEDS,
+)
 def d08_call_layers(t: dict[str, DataFrame], entries: str | None = None, depth: int = 6) -> DataFrame:
-    """Layers of the call graph from its roots: nodes first met at each depth, breadth first."""
-    met = reach(_edges(t["calls"]), _start(t, entries).select(F.col("id").alias("seed")), depth)
-    return met.groupBy("id").agg(F.min("depth").alias("layer")).groupBy("layer").agg(F.count("*").alias("nodes"))
-
-
-@sql_operator
-def d10_coupling(d: Dialect) -> str:
-    return "SELECT s.id, coalesce(i.n, 0) AS fan_in, coalesce(o.n, 0) AS fan_out, coalesce(i.n, 0) + coalesce(o.n, 0) AS coupling FROM symbols s LEFT JOIN (SELECT callee_id, count(DISTINCT caller_id) AS n FROM calls GROUP BY callee_id) i ON i.callee_id = s.id LEFT JOIN (SELECT caller_id, count(DISTINCT callee_id) AS n FROM calls GROUP BY caller_id) o ON o.caller_id = s.id"
+    """Layers of the call graph from its roots, breadth first, all roots at once: nodes first met at each depth, how many of them call themselves, and their calls into other files."""
+    edges = written(_edges(t["calls"]).where("a IS NOT NULL AND b IS NOT NULL").distinct(), "edges")
+    roots = _start(t, entries)
+    met = reach(edges.unionAll(roots.select(F.lit(ROOT).cast("long").alias("a"), F.col("id").alias("b"))), roots.limit(1).select(F.lit(ROOT).cast("long").alias("seed")), depth + 1)
+    file = t["symbols"].select("id", "file_path")
+    across = edges.join(file.select(F.col("id").alias("a"), F.col("file_path").alias("f1")), "a").join(file.select(F.col("id").alias("b"), F.col("file_path").alias("f2")), "b").where("f1 <> f2").groupBy(F.col("a").alias("id")).agg(F.count("*").alias("across"))
+    selfish = edges.where("a = b").select(F.col("a").alias("id"), F.lit(True).alias("selfish"))
+    nodes = met.where("depth > 0").select("id", (F.col("depth") - 1).alias("layer")).join(across, "id", "left").join(selfish, "id", "left")
+    return nodes.groupBy("layer").agg(F.count("*").alias("nodes"), F.count("selfish").alias("recursive"), F.coalesce(F.sum("across"), F.lit(0)).alias("cross_file_calls"))
 
 
 @frame_operator("calls symbols", lambda d: _reach_sql(_FORTH, _FROM_ENTRIES, 10, "SELECT seed AS root, count(*) AS descendants, max(depth) AS depth FROM reached WHERE depth > 0 GROUP BY seed"), entries=SEEDS)

@@ -147,8 +147,11 @@ def n12_cross_language(t: dict[str, DataFrame], ends: list[str] = rules.SERVICE_
 
 @sql_operator
 def n13_context(d: Dialect) -> str:
-    """Candidates by closeness: namespace, same file, any; first of each edge."""
-    return f"SELECT id, symbol_id, level FROM (SELECT r.id, s.id AS symbol_id, CASE WHEN s.namespace = f.namespace THEN 'namespace' WHEN s.file_path = f.file_path THEN 'file' ELSE 'any' END AS level, row_number() OVER (PARTITION BY r.id ORDER BY CASE WHEN s.namespace = f.namespace THEN 1 WHEN s.file_path = f.file_path THEN 2 ELSE 3 END, s.id) AS k FROM ({_UNRESOLVED}) r JOIN symbols f ON f.id = r.from_id JOIN symbols s ON s.name = r.to_name) x WHERE k = 1"
+    """Candidates by closeness: namespace, a file that the caller's file imports from, same file, any; the first of each edge (ties: smaller ids)."""
+    imports = "SELECT DISTINCT f.file_path AS from_file, t.file_path AS to_file FROM relationships i JOIN symbols f ON f.id = i.from_id JOIN symbols t ON t.id = i.to_id WHERE i.type = 'imports'"
+    level = "CASE WHEN s.namespace = f.namespace THEN 1 WHEN i.to_file IS NOT NULL AND s.file_path <> f.file_path THEN 2 WHEN s.file_path = f.file_path THEN 3 ELSE 4 END"
+    return f"""SELECT id, symbol_id, CASE place WHEN 1 THEN 'namespace' WHEN 2 THEN 'import' WHEN 3 THEN 'file' ELSE 'any' END AS level FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY place, symbol_id) AS k FROM (
+        SELECT r.id, s.id AS symbol_id, {level} AS place FROM ({_UNRESOLVED}) r JOIN symbols f ON f.id = r.from_id JOIN symbols s ON s.name = r.to_name LEFT JOIN ({imports}) i ON i.from_file = f.file_path AND i.to_file = s.file_path) x) y WHERE k = 1"""
 
 
 @sql_operator

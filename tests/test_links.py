@@ -62,3 +62,17 @@ def test_tags(spark):
     assert {r.category: (r.tags, r.universal, r.assignments) for r in engine.run("p20_tags_by_category").collect()} == {"root": (2, 1, 0), "pattern": (2, 0, 2), "ring": (2, 0, 1)}
     after = {(r.symbol_id, r.tag_id): (r.confidence, r.source) for r in engine.run("p20_assign_tags").collect()}
     assert after == {(100, 3): (0.7, "m"), (100, 2): (0.9, "d2"), (101, 5): (0.5, "d1"), (101, 4): (0.4, "d1"), (102, 1): (0.2, "n")}
+
+
+def test_names_by_context(spark):
+    symbols = [(1, "main", "a", "a.cpp"), (2, "run", "a", "z.cpp"), (3, "run", "b", "b.cpp"), (4, "go", "c", "b.cpp"), (5, "go", "d", "a.cpp"), (6, "go", "e", "d.cpp"), (7, "far", "f", "e.cpp"), (8, "own", "g", "a.cpp"), (9, "own", "g", "c.cpp")]
+    edges = [(1, 1, None, "calls", "run"), (2, 1, None, "calls", "go"), (3, 1, None, "calls", "far"), (4, 1, 3, "imports", "run"), (5, 1, None, "calls", "own"), (6, 1, None, "calls", "nothing")]
+    engine = Engine(spark, symbols=spark.createDataFrame(symbols, "id long, name string, namespace string, file_path string"), relationships=spark.createDataFrame(edges, "id long, from_id long, to_id long, type string, to_name string"))
+    assert {r.id: (r.symbol_id, r.level) for r in engine.run("n13_context").collect()} == {1: (2, "namespace"), 2: (4, "import"), 3: (7, "any"), 5: (8, "file")}
+
+
+def test_layers_of_a_call_graph(spark):
+    symbols = spark.createDataFrame([(k, f"f{k % 2}") for k in range(1, 7)], "id long, file_path string")
+    calls = spark.createDataFrame([(1, 2), (2, 2), (2, 4), (1, 4), (4, 6), (5, 1), (1, None)], "caller_id long, callee_id long")
+    got = {r.layer: tuple(r)[1:] for r in Engine(spark, symbols=symbols, calls=calls).run("d08_call_layers", entries="id IN (1, 2)").collect()}
+    assert got == {0: (2, 1, 2), 1: (1, 0, 0), 2: (1, 0, 0)}

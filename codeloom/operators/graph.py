@@ -9,6 +9,7 @@ about paths, along deduplicated edges and with a bound on depth.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -166,7 +167,7 @@ def i02_ripple(t: dict[str, DataFrame], seeds: str, depth: int = 6) -> DataFrame
 
 
 def _ripple(t: dict[str, DataFrame], seeds: str, depth: int) -> DataFrame:
-    return reach(_edges(t["calls"], "callee_id", "caller_id"), t["symbols"].where(seeds).select(F.col("id").alias("seed")), depth)
+    return reach(_edges(t["calls"], "callee_id", "caller_id"), chosen(t["symbols"], seeds).select(F.col("id").alias("seed")), depth)
 
 
 @frame_operator("calls symbols", lambda d: _reach_sql(_BACK, _RIPPLES, 6, "SELECT seed, depth AS distance, count(*) AS symbols, CASE WHEN depth = 1 THEN 'direct' ELSE 'indirect' END AS impact FROM reached WHERE depth > 0 GROUP BY seed, depth"), seeds=SEEDS)
@@ -186,10 +187,15 @@ def i14_fallback_impact(t: dict[str, DataFrame], seeds: str) -> DataFrame:
 _FROM_ENTRIES = _RIPPLES
 
 
+def chosen(symbols: DataFrame, which: str) -> DataFrame:
+    """id of the symbols of a condition, or of ids, comma-joined."""
+    return symbols.where(f"id IN ({which})" if re.fullmatch(r"[\d\s,-]+", which) else which).select("id")
+
+
 def _start(t: dict[str, DataFrame], entries: str | None) -> DataFrame:
-    """The symbols of that condition, or else the functions that nothing calls."""
+    """The chosen symbols, or else the functions that nothing calls."""
     if entries:
-        return t["symbols"].where(entries).select("id")
+        return chosen(t["symbols"], entries)
     called = t["calls"].select(F.col("callee_id").alias("id")).where("id IS NOT NULL").distinct()
     return t["symbols"].where("kind IN ('function', 'method')").join(called, "id", "left_anti").select("id")
 

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX_BROADCAST, dropped, near, picked, written
+from .common import MAX_BROADCAST, near, picked, written
 
 BASE, OWN = ("assign", "access", "hex"), ("key", "url", "mixed")
 KINDS = BASE + OWN

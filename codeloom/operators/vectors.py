@@ -12,7 +12,6 @@ from ..plans.rules import like_any
 from ..storage import dropped, written
 from .components import connected_components
 from .patterns import naming_style
-from .impact import _DEGREES
 from .vectorindex import BLOCK, VectorIndex, representatives, similar_pairs
 
 DIMENSIONS = 256

@@ -104,10 +104,11 @@ def s05_language_profile(d: Dialect) -> str:
     return f"SELECT module, files, round(0.3e0 + 0.6e0 * hits / n + least(files / 10e0, 0.2e0), 6) AS confidence FROM (SELECT module, count(DISTINCT id) AS files, count(*) AS n, CAST(count(*) FILTER (WHERE {line}) AS DOUBLE) AS hits FROM (SELECT id, module, {d.explode(d.split('text', chr(10)))} AS l FROM files) x GROUP BY module) y"
 
 
-@sql_operator
-def s06_insert_ignore(d: Dialect) -> str:
-    """Symbols of even ids, and of all ids those not yet stored."""
-    return "SELECT id, name FROM symbols WHERE id % 2 = 0 UNION ALL SELECT n.id, n.name FROM symbols n WHERE NOT EXISTS (SELECT 1 FROM symbols o WHERE o.id = n.id AND o.id % 2 = 0)"
+@frame_operator("symbols", lambda d: "SELECT id, name FROM symbols WHERE id % 2 = 0 UNION ALL SELECT n.id, n.name FROM symbols n WHERE NOT EXISTS (SELECT 1 FROM symbols o WHERE o.id = n.id AND o.id % 2 = 0)", stored="id % 2 = 0")
+def s06_insert_ignore(t: dict[str, DataFrame], stored: str = "false") -> DataFrame:
+    """The store (symbols of a condition) after all symbols were offered to it: those it has stay as they are."""
+    rows = t["symbols"].select("id", "name")
+    return insert_ignore(rows.where(stored), rows, ["id"])
 
 
 @sql_operator
@@ -115,20 +116,29 @@ def s07_edge_insert_ignore(d: Dialect) -> str:
     return "SELECT from_id, to_id, type, max(confidence) AS confidence FROM relationships GROUP BY from_id, to_id, type"
 
 
-@sql_operator
-def s08_dimension_upsert(d: Dialect) -> str:
-    return "SELECT id, name, is_active FROM projects WHERE id > 2 UNION ALL SELECT id, name || ' (renamed)' AS name, true AS is_active FROM projects WHERE id <= 2"
+@frame_operator("projects", lambda d: "SELECT id, name, is_active FROM projects WHERE id > 2 UNION ALL SELECT id, name || ' (renamed)' AS name, true AS is_active FROM projects WHERE id <= 2", renamed="id <= 2")
+def s08_dimension_upsert(t: dict[str, DataFrame], renamed: str) -> DataFrame:
+    """The projects after those of a condition came in again, renamed and active."""
+    table = t["projects"].select("id", "name", "is_active")
+    return upsert(table, table.where(renamed).select("id", F.concat("name", F.lit(" (renamed)")).alias("name"), F.lit(True).alias("is_active")), ["id"])
 
 
-@sql_operator
-def s09_clean_project(d: Dialect, project: int = 1) -> str:
-    return f"SELECT id, project_id FROM symbols WHERE project_id <> {project}"
+@frame_operator("symbols", lambda d: "SELECT id, project_id FROM symbols WHERE project_id <> 1", project=1)
+def s09_clean_project(t: dict[str, DataFrame], project: int) -> DataFrame:
+    """The symbols once a project's are gone."""
+    return delete_project({"symbols": t["symbols"]}, project)["symbols"].select("id", "project_id")
 
 
-@sql_operator
-def s10_cascade_delete(d: Dialect, project: int = 1) -> str:
+@frame_operator("symbols relationships", lambda d: "SELECT r.id FROM relationships r WHERE NOT EXISTS (SELECT 1 FROM symbols s WHERE s.id = r.from_id AND s.project_id = 1) AND NOT EXISTS (SELECT 1 FROM symbols s WHERE s.id = r.to_id AND s.project_id = 1)", project=1)
+def s10_cascade_delete(t: dict[str, DataFrame], project: int) -> DataFrame:
     """Edges that are left once a project's symbols are gone."""
-    return f"SELECT r.id FROM relationships r WHERE NOT EXISTS (SELECT 1 FROM symbols s WHERE s.id = r.from_id AND s.project_id = {project}) AND NOT EXISTS (SELECT 1 FROM symbols s WHERE s.id = r.to_id AND s.project_id = {project})"
+    return delete_project(t, project)["relationships"].select("id")
+
+
+@frame_operator("symbols", lambda d: "SELECT file_path, v.language FROM (SELECT DISTINCT file_path, lower(regexp_extract(file_path, '[.]([A-Za-z]+)$', 1)) AS extension FROM symbols) f LEFT JOIN (VALUES " + ", ".join(f"('{e}', '{lang}')" for lang, es in EXTENSIONS.items() for e in es) + ") AS v(extension, language) ON v.extension = f.extension")
+def s03_languages_of_files(t: dict[str, DataFrame]) -> DataFrame:
+    """The language of each file by its extension, null where it is unknown."""
+    return t["symbols"].select("file_path").distinct().select("file_path", language_of(F.col("file_path")).alias("language"))
 
 
 @sql_operator

@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,10 +84,10 @@ def held_by(documents: DataFrame, vocabulary: list[str], text_col="text") -> dic
     return {r["word"]: r["n"] for r in rows.groupBy("word").agg(F.count("*").alias("n")).collect()}  # one row for each word of the vocabulary
 
 
-def _blocks(words: Column, size: int) -> Column:
-    """Overlapping blocks of 2 * size words, one beginning at every size-th."""
+def _blocks(words: Column, size: int, of: Callable[[Column], Column]) -> Column:
+    """What is wanted of each of the overlapping blocks of 2 * size words, one of which begins at every size-th."""
     starts = F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)), F.lit(size)) if size else F.array(F.lit(0))
-    return F.transform(starts, lambda i: F.slice(words, i + 1, 2 * size))
+    return F.transform(starts, lambda i: of(F.slice(words, i + 1, 2 * size)))
 
 
 def scan(documents: DataFrame, *, id_col="doc_id", text_col="text", templates=TEMPLATES, threshold=0.8) -> DataFrame:
@@ -118,10 +119,10 @@ def scan(documents: DataFrame, *, id_col="doc_id", text_col="text", templates=TE
     spaces = lambda c: (F.char_length(c) - F.char_length(F.translate(c, " ", ""))).cast("long")
     if inlined:
         prefix = _array(sorted({x[0] for x in probes}))
-        met = F.transform(_blocks(F.col("words"), size), lambda b: F.array_intersect(_array(order), b))
+        met = _blocks(F.col("words"), size, lambda b: F.array_intersect(_array(order), b))
         blocks = F.when(F.arrays_overlap("words", prefix), F.filter(met, lambda b: (F.size(b) >= least) & F.arrays_overlap(b, prefix)))
     else:
-        blocks = _blocks(F.col("words"), size)
+        blocks = _blocks(F.col("words"), size, F.array_distinct)
     rows = rows.select(
         "row", "doc_id", count_words(F.col("padded")).alias("n_words"),
         F.inline(F.array(F.struct(parts.alias("parts")))),
@@ -133,11 +134,11 @@ def scan(documents: DataFrame, *, id_col="doc_id", text_col="text", templates=TE
     rows = rows.select(
         "row", "doc_id", "n_words", F.when(has, F.size("parts") - 1).otherwise(0).cast("long").alias("n_base"),
         F.when(has, spaces(F.element_at("parts", 1))).alias("first_word"), F.when(has, F.col("n_words") - spaces(F.element_at("parts", -1))).alias("last_word"), "base_labels",
-        F.posexplode_outer("blocks").alias("at", "block"),
+        *([F.explode_outer("blocks").alias("block")] if inlined else [F.posexplode_outer("blocks").alias("at", "block")]),
     )
     if not inlined:
         known = _table(spark, [(w, k) for k, w in enumerate(order)], "spelt string, word int")
-        each = rows.select(*base, "at", F.explode_outer(F.array_distinct("block")).alias("spelt")).join(known, "spelt", "left")
+        each = rows.select(*base, "at", F.explode_outer("block").alias("spelt")).join(known, "spelt", "left")
         rows = each.groupBy(*base, "at").agg(F.array_sort(F.collect_list("word")).alias("block"))
     pairs = rows.select(*base, "block", F.posexplode_outer("block").alias("q", "word")).join(probe, "word", "left")
     possible = (F.size("block") >= F.col("k")) & (F.least(F.col("n") - F.col("p"), F.size("block") - F.col("q")) >= F.col("k"))

@@ -9,7 +9,7 @@ from ..engine import frame_operator, sql_operator
 from ..plans import rules
 from ..plans.dialect import Dialect
 from ..plans.rules import ON_TEST_TABLES, like_any
-from .graph import reach
+from .graph import distances
 from .impact import _DEGREES
 
 
@@ -180,7 +180,7 @@ def tag_closure(tags: DataFrame) -> DataFrame:
     """id, ancestor_id and depth (0: itself) of each tag and all tags above it. On a ring of parents every tag is above every other, each once, and itself at depth 0."""
     known = tags.select(F.col("id").alias("b"))
     up = tags.select(F.col("id").alias("a"), F.col("parent_id").alias("b")).join(known, "b", "left_semi").select("a", "b")
-    return reach(up, tags.select(F.col("id").alias("seed"))).select(F.col("seed").alias("id"), F.col("id").alias("ancestor_id"), "depth")
+    return distances(up, tags.select(F.col("id").alias("seed"))).select(F.col("seed").alias("id"), F.col("id").alias("ancestor_id"), "depth")
 
 
 @frame_operator("tags", lambda d: f"{_CLOSURE} SELECT id, ancestor_id, depth FROM closure")

@@ -3,7 +3,7 @@ import random
 import pytest
 
 from codeloom.operators.components import connected_components
-from codeloom.operators.graph import reach, strongly_connected
+from codeloom.operators.graph import Reached, reach, strongly_connected
 
 GRAPHS = {
     "chain": [(1, 2), (2, 3), (3, 4)],
@@ -61,3 +61,20 @@ def test_reach_is_breadth_first(spark):
 def test_empty_graph(spark):
     assert connected_components(frame(spark, [])).collect() == []
     assert strongly_connected(frame(spark, [])).collect() == []
+
+
+def test_masks_of_many_seeds_keep_each_seed_apart(spark):
+    """150 seeds in lots of 64: distances and the smallest vertex before are those of a plain search for each; one row of a lot tells of many seeds."""
+    rng = random.Random(9)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(500)]
+    seeds = sorted(rng.sample(range(200), 150))
+    met = Reached(frame(spark, edges), spark.createDataFrame([(s,) for s in seeds], "seed long"), 6)
+    got = {(r.seed, r.id): (r.depth, r.via) for r in met.forest().collect()}
+    want = {}
+    for seed in seeds:
+        level = {seed: None}
+        for depth in range(7):
+            want |= {(seed, v): (depth, via) for v, via in level.items()}
+            level = {b: min(a for a, x in edges if x == b and a in level) for _, b in [e for e in edges if e[0] in level] if (seed, b) not in want}
+    assert got == want
+    assert met.masks.count() < len(want) / 4

@@ -124,7 +124,7 @@ def g21_path_coverage(d: Dialect) -> str:
     return "SELECT count(DISTINCT id) AS paths, count(DISTINCT id) FILTER (WHERE coverage > 0e0) AS covered, round(avg(coverage), 9) AS mean_coverage FROM flow_paths"
 
 
-@sql_operator(paths="(SELECT * FROM flow_paths WHERE frequency >= 8)")
+@sql_operator
 def g22_uncovered_symbols(d: Dialect, paths: str = "flow_paths") -> str:
     """Symbols that no covered path begins or ends at."""
     return f"SELECT s.id, s.name FROM symbols s WHERE NOT EXISTS (SELECT 1 FROM (SELECT start_id AS id FROM {paths} x WHERE coverage > 0e0 UNION ALL SELECT end_id FROM {paths} y WHERE coverage > 0e0) p WHERE p.id = s.id)"

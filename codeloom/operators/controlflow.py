@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..engine import frame_operator, sql_operator
 from ..plans.dialect import DUCK, Dialect
 from .dataflow import _REACH, _usages, d17_def_use
-from .graph import EXITS, walked
+from .graph import EXITS, batched, by_function, one_by_one, walked
 
 Graph = dict[int, dict[int, tuple[int, int]]]  # block -> next block -> cost of going there and steps (1)
 
@@ -31,13 +31,12 @@ def each_function(blocks: DataFrame, edges: DataFrame, block_columns: list[str],
     names = ["symbol_id", *schema]
 
     def walk_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for symbol, own, pairs in zip(*(batch.column(c).to_pylist() for c in ("symbol_id", "blocks", "edges")), strict=True):
-                columns = list(zip(*((symbol, *row) for row in walk(own, pairs or [])), strict=True)) or [()] * len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64(), *schema.values()], strict=True)], names)
+        functions = one_by_one(batches, "symbol_id", "blocks", "edges")
+        rows = ((symbol, *row) for symbol, own, pairs in functions for row in walk(own, pairs or []))
+        return batched(rows, names, [pa.int64(), *schema.values()])
 
     spelt = {pa.int64(): "long", pa.int32(): "int", pa.string(): "string", pa.float64(): "double", pa.bool_(): "boolean"}
-    return of.join(steps, "symbol_id", "left").select("symbol_id", "blocks", "edges").mapInArrow(walk_all, "symbol_id long, " + ", ".join(f"{n} {spelt[k]}" for n, k in schema.items()))
+    return by_function(of, steps, "symbol_id", "blocks", "edges").mapInArrow(walk_all, "symbol_id long, " + ", ".join(f"{n} {spelt[k]}" for n, k in schema.items()))
 
 
 def components(start: int, out: Graph) -> list[list[int]]:

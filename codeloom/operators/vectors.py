@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..engine import frame_operator, sql_operator
 from ..plans import rules
-from ..plans.dialect import Dialect
+from ..plans.dialect import SPARK, Dialect
 from ..plans.rules import like_any
 from ..storage import dropped, written
 from .components import connected_components
@@ -112,10 +112,19 @@ def _pairs(t: dict[str, DataFrame], vectors: str, threshold: float, block: int)
     return pairs.select("first_id", "second_id", F.round("s", 5).alias("similarity"), F.round(F.least(F.lit(0.9), 1.1 * F.col("s")), 5).alias("confidence"))
 
 
-@frame_operator("vectors_near", _label_pairs, vectors="vectors_near")
+def _whole_pairs_sql(d: Dialect, threshold: float = 0.8) -> str:
+    own = _cosine(d, "v.vec", "v.vec")
+    copies = f"SELECT m.id AS first_id, v.id AS second_id, round({own}, 5) AS similarity, round(least(0.9e0, 1.1e0 * {own}), 5) AS confidence FROM vectors_near v JOIN (SELECT min(id) AS id, vec FROM vectors_near GROUP BY vec) m ON m.vec = v.vec AND m.id <> v.id WHERE {own} >= {threshold}e0"
+    return f"{_label_pairs(d, threshold)} UNION ALL {copies}"
+
+
+@frame_operator("vectors_near", _whole_pairs_sql, vectors="vectors_near")
 def e11_semantic_pairs(t: dict[str, DataFrame], threshold: float = 0.8, block: int = BLOCK, vectors: str = "vectors") -> DataFrame:
-    """Pairs of different vectors of any labels with cosine from the threshold up, under the smallest ids that have them; confidence min(0.9, 1.1 s)."""
-    return _pairs(t, vectors, threshold, block)
+    """Pairs of different vectors of any labels with cosine from the threshold up, under the smallest ids that have them, and of each of those ids with its copies; confidence min(0.9, 1.1 s)."""
+    rows = t[vectors].where("id IS NOT NULL AND vec IS NOT NULL AND NOT exists(vec, x -> x IS NULL)")
+    first = representatives(rows).where("copies > 1").select(F.col("id").alias("first_id"), "vec")
+    copies = rows.join(first, "vec").where("first_id <> id").select("first_id", F.col("id").alias("second_id"), F.expr(_cosine(SPARK, "vec", "vec")).alias("s")).where(F.col("s") >= threshold)
+    return _pairs(t, vectors, threshold, block).unionByName(copies.select("first_id", "second_id", F.round("s", 5).alias("similarity"), F.round(F.least(F.lit(0.9), 1.1 * F.col("s")), 5).alias("confidence")))
 
 
 def _class_sql(d: Dialect, threshold: float = 0.8) -> str:

@@ -60,3 +60,10 @@ def test_batches_of_functions_and_of_vectors_are_bounded_in_bytes(spark):
 def test_sides_of_taint_stand_in_tables_of_their_own(spark):
     """d19 failed at six times sf0.1: Spark did not find a column of a plan that read variables and blocks on both sides."""
     assert "part.parquet" not in str(engine.queries()["d19_taint"](spark, SF).inputFiles())
+
+
+def test_pairs_of_vectors_name_the_copies(spark):
+    """e11_semantic_pairs: 1 and 3 hold one vector, 2 is near it; 4 and 5 are zero, with cosine 0."""
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [1.0, 0.0]), (4, [0.0, 0.0]), (5, [0.0, 0.0])]
+    got = engine.Engine(spark, vectors=spark.createDataFrame(rows, "id long, vec array<float>")).run("e11_semantic_pairs").collect()
+    assert sorted((r.first_id, r.second_id) for r in got) == [(1, 2), (1, 3)]

@@ -13,11 +13,13 @@ the vectors whose score lies in a window are those in a ring around q: an annulu
 2. Searches come in packs of neighbouring anchors. A search is an anchor, a window of
    scores, and whether equal or different labels are wanted. The k-th best row of the
    sample bounds it from below, so it visits only cells that meet its annulus.
-3. A pack meets the blocks of its cells in a join on cell, lot of blocks and turn of packs,
-   which bounds what one key holds on both sides. In a block leaves are visited nearest
-   first, each search on its own, until the next leaf begins beyond the annulus; the k-th
-   row found draws the annulus in. Scores are exact: sums of whole numbers.
-4. Rows found, at most k for each search and block, are ranked with a limit ahead of the
+3. Packs and blocks of a cell are cogrouped by cell, lot of blocks and turn of packs, which
+   bounds what one key holds on both sides, and brings each side to Python once for a key.
+   Of a block only leaves that meet an annulus are read. An anchor's products with them are
+   made once for all of its windows, and only those over the least bound are looked at;
+   the k-th row found raises the bound for the next block. Scores are exact: sums of whole
+   numbers.
+4. Rows found, at most k for each search and key, are ranked with a limit ahead of the
    shuffle.
 
 The positives of an anchor are one search (no window, equal label), the negatives of each
@@ -50,7 +52,8 @@ from .common import dropped, picked, written
 
 SAMPLE, BLOCK, LEAF, PACK = 2048, 2048, 256, 512
 MAX_DEPTH = 9  # of the tree over the sample
-LOT, TURN = 8, 64  # blocks and packs that one join key holds
+LOT, TURN = 8, 16  # blocks and packs that one key holds
+STRIPE = 128  # anchors whose products with a block are held at once
 FAR = 1 << 60  # beyond every score
 _SEARCH = "row long, tag long, label long, same boolean, low long, high long, vec binary"
 
@@ -229,18 +232,18 @@ class Index:
 
     def search(self, searches: DataFrame, k: int) -> DataFrame:
         """For searches (row, tag, label, same, low, high, vec, cell) the best k rows of all with low <= score <= high and the label wanted, the search's own row left out: row, tag, found (its row), vec_id, score and rank."""
-        n = searches.count()
+        n = searches.select("row").distinct().count()
         shift = max(self.tree.depth - max(math.ceil(math.log2(max(n / PACK, 1))), 0), 0)
         searches = searches.withColumn("part", F.shiftright("cell", shift))
-        sizes = {r["part"]: r["n"] for r in searches.groupBy("part").agg(F.count("*").alias("n")).collect()}  # at most a row for each cell
+        sizes = {r["part"]: r["n"] for r in searches.groupBy("part").agg(F.count_distinct("row").alias("n")).collect()}  # at most a row for each cell
         packs = self.dealt(searches, F.col("part"), sizes, PACK).drop("cell").groupBy("part", "salt").applyInArrow(self._packer(k), "pack binary, cells array<int>")
         turns = max(math.ceil(sum(math.ceil(x / PACK) for x in sizes.values()) / TURN), 1)
         packs = packs.withColumn("turn", F.pmod(F.xxhash64("pack"), F.lit(turns)).cast("int")).withColumn("cell", F.explode("cells")).drop("cells")
         lots = self.blocks.groupBy("cell").agg((F.max("salt") / LOT).cast("int").alias("lots"))  # a row for each cell
         packs = packs.join(F.broadcast(lots), "cell").withColumn("lot", F.explode(F.sequence(F.lit(0), "lots"))).drop("lots")
         blocks = self.blocks.withColumn("lot", (F.col("salt") / LOT).cast("int")).withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
-        met = packs.join(blocks, ["cell", "lot", "turn"]).drop("cell", "lot", "turn", "salt")
-        found = met.mapInArrow(self._finder(k), "row long, tag long, found long, vec_id long, score long")
+        key = ("cell", "lot", "turn")
+        found = packs.groupBy(*key).cogroup(blocks.groupBy(*key)).applyInArrow(self._finder(k), "row long, tag long, found long, vec_id long, score long")
         order = Window.partitionBy("row", "tag").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "found")
         return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -250,12 +253,13 @@ class Index:
 
         def pack(t: pa.Table) -> pa.Table:
             s = Searches(t, dims)
-            scores = s.vecs.astype(sample.dtype) @ sample.T
-            fits = s.fits(scores, slice(None), labels, rows)
-            if scores.shape[1] >= k:  # the k-th best of the sample is the least that the k-th best of all can be
+            for lo in range(0, len(s.rows) if len(sample) >= k else 0, PACK):  # the k-th best of the sample is the least that the k-th best of all can be
+                at = slice(lo, lo + PACK)
+                scores = s.vecs[s.who[at]].astype(sample.dtype) @ sample.T
+                fits = s.fits(scores, at, labels, rows)
                 kth = -np.partition(-np.where(fits, scores, -FAR).astype(float), k - 1, axis=1)[:, k - 1]
-                s.low = np.maximum(s.low, np.where(kth > -FAR, kth, -FAR).astype(np.int64))
-            near, far = s.annulus(norm)
+                s.low[at] = np.maximum(s.low[at], np.where(kth > -FAR, kth, -FAR).astype(np.int64))
+            near, far = s.ring(norm)
             least, most = tree.reach(augmented(s.vecs, None), low, high)
             cells = np.flatnonzero(((least <= far[:, None]) & (most >= near[:, None])).any(0))
             return pa.table({"pack": pa.array([s.stored()], pa.binary()), "cells": pa.array([cells.tolist()], pa.list_(pa.int32()))})
@@ -264,39 +268,52 @@ class Index:
 
     def _finder(self, k: int):
         norm, dims = self.norm, self.dims
-        names = ["row", "tag", "found", "vec_id", "score"]
 
-        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for r in b.to_pylist():
-                    s = Searches.read(r["pack"], dims)
-                    which, rows, ids, known, scores = found_in(Block(r, dims, exact_type(norm)), s, k, norm)
-                    columns = [s.rows[which], s.tags[which], rows, pa.array(ids, pa.int64(), mask=~known), scores]
-                    yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns], names)
+        def find(packs: pa.Table, blocks: pa.Table) -> pa.Table:
+            read = [Block({c: blocks.column(c)[at].as_py() for c in blocks.column_names}, dims, exact_type(norm)) for at in range(blocks.num_rows)]
+            out = []
+            for raw in packs.column("pack") if read else ():
+                s = Searches.read(raw.as_py(), dims)
+                held = (np.empty(0, np.int64),) * 3 + (np.empty(0, bool), np.empty(0, np.int64))
+                for block in read:
+                    held = best(*(np.concatenate(x) for x in zip(held, found_in(block, s, k, norm), strict=True)), k)
+                    which, scores = held[0], held[4]
+                    last = np.flatnonzero(np.bincount(which, minlength=len(s.rows)) >= k)  # their k-th row draws the annulus in
+                    s.low[last] = np.maximum(s.low[last], scores[np.searchsorted(which, last, "right") - 1])
+                which, rows, ids, known, scores = held
+                out.append([s.rows[which], s.tags[which], rows, pa.array(ids, pa.int64(), mask=~known), scores])
+            columns = zip(*out, strict=True) if out else ((),) * 5
+            return pa.table({name: pa.chunked_array([x if isinstance(x, pa.Array) else pa.array(x, pa.int64()) for x in c], pa.int64()) for name, c in zip(("row", "tag", "found", "vec_id", "score"), columns, strict=True)})
 
         return find
 
 
 class Searches:
-    """A pack of searches: whose (row), which of theirs (tag), for which label or all others, within which scores."""
+    """A pack of searches: whose (row), which of theirs (tag), for which label or all others, within which scores. They stand by rows: vecs holds a vector of each row, who its place for each search, starts the first search of each."""
 
     def __init__(self, t: pa.Table, dims: int):
+        t = t.sort_by("row")
         take = lambda c: t.column(c).to_numpy().astype(np.int64)
         self.rows, self.tags, self.labels, self.low, self.high = map(take, ("row", "tag", "label", "low", "high"))
         self.same = t.column("same").to_numpy().astype(bool)
-        self.vecs = matrix(t.column("vec").to_pylist(), dims)
+        self._stand()
+        self.vecs = matrix(t.column("vec").take(pa.array(self.starts)).to_pylist(), dims)
+
+    def _stand(self) -> None:
+        _, self.starts, self.who = np.unique(self.rows, return_index=True, return_inverse=True)
 
     def stored(self) -> bytes:
-        parts = [self.rows, self.tags, self.labels, self.low, self.high, self.same.astype(np.int64)]
+        parts = [np.array([len(self.rows)]), self.rows, self.tags, self.labels, self.low, self.high, self.same]
         return b"".join(p.astype("<i8").tobytes() for p in parts) + self.vecs.astype("<i4").tobytes()
 
     @classmethod
     def read(cls, raw: bytes, dims: int) -> Searches:
         out = cls.__new__(cls)
-        n = len(raw) // (48 + 4 * dims)
-        out.rows, out.tags, out.labels, out.low, out.high, same = np.frombuffer(raw, "<i8", 6 * n).reshape(6, n)
+        n = int(np.frombuffer(raw, "<i8", 1)[0])
+        out.rows, out.tags, out.labels, out.low, out.high, same = np.frombuffer(raw, "<i8", 6 * n, 8).reshape(6, n)
         out.same, out.low = same.astype(bool), out.low.copy()
-        out.vecs = np.frombuffer(raw, "<i4", n * dims, 48 * n).reshape(n, dims)
+        out._stand()
+        out.vecs = np.frombuffer(raw, "<i4", len(out.starts) * dims, 8 + 48 * n).reshape(len(out.starts), dims)
         return out
 
     def fits(self, scores: np.ndarray, at, labels: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -304,11 +321,11 @@ class Searches:
         inside = (scores >= self.low[at][:, None]) & (scores <= self.high[at][:, None])
         return inside & ((labels == self.labels[at][:, None]) == self.same[at][:, None]) & (rows != self.rows[at][:, None])
 
-    def annulus(self, norm: int) -> tuple[np.ndarray, np.ndarray]:
-        """Least and greatest distance of the rows wanted, with room for rounding."""
+    def ring(self, norm: int) -> tuple[np.ndarray, np.ndarray]:
+        """Least and greatest distance of the rows that any search of each vector wants, with room for rounding."""
         squares = (self.vecs.astype(float) ** 2).sum(1)
         slack = 1e-6 * (1 + math.sqrt(norm))
-        return distances(squares, norm, self.high) - slack, distances(squares, norm, self.low) + slack
+        return distances(squares, norm, np.maximum.reduceat(self.high, self.starts)) - slack, distances(squares, norm, np.minimum.reduceat(self.low, self.starts)) + slack
 
 
 class Block:
@@ -328,39 +345,39 @@ class Block:
 def found_in(block: Block, s: Searches, k: int, norm: int) -> tuple[np.ndarray, ...]:
     """The best k rows of a block for each search: place of the search, row, id, whether it has one, score."""
     least, most = block.tree.reach(augmented(s.vecs, None), block.low, block.high)
-    vecs = s.vecs.astype(block.vecs.dtype)
-    near, far = s.annulus(norm)
-    order = np.argsort(np.maximum(least, near[:, None]), axis=1, kind="stable")
-    everyone = np.arange(len(vecs))
-    hits: list[tuple[np.ndarray, ...]] = []
-    for step in range(order.shape[1]):
-        leaf = order[:, step]
-        visits = (least[everyone, leaf] <= far) & (most[everyone, leaf] >= near)
-        if not visits.any():
+    near, far = s.ring(norm)
+    visits = (least <= far[:, None]) & (most >= near[:, None])
+    floor = np.minimum.reduceat(s.low, s.starts)
+    of = np.diff(np.append(s.starts, len(s.rows)))  # searches of each vector
+    hits = []
+    for lo in range(0, len(s.vecs), STRIPE):
+        part = visits[lo : lo + STRIPE]
+        who = lo + np.flatnonzero(part.any(1))
+        leaves = np.flatnonzero(part.any(0))
+        if not len(who):
             continue
-        for at in np.unique(leaf[visits]):
-            who = np.flatnonzero(visits & (leaf == at))
-            span = slice(block.starts[at], block.starts[at + 1])
-            scores = vecs[who] @ block.vecs[span].T
-            i, j = s.fits(scores, who, block.labels[span], block.rows[span]).nonzero()
-            if len(i):
-                hits.append(best(who[i], j + span.start, scores[i, j].astype(np.int64), block, k))
-        if step + 1 < order.shape[1] and hits:  # the k-th row found so far draws the annulus in
-            hits = [best(*map(np.concatenate, zip(*hits, strict=True)), block, k)]
-            which, _, scores = hits[0]
-            last = np.flatnonzero(np.bincount(which, minlength=len(vecs)) >= k)
-            s.low[last] = np.maximum(s.low[last], scores[np.searchsorted(which, last, "right") - 1])
-            far = s.annulus(norm)[1]
-    which, places, scores = best(*map(np.concatenate, zip(*hits, strict=True)), block, k) if hits else (np.empty(0, np.int64),) * 3
-    return which, block.rows[places], block.ids[places], block.known[places], scores
-
-
-def best(which: np.ndarray, places: np.ndarray, scores: np.ndarray, block: Block, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The best k places of each search: by score, then id (none last), then row."""
-    order = np.lexsort((block.rows[places], block.ids[places], ~block.known[places], -scores, which))
-    which, places, scores = which[order], places[order], scores[order]
-    kept = np.arange(len(which)) - np.searchsorted(which, which) < k
-    return which[kept], places[kept], scores[kept]
+        spans = [slice(0, len(block.rows))] if 2 * len(leaves) > part.shape[1] else [slice(block.starts[x], block.starts[x + 1]) for x in leaves]
+        vecs, least_wanted = s.vecs[who].astype(block.vecs.dtype), floor[who].astype(block.vecs.dtype)[:, None]
+        for span in spans:
+            scores = vecs @ block.vecs[span].T
+            i, j = (scores >= least_wanted).nonzero()
+            got, anchor = scores[i, j].astype(np.int64), who[i]
+            n = of[anchor]  # each for all searches of its vector
+            at = np.repeat(s.starts[anchor] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum()) if len(i) else np.empty(0, np.int64)
+            got, j = np.repeat(got, n), np.repeat(j + span.start, n)
+            fits = (got >= s.low[at]) & (got <= s.high[at]) & ((block.labels[j] == s.labels[at]) == s.same[at]) & (block.rows[j] != s.rows[at])
+            at, j, got = at[fits], j[fits], got[fits]
+            hits.append(best(at, block.rows[j], block.ids[j], block.known[j], got, k))
+    if not hits:
+        return *(np.empty(0, np.int64),) * 3, np.empty(0, bool), np.empty(0, np.int64)
+    return best(*map(np.concatenate, zip(*hits, strict=True)), k)
+
+
+def best(which: np.ndarray, rows: np.ndarray, ids: np.ndarray, known: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The best k rows of each search: by score, then id (none last), then row."""
+    order = np.lexsort((rows, ids, ~known, -scores, which))
+    order = order[np.arange(len(order)) - np.searchsorted(which[order], which[order]) < k]
+    return which[order], rows[order], ids[order], known[order], scores[order]
 
 
 def mine(df: DataFrame, *, anchors: Column | str = "vec_id % 100 = 0", positives=5, negatives=10, low_tenths=3, high_tenths=9, **columns) -> DataFrame:

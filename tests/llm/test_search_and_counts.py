@@ -93,6 +93,14 @@ def test_tree_bounds_hold():
     assert (least[:, leaf] <= d + 1e-9).all() and (most[:, leaf] >= d - 1e-9).all()
 
 
+def test_windows_of_an_anchor_share_its_vector():
+    """An anchor's vector is stored, and multiplied with a block, once for all of its windows."""
+    vec = np.array([3, 4], "<i4").tobytes()
+    rows = {"row": [7, 5, 7, 7], "tag": [1, 2, 3, 4], "label": [0] * 4, "same": [False] * 4, "low": [0, 5, 10, 15], "high": [20] * 4, "vec": [vec] * 4}
+    s = hard_negatives.Searches.read(hard_negatives.Searches(pa.table(rows), 2).stored(), 2)
+    assert len(s.vecs) == 2 and s.rows.tolist() == [5, 7, 7, 7] and s.who.tolist() == [0, 1, 1, 1] and sorted(s.low[1:]) == [0, 10, 15]
+
+
 # --- 12: importance resampling
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")

@@ -2,7 +2,10 @@
 
 import random
 
+import pytest
+
 from codeloom.engine import Engine
+from codeloom.operators import crosslang
 from codeloom.operators.textjoin import contained
 
 
@@ -76,3 +79,25 @@ def test_layers_of_a_call_graph(spark):
     calls = spark.createDataFrame([(1, 2), (2, 2), (2, 4), (1, 4), (4, 6), (5, 1), (1, None)], "caller_id long, callee_id long")
     got = {r.layer: tuple(r)[1:] for r in Engine(spark, symbols=symbols, calls=calls).run("d08_call_layers", entries="id IN (1, 2)").collect()}
     assert got == {0: (2, 1, 2), 1: (1, 0, 0), 2: (1, 0, 0)}
+
+
+@pytest.mark.parametrize("lot", [3, 256])
+def test_close_names_with_shared_stems(spark, monkeypatch, lot):
+    """Names that differ by their numbers meet lot by lot, with the same result as all with all."""
+    monkeypatch.setattr(crosslang, "LOT", lot)
+    rng = random.Random(8)
+    stems = ["red_ring_", "old_bolt_", "hot_bolt_", "blue_rings_", "", "x"]
+    rows = [(k, rng.choice(stems) + str(rng.randrange(2000)), rng.randrange(3)) for k in range(120)] + [(500, "red_ring_7", 1), (501, "red_ring_7", 2), (502, None, 1)]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, before = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+        return row[-1]
+
+    full = [r for r in rows if r[1] is not None]
+    want = {(i, j) for i, a, x in full for j, b, y in full if i < j and x != y and 1.0 - distance(a, b) / max(len(a), len(b)) > 0.7}
+    got = Engine(spark, symbols=spark.createDataFrame(rows, "id long, name string, language_id long")).run("x07_semantic_equivalents").collect()
+    assert len(got) == len(want) and {(r.first_id, r.second_id) for r in got} == want

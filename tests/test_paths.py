@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from codeloom.engine import Engine
 from codeloom.operators.graph import reach, with_paths
-from codeloom.operators.paths import chains, similar_sets, trace, ways
+from codeloom.operators.paths import chains, similar_sets, trace, walks, ways
 
 
 def random_calls(rng, n, m):
@@ -62,6 +62,17 @@ def test_a_million_paths_are_counted_not_walked(spark):
     assert counts[(9, 6)] == 8 and counts[(3, 2)] == 2
 
 
+def test_walks_are_counted_from_their_ends(spark):
+    """As many as ways leads to at that depth or to an end before it, for every caller, entry or not."""
+    edges = [e for e, _ in random_calls(random.Random(6), 12, 20)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    callers = sorted({a for a, _ in edges})
+    want = dict.fromkeys(callers, 0)
+    for r in ways(df, spark.createDataFrame([(a,) for a in callers], "id long"), 4).collect():
+        want[r.entry] += int(r.n) if r.length == 4 or r.id not in callers else 0
+    assert {r.id: int(r.n) for r in walks(df, 4).collect()} == want
+
+
 def test_chains_are_the_shortest_simple_paths(spark):
     rng = random.Random(2)
     for n, m, depth in ((7, 14, 4), (6, 25, 5)):

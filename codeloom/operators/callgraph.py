@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from ..engine import sql_operator
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..engine import frame_operator, sql_operator
 from ..plans.dialect import Dialect
+from ..storage import written
 
 
 @sql_operator
@@ -161,14 +165,29 @@ def g28_file_dependencies(d: Dialect, file: str = "src/ECONOMY/Brand#2.ixx") ->
     return one.format(role="depends on", own="f", other="t", file=file, types=types) + " UNION ALL " + one.format(role="used by", own="t", other="f", file=file, types=types)
 
 
-@sql_operator
-def g29_downstream_impact(d: Dialect) -> str:
-    """Of each file: edges to and from other files, distinct files and symbols touched."""
+def _downstream_sql(d: Dialect) -> str:
     return """SELECT file, count(*) FILTER (WHERE dir = 'out') AS outgoing, count(*) FILTER (WHERE dir = 'in') AS incoming, count(DISTINCT other) AS files, count(DISTINCT sym) AS symbols FROM (
         SELECT 'out' AS dir, f.file_path AS file, t.file_path AS other, t.id AS sym FROM relationships r JOIN symbols f ON f.id = r.from_id JOIN symbols t ON t.id = r.to_id WHERE f.file_path <> t.file_path
         UNION ALL SELECT 'in' AS dir, t.file_path AS file, f.file_path AS other, f.id AS sym FROM relationships r JOIN symbols f ON f.id = r.from_id JOIN symbols t ON t.id = r.to_id WHERE f.file_path <> t.file_path) e GROUP BY file"""
 
 
+@frame_operator("relationships symbols", _downstream_sql)
+def g29_downstream_impact(t: dict[str, DataFrame]) -> DataFrame:
+    """Of each file: edges to and from other files, distinct files and symbols touched. Files go by numbers, and pairs of files and symbols of files are counted each by itself, so rows are short and none is repeated for a count."""
+    files = written(t["symbols"].select("file_path").where("file_path IS NOT NULL").distinct().withColumn("file", F.monotonically_increasing_id()), "files")
+    of = written(t["symbols"].join(files, "file_path").select("id", "file"), "files-of")
+    edges = t["relationships"].select("from_id", "to_id").join(of.select(F.col("id").alias("from_id"), F.col("file").alias("f")), "from_id").join(of.select(F.col("id").alias("to_id"), F.col("file").alias("t")), "to_id").where("f <> t")
+    edges = written(edges, "edges")
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    out = edges.groupBy("f", "t").agg(F.count("*").alias("n"))
+    pairs = out.select(F.col("f").alias("file"), F.col("t").alias("other"), F.col("n").alias("outgoing"), none.alias("incoming")).unionAll(out.select("t", "f", none, "n"))
+    sums = pairs.groupBy("file", "other").agg(F.sum("outgoing").alias("outgoing"), F.sum("incoming").alias("incoming")).groupBy("file").agg(F.sum("outgoing").alias("outgoing"), F.sum("incoming").alias("incoming"), F.count("*").alias("files"))
+    ends = edges.select(F.col("f").alias("file"), F.col("to_id").alias("sym")).unionAll(edges.select("t", "from_id")).distinct()
+    symbols = ends.groupBy("file").agg(F.sum(one).alias("symbols"))
+    rows = sums.join(symbols, "file").join(files, "file")
+    return rows.select(F.col("file_path").alias("file"), "outgoing", "incoming", "files", "symbols")
+
+
 @sql_operator
 def g30_dependency_matrix(d: Dialect) -> str:
     return "SELECT f.file_path AS from_file, t.file_path AS to_file, r.type, count(*) AS n FROM relationships r JOIN symbols f ON f.id = r.from_id JOIN symbols t ON t.id = r.to_id WHERE f.file_path <> t.file_path GROUP BY f.file_path, t.file_path, r.type"

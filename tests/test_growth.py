@@ -1,11 +1,13 @@
 """Plans and batches whose size grows with the input, and no faster."""
 
 import os
+import random
 
 import pyarrow as pa
 import pytest
 
 from codeloom import engine
+from codeloom.operators import graph, vectorindex
 from codeloom.operators.graph import ARROW_BYTES, BATCH, batched, one_by_one
 
 SF = "/root/testdata/sf0.001"
@@ -67,3 +69,34 @@ def test_pairs_of_vectors_name_the_copies(spark):
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [1.0, 0.0]), (4, [0.0, 0.0]), (5, [0.0, 0.0])]
     got = engine.Engine(spark, vectors=spark.createDataFrame(rows, "id long, vec array<float>")).run("e11_semantic_pairs").collect()
     assert sorted((r.first_id, r.second_id) for r in got) == [(1, 2), (1, 3)]
+
+
+@needs_tables
+def test_edges_of_files_are_not_repeated_for_each_count(spark):
+    """g29: two counts of distinct values in one aggregate held every edge three times, with the names of its files."""
+    assert "Expand" not in plan(spark, "g29_downstream_impact")
+
+
+def test_cycles_are_found_without_broadcasts(spark, monkeypatch):
+    """m21: 1, 2, 3 are a ring, 4 calls itself, 5 leads into the ring; no round's labels pass the driver."""
+    plans, written = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df, label: (plans.append(df._jdf.queryExecution().executedPlan().toString()), written(df, label))[1])
+    calls = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 4), (5, 1), (6, 7)], "caller_id long, callee_id long")
+    df = engine.Engine(spark, calls=calls).run("m21_circular_dependencies")
+    plans.append(df._jdf.queryExecution().executedPlan().toString())
+    assert sorted(tuple(r) for r in df.collect()) == [(1, 1, 3), (2, 1, 3), (3, 1, 3), (4, 4, 1)]
+    assert len(plans) > 5 and not any("Broadcast" in p for p in plans)
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_tiles_compare_each_pair_once(spark, monkeypatch, kind):
+    """Small tiles: the pairs of the search by packs, each once; a vector is sent once for a tile it meets."""
+    monkeypatch.setattr(vectorindex, "TILE", 32)
+    rng = random.Random(11)
+    middle = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(4)]
+    rows = [(k, [x + rng.gauss(0, 0.3) for x in rng.choice(middle)]) for k in range(260)] + [(300, [0.0] * 6), (301, [0.0] * 6), (302, [1.0, 2.0]), (303, [2.0, 4.0])]
+    index = vectorindex.VectorIndex(spark.createDataFrame(rows, f"id long, vec array<{kind}>"), block=8)
+    for threshold in (0.9, 0.0):
+        got = index.pairs(threshold).collect()
+        want = index.search(threshold=threshold).where("query_id < id").collect()
+        assert len(got) == len(want) > 1000 and {tuple(r) for r in got} == {tuple(r) for r in want}

@@ -40,7 +40,7 @@ def depth_first(edges, entry, depth, stops=()):
 
 def test_traced_paths_are_the_first_of_a_depth_first_search(spark):
     rng = random.Random(1)
-    for n, m, depth, limit in ((6, 9, 4, 1000), (9, 25, 5, 7), (4, 16, 6, 30), (12, 14, 8, 3)):
+    for n, m, depth, limit in ((6, 9, 4, 1000), (7, 18, 4, None), (9, 25, 5, 7), (4, 16, 6, 30), (12, 14, 8, 3)):
         edges = random_calls(rng, n, m)
         df = spark.createDataFrame([(a, b, line) for (a, b), line in edges], "a long, b long, line long")
         entries = spark.createDataFrame([(0,), (1,), (50,)], "id long")
@@ -62,6 +62,16 @@ def test_a_million_paths_are_counted_not_walked(spark):
     assert counts[(9, 6)] == 8 and counts[(3, 2)] == 2
 
 
+def test_all_paths_are_listed(spark):
+    """g02, d27: 144 paths of an entry, more than the hundred of a limit, each in its place."""
+    calls = spark.createDataFrame([(1, 10 + k, k) for k in range(12)] + [(10 + k, 30 + m, m) for k in range(12) for m in range(12)] + [(30 + m, 50, 1) for m in range(12)], "caller_id long, callee_id long, line_number long")
+    symbols = spark.createDataFrame([(k, k % 2 + 1) for k in range(60)], "id long, language_id long")
+    engine = Engine(spark, symbols=symbols, calls=calls)
+    got = engine.run("g02_execution_paths", entries="id = 1").orderBy("place").collect()
+    assert [(r.place, r.path) for r in got] == [(12 * k + m + 1, f"1>{10 + k}>{30 + m}>50") for k in range(12) for m in range(12)]
+    assert engine.run("d27_cross_language_chains", entries="id = 1").count() == 144
+
+
 def test_walks_are_counted_from_their_ends(spark):
     """As many as ways leads to at that depth or to an end before it, for every caller, entry or not."""
     edges = [e for e, _ in random_calls(random.Random(6), 12, 20)]

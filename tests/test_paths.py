@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from codeloom.engine import Engine
 from codeloom.operators.graph import reach, with_paths
-from codeloom.operators.paths import chains, similar_sets, trace, walks, ways
+from codeloom.operators.paths import chains, similar_classes, similar_sets, trace, walks, ways
 
 
 def random_calls(rng, n, m):
@@ -72,6 +72,17 @@ def test_all_paths_are_listed(spark):
     assert engine.run("d27_cross_language_chains", entries="id = 1").count() == 144
 
 
+def test_all_paths_are_compared(spark):
+    """d02: 144 paths of an entry, each with the 11 others that differ from it in one symbol at either place; the copy of a set has as many and its copy."""
+    calls = spark.createDataFrame([(1, 10 + k, k) for k in range(12)] + [(10 + k, 30 + m, m) for k in range(12) for m in range(12)] + [(30 + m, 50, 1) for m in range(12)], "caller_id long, callee_id long, line_number long")
+    symbols = spark.createDataFrame([(k,) for k in range(60)], "id long")
+    got = Engine(spark, symbols=symbols, calls=calls).run("d02_redundant_paths", entries="id = 1", similarity=0.5).orderBy("place").collect()
+    assert [(r.place, r.path, r.class_place, r.links) for r in got] == [(12 * k + m + 1, f"1>{10 + k}>{30 + m}>50", 1, 22) for k in range(12) for m in range(12)]
+    calls = spark.createDataFrame([(1, 2, 1), (2, 3, 1), (3, 4, 1), (1, 3, 2), (3, 2, 2), (2, 4, 2)], "caller_id long, callee_id long, line_number long")
+    got = Engine(spark, symbols=symbols, calls=calls).run("d02_redundant_paths", entries="id = 1", depth=3).collect()
+    assert {(r.path, r.class_place, r.links) for r in got} == {("1>2>3>4", 1, 1), ("1>3>2>4", 1, 1), ("1>2>3>2", 2, 1), ("1>3>2>3", 2, 1), ("1>2>4", 3, 0), ("1>3>4", 4, 0)}
+
+
 def test_walks_are_counted_from_their_ends(spark):
     """As many as ways leads to at that depth or to an end before it, for every caller, entry or not."""
     edges = [e for e, _ in random_calls(random.Random(6), 12, 20)]
@@ -126,6 +137,21 @@ def test_similar_sets_lose_no_pair(spark):
             assert {(r.a, r.b) for r in similar_sets(df, threshold, above=above).collect()} == want
 
 
+def test_classes_of_similar_sets(spark):
+    """Links (copies counted) and classes against all pairs; at 0.5 of up to five items, and at 0.8 of up to eleven, neighbours meet in parts, else by similar_sets."""
+    rng = random.Random(5)
+    for threshold, most, of in ((0.5, 5, 9), (0.8, 11, 12), (0.3, 5, 30)):
+        sets = sorted({(g, frozenset(rng.sample(range(of), rng.randrange(1, most + 1)))) for g in range(2) for _ in range(40)}, key=lambda x: (x[0], sorted(x[1])))
+        rows = [(i, g, sorted(x), rng.randrange(1, 4)) for i, (g, x) in enumerate(sets)]
+        near = {i: [(j, w) for j, h, y, w in rows if h == g and j != i and len(set(x) & set(y)) / len(set(x) | set(y)) > threshold] for i, g, x, _ in rows}
+        label = {i: i for i in near}
+        while any(label[j] < label[i] for i in near for j, _ in near[i]):
+            label |= {i: min([label[i], *(label[j] for j, _ in near[i])]) for i in near}
+        got = {r.id: (r.links, r.component) for r in similar_classes(spark.createDataFrame(rows, "id long, grp long, items array<long>, copies long"), threshold).collect()}
+        assert {i: n for i, (n, _) in got.items()} == {i: sum(w for _, w in near[i]) for i in near if near[i]}, threshold
+        assert len({(got[i][1], label[i]) for i in got}) == len({got[i][1] for i in got}) == len({label[i] for i in got}), threshold
+
+
 def test_paths_of_a_forest_lead_over_its_edges(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(40), rng.randrange(40)) for _ in range(70)] + [(100 + k, 101 + k) for k in range(9)]

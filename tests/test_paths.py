@@ -1,10 +1,12 @@
 """Call paths, chains and similar sets against plain searches."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from codeloom.engine import Engine
+from codeloom.operators import paths
 from codeloom.operators.graph import reach, with_paths
 from codeloom.operators.paths import chains, similar_classes, similar_sets, trace, walks, ways
 
@@ -72,6 +74,35 @@ def test_all_paths_are_listed(spark):
     assert engine.run("d27_cross_language_chains", entries="id = 1").count() == 144
 
 
+def test_ways_of_an_entry_are_summed_where_its_rows_meet(spark, monkeypatch):
+    """d32: one exchange by entry alone before calls are spread out; the same rows where an entry has too many, where calls stand in several rows, and where numbers may pass a long."""
+    rng = random.Random(8)
+    pairs = sorted({(rng.randrange(12), rng.randrange(12)) for _ in range(40)})
+    symbols = spark.createDataFrame([(k,) for k in range(12)], "id long")
+
+    def counted(pairs, depth):
+        out, level = {}, {(s, s): 1 for s in (0, 5)}
+        for k in range(1, depth + 1):
+            new = {}
+            for (s, a), n in level.items():
+                for b in (b for x, b in pairs if x == a):
+                    new[s, b] = new.get((s, b), 0) + n
+            for key, n in new.items():
+                w, low, _ = out.get(key, (0, k, k))
+                out[key] = (w + n, low, k)
+            level = new
+        return out
+
+    for depth, more, most, row in ((4, [], paths.COUNTED, paths.CALLED), (4, [], 0, 2), (6, [(5, 100 + k) for k in range(3000)], paths.COUNTED, paths.CALLED)):
+        monkeypatch.setattr(paths, "COUNTED", most)
+        monkeypatch.setattr(paths, "CALLED", row)
+        calls = spark.createDataFrame([*pairs, *more], "caller_id long, callee_id long")
+        out = Engine(spark, symbols=symbols, calls=calls).run("d32_navigation", entries="id IN (0, 5)", depth=depth)
+        if most:
+            assert "hashpartitioning(entry" in (plan := out._jdf.queryExecution().executedPlan().toString()) and not re.search(r"hashpartitioning\(entry#\d+L, id#", plan)
+        assert {(r.a, r.b): (r.ways, r.shortest, r.longest) for r in out.collect()} == counted([*pairs, *more], depth)
+
+
 def test_all_paths_are_compared(spark):
     """d02: 144 paths of an entry, each with the 11 others that differ from it in one symbol at either place; the copy of a set has as many and its copy."""
     calls = spark.createDataFrame([(1, 10 + k, k) for k in range(12)] + [(10 + k, 30 + m, m) for k in range(12) for m in range(12)] + [(30 + m, 50, 1) for m in range(12)], "caller_id long, callee_id long, line_number long")

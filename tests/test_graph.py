@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from codeloom.engine import Engine
 from codeloom.operators.components import connected_components
 from codeloom.operators.graph import Reached, reach, strongly_connected
 
@@ -78,3 +79,12 @@ def test_masks_of_many_seeds_keep_each_seed_apart(spark):
             level = {b: min(a for a, x in edges if x == b and a in level) for _, b in [e for e in edges if e[0] in level] if (seed, b) not in want}
     assert got == want
     assert met.masks.count() < len(want) / 4
+
+
+def test_descendants_are_counted_however_far(spark):
+    """d31: a chain of 13 calls."""
+    calls = spark.createDataFrame([(k, k + 1) for k in range(1, 14)], "caller_id long, callee_id long")
+    symbols = spark.createDataFrame([(k,) for k in range(1, 15)], "id long")
+    run = Engine(spark, symbols=symbols, calls=calls).run
+    assert [tuple(r) for r in run("d31_process_tree", entries="id = 1").collect()] == [(1, 13, 13)]
+    assert [tuple(r) for r in run("d31_process_tree", entries="id = 1", depth=4).collect()] == [(1, 4, 4)]

@@ -6,7 +6,9 @@ import random
 import pyarrow as pa
 import pytest
 
-from codeloom import engine
+from pyspark.sql import functions as F
+
+from codeloom import engine, storage
 from codeloom.operators import graph, vectorindex
 from codeloom.operators.graph import ARROW_BYTES, BATCH, batched, one_by_one
 
@@ -100,3 +102,24 @@ def test_tiles_compare_each_pair_once(spark, monkeypatch, kind):
         got = index.pairs(threshold).collect()
         want = index.search(threshold=threshold).where("query_id < id").collect()
         assert len(got) == len(want) > 1000 and {tuple(r) for r in got} == {tuple(r) for r in want}
+
+
+def test_shuffle_files_of_a_written_table_are_deleted(spark):
+    """Rounds wrote their shuffle files beside each other (i13, i18, d31 and others at 60 times sf0.1): nothing reads them again."""
+    before, context = spark.conf.get(storage.CLEANUP), spark.sparkContext
+    first = context._jsc.sc().newShuffleId()
+    sums = storage.written(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count(), "sums")
+    last, known = context._jsc.sc().newShuffleId(), context._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    assert last > first + 1 and not any(known.containsShuffle(k) for k in range(first, last))
+    assert sums.count() == 7 and spark.conf.get(storage.CLEANUP) == before
+
+
+def test_only_paths_that_lead_on_are_written(spark, monkeypatch):
+    """g18, i02: a star of 50 behind 1 > 2: of its 52 paths two are held between levels; rows are those of the forest."""
+    held = []
+    monkeypatch.setattr(graph, "written", lambda df, label: (lambda out: (held.append((label, out.count())), out)[1])(storage.written(df, label)))
+    edges = spark.createDataFrame([(1, 2)] + [(2, k) for k in range(3, 53)] + [(52, 60)], "a long, b long")
+    seeds = spark.createDataFrame([(1,), (2,)], "seed long")
+    got = {(r.seed, r.id, r.depth, r.via, r.path) for r in graph.chained(edges, seeds).collect()}
+    assert sum(n for label, n in held if label == "paths") == 4 and not any(label == "forest" for label, _ in held)
+    assert got == {(r.seed, r.id, r.depth, r.via, ">".join(map(str, r.path))) for r in graph.with_paths(graph.reach(edges, seeds)).collect()}

@@ -215,3 +215,34 @@ def test_path_operators_on_a_ring(spark):
     assert [(r.id, r.is_called) for r in dead] == [(5, False)]
     assert [(r.symbols, r.dead, r.dead_percent) for r in engine.run("d04_dead_lines", entries="id = 3").collect()] == [(5, 4, 80.0)]
     assert {(r.caller_id, r.callee_id, r.reason) for r in engine.run("d04_dead_edges", entries="id = 3").collect()} == {(1, 2, "both ends unreachable"), (1, 3, "caller unreachable"), (2, 4, "both ends unreachable"), (4, 1, "both ends unreachable")}
+
+
+def test_all_paths_are_placed_by_counts(spark):
+    """g02: all paths of each entry by depth-first search, with stops; one that ends after as many calls as are followed, at what calls nothing, is complete. At most the rounds before the last stand in tables."""
+    rng = random.Random(12)
+    calls = [(rng.randrange(12), rng.randrange(14), rng.randrange(5)) for _ in range(40)] + [(20, 21, 1), (21, 22, 1), (22, 23, 1)]
+    symbols = spark.createDataFrame([(k, k % 3) for k in range(24)], "id long, language_id long")
+    engine = Engine(spark, symbols=symbols, calls=spark.createDataFrame(calls, "caller_id long, callee_id long, line_number long"))
+    line = {}
+    for a, b, n in calls:
+        line[a, b] = min(n, line.get((a, b), n))
+    ahead = {a: [b for _, b in sorted((n, b) for (x, b), n in line.items() if x == a)] for a, _ in line}
+
+    def walk(nodes, depth, stops):
+        for b in ahead.get(nodes[-1], ()):
+            path = [*nodes, b]
+            if b in nodes or b in stops or b not in ahead or len(path) > depth:
+                yield path, b not in nodes and (b in stops or b not in ahead), b in nodes
+            else:
+                yield from walk(path, depth, stops)
+
+    for depth, stops in ((3, ()), (4, (3, 7)), (1, ())):
+        want = set()
+        for entry in (0, 5, 20, 13):
+            found = list(walk([entry], depth, stops)) or [([entry], True, False)]
+            want |= {(entry, k, ">".join(map(str, nodes)), *state) for k, (nodes, *state) in enumerate(found, 1)}
+        for limit in (None, 10**6):
+            rows = engine.run("g02_execution_paths", entries="id IN (0, 5, 20, 13)", depth=depth, limit=limit, stops=",".join(map(str, stops)) or None).collect()
+            assert {(r.start_id, r.place, r.path, r.is_complete, r.is_cyclic) for r in rows} == want and len(rows) == len(want), (depth, limit)
+    kept = [{tuple(r) for r in engine.run("d27_cross_language_chains", entries="id IN (0, 5, 20, 13)", depth=4, limit=limit).collect()} for limit in (None, 10**6)]
+    assert kept[0] == kept[1] and len(kept[0]) > 20

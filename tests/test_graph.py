@@ -3,6 +3,7 @@ import random
 import pytest
 
 from codeloom.engine import Engine
+from codeloom.operators import graph
 from codeloom.operators.components import connected_components
 from codeloom.operators.graph import Reached, reach, strongly_connected
 
@@ -88,3 +89,25 @@ def test_descendants_are_counted_however_far(spark):
     run = Engine(spark, symbols=symbols, calls=calls).run
     assert [tuple(r) for r in run("d31_process_tree", entries="id = 1").collect()] == [(1, 13, 13)]
     assert [tuple(r) for r in run("d31_process_tree", entries="id = 1", depth=4).collect()] == [(1, 4, 4)]
+
+
+def test_shortest_paths_however_far_and_by_turns(spark, monkeypatch):
+    """g25: a chain of 13 calls, and a random graph; of equally short paths the smallest as text, whatever the turns."""
+    rng = random.Random(3)
+    calls = [(100 + k, 101 + k) for k in range(13)] + [(rng.randrange(30), rng.randrange(30)) for _ in range(80)]
+    df = spark.createDataFrame(calls, "caller_id long, callee_id long")
+    symbols = spark.createDataFrame([(k,) for k in range(120)], "id long")
+    want = set()
+    for seed in [*range(30), 100]:
+        best = level = {seed: str(seed)}
+        for depth in range(1, 20):
+            new = {}
+            for a, b in calls:
+                if a in level and b not in best:
+                    new[b] = min(new.get(b, "~"), f"{level[a]}>{b}")
+            want |= {(seed, b, depth, path) for b, path in new.items()}
+            best, level = best | new, new
+    for turn in (graph.TURN, 400):
+        monkeypatch.setattr(graph, "TURN", turn)
+        rows = Engine(spark, symbols=symbols, calls=df).run("g25_shortest_path", entries="id < 30 OR id = 100").collect()
+        assert {tuple(r) for r in rows} == want and len(rows) == len(want)
